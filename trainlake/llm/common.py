@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship
+
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -33,6 +35,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, task, schema) -> DataFrame:
+    """mapInArrow with this package sent to the workers first."""
+    ship(df.sparkSession)
+    return df.mapInArrow(task, schema)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Internal column names that df doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -5,13 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sharding
+from . import decontamination, minhash_dedup, mixing, quality_classifier, quality_rules, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, octet_length(encode(h))::bigint as payload_bytes, sha256(h) as payload_digest from p),
+f as (select *, min(page_id) over (partition by payload_digest) as first from d)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and page_id <> first then first end as refers_to from f
+"""
+
+
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "class_id", "class_size")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = quality_classifier.classify(docs.select("doc_id", "text", "source", "lang"), model, keep_text=False)
+    return scored.select("doc_id", "source", "lang", "p_quality", "p_toxic", "host_rate", "path_rate", "accepted")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality_rules.apply_policy(quality_rules.ledger(docs))
@@ -46,9 +72,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_no")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "source", "n_tokens", "weight", "copies", "mix_key")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_quality_rules, op7_sharding)}
+    return {f.__name__: f for f in (op2_warc, op3_minhash_dedup, op4_quality_classifier, op6_quality_rules, op7_sharding, op8_decontamination, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": OP6_SQL}
+    return {"op2_warc": OP2_SQL, "op6_quality_rules": OP6_SQL}
