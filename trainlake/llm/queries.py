@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, minhash_dedup, mixing, quality_classifier, quality_rules, sharding, warc
+from . import decontamination, minhash_dedup, mixing, quality_classifier, quality_rules, sharding, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,13 +76,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_bytes=False)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "source", "n_tokens", "weight", "copies", "mix_key")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc, op3_minhash_dedup, op4_quality_classifier, op6_quality_rules, op7_sharding, op8_decontamination, op10_mixing)}
+    return {f.__name__: f for f in (op2_warc, op3_minhash_dedup, op4_quality_classifier, op6_quality_rules, op7_sharding, op8_decontamination, op9_suffix_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
