@@ -5,13 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, minhash_dedup, mixing, quality_classifier, quality_rules, sharding, suffix_dedup, warc
+from . import decontamination, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, sharding, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.md5(F.col("kept_text").cast("binary")).alias("kept_md5"))
+
+
+OP1_SQL = """
+with l as (select doc_id, unnest(range(len(ls))) as i, unnest(ls) as x from (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null)),
+nb as (select doc_id, i, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as t from l),
+r as (select doc_id, i, t, row_number() over (partition by doc_id order by i) as r from nb where t <> ''),
+w as (select doc_id, r, t || chr(10) || lead(t, 1) over w || chr(10) || lead(t, 2) over w as k from r window w as (partition by doc_id order by r)),
+later as (select doc_id, r from (select doc_id, r, row_number() over (partition by k order by doc_id, r) as o from w where k is not null) where o > 1),
+gone as (select distinct r.doc_id, r.i from later join r on r.doc_id = later.doc_id and r.r between later.r and later.r + 2),
+kept as (select l.doc_id, string_agg(x, chr(10) order by l.i) as t from l anti join gone on gone.doc_id = l.doc_id and gone.i = l.i group by l.doc_id)
+select d.doc_id, coalesce(a.n, 0)::bigint as n_lines, coalesce(g.n, 0)::bigint as n_removed, case when d.text is not null then md5(coalesce(kept.t, '')) end as kept_md5
+from documents d left join (select doc_id, count(*) as n from r group by doc_id) a using (doc_id)
+left join (select doc_id, count(*) as n from gone group by doc_id) g using (doc_id) left join kept using (doc_id)
+"""
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -38,6 +57,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "source", "lang", "p_quality", "p_toxic", "host_rate", "path_rate", "accepted")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.fit(docs))
+    return found.select("doc_id", "word_no", F.md5(F.col("value").cast("binary")).alias("value_md5"), F.length("value").alias("value_chars"), "p_secret", "is_secret")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality_rules.apply_policy(quality_rules.ledger(docs))
@@ -87,8 +112,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc, op3_minhash_dedup, op4_quality_classifier, op6_quality_rules, op7_sharding, op8_decontamination, op9_suffix_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_minhash_dedup, op4_quality_classifier, op5_secret_scan, op6_quality_rules, op7_sharding, op8_decontamination, op9_suffix_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op6_quality_rules": OP6_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op6_quality_rules": OP6_SQL}
