@@ -1,9 +1,17 @@
 """Registry of the queries of the time-series, text-corpus and retrieval operators."""
 
+from .catalog import registry
+
+
+def _load() -> None:
+    from .catalog import samples, training  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(registry.ORACLES)
