@@ -15,7 +15,9 @@ from .common import fresh, map_batches, materialize
 
 #: Bytes dropped before words are taken for the lexicon.
 PUNCTUATION = b".,;:!?\"'()[]{}|#$%&*<>"
-FEATURES = ("log_words", "symbols", "upper", "pipes", "dup_lines", "repetition", "word_length", "digits", "marks", "toxic_words", "toxic_weight", "bad_words", "bad_weight")
+#: Bytes of word beginnings that the lexicon knows beside whole words.
+BEGINNINGS = (4, 6, 8)
+FEATURES = ("log_words", "symbols", "upper", "pipes", "dup_lines", "repetition", "word_length", "digits", "marks") + tuple(f"{kind}_{x}" for kind in ("toxic", "bad") for x in ("count", "weight", "top", "density"))
 SCALE = 1_000_000
 
 
@@ -31,8 +33,15 @@ class Model:
     bad_words: dict
 
 
-def doc_words(raw: bytes) -> set[bytes]:
-    return set(raw.translate(None, PUNCTUATION).lower().split())
+def doc_tokens(raw: bytes) -> set[bytes]:
+    """The distinct words of a text in lower case, and their beginnings marked with ^."""
+    words = set(raw.translate(None, PUNCTUATION).lower().split())
+    return words.union(*[[w[:n] + b"^" for w in words if len(w) > n] for n in BEGINNINGS])
+
+
+def _lexicon_features(tokens: set[bytes], lexicon: dict) -> list[float]:
+    found = [lexicon[t] for t in tokens if t in lexicon]
+    return [float(min(len(found), 8)), float(min(sum(found), 40)), float(max(found, default=0)), float(sum(found) / np.log(2 + len(tokens)))]
 
 
 def features(raw: bytes, toxic_words: dict, bad_words: dict) -> list[float]:
@@ -46,8 +55,7 @@ def features(raw: bytes, toxic_words: dict, bad_words: dict) -> list[float]:
     upper, lower = kinds[65:91].sum(), kinds[97:123].sum()
     pipes, symbols = kinds[124], kinds[[35, 42, 36, 37, 38, 60, 62]].sum()
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    seen = doc_words(raw)
-    toxic, bad = [toxic_words[w] for w in seen if w in toxic_words], [bad_words[w] for w in seen if w in bad_words]
+    tokens = doc_tokens(raw)
     return [
         float(np.log1p(n)),
         min(symbols / n, 4.0),
@@ -58,10 +66,8 @@ def features(raw: bytes, toxic_words: dict, bad_words: dict) -> list[float]:
         min(len(raw) / n, 40.0) / 10,
         kinds[48:58].sum() / len(raw),
         min(kinds[33] / n, 4.0),
-        float(min(len(toxic), 5)),
-        float(min(sum(toxic), 30)),
-        float(min(len(bad), 5)),
-        float(min(sum(bad), 30)),
+        *_lexicon_features(tokens, toxic_words),
+        *_lexicon_features(tokens, bad_words),
     ]
 
 
@@ -91,15 +97,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_0
     return docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id")
 
 
-def _lexicon(sample: DataFrame, min_share: float = 0.05, min_docs: int = 5, min_lift: float = 1.5, top: int = 200) -> tuple[dict, dict]:
-    """Words far likelier in toxic (or bad) documents than in the others, with their log lift. Counts are grouped on Spark;
+def _lexicon(sample: DataFrame, min_share: float = 0.01, min_docs: int = 5, min_lift: float = 1.5, top: int = 200) -> tuple[dict, dict]:
+    """Words and beginnings far likelier in toxic (or bad) documents than in the others, with their log lift. Counts are grouped on Spark;
     at most 2 * top words reach the driver."""
 
     def words(batches):
         for b in batches:
             out = {"word": [], "quality": [], "toxic": []}
             for t, q, x in zip(b.column("text"), b.column("quality").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                ws = doc_words(t.as_buffer().to_pybytes()) if t.is_valid else ()
+                ws = doc_tokens(t.as_buffer().to_pybytes()) if t.is_valid else ()
                 out["word"] += ws
                 out["quality"] += [q] * len(ws)
                 out["toxic"] += [x] * len(ws)
@@ -117,7 +123,7 @@ def _lexicon(sample: DataFrame, min_share: float = 0.05, min_docs: int = 5, min_
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Model:
     """Learns the lexicon and both heads from labelled_sample(); the driver sees feature rows of that sample only
-    (max_labelled * 13 numbers). Without labels every document gets an even score."""
+    (max_labelled * len(FEATURES) numbers). Without labels every document gets an even score."""
     sample = materialize(labelled_sample(docs, labels, max_labelled), "quality-sample")
     toxic_words, bad_words = _lexicon(sample)
 
