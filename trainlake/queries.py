@@ -4,7 +4,7 @@ from .catalog import registry
 
 
 def _load() -> None:
-    from .catalog import corpus, samples, training  # noqa: F401
+    from .catalog import corpus, ledgers, samples, training  # noqa: F401
 
 
 def queries() -> dict:
