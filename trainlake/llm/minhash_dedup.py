@@ -26,7 +26,7 @@ def _processes(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     k = 1
     while (more := weight > (low := 1 << (k - 1))).any():
         element, weight = element[more], weight[more]
-        seeds.append(mix(element + U(k) * U(0xD1342543DE82EF95)))
+        seeds.append(mix(element + U(k * 0xD1342543DE82EF95 % (1 << 64))))
         rates.append(np.full(len(element), float(low)))
         shares.append(np.minimum((weight - low) / low, 1.0))
         k += 1
@@ -73,11 +73,23 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard of two bags given as (elements sorted, counts)."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = np.minimum(a[1][i], b[1][j]).sum()
-    return both / (a[1].sum() + b[1].sum() - both)
+def bag(shingles: np.ndarray) -> np.ndarray:
+    """The multiset as a sorted set: the i-th occurrence of a shingle is an element of its own, so that Jaccard similarity of
+    these sets is weighted Jaccard similarity of the multisets."""
+    h = np.sort(shingles)
+    first = np.r_[True, h[1:] != h[:-1]] if len(h) else np.empty(0, bool)
+    nth = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+    return np.sort(np.where(nth == 0, h, mix(h + nth.astype(np.uint64) * U(0xD1342543DE82EF95))).view(np.int64))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted Jaccard of two bags."""
+    if len(a) < len(b):
+        a, b = b, a
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    both = np.count_nonzero(a[at] == b)
+    return both / (len(a) + len(b) - both)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -100,24 +112,30 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_batches(rows, sign, "doc_id long, digest binary, n long, bands array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of nodes whose bags of shingles have the similarity asked for."""
+def bags(texts: DataFrame) -> DataFrame:
+    """node, bag of each row of texts (node, text)."""
 
-    def check(batches):
-        last: dict = {}
+    def make(batches):
+        for b in batches:
+            found = [bag(shingle_hashes(t.as_buffer().to_pybytes(), WORDS)) for t in b.column("text")]
+            offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([b.column("node"), flat], ["node", "bag"])
 
-        def bag(node, text):
-            if node not in last:
-                if len(last) > 64:
-                    last.clear()
-                last[node] = np.unique(shingle_hashes(text.as_buffer().to_pybytes(), WORDS), return_counts=True)
-            return last[node]
+    return map_batches(texts.select("node", "text"), make, "node long, bag array<long>")
 
+
+def verify(pairs: DataFrame, bagged: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of nodes whose bags of shingles have the similarity asked for."""
+
+    def check(batches):
         for b in batches:
-            keep = [similarity(bag(x, s), bag(y, t)) >= threshold for x, y, s, t in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("s"), b.column("t"), strict=True)]
+            sides = [(b.column(c).flatten().to_numpy(), np.cumsum(np.r_[0, b.column(c).value_lengths().to_numpy()])) for c in ("s", "t")]
+            (x, i), (y, j) = sides
+            keep = [similarity(x[i[k] : i[k + 1]], y[j[k] : j[k + 1]]) >= threshold for k in range(len(b))]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b")
+    both = pairs.join(bagged.select(F.col("node").alias("a"), F.col("bag").alias("s")), "a").join(bagged.select(F.col("node").alias("b"), F.col("bag").alias("t")), "b")
     return map_batches(both.select("a", "b", "s", "t"), check, "a long, b long")
 
 
@@ -140,12 +158,12 @@ def _links(nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     centres = materialize(crowd.groupBy("key").agg(F.max(F.struct("company", "node", "n")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("cn")), "near-centres")
     tested = crowd.join(centres, "key").where(F.col("node") != F.col("centre")).where(_close("n", "cn", threshold))
     tested = materialize(tested.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "near-tested")
-    # texts of the nodes that have company, fetched once
+    # bags of the nodes that have company, made once
     wanted = nodes.join(rank.select("node"), "node", "left_semi").select("node", F.col("doc_id").alias("d"), F.col("digest").alias("g"))
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text")
     texts = rows.join(wanted, F.col("digest").eqNullSafe(F.col("g")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "text")
-    texts = materialize(texts.dropDuplicates(["node"]), "near-texts")
-    links = materialize(verify(tested, texts, threshold), "near-links")
+    bagged = materialize(bags(texts.dropDuplicates(["node"])), "near-bags")
+    links = materialize(verify(tested, bagged, threshold), "near-links")
     labels = components(links)
     named = lambda df, node, out: df.join(labels.select(F.col("node").alias(node), F.col("label").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
     crowd = materialize(named(crowd, "node", "label").join(named(centres, "centre", "main").select("key", "main"), "key"), "near-labelled")
@@ -153,7 +171,7 @@ def _links(nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     others = crowd.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"), "main")
     again = loose.join(others, "key").where("al <> bl and (bl = main or a < b)").where(_close("an", "bn", threshold))
     again = again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    return links.union(materialize(verify(materialize(again, "near-again"), texts, threshold), "near-links"))
+    return links.union(materialize(verify(materialize(again, "near-again"), bagged, threshold), "near-links"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
