@@ -4,7 +4,7 @@ from .catalog import registry
 
 
 def _load() -> None:
-    from .catalog import corpus, ledgers, retrieval, samples, training  # noqa: F401
+    from .catalog import corpus, ledgers, retrieval, samples, streams, training  # noqa: F401
 
 
 def queries() -> dict:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from ..functions import timeparse
 
 SAMPLE = ["path", "seq", "t", "lat", "lon", "alt", "hr", "cad", "speed"]
@@ -113,7 +114,6 @@ def _assign(cells: list[str]) -> dict[str, int]:
     return out
 
 
-@F.pandas_udf("struct<at:int,fields:map<string,int>>")
 def _find_header(rows: pd.Series) -> pd.DataFrame:
     """Of a file's first rows the one with most known columns."""
     best = [max(((len(m := _assign(list(r))), -i, m) for i, r in enumerate(rs)), key=lambda x: x[:2], default=(0, 0, {})) for rs in rows]
@@ -132,9 +132,10 @@ def _csv_rows(files: DataFrame) -> DataFrame:
 def read_csv(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(samples, headers). A file with an error has no samples. Errors: no_data, no_header, daily_table, no_time, bad_time, not_rising;
     warnings: relative_time, no_distance."""
+    ship(files.sparkSession)
     rows = _csv_rows(files)
     tops = rows.where("n < 10").groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "cells"))), lambda x: x["cells"]).alias("top"))
-    heads = tops.withColumn("h", _find_header("top")).select("path", "h.at", "h.fields", F.flatten(F.slice("top", F.lit(1), F.col("h.at"))).alias("preamble"))
+    heads = tops.withColumn("h", F.pandas_udf(_find_header, "struct<at:int,fields:map<string,int>>")("top")).select("path", "h.at", "h.fields", F.flatten(F.slice("top", F.lit(1), F.col("h.at"))).alias("preamble"))
     data = rows.join(heads, "path").where("n > at").withColumn("seq", F.col("n") - F.col("at") - 1)
     cell = lambda f: F.when(F.col("fields")[f].isNotNull(), F.nullif(F.trim(F.get("cells", F.col("fields")[f])), F.lit("")))
     number = lambda f: cell(f).try_cast("double")
@@ -205,14 +206,17 @@ def pick(fields: Column, names: list[str]) -> Column:
     )
 
 
+def _records_like(v) -> bool:
+    return isinstance(v, list) and bool(v) and isinstance(v[0], dict)
+
+
 def _dict_lists(node, depth: int = 0) -> list[list]:
-    """Lists of objects in a JSON value, six levels deep, 50 items wide."""
+    """Outermost lists of objects under the keys of a JSON value, six levels deep, 50 items wide."""
     if depth > 6:
         return []
-    if isinstance(node, list):
-        own = [node] if node and isinstance(node[0], dict) else []
-        return own + [x for item in node[:50] for x in _dict_lists(item, depth + 1)]
-    return [x for v in node.values() for x in _dict_lists(v, depth + 1)] if isinstance(node, dict) else []
+    if isinstance(node, dict):
+        return [x for v in node.values() for x in ([v] if _records_like(v) else _dict_lists(v, depth + 1))]
+    return [x for item in node[:50] for x in _dict_lists(item, depth + 1)] if isinstance(node, list) else []
 
 
 def _flat(d: dict) -> dict[str, str]:
@@ -231,11 +235,11 @@ def _json_records(batches):
                 continue
             lists = _dict_lists(data)
             records = max(lists, key=len) if lists else [data] if isinstance(data, dict) else []
-            if isinstance(data, dict) and records and not any(_dict_lists(r, 1) for r in records if isinstance(r, dict)):
+            if isinstance(data, dict) and not any(_records_like(v) for r in records if isinstance(r, dict) for v in r.values()):
                 records = [data]
             for i, rec in enumerate(r for r in records[:200] if isinstance(r, dict)):
-                named = [v for k, v in rec.items() if isinstance(v, list) and v and isinstance(v[0], dict) and any(n in re.sub("[_ ]", "", k.lower()) for n in LIST_KEYS)]
-                other = [v for v in rec.values() if isinstance(v, list) and v and isinstance(v[0], dict) and {re.sub("[_ ]", "", k.lower()) for k in v[0]} & {"heartrate", "hr", "heart", "time", "timestamp"}]
+                named = [v for k, v in rec.items() if _records_like(v) and any(n in re.sub("[_ ]", "", k.lower()) for n in LIST_KEYS)]
+                other = [v for v in rec.values() if _records_like(v) and {re.sub("[_ ]", "", k.lower()) for k in v[0]} & {"heartrate", "hr", "heart", "time", "timestamp"}]
                 points = max(named or other, key=len, default=[])
                 out.append({"path": path, "record": i, "n_records": len(records), "fields": _flat(rec), "points": [_flat(p) for p in points if isinstance(p, dict)]})
         yield pd.DataFrame(out, columns=["path", "record", "n_records", "fields", "points"])
@@ -244,6 +248,7 @@ def _json_records(batches):
 def read_json(files: DataFrame, least: int = 20) -> tuple[DataFrame, DataFrame]:
     """(samples, headers) of the record with most points in each file; headers tell how many records were found and how many have
     `least` points. Only finding the lists in JSON of unknown shape is Python; fields are picked by columns."""
+    ship(files.sparkSession)
     recs = files.select("path", "content").mapInPandas(_json_records, "path string, record int, n_records int, fields map<string,string>, points array<map<string,string>>")
     w = W.partitionBy("path").orderBy(F.size("points").desc(), "record")
     recs = recs.withColumns({"_n": F.row_number().over(w), "importable": F.count_if(F.size("points") >= least).over(W.partitionBy("path"))}).where("_n = 1")
