@@ -197,21 +197,31 @@ class _Suffixes:
 
 
 def later_strings(seg: list[bytes], h: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For each segment a bit mask of its strings that also start in a segment of a smaller doc with the same anchor."""
-    raw = np.frombuffer(b"".join(seg), np.uint8)
-    size = np.array([len(s) for s in seg], np.int64)
+    """For each segment a bit mask of its strings that also start in a segment of a smaller doc with the same anchor. Equal
+    segments are sorted once, with their smallest doc."""
+    index: dict[tuple, int] = {}
+    same = np.array([index.setdefault(k, len(index)) for k in zip(h.tolist(), seg, strict=True)])
+    one = np.empty(len(index), np.int64)
+    one[same] = np.arange(len(same))
+    first = np.full(len(index), np.iinfo(np.int64).max)
+    np.minimum.at(first, same, doc)
+    raw = np.frombuffer(b"".join(k[1] for k in index), np.uint8)
+    size = np.array([len(k[1]) for k in index], np.int64)
     start, count = np.cumsum(size) - size, size - length + 1
-    who = np.repeat(np.arange(len(seg)), count)
-    j = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
-    _, bucket = np.unique(h, return_inverse=True)
-    group = bucket[who] * _RUN + at[who] - j
+    base = np.cumsum(count) - count
+    who = np.repeat(np.arange(len(index)), count)
+    j = np.arange(len(who)) - base[who]
+    _, bucket = np.unique(h[one], return_inverse=True)
+    group = bucket[who] * _RUN + at[one][who] - j
     strings = _Suffixes(raw, start[who] + j, length)
     order = strings.sort(group)
     head = np.flatnonzero(~strings.equal_next(order, group))
-    least = np.repeat(np.minimum.reduceat(doc[who[order]], head), np.diff(np.r_[head, len(order)]))
-    hit = order[doc[who[order]] > least]
+    least = np.empty(len(order), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(first[who[order]], head), np.diff(np.r_[head, len(order)]))
     mask = np.zeros(len(seg), np.int64)
-    np.bitwise_or.at(mask, who[hit], np.int64(1) << j[hit])
+    for k in range(int(count.max())):
+        has = count[same] > k
+        mask[has] |= (least[base[same[has]] + k] < doc[has]).astype(np.int64) << k
     return mask
 
 
