@@ -254,12 +254,17 @@ def _sort_buckets(batches, length: int, most: int = 20_000):
 
 
 def _large_buckets(segments: DataFrame, length: int) -> DataFrame:
-    """The same masks for buckets too large for one task: each string is a row, the smallest doc_id is found by partial
-    aggregation and joined back; the join's side of many equal strings may be split."""
+    """The same masks for buckets too large for one task: equal segments become one row, each string of these a row; the
+    smallest doc_id of a string is found by partial aggregation, joined back and gathered by segment (at most one entry a
+    string). Both joins have one row a key on one side, so the side of many equal keys may be split."""
+    distinct = materialize(segments.groupBy("h", "seg").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "repeat-large")
     n = F.octet_length("seg") - length + 1
-    each = segments.withColumn("j", F.explode(F.sequence(F.lit(0), n - 1))).select("doc_id", "th", "starts", "j", F.substring("seg", F.col("j") + 1, F.lit(length)).alias("s"))
-    least = each.groupBy("s").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("s", "least")
-    return each.join(least, "s").where("doc_id > least").select("doc_id", "th", "starts", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("j")).alias("mask"))
+    each = distinct.withColumn("j", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("s", F.substring("seg", F.col("j") + 1, F.lit(length)))
+    least = each.groupBy("s").agg(F.min("first").alias("least"), F.max("last").alias("most")).where("least < most").select("s", "least")
+    found = each.join(least, "s").where("last > least").groupBy("h", "seg").agg(F.collect_list(F.struct("j", "least")).alias("found"))
+    bit = lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["j"]))
+    mask = F.aggregate(F.filter("found", lambda x: x["least"] < F.col("doc_id")), F.lit(0).cast("long"), bit)
+    return segments.join(found, ["h", "seg"]).select("doc_id", "th", "starts", mask.alias("mask")).where("mask <> 0")
 
 
 _CUT = "doc_id long, th long, spans array<struct<start:long,end:long>>, n_removed long, kept binary, kept_sha256 string"
