@@ -21,7 +21,7 @@ from .textcore import INVERSE, U, mix, powers, prefix
 
 LENGTH = 50
 GRAM = 16
-#: Occurrences of an anchor up to which its bucket is sorted in one task; larger ones are grouped string by string.
+#: Texts with an anchor up to which its bucket is sorted in one task; larger ones are grouped string by string.
 BUCKET_ROWS = 10_000
 #: Strings of a text looked at at once.
 PIECE = 4 << 20
@@ -70,15 +70,11 @@ def _batch(schema: list[tuple], *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, schema, strict=True)], [n for n, _ in schema])
 
 
-def _anchor_counts(batches, length: int):
-    """h, c: the anchors of each text with their numbers of occurrences in it."""
+def _anchors(batches, length: int):
+    """h: the anchors of each text, each once."""
     for b in batches:
-        hs, cs = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-        for text in b.column(0):
-            h, c = np.unique(anchor_runs(_bytes(text), length)[3], return_counts=True)
-            hs.append(h.view(np.int64))
-            cs.append(c.astype(np.int32))
-        yield _batch([("h", pa.int64()), ("c", pa.int32())], np.concatenate(hs), np.concatenate(cs))
+        hs = [np.unique(anchor_runs(_bytes(text), length)[3]).view(np.int64) for text in b.column(0)]
+        yield _batch([("h", pa.int64())], np.concatenate([*hs, np.empty(0, np.int64)]))
 
 
 def _anchor_places(batches, length: int):
@@ -92,10 +88,10 @@ def _anchor_places(batches, length: int):
             n.append(len(h))
         who = np.repeat(np.arange(len(n)), n)
         ids = [b.column(x).to_numpy(zero_copy_only=False)[who] for x in ("doc_id", "th")]
-        yield _batch([(x, pa.int64()) for x in ("doc_id", "th", "h", "run")], *ids, np.concatenate(hs), np.concatenate(runs))
+        yield _batch([("doc_id", pa.int64()), ("th", pa.int32()), ("h", pa.int64()), ("run", pa.int64())], *ids, np.concatenate(hs), np.concatenate(runs))
 
 
-_SEGMENT = [("h", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("seg", pa.binary()), ("starts", pa.list_(pa.int64())), ("hot", pa.bool_())]
+_SEGMENT = [("h", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32()), ("at", pa.int32()), ("seg", pa.binary()), ("starts", pa.list_(pa.int64())), ("hot", pa.bool_())]
 
 
 def _segments(batches, length: int):
@@ -225,7 +221,7 @@ def later_strings(seg: list[bytes], h: np.ndarray, at: np.ndarray, doc: np.ndarr
     return mask
 
 
-_MASK = [("doc_id", pa.int64()), ("th", pa.int64()), ("starts", pa.list_(pa.int64())), ("mask", pa.int64())]
+_MASK = [("doc_id", pa.int64()), ("th", pa.int32()), ("starts", pa.list_(pa.int64())), ("mask", pa.int64())]
 
 
 def _sort_buckets(batches, length: int, most: int = 20_000):
@@ -267,7 +263,7 @@ def _large_buckets(segments: DataFrame, length: int) -> DataFrame:
     return segments.join(found, ["h", "seg"]).select("doc_id", "th", "starts", mask.alias("mask")).where("mask <> 0")
 
 
-_CUT = "doc_id long, th long, spans array<struct<start:long,end:long>>, n_removed long, kept binary, kept_sha256 string"
+_CUT = "doc_id long, th int, spans array<struct<start:long,end:long>>, n_removed long, kept binary, kept_sha256 string"
 
 
 def _cut(batches, length: int, keep: bool):
@@ -291,7 +287,7 @@ def _cut(batches, length: int, keep: bool):
             left = raw[~out].tobytes()
             rows.append((doc_id, th, [{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2], strict=True)], int(out.sum()), left if keep else None, hashlib.sha256(left).hexdigest()))
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        kinds = [("doc_id", pa.int64()), ("th", pa.int64()), ("spans", span), ("n_removed", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())]
+        kinds = [("doc_id", pa.int64()), ("th", pa.int32()), ("spans", span), ("n_removed", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())]
         yield _batch(kinds, *(zip(*rows, strict=True) if rows else [()] * len(kinds)))
 
 
@@ -311,12 +307,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_rows: int = BUC
     Strings are judged on the input; they never cross documents. A text equal to one of a smaller doc_id loses all its bytes
     if it has `length` or more; so only one text of a group of copies is looked at further. Null texts are empty. Rows with
     a null doc_id lose nothing and take nothing from others. Repeated rows are all returned, each with the same result; texts
-    under one doc_id don't take from each other; an empty table gives no rows; other columns are not looked at."""
+    under one doc_id (told apart by a 32-bit hash) don't take from each other; an empty table gives no rows; other columns are not looked at."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce("text", F.lit("")).cast("binary")
     alone = (F.octet_length(body) < length) | F.col("doc_id").isNull()
-    key = F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("th")
+    key = F.col("doc_id").cast("long").alias("doc_id"), F.hash(body).alias("th")
     short = [F.when(alone, F.sha2(body, 256)).alias("short_sha"), F.when(alone & F.lit(keep_bytes), body).alias("short_kept")]
     rows = materialize(docs.select(*key, F.unhex(F.md5(body)).alias("digest"), F.octet_length(body).cast("long").alias("n_bytes"), *short), "repeat-rows")
     whole = rows.where("doc_id is not null").where(F.col("n_bytes") >= length)
@@ -326,15 +322,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_rows: int = BUC
     whole = docs.where("doc_id is not null").where(F.octet_length("text") >= length).select(*key, "text")
     texts = _bucketed(whole.repartition(n, "doc_id", "th").join(leads, ["doc_id", "th"], "left_semi"), n, ["doc_id", "th"], "repeat-texts")
 
-    shared = map_batches(texts.select("text"), lambda it: _anchor_counts(it, length), "h long, c int").groupBy("h").agg(F.count(F.lit(1)).alias("docs"), F.sum("c").alias("n")).where("docs > 1")
+    shared = map_batches(texts.select("text"), lambda it: _anchors(it, length), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(shared.select("h", (F.col("n") > bucket_rows).alias("hot")), "repeat-shared")
-    places = map_batches(texts.select("doc_id", "th", "text"), lambda it: _anchor_places(it, length), "doc_id long, th long, h long, run long").join(shared, "h")
+    places = map_batches(texts.select("doc_id", "th", "text"), lambda it: _anchor_places(it, length), "doc_id long, th int, h long, run long").join(shared, "h")
     wanted = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "run", "hot")).alias("runs"))
     with_runs = texts.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "text", "runs")
-    segments = materialize(map_batches(with_runs, lambda it: _segments(it, length), "h long, doc_id long, th long, at int, seg binary, starts array<long>, hot boolean"), "repeat-segments")
+    segments = materialize(map_batches(with_runs, lambda it: _segments(it, length), "h long, doc_id long, th int, at int, seg binary, starts array<long>, hot boolean"), "repeat-segments")
 
     usual = segments.where("not hot").repartition(n, "h").sortWithinPartitions("h").select("h", "doc_id", "th", "at", "seg", "starts")
-    masks = map_batches(usual, lambda it: _sort_buckets(it, length), "doc_id long, th long, starts array<long>, mask long")
+    masks = map_batches(usual, lambda it: _sort_buckets(it, length), "doc_id long, th int, starts array<long>, mask long")
     masks = masks.unionByName(_large_buckets(segments.where("hot"), length))
     cuts = masks.groupBy("doc_id", "th").agg(F.collect_list(F.struct("starts", "mask")).alias("cuts"))
     done = map_batches(texts.join(cuts, ["doc_id", "th"], "left").select("doc_id", "th", "text", "cuts"), lambda it: _cut(it, length, keep_bytes), _CUT)
