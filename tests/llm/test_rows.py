@@ -1,0 +1,201 @@
+"""WARC, classifier, secrets, rules, sharding, mixing and the pipeline on small tables."""
+
+import hashlib
+import math
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from trainlake.llm import mixing, quality_classifier, quality_rules, secret_scan, sharding, warc
+from trainlake.llm import queries as llm
+
+from ..compare import assert_same
+
+
+@pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
+def test_oracles(spark, duck, sf_dir, name):
+    assert_same(llm.queries()[name](spark, sf_dir), duck.execute(llm.oracle_sql()[name]))
+
+
+def test_warc(spark):
+    big = "é" * 90
+    rows = [(3, "http://a/ b", big), (1, "http://a", big), (2, None, "short"), (5, "u", "short"), (4, "u", None), (6, "u", ""), (7, "u", "x" * 200_000), (1, "again", big), (None, "n", big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    got = warc.round_trip(pages, payloads=True).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.record_type == "response":
+            assert hashlib.sha256(r.payload).hexdigest() == r.payload_digest and len(r.payload) == r.payload_bytes
+    kinds = Counter((r.page_id, r.record_type, r.refers_to) for r in got)
+    assert kinds[(3, "revisit", 1)] == 1 and kinds[(1, "response", None)] == 2 and kinds[(None, "revisit", 1)] == 1
+    assert all(kinds[(p, "response", None)] == 1 for p in (2, 4, 5, 6, 7))
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_warc_normalises_any_gzip(spark):
+    import gzip
+
+    records = [warc.encode_record(i, f"u{i}", b"x" * i, hashlib.sha256(b"x" * i).digest(), None) for i in range(1, 40)]
+    stream = gzip.compress(b"".join(records[:20])) + b"".join(gzip.compress(r) for r in records[20:])
+    pos = [0]
+
+    def read(n):
+        part = stream[pos[0] : pos[0] + 7]
+        pos[0] += 7
+        return part
+
+    assert list(warc.split_records(warc.inflate(read, 64))) == records
+
+
+def rule_counts(text):
+    import re
+
+    t = text or ""
+    ws = re.findall(r"[^\x20\x09-\x0D]+", t)
+    windows = Counter(tuple(ws[i : i + 3]) for i in range(len(ws) - 2))
+    covered = {i + k for i in range(len(ws) - 2) if windows[tuple(ws[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_rules(spark):
+    rng = random.Random(4)
+    texts = [None, "", " \n", "a", "a b", "a b c a b c", "x " * 300, "über 😀 |#|\n" * 5, "A B C\nA B C\n\n"]
+    texts += [" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 120))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_words", F.lit("clash"))
+    out = quality_rules.apply_policy(quality_rules.ledger(df))
+    for r in out.collect():
+        want = rule_counts(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, texts[r.doc_id]
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (r.base_failed and r.kept)
+    assert quality_rules.ledger(df.limit(0)).count() == 0
+    ab = {r.rule: r for r in quality_rules.ablations(out).collect()}
+    masks = [r.fail_mask for r in out.collect()]
+    for rule, bit in quality_rules.BITS.items():
+        assert ab[rule].n_fail == sum(m >> bit & 1 for m in masks) and ab[rule].n_kept_without == sum(m & ~(1 << bit) == 0 for m in masks)
+
+
+def test_feistel_is_a_permutation(spark):
+    for n in (1, 2, 3, 7, 100, 1000):
+        out = spark.range(n).select("id", sharding.permute(F.col("id"), F.lit(n).cast("long"), 5).alias("p"))
+        out = out.withColumn("back", sharding.invert(F.col("p"), F.lit(n).cast("long"), 5)).collect()
+        assert sorted(r.p for r in out) == list(range(n)) and all(r.back == r.id for r in out)
+
+
+def test_sharding(spark):
+    rows = [(None, "a"), (None, "b"), (1, "x"), (1, "x"), (2, None)] + [(i, str(i)) for i in range(3, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("clash"))
+    a = sharding.shard(df.repartition(5), ["doc_id", "text"], 16)
+    got = a.collect()
+    assert len(got) == len(rows)
+    sizes = Counter(r.shard for r in got)
+    assert max(sizes.values()) - min(sizes[i] for i in range(16)) <= 1
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    key = lambda rs: sorted((str(r.doc_id), str(r.text), r.shard, r.slot) for r in rs)
+    assert key(got) == key(sharding.shard(df.repartition(2), ["doc_id", "text"], 16).collect())
+    assert sharding.shard(df.limit(0), ["doc_id"], 16).count() == 0
+
+
+def mix_rows():
+    rng = random.Random(6)
+    out = []
+    for s, n in (("big", 300), ("mid", 80), ("small", 10), (None, 30), ("blank", 5)):
+        for _ in range(n):
+            out.append((len(out), "" if s == "blank" else " ".join("w" for _ in range(rng.randint(1, 60))), s))
+    return out + [(9000, None, "big"), (9001, "w w", "mid"), (9001, "w w", "mid")]
+
+
+def test_mixing(spark):
+    rows = mix_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit("clash"))
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    tokens, drawn, weight = Counter(), Counter(), {}
+    for r in got:
+        assert r.n_tokens == len((r.text or "").split())
+        tokens[r.source] += r.n_tokens
+        drawn[r.source] += r.n_tokens * r.copies
+        weight[r.source] = r.weight
+    total = sum(tokens.values())
+    assert abs(sum(weight.values()) - 1) < 1e-6 and weight["blank"] == 0
+    p = [w for w in weight.values() if w > 0]
+    entropy = -sum(w * math.log(w) for w in p)
+    repeated = {s: total * weight[s] / tokens[s] for s in tokens if tokens[s]}
+    assert max(repeated.values()) <= 2 + 1e-6
+    assert entropy >= 0.95 * math.log(len(p)) - 1e-6 or max(repeated.values()) > 2 - 1e-3
+    longest = max(r.n_tokens for r in got)
+    for s in tokens:
+        if tokens[s]:
+            quota = min(total * weight[s], 2 * tokens[s])
+            assert quota - longest - 1 <= drawn[s] <= quota + 1
+    again = {(r.doc_id, r.text): r.copies for r in mixing.mix(df.repartition(3)).collect()}
+    assert again == {(r.doc_id, r.text): r.copies for r in got}
+    assert mixing.draw(df).count() == sum(r.copies for r in got)
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_classifier(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    even = F.xxhash64("doc_id") % 2 == 0
+    model = quality_classifier.fit(docs, labels.where(even))
+    odd = quality_classifier.classify(docs, model).join(labels.where(~even), "doc_id").collect()
+    right = [r.accepted == (r.quality == 1 and r.toxic == 0) for r in odd]
+    assert sum(right) / len(right) > 0.85
+    odd_rows = [(None, None, None, None), (1, "", "s", "en"), (1, "", "s", "en"), (2, "word " * 50_000, None, "en")]
+    small = spark.createDataFrame(odd_rows, "doc_id long, text string, source string, lang string").withColumn("p_toxic", F.lit("clash"))
+    out = quality_classifier.classify(small, model).collect()
+    assert len(out) == 4 and all(r.p_quality is not None and r.accepted is not None for r in out)
+    assert quality_classifier.classify(small.limit(0), model).count() == 0
+    none = quality_classifier.fit(docs, labels.limit(0))
+    assert quality_classifier.classify(small, none).count() == 4
+
+
+def test_shrinkage(spark):
+    rows = [("dense", "a", 4.0)] * 300 + [("dense", "b", -4.0)] * 300 + [("sparse", "c", -4.0)] + [("other", "d", 4.0)] * 400 + [(None, None, 4.0)] * 50
+    df = spark.createDataFrame(rows, "h string, p string, quality_logit double").withColumn("toxic_logit", F.lit(-9.0))
+    got = {r.path: r for r in quality_classifier.site_posteriors(df, "h", "p").collect()}
+    assert got["a"].path_rate > 0.9 and got["b"].path_rate < 0.1
+    assert got["c"].path_rate > 0.1  # one document pulls its site only part of the way
+    assert got[None].n == 50
+
+
+def test_secrets(spark):
+    texts = ['set token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2" here', "commit 9fceb02d0ae598e95dc970b74767f19372d61af8 merged", "password = Xk93mQpz71Lw done", "thanonontioniner word", None, "", "mail that.92@mail2.example.com now"]
+    df = spark.createDataFrame([(i, t, "src/app.py") for i, t in enumerate(texts)], "doc_id long, text string, source string").withColumn("value", F.lit("clash"))
+    corpus = spark.createDataFrame([(i, "the and was with from this that have which there", "s") for i in range(50)], "doc_id long, text string, source string")
+    scanner = secret_scan.fit(corpus, trees=12)
+    found = secret_scan.scan(df, scanner)
+    assert {r.doc_id for r in found.where("is_secret").collect()} == {0, 2}
+    held = secret_scan.score(secret_scan.labelled_findings(spark, scanner.dictionary, 2000, seed=99), scanner)
+    wrong = held.where((F.col("p_secret") >= 0.5).cast("double") != F.col("is_secret")).count()
+    assert wrong < 20
+    clean = {r.doc_id: r.text for r in secret_scan.redact(df, found).collect()}
+    assert clean[0] == 'set token = "[secret]" here' and clean[1] == texts[1] and clean[4] is None
+    assert secret_scan.scan(df.limit(0), scanner).count() == 0
+
+
+def test_pipeline(spark, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns = docs.columns
+    rows, seen = docs, []
+    for name, stage in pipeline.STAGES:
+        path = f"{spark.conf.get('spark.checkpoint.dir')}/test-{name}"
+        stage(spark, rows, sf_dir).write.mode("overwrite").parquet(path)
+        rows = spark.read.parquet(path)
+        seen.append(rows.count())
+        if name != "shard":
+            assert rows.columns == columns
+    assert seen[0] <= docs.count() and seen[1] <= seen[0] and seen[2] <= seen[1] and seen[4] == seen[3] > 0
+    ids = {r.doc_id for r in rows.select("doc_id").collect()}
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").collect()
+    toxic = [r.doc_id for r in labels if r.toxic == 1]
+    assert sum(d in ids for d in toxic) <= 0.1 * max(1, len(toxic))
+    assert rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), (F.max("slot") + 1).alias("m")).where("n <> m").count() == 0
+    assert pipeline.run(spark, sf_dir).count() == seen[4]
