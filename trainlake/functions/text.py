@@ -145,5 +145,5 @@ def parse_date(raw: Column, as_of: str) -> Column:
     full, part = r"(\d{4})[-/年.](\d{1,2})[-/月.](\d{1,2})", r"(\d{4})[-/年.](\d{1,2})"
     of = lambda p, i: F.regexp_extract(raw, p, i)
     iso = F.when(raw.rlike(full), F.concat_ws("-", of(full, 1), F.lpad(of(full, 2), 2, "0"), F.lpad(of(full, 3), 2, "0"))).when(raw.rlike(part), F.concat_ws("-", of(part, 1), F.lpad(of(part, 2), 2, "0"), F.lit("01")))
-    d = F.try_to_date(iso, F.lit("yyyy-MM-dd")) if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")))
+    d = F.try_to_date(iso, "yyyy-MM-dd")
     return F.when((d <= F.lit(as_of).cast("date")) & (F.year(d) >= 1990), d)

@@ -88,7 +88,7 @@ def recall_pool(ranked: DataFrame, matches: DataFrame, size: int = RECALL, least
 
 def parts(key_points: Column, fallback: Column, most: int = PARTS) -> Column:
     """The passages of an article that are scored by themselves: its non-blank key points, else the whole text."""
-    p = F.filter(F.transform(F.slice(F.coalesce(key_points, F.array().cast("array<string>")), 1, most), F.trim), lambda s: s != "")
+    p = F.filter(F.transform(F.slice(F.coalesce(key_points, F.array().cast("array<string>")), 1, most), lambda s: F.trim(s)), lambda s: s != "")
     return F.when(F.size(p) > 0, p).otherwise(F.array(fallback))
 
 
