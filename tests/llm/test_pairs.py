@@ -237,3 +237,11 @@ def test_decontamination_against_edit_distance():
             assert (item_id in found) == (least <= index.budgets[k]), (least, index.budgets[k], found)
             if item_id in found:
                 assert found[item_id] == least
+
+
+def test_near_null_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, long), (5, long), (None, "other words here"), (7, long + " tail"), (7, long + " tail")]
+    got = sorted(((r.doc_id, r.class_size) for r in minhash_dedup.near_duplicates(docs(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, 4), (5, 4), (None, 1), (7, 4), (7, 4)], key=str)
+    assert minhash_dedup.keep_one(docs(spark, rows)).count() == 2
