@@ -130,9 +130,6 @@ def crw01_discover(spark, sf_dir):
     return frontier.discover(tables.table(spark, sf_dir, "pages"), 4, F.lit(True))
 
 
-_ALLLINKS = f"select link, min(page_id) as page_id from ({{}}) group by 1"
-
-
 @query(f"with {_LINKS}, every as (select page_id, link, pos + 1 as place from lk union all select page_id, {_normal('url')}, 0 from pages) select link, page_id, place::int as place from every qualify row_number() over (partition by link order by page_id, place) = 1")
 def set01_union_dedupe(spark, sf_dir):
     p = tables.table(spark, sf_dir, "pages")
