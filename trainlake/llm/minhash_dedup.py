@@ -16,6 +16,7 @@ WORDS = 5
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8^6)^32 = 6e-5, one of 0.85 with 3e-7.
 BANDS, ROWS = 32, 6
+CACHE_BYTES = 64 << 20
 
 
 def _processes(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,30 +113,31 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_batches(rows, sign, "doc_id long, digest binary, n long, bands array<long>")
 
 
-def bags(texts: DataFrame) -> DataFrame:
-    """node, bag of each row of texts (node, text)."""
-
-    def make(batches):
-        for b in batches:
-            found = [bag(shingle_hashes(t.as_buffer().to_pybytes(), WORDS)) for t in b.column("text")]
-            offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([b.column("node"), flat], ["node", "bag"])
-
-    return map_batches(texts.select("node", "text"), make, "node long, bag array<long>")
-
-
-def verify(pairs: DataFrame, bagged: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of nodes whose bags of shingles have the similarity asked for."""
+def verify(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of nodes whose bags of shingles have the similarity asked for. Texts are sent rather than bags, since they
+    are shorter and compress; a task keeps CACHE_BYTES of bags at most."""
 
     def check(batches):
+        known: dict[int, np.ndarray] = {}
+        held = 0
+
+        def bag_of(node: int, text) -> np.ndarray:
+            nonlocal held
+            if node not in known:
+                made = bag(shingle_hashes(text.as_buffer().to_pybytes(), WORDS))
+                if held + made.nbytes > CACHE_BYTES:
+                    known.clear()
+                    held = 0
+                known[node] = made
+                held += made.nbytes
+                return made
+            return known[node]
+
         for b in batches:
-            sides = [(b.column(c).flatten().to_numpy(), np.cumsum(np.r_[0, b.column(c).value_lengths().to_numpy()])) for c in ("s", "t")]
-            (x, i), (y, j) = sides
-            keep = [similarity(x[i[k] : i[k + 1]], y[j[k] : j[k + 1]]) >= threshold for k in range(len(b))]
+            keep = [similarity(bag_of(x, s), bag_of(y, t)) >= threshold for x, y, s, t in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("s"), b.column("t"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(bagged.select(F.col("node").alias("a"), F.col("bag").alias("s")), "a").join(bagged.select(F.col("node").alias("b"), F.col("bag").alias("t")), "b")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b")
     return map_batches(both.select("a", "b", "s", "t"), check, "a long, b long")
 
 
@@ -158,12 +160,12 @@ def _links(nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     centres = materialize(crowd.groupBy("key").agg(F.max(F.struct("company", "node", "n")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("cn")), "near-centres")
     tested = crowd.join(centres, "key").where(F.col("node") != F.col("centre")).where(_close("n", "cn", threshold))
     tested = materialize(tested.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "near-tested")
-    # bags of the nodes that have company, made once
+    # texts of the nodes that have company, fetched once
     wanted = nodes.join(rank.select("node"), "node", "left_semi").select("node", F.col("doc_id").alias("d"), F.col("digest").alias("g"))
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text")
     texts = rows.join(wanted, F.col("digest").eqNullSafe(F.col("g")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "text")
-    bagged = materialize(bags(texts.dropDuplicates(["node"])), "near-bags")
-    links = materialize(verify(tested, bagged, threshold), "near-links")
+    texts = materialize(texts.dropDuplicates(["node"]), "near-texts")
+    links = materialize(verify(tested, texts, threshold), "near-links")
     labels = components(links)
     named = lambda df, node, out: df.join(labels.select(F.col("node").alias(node), F.col("label").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
     crowd = materialize(named(crowd, "node", "label").join(named(centres, "centre", "main").select("key", "main"), "key"), "near-labelled")
@@ -171,7 +173,7 @@ def _links(nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     others = crowd.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"), "main")
     again = loose.join(others, "key").where("al <> bl and (bl = main or a < b)").where(_close("an", "bn", threshold))
     again = again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    return links.union(materialize(verify(materialize(again, "near-again"), bagged, threshold), "near-links"))
+    return links.union(materialize(verify(materialize(again, "near-again"), texts, threshold), "near-links"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
