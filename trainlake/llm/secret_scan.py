@@ -11,13 +11,19 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, word_array
+from .common import let, materialize, word_array
 
 #: Characters of a candidate by itself, and of one behind an assignment to a key word.
 MIN_LENGTH = 16
 MIN_ASSIGNED = 8
 CORE = r"[A-Za-z0-9][A-Za-z0-9+/_.~=-]{6,}[A-Za-z0-9=]"
 KEY_WORDS = r"(?i)(pass(word|wd|phrase)?|secret|token|api_?-?key|access_?-?key|private_?-?key|auth|bearer|credential)s?\W*$"
+#: In a word: a key name with = or :, the value behind it (quoted, or up to a delimiter), the user part of an address, and a
+#: core that is an assignment by itself.
+NAME = r"(?i:(?:pass(?:word|wd|phrase)?|secret|token|api_?-?key|access_?-?key|private_?-?key|auth|bearer|credential)s?|(?:pass|secret|token|api_?key)\w*)[\"'`\\\])]{0,4}(?:=>|:=|={1,3}|:{1,2})"
+VALUE = r"""(?:\\?"[^"]{%d,}|\\?'[^']{%d,}|`[^`]{%d,}|[^\s"'`\\,;&<>(){}\[\]|]{%d,})""" % ((MIN_ASSIGNED,) * 4)
+USER = r"//[^\s/@:]*:"
+SELF = r"(?i)^(pass(word)?|secret|token|api_?key)\w*="
 OTHER_WORDS = r"(?i)(commit|sha\d*|md5|checksum|digest|hash|uuid|guid|revision|version|build|id|isbn|order|invoice)\W*$"
 SAMPLE_PATH = r"(?i)(test|example|sample|fixture|mock|demo|doc)"
 PLACEHOLDER = r"(?i)(example|changeme|placeholder|dummy|your[_-]|xxxx|0000|1234567|<.*>|\.\.\.)"
@@ -46,24 +52,69 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY_WORDS) -> list[str]:
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """doc_id, path, word_no (from 0), word, value, before2, before1 and after of every candidate in every whole text: words
-    with a core of MIN_LENGTH characters, or of MIN_ASSIGNED behind a key word with = or :. Null and empty texts have none."""
+    """doc_id, path, word_no (from 0), word, part_no, value, before2, before1 and after of every candidate in every whole text.
+
+    Candidates of a word are the values behind a key word with = or : (in the word or before it, MIN_ASSIGNED characters) or in
+    the user part of an address, then every core of MIN_LENGTH characters, or of MIN_ASSIGNED behind a key word with = or :.
+    A core equal to an assigned value of its word is left out. Cores are parted at inner =; a core without a part long enough stays whole. before1 is the
+    name in the word where there is one. Values without quotes end at white space or one of , ; & < > | and brackets, without
+    punctuation at the end. Null and empty texts have none."""
     words = docs.select("doc_id", F.col(path).alias("path"), F.explode(F.array(word_array(F.col("text")))).alias("ws"))
     w = lambda i, k: F.coalesce(F.get(F.col("ws"), i + k), F.lit(""))
-    ends = lambda x: F.right(x, F.lit(1)).isin("=", ":")
 
     def wanted(i: Column) -> Column:
-        n = F.length(F.get(F.col("ws"), i))
-        return (n >= MIN_LENGTH) | ((n >= MIN_ASSIGNED) & (i > 0) & ends(w(i, -1)) & (w(i, -1).rlike(KEY_WORDS) | w(i, -2).rlike(KEY_WORDS)))
+        word = F.get(F.col("ws"), i)
+        n = F.length(word)
+        return (n >= MIN_LENGTH) | ((n > MIN_ASSIGNED) & (F.contains(word, F.lit("=")) | F.contains(word, F.lit(":")))) | ((n >= MIN_ASSIGNED) & (i > 0) & _behind(w(i, -1), w(i, -2)))
 
     at = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), wanted)
     rows = F.transform(at, lambda i: F.struct(i.alias("word_no"), F.get(F.col("ws"), i).alias("word"), w(i, -2).alias("before2"), w(i, -1).alias("before1"), w(i, 1).alias("after")))
     out = words.where(F.size("ws") > 0).select("doc_id", "path", F.explode(rows).alias("c")).select("doc_id", "path", "c.*")
-    return out.withColumn("value", F.regexp_extract("word", CORE, 0)).where(F.length("value") >= F.when(_assigned(), MIN_ASSIGNED).otherwise(MIN_LENGTH))
+    out = out.withColumn("wide", _wide()).withColumns({"cores": F.regexp_extract_all("word", F.lit(CORE), F.lit(0)), "gaps": F.split("word", CORE, -1)})
+    parts = F.flatten(F.transform("cores", lambda c, k: _parts(c, k)))
+    out = out.withColumn("known", F.transform("wide", lambda s: s["value"]))
+    alone = F.concat(F.filter("wide", lambda s: F.length(s["value"]) >= MIN_ASSIGNED), F.filter(parts, lambda s: ~F.array_contains("known", s["value"])))
+    return out.select("doc_id", "path", "word_no", "word", "after", F.posexplode(alone).alias("part_no", "v")).select("doc_id", "path", "word_no", "word", "part_no", "v.value", "v.before2", "v.before1", "after")
+
+
+def _found(value: Column, before2: Column, before1: Column) -> Column:
+    return F.struct(value.alias("value"), before2.alias("before2"), before1.alias("before1"))
+
+
+def _wide() -> Column:
+    """Values behind an assignment, of any characters: at the head of the word, behind names in it, and in user parts."""
+    before1, before2 = F.col("before1"), F.col("before2")
+    bare = lambda x: F.when(x.rlike(r"^\\?[\"'`]"), F.regexp_replace(x, r"^\\?[\"'`]|\\+$", "")).otherwise(F.regexp_replace(x, r"[.,;:!?*#&\\]+$", ""))
+    head = F.regexp_extract("word", r"^[(\[{<]*(" + VALUE + ")", 1)
+    heads = F.filter(F.array(_found(bare(head), before2, before1)), lambda s: _behind(before1, before2))
+    named = F.transform(F.regexp_extract_all("word", F.lit(f"(?=({NAME}{VALUE}))"), F.lit(1)), lambda m: let(F.regexp_extract(m, "^" + NAME, 0), lambda name: _found(bare(F.substr(m, F.length(name) + 1)), before1, F.regexp_replace(name, "[^=:]+$", ""))))
+    user = F.transform(F.regexp_extract_all("word", F.lit(USER + r"[^\s/@]{%d,}(?=@)" % MIN_ASSIGNED), F.lit(0)), lambda m: let(F.regexp_extract(m, "^" + USER, 0), lambda name: _found(F.substr(m, F.length(name) + 1), before1, name)))
+    return F.concat(heads, named, user)
+
+
+def _parts(core: Column, k: Column) -> Column:
+    """The parts of core k that are long enough, else the core if it is."""
+    before1, before2 = F.col("before1"), F.col("before2")
+    near = F.regexp_replace(F.concat(F.when(k > 0, F.get("cores", k - 1)).otherwise(""), F.get("gaps", k)), r"[\"'`\\(\[{>]+$", "")
+    inside = (k > 0) | F.right(near, F.lit(1)).isin("=", ":")
+    first = lambda v: _found(v, F.when(inside, before1).otherwise(before2), F.when(inside, near).otherwise(before1))
+    enough = lambda s: F.length(s["value"]) >= F.when(_behind(s["before1"], s["before2"]) | s["value"].rlike(SELF), MIN_ASSIGNED).otherwise(MIN_LENGTH)
+
+    def cut(ps: Column) -> Column:
+        value = lambda p, j: F.when(j < F.size(ps) - 1, F.rtrim(p, F.lit("="))).otherwise(p)
+        return F.filter(F.transform(ps, lambda p, j: F.when(j > 0, _found(value(p, j), before1, F.get(ps, j - 1))).otherwise(first(value(p, j)))), enough)
+
+    whole = F.filter(F.array(first(core)), enough)
+    return let(let(F.split(core, "(?<==)(?=[^=])", -1), cut), lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
+
+
+def _behind(before1: Column, before2: Column) -> Column:
+    """Whether what follows before1 is assigned to a key word, or the secret of a user part."""
+    return (F.right(before1, F.lit(1)).isin("=", ":") & (before1.rlike(KEY_WORDS) | before2.rlike(KEY_WORDS) | before1.rlike(NAME + "$"))) | before1.rlike("^" + USER + "$")
 
 
 def _assigned() -> Column:
-    return (F.right("before1", F.lit(1)).isin("=", ":") & (F.col("before1").rlike(KEY_WORDS) | F.col("before2").rlike(KEY_WORDS))) | F.col("word").rlike(r"(?i)^\W*(pass(word)?|secret|token|api_?key)\w*[=:]")
+    return _behind(F.col("before1"), F.col("before2")) | F.col("value").rlike(SELF)
 
 
 def with_features(found: DataFrame, words: list[str]) -> DataFrame:
@@ -90,7 +141,7 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
         "placeholder": flag(v.rlike(PLACEHOLDER)),
         "path_sample": flag(F.coalesce(F.col("path"), F.lit("")).rlike(SAMPLE_PATH)),
         "path_depth": F.least(F.regexp_count(F.coalesce(F.col("path"), F.lit("")), F.lit("/")), F.lit(10)).cast("double"),
-        "key_before": flag(F.col("before1").rlike(KEY_WORDS) | F.col("before2").rlike(KEY_WORDS)),
+        "key_before": flag(F.col("before1").rlike(KEY_WORDS) | F.col("before2").rlike(KEY_WORDS) | F.col("before1").rlike(f"{NAME}$|^{USER}$")),
         "assigned": flag(_assigned()),
         "quoted": flag(F.col("word").rlike("[\"'`]")),
         "other_before": flag(F.col("before1").rlike(OTHER_WORDS) | F.col("before2").rlike(OTHER_WORDS)),
@@ -172,11 +223,11 @@ def score(found: DataFrame, scanner: Scanner) -> DataFrame:
 
 
 def scan(docs: DataFrame, scanner: Scanner, path: str = "source", threshold: float = 0.5) -> DataFrame:
-    """One row a candidate: doc_id, path, word_no, word, before2, before1, after, value, p_secret and is_secret
-    (p_secret >= threshold).
+    """One row a candidate: doc_id, path, word_no, word, part_no (place among the word's candidates), value, before2, before1,
+    after, p_secret and is_secret (p_secret >= threshold).
 
     Null and empty texts and texts without candidates give no rows; null paths and ids are returned as they are; repeated rows
-    give each their candidates; a word that holds a secret twice is one candidate; an empty table gives no rows; other
+    give each their candidates; a core that stands in a word twice is two candidates; an empty table gives no rows; other
     columns are not looked at. No shuffle."""
     return score(candidates(docs.select("doc_id", path, "text"), path), scanner).withColumn("is_secret", F.col("p_secret") >= threshold)
 
