@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from trainlake.llm import mixing, quality_classifier, quality_rules, secret_scan, sharding, warc
+from trainlake.llm import line_dedup, mixing, quality_classifier, quality_rules, secret_scan, sharding, warc
 from trainlake.llm import queries as llm
 
 from ..compare import assert_same
@@ -19,6 +19,17 @@ def test_oracles(spark, duck, sf_dir, name):
     assert_same(llm.queries()[name](spark, sf_dir), duck.execute(llm.oracle_sql()[name]))
 
 
+def test_short_runs_of_lines(spark):
+    long = "one line of boilerplate with more than forty bytes"
+    texts = [f"a\n{long}\nb", long, f"c\n {long}\nd", "short", "short", "e\nshort\nf", "x y z and some words\nu v w and some words", "g\nx y z and some words\nu v w and some words\nh", "p\nq", "p\n\nq", None, "", f"{long}\n{long}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in line_dedup.remove_repeated_lines(df, short_bytes=40).collect()}
+    gone = {1: "", 2: "c\nd", 4: "", 7: "g\nh", 9: "", 12: ""}
+    for i, t in enumerate(texts):
+        assert got[i][1] == gone.get(i, t), (i, got[i])
+    assert got[9][0] == 2 and got[12][0] == 2 and got[5][0] == 0
+
+
 def test_warc(spark):
     big = "é" * 90
     rows = [(3, "http://a/ b", big), (1, "http://a", big), (2, None, "short"), (5, "u", "short"), (4, "u", None), (6, "u", ""), (7, "u", "x" * 200_000), (1, "again", big), (None, "n", big)]

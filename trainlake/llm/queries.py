@@ -31,6 +31,29 @@ left join (select doc_id, count(*) as n from gone group by doc_id) g using (doc_
 """
 
 
+def op1_line_dedup_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1_line_dedup that also deletes runs of one or two lines, of 40 bytes or more or that are a whole text."""
+    out = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), short_bytes=line_dedup.SHORT_BYTES)
+    return out.select("doc_id", "n_lines", "n_removed", F.md5(F.col("kept_text").cast("binary")).alias("kept_md5"))
+
+
+OP1_CONTENT_SQL = """
+with l as (select doc_id, unnest(range(len(ls))) as i, unnest(ls) as x from (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null)),
+nb as (select doc_id, i, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as t from l),
+r as (select doc_id, i, t, row_number() over (partition by doc_id order by i) as r, count(*) over (partition by doc_id) as m from nb where t <> ''),
+w as (select doc_id, r, m, t, lead(t, 1) over w as t1, lead(t, 2) over w as t2 from r window w as (partition by doc_id order by r)),
+k as (select doc_id, r, 1 as n, t as k, m = 1 or strlen(t) >= 40 as due from w
+  union all select doc_id, r, 2, t || chr(10) || t1, m = 2 or strlen(t) + strlen(t1) >= 40 from w where t1 is not null
+  union all select doc_id, r, 3, t || chr(10) || t1 || chr(10) || t2, true from w where t2 is not null),
+later as (select doc_id, r, n from (select *, row_number() over (partition by k order by doc_id, r) as o from k) where o > 1 and due),
+gone as (select distinct r.doc_id, r.i from later join r on r.doc_id = later.doc_id and r.r between later.r and later.r + later.n - 1),
+kept as (select l.doc_id, string_agg(x, chr(10) order by l.i) as t from l anti join gone on gone.doc_id = l.doc_id and gone.i = l.i group by l.doc_id)
+select d.doc_id, coalesce(a.n, 0)::bigint as n_lines, coalesce(g.n, 0)::bigint as n_removed, case when d.text is not null then md5(coalesce(kept.t, '')) end as kept_md5
+from documents d left join (select doc_id, count(*) as n from r group by doc_id) a using (doc_id)
+left join (select doc_id, count(*) as n from gone group by doc_id) g using (doc_id) left join kept using (doc_id)
+"""
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -112,8 +135,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_minhash_dedup, op4_quality_classifier, op5_secret_scan, op6_quality_rules, op7_sharding, op8_decontamination, op9_suffix_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_line_dedup, op1_line_dedup_content, op2_warc, op3_minhash_dedup, op4_quality_classifier, op5_secret_scan, op6_quality_rules, op7_sharding, op8_decontamination, op9_suffix_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op6_quality_rules": OP6_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op1_line_dedup_content": OP1_CONTENT_SQL, "op2_warc": OP2_SQL, "op6_quality_rules": OP6_SQL}
