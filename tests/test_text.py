@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
-from trainlake import hooks
+from trainlake import hooks, queries
 from trainlake.functions import fixed, physio, text, url
 from trainlake.operators import articles, extract, retrieval, segments
 
@@ -145,3 +145,10 @@ def test_clean_markdown_keeps_three_links(spark):
     md = "start\n" + "\n".join(f"- [l{i}](http://x/{i})" for i in range(6)) + "\n\n\n\nend"
     got = spark.createDataFrame([(md,)], "t string").select(text.clean_markdown(F.col("t"))).first()[0]
     assert got == "start\n- [l0](http://x/0)\n- [l1](http://x/1)\n- [l2](http://x/2)\n\nend"
+
+
+def test_source_counts_cover_all_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = dict(docs.groupBy("source").count().collect()) | {r.n_name: 0 for r in spark.read.parquet(f"{sf_dir}/nation.parquet").collect()}
+    got = {r.source: r.n for r in queries.queries()["joi04_all_source_counts"](spark, sf_dir).collect()}
+    assert got == want and sum(got.values()) == docs.count() and 0 in got.values()

@@ -331,6 +331,14 @@ def joi04_source_counts(spark, sf_dir):
     return d.select("source").distinct().join(counts, "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@query("with s as (select source from documents union select n_name from nation), c as (select source, count(*) as n from documents group by 1) select s.source, coalesce(n, 0) as n from s left join c on s.source is not distinct from c.source")
+def joi04_all_source_counts(spark, sf_dir):
+    d = tables.table(spark, sf_dir, "documents")
+    known = d.select("source").union(tables.table(spark, sf_dir, "nation").select("n_name")).distinct()
+    counts = d.groupBy(F.col("source").alias("_s")).agg(F.count(F.lit(1)).alias("n"))
+    return known.join(counts, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query(f"with {_ART} select id from ar order by published_at desc nulls last, score desc, id limit 50 offset 10")
 def srt02_nulls_last(spark, sf_dir):
     return ops.listing(tables.articles(spark, sf_dir), offset=10, limit=50).select("id")
