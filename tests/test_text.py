@@ -152,3 +152,8 @@ def test_source_counts_cover_all_documents(spark, sf_dir):
     want = dict(docs.groupBy("source").count().collect()) | {r.n_name: 0 for r in spark.read.parquet(f"{sf_dir}/nation.parquet").collect()}
     got = {r.source: r.n for r in queries.queries()["joi04_all_source_counts"](spark, sf_dir).collect()}
     assert got == want and sum(got.values()) == docs.count() and 0 in got.values()
+
+
+def test_evaluation_ranks_nothing(spark, sf_dir):
+    plan = queries.queries()["agg24_evaluation"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "Window" not in plan and "row_number" not in plan
