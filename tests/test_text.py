@@ -157,3 +157,8 @@ def test_source_counts_cover_all_documents(spark, sf_dir):
 def test_evaluation_ranks_nothing(spark, sf_dir):
     plan = queries.queries()["agg24_evaluation"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "Window" not in plan and "row_number" not in plan
+
+
+def test_bridge_takes_terms_from_whole_texts(spark, sf_dir):
+    plain, bridged = ({r.item_id: set(r.terms.split()) for r in queries.queries()[n](spark, sf_dir).collect()} for n in ("fn50_query_terms", "fn50_bridge"))
+    assert plain and all(plain[i] <= bridged[i] for i in plain)

@@ -43,7 +43,7 @@ def fn50_query_terms(spark, sf_dir):
 
 def fn50_bridge(spark, sf_dir):
     b = tables.table(spark, sf_dir, "benchmark")
-    raw = F.concat(F.lit("减脂期间运动怎么吃 "), F.substring("text", 1, 60))
+    raw = F.concat(F.lit("减脂期间运动怎么吃 "), F.col("text"))
     return b.select("item_id", F.array_join(F.array_sort(ops.query_terms(raw, BRIDGE)), " ").alias("terms"))
 
 
