@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from trainlake.llm import decontamination, minhash_dedup, mixing, quality_classifier, sharding
 from trainlake.llm.common import fresh, materialize
 
-#: Two stages are no SQL (a trained classifier, signatures); tests hold run() against the stages' own brute-force forms.
+#: Two stages are no SQL (a trained classifier, signatures). Tests run the stages one by one and hold run() to their number of rows,
+#: and to columns and subsets; they do not compare full rows with a plain-Python version. Operators are tested by themselves.
 ORACLE_SQL = None
 
 
