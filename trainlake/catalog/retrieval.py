@@ -25,12 +25,12 @@ _TERMS = f"list_distinct(list_filter(regexp_extract_all(replace(lower({{}}), '-'
 
 def _queries(spark, sf_dir):
     b = tables.table(spark, sf_dir, "benchmark").where("item_id % 20 = 0")
-    return b.select(F.col("item_id").alias("query_id"), ops.query_terms(F.substring("text", 1, 120), {}).alias("terms"))
+    return b.select(F.col("item_id").alias("query_id"), ops.query_terms(F.col("text"), {}).alias("terms"))
 
 
 _SEARCH = f"""
 ar2 as (select id, domain, score, replace(lower(title), '-', ' ') as tt, replace(lower(title || ' ' || array_to_string(key_points, ' ')), '-', ' ') as body from ar),
-qs as (select item_id as query_id, {_TERMS.format("text[:120]")} as terms from benchmark where item_id % 20 = 0),
+qs as (select item_id as query_id, {_TERMS.format("text")} as terms from benchmark where item_id % 20 = 0),
 ms as (select query_id, id, score, least(1.0, list_sum(list_transform(terms, lambda t: case when contains(tt, t) then 3 when contains(body, t) then 1 else 0 end)) / 8.0::double) as m from ar2, qs)
 """
 
@@ -52,8 +52,7 @@ query()(fn50_bridge)
 
 @query(f"with {_ART}, {_SEARCH} select query_id, id, {pr('m', 3)} as match from ms where m > 0")
 def fn52_match(spark, sf_dir):
-    rows = _articles(spark, sf_dir).crossJoin(F.broadcast(_queries(spark, sf_dir))).withColumn("m", ops.match_score(F.col("terms"), F.col("body"), F.col("title_text")))
-    return rows.where("m > 0").select("query_id", "id", pyround("m", 3).alias("match"))
+    return ops.matches(_queries(spark, sf_dir), _articles(spark, sf_dir), 1e-9).select("query_id", "id", pyround("match", 3).alias("match"))
 
 
 @query(f"with {_ART}, {_SEARCH}, t as (select *, {pr('0.6::double * m + 0.4::double * coalesce(nullif(score, 0), 0.5::double)', 4)} as total from ms where m >= 0.2) select query_id, id, {pr('m', 3)} as match, total, place::int as place from (select *, row_number() over (partition by query_id order by total desc, id) as place from t) where place <= 6")
@@ -79,14 +78,14 @@ def joi14_cosine_topk(spark, sf_dir):
 
 
 @query(
-    f"""with {_COS}, rk as (select *, row_number() over (partition by query_id order by c desc, id) as place from cs), m as (select *, (query_id * 7 + id) % 11 = 0 as hit from rk),
-e as (select *, row_number() over (partition by query_id, place > 30 and hit order by place) as n from m) select query_id, id, place::int as place from e where place <= 30 or (hit and n <= 10)"""
+    f"""with {_COS}, m as (select *, row_number() over (partition by query_id order by c desc, id) as place, id // 64 = query_id // 64 as hit from cs),
+e as (select *, row_number() over (partition by query_id, place > 30 and hit order by place) as n from m) select query_id, id, {pr('c', 5)} as cosine, (case when place <= 30 then place else 30 + n end)::int as place from e where place <= 30 or (hit and n <= 10)"""
 )
 def ret02_recall_pool(spark, sf_dir):
+    """Keyword hits are stood in for by the neighbours in a block of 64 ids."""
     q, v = _vectors(spark, sf_dir)
-    ranked = ops.nearest(q, v, 1 << 30)
-    matches = ranked.select("query_id", "id", F.when((F.col("query_id") * 7 + F.col("id")) % 11 == 0, 0.5).otherwise(0.1).alias("match"))
-    return ops.recall_pool(ranked, matches).select("query_id", "id", "place")
+    near = q.select("query_id", F.floor(F.col("query_id") / 64).alias("b")).join(v.select("id", F.floor(F.col("id") / 64).alias("b")), "b")
+    return ops.recall_pool(q, v, near.select("query_id", "id", F.lit(0.5).alias("match"))).select("query_id", "id", pyround("cosine", 5).alias("cosine"), "place")
 
 
 _PASSAGE = "((query_id * 13 + id * 7 + k * 5) % 100) / 10.0::double - 5"
@@ -101,9 +100,7 @@ def ret03_two_stage(spark, sf_dir):
     """The second score, a model's in production, is a fixed formula of query, article and passage here."""
     q, v = _vectors(spark, sf_dir)
     pool = ops.nearest(q, v).select("query_id", "id", ((F.col("id") % 10) / 10).alias("score"))
-    passages = pool.select("query_id", "id", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("k"))
-    scores = passages.select("query_id", "id", (((F.col("query_id") * 13 + F.col("id") * 7 + F.col("k") * 5) % 100) / 10 - 5).alias("rank"))
-    return ops.rerank(pool, scores).select("query_id", "id", pyround("rank", 3).alias("rank"), "total", "nth")
+    return ops.rerank(pool, _passage_scores(pool)).select("query_id", "id", pyround("rank", 3).alias("rank"), "total", "nth")
 
 
 @query(f"with {_ART} select id, len(p)::int as n_parts, md5(array_to_string(p, '|')) as parts_md5 from (select id, case when len(f) > 0 then f else [content_md] end as p from (select *, list_filter(list_transform(key_points[1:8], lambda x: trim(x)), lambda x: x <> '') as f from ar))")
@@ -118,10 +115,13 @@ def ret04_usable(spark, sf_dir):
     return ops.usable(v)
 
 
-@query("select vec_id, to_json(list_transform(embedding[1:4], lambda x: round(x::double * 0 + vec_id, 0)::bigint))::varchar as packed, len(embedding) = 64 as fits from embeddings")
+@query(f"select vec_id, len(embedding)::int as n, {pr('list_sum(list_transform(embedding, lambda x: x::double))', 6)} as total, {pr('list_sum(list_transform(embedding, lambda x, i: x::double * i))', 6)} as weighted, len(embedding) = 63 as other_packed from embeddings")
 def fn54_pack(spark, sf_dir):
-    e = tables.table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.to_json(F.transform(F.slice("embedding", 1, 4), lambda x: F.col("vec_id"))).alias("packed"), (F.size("embedding") == 64).alias("fits"))
+    """Every vector packed and unpacked again; of another dimension it gives nothing."""
+    e = tables.table(spark, sf_dir, "embeddings").withColumn("p", ops.pack(F.col("embedding"), 64))
+    e = e.withColumn("v", ops.unpack(F.col("p"), 64))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    return e.select("vec_id", F.size("v").alias("n"), pyround(total(F.col("v")), 6).alias("total"), pyround(total(F.transform("v", lambda x, i: x * (i + 1))), 6).alias("weighted"), ops.unpack(F.col("p"), 63).isNotNull().alias("other_packed"))
 
 
 @query(
@@ -130,9 +130,7 @@ select count(*) filter (top >= 0.5) as hits, count(*) filter (top < 0.5) as miss
 )
 def agg24_evaluation(spark, sf_dir):
     q, v = _vectors(spark, sf_dir)
-    pairs = v.crossJoin(F.broadcast(q.select("query_id", F.col("embedding").alias("_q")))).where("id <> query_id")
-    best = pairs.withColumn("cosine", ops.cosine(F.col("_q"), F.col("embedding"))).groupBy("query_id").agg(F.max("cosine").alias("top"))
-    return best.agg(F.count_if(F.col("top") >= 0.5).alias("hits"), F.count_if(F.col("top") < 0.5).alias("misses"), pyround(F.min("top"), 4).alias("lowest"), pyround(F.max("top"), 4).alias("highest"))
+    return ops.evaluate(q, v, 0.5)
 
 
 @query(
@@ -141,7 +139,48 @@ def agg24_evaluation(spark, sf_dir):
     + " as topic_score from s"
 )
 def agg22_prototypes(spark, sf_dir):
-    """Best cosine of each vector to six prototypes."""
+    """Best cosine of each vector to the prototypes of its set, the first six vectors."""
     _, v = _vectors(spark, sf_dir)
-    protos = F.broadcast(v.where("id < 6").select(F.col("embedding").alias("_p")))
-    return v.crossJoin(protos).groupBy("id").agg(pyround(F.max(ops.cosine(F.col("_p"), F.col("embedding"))), 5).alias("topic_score"))
+    scores = ops.prototype_scores(v, v.where("id < 6").select(F.col("id").alias("query_id"), "embedding"))
+    return scores.select("id", pyround("topic_score", 5).alias("topic_score"))
+
+
+_BOTH = f"""{_SEARCH.rstrip()},
+qe as (select query_id, embedding as q from qs join embeddings on vec_id = query_id), cand as (select ar2.*, embedding from ar2 join embeddings on vec_id = id),
+cs as (select query_id, id, score, list_sum(list_transform(list_zip(q, embedding), lambda z: z[1]::double * z[2]::double)) / (sqrt(list_sum(list_transform(q, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)))) as c from cand, qe),
+rk as (select cs.*, coalesce(m, 0) as m, row_number() over (partition by cs.query_id order by c desc, cs.id) as place from cs left join ms on ms.query_id = cs.query_id and ms.id = cs.id),
+pool as (select * from (select *, row_number() over (partition by query_id, place > 30 and m >= 0.3 order by place) as n from rk) where place <= 30 or (m >= 0.3 and n <= 10)),
+b as (select query_id, id, score, max({_PASSAGE}) as r from pool, range(4) t(k) group by 1, 2, 3)"""
+
+
+def _search_set(spark, sf_dir):
+    """(queries with terms and vectors, vectors) of the benchmark items and of all rows."""
+    v = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return _queries(spark, sf_dir).join(v.withColumnRenamed("id", "query_id"), "query_id"), v
+
+
+def _passage_scores(pool):
+    k = pool.select("query_id", "id", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("k"))
+    return k.select("query_id", "id", (((F.col("query_id") * 13 + F.col("id") * 7 + F.col("k") * 5) % 100) / 10 - 5).alias("rank"))
+
+
+@query(f"with {_ART}, {_BOTH}, t as (select query_id, id, {pr('0.7::double / (1 + exp(-r)) + 0.3::double * coalesce(nullif(score, 0), 0.5::double)', 4)} as total from b where r >= -2.5) select query_id, id, total, nth::int as nth, 'vectors' as via from (select *, row_number() over (partition by query_id order by total desc, id) as nth from t) where nth <= 6")
+def ret04_retrieve(spark, sf_dir):
+    """The whole path over articles that have vectors; the passage scores are a fixed formula."""
+    q, v = _search_set(spark, sf_dir)
+    return ops.retrieve(q, _articles(spark, sf_dir).join(v.select("id"), "id", "left_semi"), v, _passage_scores)
+
+
+@query(f"with {_ART}, {_BOTH} select query_id, id, 0.0::double as total, 0 as nth, 'vectors' as via from b where r >= 99")
+def ret04_nothing_kept(spark, sf_dir):
+    """No passage reaches the floor: the empty result stands, keywords are not asked."""
+    q, v = _search_set(spark, sf_dir)
+    low = lambda pool: _passage_scores(pool).withColumn("rank", F.lit(-9.0))
+    return ops.retrieve(q, _articles(spark, sf_dir).join(v.select("id"), "id", "left_semi"), v, low)
+
+
+@query(f"with {_ART}, {_SEARCH}, t as (select ms.*, {pr('0.6::double * m + 0.4::double * coalesce(nullif(score, 0), 0.5::double)', 4)} as total from ms semi join embeddings on vec_id = query_id where m >= 0.2) select query_id, id, total, nth::int as nth, 'keywords' as via from (select *, row_number() over (partition by query_id order by total desc, id) as nth from t) where nth <= 6")
+def ret04_fallback(spark, sf_dir):
+    """A third of the vectors is too few: keywords answer."""
+    q, v = _search_set(spark, sf_dir)
+    return ops.retrieve(q, _articles(spark, sf_dir), v.where("id % 3 = 0"), _passage_scores)
