@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import pyround
-from ..operators import recognition
+from ..operators import ingest, recognition
 from ..sources import tables, workouts
 from .registry import pr, query
 
@@ -69,3 +70,64 @@ def agg27_block_stats(spark, sf_dir):
     block = lambda t, c: F.struct(t.alias("text"), F.lit(c).alias("conf"), F.lit(None).cast("array<array<double>>").alias("bbox"))
     images = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("image_id"), F.array(block(F.col("c_name"), 0.7), block(F.col("c_mktsegment"), 0.9)).alias("blocks"))
     return recognition.block_stats(images)
+
+
+_INGEST = """
+f0 as (select user_id, event_id, ts, min(ts) over (partition by user_id) as t0 from events), f as (select * from f0 where user_id % 2 = 1 or ts < t0 + interval 20 hour),
+g as (select user_id, count(*) as n, epoch(date_trunc('second', arg_min(ts, event_id))) as first, epoch(date_trunc('second', min(ts))) as lo, epoch(date_trunc('second', max(ts))) as hi from f group by 1),
+h as (select 'u' || user_id::varchar || '.gpx' as path, * from g union all select 'v' || user_id::varchar || '.gpx', * from g where user_id % 3 = 0),
+o as (select path, n, hi - lo as dur, user_id % 5 = 0 as known, first from h), k as (select distinct first from o where known),
+i as (select o.*, k.first is not null as old from o left join k on k.first = o.first), j as (select *, min(case when not old and dur <= 86400 then path end) over (partition by first) as lead from i)
+"""
+
+
+def _ingest(spark, sf_dir):
+    """A GPX file a user, of all events or of the first 20 hours, a second copy of every third, a CSV file without a known header and a
+    file of another type; starts of every fifth user are stored."""
+    e = tables.table(spark, sf_dir, "events").withColumn("t0", F.min("ts").over(W.partitionBy("user_id"))).where("user_id % 2 = 1 or ts < t0 + interval 20 hours")
+    point = F.format_string('<trkpt lat="%.4f" lon="110.5"><time>%s</time></trkpt>', 30 + F.col("event_id") / 1e6, F.date_format(F.date_trunc("second", "ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    files = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", point.alias("x")))).alias("xs"), F.min_by("ts", "event_id").alias("first"))
+    body = F.concat(F.lit('<gpx xmlns="http://www.topografix.com/GPX/1/0"><trk><type>running</type><trkseg>'), F.array_join("xs.x", ""), F.lit("</trkseg></trk></gpx>"))
+    named = lambda c: F.concat(F.lit(c), F.col("user_id").cast("string"), F.lit(".gpx"))
+    gpx = files.select(named("u").alias("path"), F.lit("gpx").alias("kind"), body.alias("content")).union(files.where("user_id % 3 = 0").select(named("v"), F.lit("gpx"), body))
+    others = spark.createDataFrame([("x.csv", "csv", "a,b\n1,2\n"), ("y.doc", None, "z")], "path string, kind string, content string")
+    stored = files.where("user_id % 5 = 0").select((F.date_trunc("second", "first").cast("timestamp_ntz") + F.expr("interval 8 hours")).alias("start_time"), F.lit("running").alias("sport_type"))
+    return ingest.ingest(gpx.union(others), stored)
+
+
+@query(
+    f"""with {_INGEST} select path, case when old or path > lead then 'duplicate' when dur > 86400 then 'duration' end as reason, n::bigint as n_samples, dur::double as duration_s from j
+union all select 'x.csv', 'no_header', 1, null union all select 'y.doc', 'unknown_type', 0, null"""
+)
+def snk01_ingest(spark, sf_dir):
+    return _ingest(spark, sf_dir)[2].select("path", "reason", "n_samples", "duration_s")
+
+
+@query(f"with {_INGEST} select path as file_name, 'gpx' as source, 'running' as sport_type, n::bigint as n_samples from j where not old and dur <= 86400 and path = lead")
+def snk01_stored(spark, sf_dir):
+    """The activities that came in, with the number of samples stored for each."""
+    acts, samples, _ = _ingest(spark, sf_dir)
+    n = samples.groupBy("activity_id").agg(F.count(F.lit(1)).alias("n_samples"))
+    return acts.join(n, "activity_id").select("file_name", "source", "sport_type", "n_samples")
+
+
+_CSV_CELLS = "select event_id, user_id, row_number() over (partition by user_id order by event_id) - 1 as seq from events"
+
+
+@query(f"select 'u' || user_id::varchar as path, seq::int as seq, (event_id - min(event_id) over (partition by user_id))::double as t, (60 + event_id % 90)::int as hr from ({_CSV_CELLS})")
+def src07_quoted(spark, sf_dir):
+    """CSV files whose notes are quoted cells with commas, quotes and line ends."""
+    line = F.format_string('2024-01-01 %02d:%02d:%02d,"a ""b"", %d\nc",%d', F.floor(F.col("event_id") / 3600), F.floor(F.col("event_id") / 60) % 60, F.col("event_id") % 60, "event_id", 60 + F.col("event_id") % 90)
+    return workouts.read_csv(_files(spark, sf_dir, line, "\r\n", "Time,Note,心率(bpm)\r\n", "\r\n"))[0].select("path", "seq", "t", "hr")
+
+
+@query("select 'u' || user_id::varchar as path, 'running' as sport_type, count(*) as n_samples, case when user_id % 3 = 0 then 'no_time' when user_id % 3 = 1 then 'daily_table' end as error, case when user_id % 3 = 2 then 'relative_time,no_distance' when user_id % 3 = 0 then 'relative_time,no_distance' else 'relative_time,no_distance' end as warnings from events group by 1, user_id")
+def src14_headers(spark, sf_dir):
+    """Headers of CSV files without times, with dates alone, and with seconds alone."""
+    k = F.col("user_id") % 3
+    line = F.when(k == 1, F.format_string("2024-01-%02d,%d", F.col("event_id") % 28 + 1, "hr")).otherwise(F.format_string("%d,%d", "event_id", "hr"))
+    e = _files(spark, sf_dir, line, "\n", "", "\n")
+    head = F.when(F.substring("path", 2, 20).cast("long") % 3 == 0, "steps,hr\n").when(F.substring("path", 2, 20).cast("long") % 3 == 1, "date,hr\n").otherwise("time,hr\n")
+    h = workouts.read_csv(e.select("path", F.concat(head, "content").alias("content")))[1]
+    return h.select("path", "sport_type", "n_samples", "error", F.array_join("warnings", ",").alias("warnings"))
+

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.numbers import pyround
+from ..operators import ingest
 from ..operators import samples as ops
 from ..sources import tables
 from .registry import pr, query
@@ -148,3 +149,17 @@ def fn07_gcj02(spark, sf_dir):
     lon = F.when(F.col("event_id") % 50 == 0, 5.0).otherwise(110 + (F.col("event_id") % 700) / 1000)
     g = geo.wgs84_to_gcj02(30 + (F.col("event_id") % 1000) / 1000, lon)
     return e.select("event_id", g.alias("g")).select("event_id", pyround("g.lat", 6).alias("lat"), pyround("g.lon", 6).alias("lon"))
+
+
+@query(
+    f"""with {SAMPLES}, m as (select activity_id, {pr('avg(nullif(hr, 0)) filter (activity_id % 4 <> 0)', 1)} as hr, max(t) - min(t) as dur, activity_id % 4 = 0 as typed from c group by 1)
+select activity_id, case when typed and activity_id % 8 = 0 then 150.0::double else hr end as avg_hr, {pr('dur', 1)} as duration_s, case when typed and activity_id % 8 = 0 then {pr('30.0::double * (90 / 130.0::double) * (0.64 * exp(1.92::double * (90 / 130.0::double)))')} end as typed_load from m"""
+)
+def snk06_recalc(spark, sf_dir):
+    """Every fourth activity has no heart rate in its samples; half of these have one that was typed in, which stays."""
+    s = tables.samples(spark, sf_dir).withColumn("hr", F.when(F.col("activity_id") % 4 != 0, F.col("hr")))
+    k = F.col("activity_id")
+    acts = s.select("activity_id", "sport_type").distinct().select(k, "sport_type", F.when(k % 8 == 0, 150.0).alias("avg_hr"), F.lit(1800.0).alias("duration_s"), F.lit(0.0).alias("moving_time_s"), F.lit(1.0).alias("load"), F.lit("none").alias("load_source"))
+    out = ingest.recalculate(acts, s)
+    return out.select("activity_id", "avg_hr", "duration_s", F.when(k % 8 == 0, F.col("load")).alias("typed_load"))
+

@@ -10,6 +10,8 @@ from ..functions import geo, physio
 from ..functions.numbers import nz, pyround, ratio
 
 ID = "activity_id"
+#: Samples that an activity needs for its drift of heart rate.
+DRIFT_SAMPLES = 20
 
 
 def _w() -> W:
@@ -56,7 +58,7 @@ def zone_seconds(samples: DataFrame, max_hr: int = physio.MAX_HR, max_gap_s: flo
     return rows.groupBy(ID).agg(*[pyround(F.coalesce(F.sum(F.when(F.col("_z") == z, F.col("_dt"))), F.lit(0.0)), 0).alias(z) for z in physio.ZONES])
 
 
-def drift(samples: DataFrame, least: int = 20) -> DataFrame:
+def drift(samples: DataFrame, least: int = DRIFT_SAMPLES) -> DataFrame:
     """hr_drift: mean heart rate of the second half over that of the first, less one; null with under `least` samples."""
     n = F.count(F.lit(1)).over(W.partitionBy(ID))
     rows = samples.withColumns({"_i": F.row_number().over(_w()) - 1, "_n": n}).withColumn("_late", F.col("_i") >= F.floor(F.col("_n") / 2))
@@ -66,10 +68,20 @@ def drift(samples: DataFrame, least: int = 20) -> DataFrame:
 
 def summarise(samples: DataFrame, max_hr: int = physio.MAX_HR, resting_hr: int = physio.RESTING_HR, gender: str = "male", weight_kg: float | None = None, max_gap_s: float = 300.0) -> DataFrame:
     """One row an activity: duration, moving time, distance, climb, heart rate, pace, cadence, stride, speed, zone seconds,
-    drift, calories, load and load_source. Means are over samples, zeros left out. All parts keep the partitioning by
-    activity, so there is one shuffle."""
-    rich = enrich(samples)
+    drift, calories, load and load_source. Means are over samples, zeros left out. Samples are dealt by activity once; the
+    windows and the one aggregation keep that partitioning."""
+    rich = enrich(samples.repartition(ID))
+    dt = F.coalesce("dt", F.lit(0.0))
+    rich = rich.withColumns(
+        {
+            "_gap": F.when((dt < 0) | (dt > max_gap_s), 1.0).otherwise(dt),
+            "_z": physio.zone(nz("hr"), max_hr),
+            "_i": F.row_number().over(_w()) - 1,
+            "_n": F.count(F.lit(1)).over(W.partitionBy(ID)),
+        }
+    )
     mean = lambda c: F.avg(nz(c))
+    half = lambda late: F.avg(F.when((F.col("_i") >= F.floor(F.col("_n") / 2)) == late, nz("hr")))
     base = rich.groupBy(ID).agg(
         F.max("sport_type").alias("sport_type"),
         (F.max("t") - F.min("t")).alias("_dur"),
@@ -81,10 +93,12 @@ def summarise(samples: DataFrame, max_hr: int = physio.MAX_HR, resting_hr: int =
         mean("cad").alias("_cad"),
         mean("stride").alias("_stride"),
         F.count(F.lit(1)).alias("n_samples"),
+        *[pyround(F.coalesce(F.sum(F.when(F.col("_z") == z, F.col("_gap"))), F.lit(0.0)), 0).alias(z) for z in physio.ZONES],
+        pyround(F.when(F.max("_n") >= DRIFT_SAMPLES, ratio(half(True), half(False)) - 1.0), 4).alias("hr_drift"),
     )
     speed = ratio("_dist", "_mov")
     base = base.withColumn("_load", physio.load(F.col("sport_type"), F.col("_mov"), speed, F.col("_hr"), max_hr, resting_hr, gender))
-    out = base.select(
+    return base.select(
         ID,
         "sport_type",
         "n_samples",
@@ -101,9 +115,9 @@ def summarise(samples: DataFrame, max_hr: int = physio.MAX_HR, resting_hr: int =
         physio.calories(F.col("sport_type"), speed, F.col("_dur"), F.lit(weight_kg).cast("double")).alias("calories"),
         F.col("_load.load").alias("load"),
         F.col("_load.source").alias("load_source"),
+        *physio.ZONES,
+        "hr_drift",
     )
-    clean = last_of_each_time(samples)
-    return out.join(zone_seconds(clean, max_hr, max_gap_s), ID).join(drift(clean).withColumn("hr_drift", pyround("hr_drift", 4)), ID)
 
 
 def downsample(samples: DataFrame, most: int = 600) -> DataFrame:

@@ -3,6 +3,8 @@ cad, speed) and headers (path, sport_type, start_time, n_samples, error, warning
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import re
 
@@ -120,13 +122,25 @@ def _find_header(rows: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"at": [-b[1] for b in best], "fields": [b[2] for b in best]})
 
 
+def _split_csv(batches):
+    """Rows (path, n, cells) of each file, n from 0 over the rows that aren't blank. Quoted cells may hold commas and line ends."""
+    csv.field_size_limit(1 << 30)
+    for b in batches:
+        out = []
+        for path, content in zip(b["path"], b["content"], strict=True):
+            n = 0
+            for cells in csv.reader(io.StringIO((content or "").removeprefix("\ufeff"), newline="")):
+                if any(c.strip() for c in cells):
+                    out.append((path, n, [c.strip() for c in cells]))
+                    n += 1
+                    if len(out) >= 50_000:
+                        yield pd.DataFrame(out, columns=["path", "n", "cells"])
+                        out = []
+        yield pd.DataFrame(out, columns=["path", "n", "cells"])
+
+
 def _csv_rows(files: DataFrame) -> DataFrame:
-    """path, n (from 0), cells: non-blank rows; quoted cells may hold commas, not line ends."""
-    text = F.regexp_replace("content", "^\ufeff", "")
-    rows = files.select("path", F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("i", "line"))
-    cells = F.transform(F.split("line", r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"')))
-    rows = rows.withColumn("cells", cells).where(F.exists("cells", lambda c: F.trim(c) != ""))
-    return rows.withColumn("n", F.row_number().over(W.partitionBy("path").orderBy("i")) - 1).select("path", "n", "cells")
+    return files.select("path", "content").mapInPandas(_split_csv, "path string, n int, cells array<string>")
 
 
 def read_csv(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -210,34 +224,42 @@ def _records_like(v) -> bool:
     return isinstance(v, list) and bool(v) and isinstance(v[0], dict)
 
 
-def _dict_lists(node, depth: int = 0) -> list[list]:
-    """Outermost lists of objects under the keys of a JSON value, six levels deep, 50 items wide."""
-    if depth > 6:
+def _dict_lists(node, depth: int, width: int, path: str = "$") -> list[tuple[str, list]]:
+    """(path, list) of the outermost lists of objects under the keys of a JSON value, `depth` more levels down, `width` items of
+    a list."""
+    if depth < 0:
         return []
     if isinstance(node, dict):
-        return [x for v in node.values() for x in ([v] if _records_like(v) else _dict_lists(v, depth + 1))]
-    return [x for item in node[:50] for x in _dict_lists(item, depth + 1)] if isinstance(node, list) else []
+        below = ((f"{path}.{k}", v) for k, v in node.items())
+        return [x for at, v in below for x in ([(at, v)] if _records_like(v) else _dict_lists(v, depth - 1, width, at))]
+    return [x for i, v in enumerate(node[:width]) for x in _dict_lists(v, depth - 1, width, f"{path}[{i}]")] if isinstance(node, list) else []
+
+
+def _loads(content):
+    try:
+        return json.loads((content or "").lstrip("\ufeff"))
+    except ValueError:
+        return None
 
 
 def _flat(d: dict) -> dict[str, str]:
     return {str(k): str(v) for k, v in d.items() if isinstance(v, (str, int, float)) and not isinstance(v, bool)}
 
 
-def _json_records(batches):
+def _json_records(batches, depth: int, width: int, most: int):
     """Rows (path, record, fields, points) of the longest list of objects of each file: a record's own fields, and its longest list of
     points as maps."""
     for b in batches:
         out = []
         for path, content in zip(b["path"], b["content"], strict=True):
-            try:
-                data = json.loads((content or "").lstrip("\ufeff"))
-            except ValueError:
+            data = _loads(content)
+            if data is None:
                 continue
-            lists = _dict_lists(data)
+            lists = [v for _, v in _dict_lists(data, depth, width)]
             records = max(lists, key=len) if lists else [data] if isinstance(data, dict) else []
             if isinstance(data, dict) and not any(_records_like(v) for r in records if isinstance(r, dict) for v in r.values()):
                 records = [data]
-            for i, rec in enumerate(r for r in records[:200] if isinstance(r, dict)):
+            for i, rec in enumerate(r for r in records[:most] if isinstance(r, dict)):
                 named = [v for k, v in rec.items() if _records_like(v) and any(n in re.sub("[_ ]", "", k.lower()) for n in LIST_KEYS)]
                 other = [v for v in rec.values() if _records_like(v) and {re.sub("[_ ]", "", k.lower()) for k in v[0]} & {"heartrate", "hr", "heart", "time", "timestamp"}]
                 points = max(named or other, key=len, default=[])
@@ -245,15 +267,34 @@ def _json_records(batches):
         yield pd.DataFrame(out, columns=["path", "record", "n_records", "fields", "points"])
 
 
-def read_json(files: DataFrame, least: int = 20) -> tuple[DataFrame, DataFrame]:
+def probe_json(files: DataFrame, depth: int = 6, width: int = 50, candidates: int = 12, keys: int = 20, top: int = 30) -> DataFrame:
+    """path, is_list, top_keys and candidates (array of path, count, keys): what a JSON file of unknown shape holds, without
+    importing it. Files that are no JSON have nulls. The numbers bound the report, not what is searched."""
+    ship(files.sparkSession)
+
+    def look(batches):
+        for b in batches:
+            out = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                data = _loads(content)
+                found = [{"path": at, "count": len(v), "keys": list(map(str, v[0]))[:keys]} for at, v in _dict_lists(data, depth, width)[:candidates]]
+                tops = list(map(str, data))[:top] if isinstance(data, dict) else []
+                out.append((path, isinstance(data, list), tops, found) if data is not None else (path, None, None, None))
+            yield pd.DataFrame(out, columns=["path", "is_list", "top_keys", "candidates"])
+
+    return files.select("path", "content").mapInPandas(look, "path string, is_list boolean, top_keys array<string>, candidates array<struct<path:string,count:int,keys:array<string>>>")
+
+
+def read_json(files: DataFrame, least: int = 20, depth: int = 6, width: int = 50, most: int = 200) -> tuple[DataFrame, DataFrame]:
     """(samples, headers) of the record with most points in each file; headers tell how many records were found and how many have
-    `least` points. Only finding the lists in JSON of unknown shape is Python; fields are picked by columns."""
+    `least` points. Records are looked for `depth` levels deep and `width` items wide, and the first `most` of a file are compared;
+    records_truncated says that a file has more. Only finding the lists in JSON of unknown shape is Python; fields are picked by columns."""
     ship(files.sparkSession)
-    recs = files.select("path", "content").mapInPandas(_json_records, "path string, record int, n_records int, fields map<string,string>, points array<map<string,string>>")
+    recs = files.select("path", "content").mapInPandas(lambda it: _json_records(it, depth, width, most), "path string, record int, n_records int, fields map<string,string>, points array<map<string,string>>")
     w = W.partitionBy("path").orderBy(F.size("points").desc(), "record")
     recs = recs.withColumns({"_n": F.row_number().over(w), "importable": F.count_if(F.size("points") >= least).over(W.partitionBy("path"))}).where("_n = 1")
     recs = recs.withColumns({"start_time": timeparse.parse_time_or_epoch(pick(F.col("fields"), JSON_KEYS["start"])), "sport_type": timeparse.sport(pick(F.col("fields"), JSON_KEYS["sport"]))})
-    headers = files.select("path").join(recs.select("path", "sport_type", "start_time", F.size("points").alias("n_samples"), F.col("n_records").alias("records_found"), F.col("importable").alias("records_importable")), "path", "left")
+    headers = files.select("path").join(recs.select("path", "sport_type", "start_time", F.size("points").alias("n_samples"), F.col("n_records").alias("records_found"), F.col("importable").alias("records_importable"), (F.col("n_records") > most).alias("records_truncated")), "path", "left")
     p = recs.select("path", "start_time", F.posexplode("points").alias("seq", "p"))
     get = lambda f: pick(F.col("p"), JSON_KEYS[f])
     number = lambda f: get(f).try_cast("double")
