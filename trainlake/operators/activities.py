@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import cents, nz, pyround, ratio
+from . import ledger
 
 TAU_CTL, TAU_ATL = 42, 7
 
@@ -64,6 +65,18 @@ def load_curve(daily: DataFrame, as_of: str, days: int = 90, by: Sequence[str] =
     return raw.select(*by, "date", pyround("load").alias("load"), pyround("_c").alias("ctl"), pyround("_a").alias("atl"), pyround(F.col("_c") - F.col("_a")).alias("tsb"))
 
 
+def rolling(acts: DataFrame, as_of: str, days: int) -> DataFrame:
+    """Activities of the last `days`, later ones too."""
+    return acts.where(F.col("start_time") >= F.date_sub(date_lit(as_of), days).cast("timestamp_ntz"))
+
+
+def month_grid(spark, year: int, month: int) -> DataFrame:
+    """date, week (row of the grid, from 0) and dow (1: Monday) of each day of a month."""
+    first = F.make_date(F.lit(year), F.lit(month), F.lit(1))
+    days = spark.range(1).select(F.explode(F.sequence(first, F.last_day(first))).alias("date"))
+    return days.select("date", F.floor((F.dayofmonth("date") - 1 + F.weekday(first)) / 7).cast("int").alias("week"), (F.weekday("date") + 1).alias("dow"))
+
+
 def weekly(acts: DataFrame, as_of: str, weeks: int = 8, by: Sequence[str] = ()) -> DataFrame:
     """weeks_ago (weeks-1 .. 0), distance_km, load, duration_h of the seven-day weeks that end at as_of, today included; empty
     weeks are zero rows (without by)."""
@@ -204,13 +217,14 @@ def cards(acts: DataFrame, feedback: DataFrame) -> DataFrame:
 
 
 def list_page(acts: DataFrame, sport: str | None = None, year: int | None = None, month: int | None = None, offset: int = 0, limit: int = 20) -> DataFrame:
-    """A page of activities, latest first, ties by id; the month counts only if both year and month are given."""
+    """A page of activities with `total`, the number of all that fit; latest first, ties by id. The month counts only if both year
+    and month are given."""
     if sport is not None:
         acts = acts.where(F.col("sport_type") == sport)
     if year and month:
         first = F.make_date(F.lit(year), F.lit(month), F.lit(1))
         acts = acts.where((F.col("start_time") >= first.cast("timestamp_ntz")) & (F.col("start_time") < F.add_months(first, 1).cast("timestamp_ntz")))
-    return acts.orderBy(F.col("start_time").desc_nulls_last(), "activity_id").offset(offset).limit(limit)
+    return ledger.page(acts, [F.col("start_time").desc_nulls_last(), "activity_id"], offset, limit)
 
 
 def new_activities(incoming: DataFrame, stored: DataFrame) -> DataFrame:

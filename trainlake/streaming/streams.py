@@ -49,31 +49,46 @@ def sessions(events: DataFrame, gap: str = "6 hours", delay: str = "1 day", at:
     return out.select(F.col("w.start").alias("start"), "user_id", "n")
 
 
-_K = {tau: 1 - math.exp(-1 / tau) for tau in (42, 7)}
+_REST = {tau: math.exp(-1 / tau) for tau in (42, 7)}
+_K = {tau: 1 - x for tau, x in _REST.items()}
+
+
+_ROLLING = "athlete long, day long, load double, ctl double, atl double, late boolean"
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Loads of one athlete in order of days; state: last day, ctl, atl."""
-    day, ctl, atl = state.get if state.exists else (None, 0.0, 0.0)
+    """Loads of one athlete. The state holds the averages before the last day and that day's load so far, so a load that comes again
+    for the day is added to it and the day is given anew. A load for an earlier day is added to the averages where it would stand
+    by now, and given as late."""
+    last, load, ctl, atl = state.get if state.exists else (None, 0.0, 0.0, 0.0)
     rows = []
+    after = lambda c, a, x: (c * _REST[42] + x * _K[42], a * _REST[7] + x * _K[7])
     loads = pd.concat(list(frames)).groupby("day", as_index=False)["load"].sum().sort_values("day")
-    for d, load in zip(loads["day"], loads["load"], strict=True):
-        if day is not None and d <= day:
-            continue
-        n = 1 if day is None else d - day
-        ctl, atl = (x * math.exp(-(n - 1) / tau) * (1 - _K[tau]) + load * _K[tau] for x, tau in ((ctl, 42), (atl, 7)))
-        day = d
-        rows.append((key[0], int(d), ctl, atl))
-    if day is not None:
-        state.update((int(day), ctl, atl))
-    yield pd.DataFrame(rows, columns=["athlete", "day", "ctl", "atl"])
+    for d, more in zip(loads["day"].astype(int), loads["load"].astype(float), strict=True):
+        late = last is not None and d < last
+        if late:
+            ctl, atl = (x + more * _K[tau] * _REST[tau] ** (last - 1 - d) for x, tau in ((ctl, 42), (atl, 7)))
+        elif d == last:
+            load += more
+        else:
+            if last is not None:
+                ctl, atl = after(ctl, atl, load)
+                ctl, atl = ctl * _REST[42] ** (d - last - 1), atl * _REST[7] ** (d - last - 1)
+            last, load = d, more
+        rows.append((key[0], last, load, *after(ctl, atl, load), late))
+    if last is not None:
+        state.update((int(last), float(load), float(ctl), float(atl)))
+    yield pd.DataFrame(rows, columns=["athlete", "day", "load", "ctl", "atl", "late"])
 
 
 def rolling_load(daily: DataFrame) -> DataFrame:
-    """athlete, day (days since 1970), ctl, atl after each day with a load, days between counting as rest. daily: athlete, day, load, in
-    order of days from batch to batch; days that come again or late are ignored."""
+    """athlete, day (days since 1970), load, ctl, atl after each day with a load, days between counting as rest. daily: athlete, day,
+    load.
+
+    No load is lost: more of the last day gives that day again with the sum, and a load for an earlier day (late) gives the last
+    day again with the averages it should have had. The last row of a day counts."""
     ship(daily.sparkSession)
-    return daily.groupBy("athlete").applyInPandasWithState(_advance, "athlete long, day long, ctl double, atl double", "day long, ctl double, atl double", "append", GroupStateTimeout.NoTimeout)
+    return daily.groupBy("athlete").applyInPandasWithState(_advance, _ROLLING, "day long, load double, ctl double, atl double", "append", GroupStateTimeout.NoTimeout)
 
 
 def tail(log: DataFrame, since: int | None = None, most: int = 100) -> DataFrame:
