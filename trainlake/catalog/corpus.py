@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text, url
 from ..functions.numbers import pyround
 from ..operators import articles as ops
-from ..operators import frontier, segments
+from ..operators import frontier, segments, turns
 from ..sources import tables
+from ..storage import keep
 from .registry import pr, query
 
 AS_OF = "2024-06-30"
@@ -277,7 +277,7 @@ ga as (select sc.*, case when length(sc.content) < 300 then 'too_short' when lin
 
 
 def _gated(spark, sf_dir):
-    s = _scored(spark, sf_dir).withColumn("url_hash", url.url_hash(F.concat(F.lit("http://e.x/"), F.col("id").cast("string"))))
+    s = keep(_scored(spark, sf_dir), "scored").withColumn("url_hash", url.url_hash(F.concat(F.lit("http://e.x/"), F.col("id").cast("string"))))
     stored = s.where("id % 4 in (0, 1)").select("url_hash", F.when(F.col("id") % 2 == 0, F.col("content")).otherwise(F.concat("content", F.lit("!"))).alias("content"), "title", "id")
     return ops.gate(s, stored), stored
 
@@ -324,19 +324,15 @@ def agg18_categories(spark, sf_dir):
     return ops.stats(_scored(spark, sf_dir), "category")
 
 
-@query("with s as (select distinct source from documents), c as (select source, count(*) as n from documents where doc_id % 3 = 0 and source <> 'src1' group by 1) select s.source, coalesce(n, 0) as n from s left join c using (source)")
+@query("with s as (select distinct source from documents), c as (select source, count(*) as n from documents group by 1) select s.source, n from s join c on s.source is not distinct from c.source")
 def joi04_source_counts(spark, sf_dir):
-    d = tables.table(spark, sf_dir, "documents")
-    counts = d.where("doc_id % 3 = 0 and source <> 'src1'").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    return d.select("source").distinct().join(counts, "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("n"))
+    return ops.source_counts(tables.table(spark, sf_dir, "documents").select("source").distinct(), tables.table(spark, sf_dir, "documents"))
 
 
 @query("with s as (select source from documents union select n_name from nation), c as (select source, count(*) as n from documents group by 1) select s.source, coalesce(n, 0) as n from s left join c on s.source is not distinct from c.source")
 def joi04_all_source_counts(spark, sf_dir):
     d = tables.table(spark, sf_dir, "documents")
-    known = d.select("source").union(tables.table(spark, sf_dir, "nation").select("n_name")).distinct()
-    counts = d.groupBy(F.col("source").alias("_s")).agg(F.count(F.lit(1)).alias("n"))
-    return known.join(counts, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", F.coalesce("n", F.lit(0)).alias("n"))
+    return ops.source_counts(d.select("source").union(tables.table(spark, sf_dir, "nation").select("n_name")).distinct(), d)
 
 
 @query(f"with {_ART} select id from ar order by published_at desc nulls last, score desc, id limit 50 offset 10")
@@ -357,15 +353,12 @@ def set04_ordered_distinct(spark, sf_dir):
 
 @query("select conv_id, turn, md5(text) as text_md5 from conversations where role = 'user' qualify row_number() over (partition by conv_id order by turn desc) = 1")
 def win14_last_turn(spark, sf_dir):
-    w = W.partitionBy("conv_id").orderBy(F.desc("turn"))
-    rows = tables.table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    return rows.select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return turns.last_turn(tables.table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query("select conv_id, turn from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 3")
 def win14_recent_turns(spark, sf_dir):
-    w = W.partitionBy("conv_id").orderBy(F.desc("turn"))
-    return tables.table(spark, sf_dir, "conversations").withColumn("_n", F.row_number().over(w)).where("_n <= 3").select("conv_id", "turn")
+    return turns.recent_turns(tables.table(spark, sf_dir, "conversations"), 3).select("conv_id", "turn")
 
 
 def kb17_segments(spark, sf_dir):
@@ -388,9 +381,4 @@ def _nearest_rank(p):
 
 @query(f"select lang, {_nearest_rank(0.25)} as p25, {_nearest_rank(0.5)} as p50, {_nearest_rank(0.9)} as p90 from documents group by 1")
 def agg19_nearest_rank(spark, sf_dir):
-    """Ranks are found by counting distinct values, so no group's values are gathered."""
-    counts = tables.table(spark, sf_dir, "documents").groupBy("lang", "n_chars").agg(F.count(F.lit(1)).alias("c"))
-    w = W.partitionBy("lang")
-    rows = counts.withColumns({"_to": F.sum("c").over(w.orderBy("n_chars")), "_n": F.sum("c").over(w)})
-    at = lambda p: F.min(F.when(F.col("_to") > F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(p))), F.col("n_chars")))
-    return rows.groupBy("lang").agg(at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.9).alias("p90"))
+    return ops.percentiles(tables.table(spark, sf_dir, "documents"), "lang", "n_chars", {"p25": 0.25, "p50": 0.5, "p90": 0.9}).drop("n")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, url
 from ..functions.numbers import pyround
-from ..operators import activities, extract
+from ..operators import activities, extract, rounds
 from ..operators import articles as art
 from ..operators.segments import even_sample
 from ..sources import tables
@@ -14,10 +14,20 @@ from .corpus import _ART, _CLEAN, MD, TOPICS, _prose, markdown
 from .registry import pr, query
 from .training import ACT, _acts
 
-@query("select doc_id, case doc_id % 8 when 0 then '2024-03-05' when 1 then '2024-03-05' when 2 then '2023-07-01' when 7 then '2024-02-29' end as date from documents")
+_DAYS = "d as (select o_orderkey as id, cast(o_orderdate as date) + (o_orderkey % 9000)::int as d, o_orderkey % 6 as k from orders)"
+
+
+@query(
+    f"""with {_DAYS}, r as (select id, case when k in (3, 4) then date_trunc('month', d)::date else d end as v, k from d)
+select id, case when k <> 5 and v between date '1990-01-01' and date '2024-06-30' then v end::varchar as date from r"""
+)
 def fn23_parse_date(spark, sf_dir):
-    raw = F.element_at(F.array(*[F.lit(x) for x in ("2024-03-05", "2024年3月5日", "2023/7", "1985-01-01", "2031-01-01", "2024-13-40", "no date", "2024.2.29")]), (F.col("doc_id") % 8 + 1).cast("int"))
-    return tables.table(spark, sf_dir, "documents").select("doc_id", text.parse_date(raw, "2024-06-30").cast("string").alias("date"))
+    """Order dates spread over 25 years, written in five forms (two of them of the month) and one that is no date."""
+    k = F.col("o_orderkey")
+    d = F.date_add(F.to_date("o_orderdate"), (k % 9000).cast("int"))
+    forms = [F.date_format(d, "yyyy-MM-dd"), F.date_format(d, "yyyy年M月d日"), F.date_format(d, "yyyy.M.d"), F.date_format(d, "yyyy/M"), F.date_format(d, "yyyy年M月"), F.concat(F.lit("v"), F.date_format(d, "yyyyMMdd"))]
+    raw = F.element_at(F.array(*forms), (k % 6 + 1).cast("int"))
+    return tables.table(spark, sf_dir, "orders").select(k.alias("id"), text.parse_date(raw, "2024-06-30").cast("string").alias("date"))
 
 
 @query("select doc_id, case when length(h) > length(source) then h else source end as title from (select doc_id, source, substr(trim(regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g')), 1, 300) as h from (select doc_id, source, substr('# ' || text, 3, 3998) as text from documents))")
@@ -27,11 +37,16 @@ def fn38_titles(spark, sf_dir):
     return d.select("doc_id", text.better_title(F.col("source"), h).alias("title"))
 
 
-@query("select doc_id, case doc_id % 3 when 0 then 'http://e.x/1.png,http://e.x/2.png,http://e.x/3.png' when 1 then 'http://e.x/1.png' else '' end as urls from documents")
+@query(
+    """with l as (select doc_id, list_slice(list_transform(list_filter(list_zip(string_split(coalesce(text, ''), chr(10)), range(1, 100000)), lambda z: z[2] is not null and z[1] is not null and (doc_id + z[2]) % 3 = 0), lambda z: 'http://e.x/' || (length(z[1]) % 5)::varchar || '.png'), 1, 100000) as us from documents)
+select doc_id, array_to_string(list_transform(list_filter(list_transform(us, lambda u, i: {'u': u, 'i': i}), lambda s: list_position(us, s.u) = s.i), lambda s: s.u)[1:3], ',') as urls from l"""
+)
 def fn45_images(spark, sf_dir):
-    k = F.col("doc_id") % 3
-    md = F.when(k == 0, "![a](http://e.x/1.png) t ![b](http://e.x/2.png) ![](http://e.x/1.png) ![c](http://e.x/3.png) ![d](http://e.x/4.png)").when(k == 1, "[x](http://no) ![a](http://e.x/1.png)")
-    return tables.table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.image_urls(md), ",").alias("urls"))
+    """Every third line of a document is an image named by the line's length; the others are links."""
+    d = tables.table(spark, sf_dir, "documents")
+    line = lambda x, i: F.when((F.col("doc_id") + i + 1) % 3 == 0, F.concat(F.lit("t ![a](http://e.x/"), (F.length(x) % 5).cast("string"), F.lit(".png) u"))).otherwise("[x](http://e.x/no.png)")
+    md = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line), "\n")
+    return d.select("doc_id", F.array_join(text.image_urls(md, 3), ",").alias("urls"))
 
 
 @query("select doc_id, case when doc_id % 4 < 3 then '{\"a\": ' || doc_id::varchar || '}' end as body from documents")
@@ -84,22 +99,22 @@ def src27_fallback(spark, sf_dir):
     return extract.fallback_pages(first, second).select("url", F.col("text").alias("body"), "fetch_via")
 
 
-@query("select distinct source from documents where lang = 'en' and source in ('src1', 'src2', 'src99')")
+@query("select s_suppkey as id from supplier where s_suppkey % 5 <> 0 and 'd' || (s_suppkey % 7)::varchar in ('d1', 'd2', 'd99')")
 def src30_load_sources(spark, sf_dir):
-    d = tables.table(spark, sf_dir, "documents")
-    wanted = spark.createDataFrame([("src1",), ("src2",), ("src99",)], "source string")
-    return d.where("lang = 'en'").join(wanted, "source", "left_semi").select("source").distinct()
+    k = F.col("s_suppkey")
+    sources = tables.table(spark, sf_dir, "supplier").select(k.alias("id"), F.concat(F.lit("d"), (k % 7).cast("string")).alias("domain"), (k % 5 != 0).alias("enabled"))
+    return rounds.enabled_sources(sources, spark.createDataFrame([("d1",), ("d2",), ("d99",)], "domain string")).select("id")
 
 
-@query(f"with {_ART} select id from ar where score >= 0.3 and domain not in ('unknown.xyz')")
+@query(f"with {_ART} select id, score < 0.3 or domain = 'unknown.xyz' as deleted from ar")
 def snk10_purge(spark, sf_dir):
-    return tables.articles(spark, sf_dir).where("score >= 0.3 and domain <> 'unknown.xyz'").select("id")
+    kept, gone = rounds.purge(tables.articles(spark, sf_dir), 0.3, spark.createDataFrame([("unknown.xyz",)], "domain string"))
+    return kept.select("id", F.lit(False).alias("deleted")).union(gone.select("id", F.lit(True)))
 
 
-@query(f"with {_ART} select id, domain_score >= 0.85 as authoritative from (select id, {pr('case id % 7 when 0 then 1.0 when 1 then 0.85 when 2 then 0.5 when 3 then 0.95 when 4 then 1.0 when 5 then 0.35 else 1.0 end', 3)} as domain_score, score from ar) where score >= 0.2")
+@query(f"with {_ART} select id from ar where score >= 0.2 and {pr('case id % 7 when 0 then 1.0 when 1 then 0.85 when 2 then 0.5 when 3 then 0.95 when 4 then 1.0 when 5 then 0.35 else 1.0 end', 3)} >= 0.85")
 def flt05_prefilter(spark, sf_dir):
-    a = tables.articles(spark, sf_dir).where("score >= 0.2")
-    return a.select("id", (url.domain_score(F.col("domain")) >= 0.85).alias("authoritative"))
+    return art.prefilter(tables.articles(spark, sf_dir), min_score=0.2, authority=0.85).select("id")
 
 
 @query(f"with {ACT} select activity_id from act where start_time >= timestamp '2001-07-02' and start_time < timestamp '2001-07-18'")
@@ -109,15 +124,12 @@ def flt03_between(spark, sf_dir):
 
 @query(f"with {ACT} select activity_id from act where start_time >= timestamp '2001-07-25'")
 def flt02_rolling(spark, sf_dir):
-    return _acts(spark, sf_dir).where(F.col("start_time") >= F.date_sub(activities.date_lit("2001-08-01"), 7).cast("timestamp_ntz")).select("activity_id")
+    return activities.rolling(_acts(spark, sf_dir), "2001-08-01", 7).select("activity_id")
 
 
 @query("select strftime(d, '%Y-%m-%d') as date, ((row_number() over (order by d) - 1 + isodow(date '2001-07-01') - 1) // 7)::int as week, isodow(d)::int as dow from range(date '2001-07-01', date '2001-08-01', interval 1 day) r(d)")
 def fn14_month_grid(spark, sf_dir):
-    """Cells of a month, weeks from Monday."""
-    first = F.lit("2001-07-01").cast("date")
-    days = spark.range(1).select(F.explode(F.sequence(first, F.last_day(first))).alias("d"))
-    return days.select(F.col("d").cast("string").alias("date"), F.floor((F.dayofmonth("d") - 1 + F.weekday(first)) / 7).cast("int").alias("week"), (F.weekday("d") + 1).alias("dow"))
+    return activities.month_grid(spark, 2001, 7).withColumn("date", F.col("date").cast("string"))
 
 
 @query(f"with {MD}, {_CLEAN} select doc_id, length(content) >= 300 as long_enough from cl")

@@ -134,3 +134,13 @@ STOP = (
     "我 你 他 她 它 的 了 是 在 和 与 或 有 没 不 很 太 都 也 还 就 要 会 能 可以 怎么 如何 什么 为什么 哪些 哪个 这个 那个 这样 那样 应该 需 需要 想 请 帮 "
     "一下 一些 时候 现在 最近 今天 昨天 明天 吗 呢 啊 吧 嘛 the a an of to in for and or is are be do does how what why which i my me you your"
 ).split()
+
+#: Hosts whose pages are previews, galleries or directories; a result of a host that holds one of these is left out.
+BLOCKED_HOSTS = [
+    "docin.com", "book118.com", "wenku.baidu.com", "zxxk.com", "doc88.com",
+    "360doc.com", "doc88.net", "51wendang.com", "renrendoc.com", "taodocs.com",
+    "mayiwenku.com", "jinchutou.com", "xueshu.baidu.com", "doczj.com", "nipic.com",
+    "528045.com", "zhipin.com", "qcc.com", "aiqicha.baidu.com", "zhaopin.com", "qichamao.com",
+]
+#: The categories an article may have.
+CATEGORIES = list(TOPICS)

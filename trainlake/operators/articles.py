@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text, url
 from ..functions.numbers import nz, pyround, ratio
+from . import ledger
 
 
 def blob(body: Column, title: Column) -> Column:
@@ -133,6 +134,12 @@ def stats(articles: DataFrame, key: str, top: int | None = None) -> DataFrame:
     return out.limit(top) if top else out
 
 
+def source_counts(sources: DataFrame, articles: DataFrame) -> DataFrame:
+    """source and n, the number of its articles, 0 too; a null source is one. One row a source; articles are counted before the join."""
+    counts = articles.groupBy(F.col("source").alias("_s")).agg(F.count(F.lit(1)).alias("n"))
+    return sources.join(counts, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def verify_round(tally: DataFrame, top: int = 5) -> DataFrame:
     """One row on a crawl round: totals, problems and a verdict (ok, warn, bad). tally: tallies() with a column failed."""
     rejects = ["too_short", "index_page", "news_item", "irrelevant", "not_article"]
@@ -159,18 +166,46 @@ def verify_round(tally: DataFrame, top: int = 5) -> DataFrame:
     return out.withColumn("verdict", verdict).drop(*[f"_{r}" for r in rejects])
 
 
-def listing(articles: DataFrame, category: str | None = None, domain: str | None = None, min_score: float | None = None, search: str | None = None, offset: int = 0, limit: int = 20, by: str = "published") -> DataFrame:
-    """A page of articles. by: published (latest first, undated last, then score) or score."""
-    for c, v in (("category", category), ("domain", domain)):
+def listing(articles: DataFrame, category: str | None = None, domain: str | None = None, min_score: float | None = None, search: str | None = None, offset: int = 0, limit: int = 20, by: str = "published", evidence_level: str | None = None, status: str | None = None) -> DataFrame:
+    """A page of articles with `total`, the number of all that fit. by: published (latest first, undated last, then score) or score."""
+    for c, v in (("category", category), ("domain", domain), ("evidence_level", evidence_level), ("status", status)):
         if v is not None:
             articles = articles.where(F.col(c) == v)
     if min_score is not None:
         articles = articles.where(F.col("score") >= min_score)
     if search:
-        fields = [F.col(c) if t == "string" else F.to_json(c) for c, t in articles.dtypes if c in ("title", "summary", "key_points", "content_md")]
+        fields = [F.col(c) if t == "string" else F.to_json(c) for c, t in articles.dtypes if c in ("title", "summary", "organization", "key_points", "content_md")]
         hit = F.lit(False)
         for f in fields:
             hit = hit | F.coalesce(F.lower(f).contains(search.lower()), F.lit(False))
         articles = articles.where(hit)
     published, score = F.col("published_at").desc_nulls_last(), F.col("score").desc()
-    return articles.orderBy(*([published, score] if by == "published" else [score, published]), "id").offset(offset).limit(limit)
+    return ledger.page(articles, [*([published, score] if by == "published" else [score, published]), "id"], offset, limit)
+
+
+def prefilter(articles: DataFrame, category: str | None = None, min_score: float = 0.0, authority: float | None = None) -> DataFrame:
+    """The articles that retrieval looks at: of a category, of a score, of an authority of the host (0.85: only authoritative)."""
+    if category is not None:
+        articles = articles.where(F.col("category") == category)
+    articles = articles.where(F.coalesce("score", F.lit(0.0)) >= min_score)
+    return articles if authority is None else articles.where(pyround(url.domain_score(F.col("domain")), 3) >= authority)
+
+
+def brief(articles: DataFrame) -> DataFrame:
+    """What a list shows of an article: no body, the date as text, points counted."""
+    return articles.select("id", "title", "domain", F.col("published_at").cast("string").alias("published"), "score", F.size("key_points").alias("n_points"))
+
+
+def detail(articles: DataFrame, stored_scores: DataFrame) -> DataFrame:
+    """An article whole, with the parts of its score."""
+    return articles.join(stored_scores.select("id", "domain_score", "recency_score", "relevance_score"), "id", "left")
+
+
+def percentiles(values: DataFrame, by: str, value: str, points: dict[str, float]) -> DataFrame:
+    """Nearest-rank percentiles of a column by group: the value at place floor(n p) of the sorted ones, the last at most. Exact, by
+    counts of distinct values, so that no group is sorted row by row."""
+    counts = values.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
+    w = W.partitionBy(by)
+    rows = counts.withColumn("_upto", F.sum("_n").over(w.orderBy(value))).withColumn("_all", F.sum("_n").over(w))
+    rank = lambda p: F.least(F.floor(F.col("_all") * p), F.col("_all") - 1)
+    return rows.groupBy(by).agg(F.max("_all").alias("n"), *[F.min(F.when(F.col("_upto") > rank(p), F.col(value))).alias(name) for name, p in points.items()])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import fixed, text
 from . import articles, segments
 
 #: Evidence levels from weakest to strongest; most key points and topics; signs of a question for a substitute.
@@ -74,3 +74,40 @@ def fallback_pages(primary: DataFrame, secondary: DataFrame) -> DataFrame:
 def veto(scored: DataFrame, floor: float, enabled: bool = False) -> DataFrame:
     """Rows whose topic_score is under the floor are dropped, if the veto is on."""
     return scored.where(F.col("topic_score") >= floor) if enabled else scored
+
+
+def finalize(docs: DataFrame, topics: dict | None = None) -> DataFrame:
+    """Fields that a model gave (a struct `fields` of title, organization, author, published_at, category, topics, summary,
+    key_points, evidence_level, substantive) brought to legal values; where the model says that the page is no article, its fields are
+    emptied and substantive is false. docs: id, title, content_md, domain, published_at, fields.
+
+    An unknown category or evidence level is taken from the text; points and topics are trimmed, blank ones left out."""
+    out = docs.withColumn("_p", text.prose_only(F.col("content_md")))
+    guess = articles.classify(articles.keyword_hits(articles.blob(F.col("_p"), F.col("title")), topics))["category"]
+    level = articles.evidence_level(F.col("domain"), F.concat_ws("\n", "title", "_p"))
+    f = lambda c: F.trim(F.coalesce(F.col(f"fields.{c}"), F.lit("")))
+    listed = lambda c, most: F.slice(F.filter(F.transform(F.coalesce(F.col(f"fields.{c}"), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""), 1, most)
+    real = F.coalesce(F.col("fields.substantive"), F.lit(True))
+    known = list(topics or fixed.TOPICS)
+    none = F.array().cast("array<string>")
+    values = {
+        "title": F.substring(F.coalesce(F.nullif(f("title"), F.lit("")), "title"), 1, 500),
+        "organization": F.substring(f("organization"), 1, 256),
+        "author": F.substring(f("author"), 1, 256),
+        "category": F.when(f("category").isin(*known), f("category")).otherwise(guess),
+        "topics": listed("topics", MOST_TOPICS),
+        "summary": f("summary"),
+        "key_points": listed("key_points", MOST_POINTS),
+        "evidence_level": F.when(f("evidence_level").isin(*EVIDENCE_RANK), f("evidence_level")).otherwise(level),
+    }
+    empty = {"title": F.col("title"), "category": F.lit("training"), "topics": none, "key_points": none, "evidence_level": F.lit("unknown")}
+    published = F.coalesce(F.when(real, text.parse_date(F.col("fields.published_at"), "9999-12-31")), F.col("published_at"))
+    made = {c: F.when(real, v).otherwise(empty.get(c, F.lit(""))) for c, v in values.items()}
+    return out.select("id", "domain", real.alias("substantive"), published.alias("published_at"), *[v.alias(c) for c, v in made.items()])
+
+
+def with_fields(fetched: DataFrame, fields: DataFrame) -> DataFrame:
+    """Fetched pages with their extracted fields by id; a page whose extraction failed keeps its row, with null fields. Positions
+    never decide."""
+    return fetched.join(fields.select("id", "fields"), "id", "left")
+

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text, url
+from ..functions import fixed, text, url
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -41,3 +41,17 @@ def share_out(candidates: DataFrame, quota: int, source: str = "source", page: s
     rows = owned.withColumn("turn", turn)
     n = F.row_number().over(W.partitionBy(source).orderBy("turn", page))
     return rows.withColumn("nth", n).where(F.col("nth") <= quota)
+
+
+def search_results(results: DataFrame, blocked: Sequence[str] = fixed.BLOCKED_HOSTS, min_authority: float = 0.0) -> DataFrame:
+    """url, host, authority and place of the results worth fetching: each address once (its first hit by pass and pos), none of a
+    blocked host (whose name holds one of the names), none under min_authority; the most authoritative first, then in order of
+    the hits. results: query, pass, pos, url."""
+    first = results.where("url is not null and url <> ''").groupBy("query", "url").agg(F.min(F.struct("pass", "pos")).alias("hit"))
+    rows = first.withColumn("host", F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit(""))))
+    for name in blocked:
+        rows = rows.where(~F.contains("host", F.lit(name)))
+    rows = rows.withColumn("authority", url.domain_score(F.col("host"))).where(F.col("authority") >= min_authority)
+    w = W.partitionBy("query").orderBy(F.desc("authority"), "hit", "url")
+    return rows.select("query", "url", "host", "authority", F.row_number().over(w).alias("place"))
+

@@ -83,3 +83,10 @@ def coverage(x: Column, segs: Column) -> Column:
     """Share of a text's characters that its segments hold; 1.0 for a blank text."""
     total = F.length(strip(F.coalesce(x, F.lit(""))))
     return F.when(total > 0, F.least(F.lit(1.0), F.aggregate(segs, F.lit(0), lambda a, s: a + F.length(s)) / total)).otherwise(1.0)
+
+
+def trim(x: Column, limit: int = CHARS) -> Column:
+    """A text over `limit` characters cut to its first 60 % and last 40 %, with a mark between."""
+    head = int(limit * 0.6)
+    return F.when(F.length(x) <= limit, x).otherwise(F.concat(F.substring(x, 1, head), F.lit("\n\n...(中间略)...\n\n"), F.right(x, F.lit(limit - head))))
+

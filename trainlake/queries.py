@@ -4,7 +4,7 @@ from .catalog import registry
 
 
 def _load() -> None:
-    from .catalog import corpus, extras, ledgers, readers, retrieval, samples, streams, training  # noqa: F401
+    from .catalog import corpus, extras, ledgers, readers, retrieval, rounds, samples, streams, training  # noqa: F401
 
 
 def queries() -> dict:
