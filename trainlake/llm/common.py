@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,26 +14,54 @@ from ..deploy import ship
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: `spark.checkpoint.dir`; set to a temporary one only where it is unset."""
+    """Folder that the driver and all executors see: `spark.checkpoint.dir`. Where it is unset a local session gets a temporary
+    one; on a cluster that is an error, since executors don't share local folders."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.gettempdir()}/trainlake-shared"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The one folder of this application's intermediate tables."""
+    return f"{shared_dir(spark)}/trainlake-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/trainlake-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables; results that have not been written elsewhere can't be read afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def released_shuffles(spark: SparkSession):
+    """Shuffle files of what is written within are removed when its writing ends, rather than with the driver's next garbage
+    collection; what is read afterwards is the written table. A stage that is run again makes them anew."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    with released_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
