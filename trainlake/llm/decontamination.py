@@ -18,6 +18,8 @@ Q = 12
 ERROR_RATE = 0.05
 #: Characters of benchmark items that one pass over the documents looks for.
 BLOCK_CHARS = 4_000_000
+#: Shared q-grams of a text and the items that are counted at once.
+MATCHES = 1 << 20
 _FILTER_BITS = 22
 HIT = "doc_id long, item_id long, start_char long, end_char long, n_edits long, item_chars long"
 
@@ -65,7 +67,8 @@ def gram_hashes(code: np.ndarray, q: int = Q) -> np.ndarray:
 
 @dataclass
 class Index:
-    """The q-grams of a block of benchmark items, sorted by hash, with a bit table that drops most other q-grams."""
+    """The q-grams of a block of benchmark items, sorted by hash, with a bit table that drops most other q-grams; and items of
+    fewer than Q characters by length, as (hash, item_id, code)."""
 
     ids: list
     codes: list
@@ -74,6 +77,7 @@ class Index:
     item: np.ndarray
     at: np.ndarray
     bits: np.ndarray
+    short: dict
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -81,9 +85,10 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 def build_index(items: list[tuple], error_rate: float = ERROR_RATE) -> Index:
-    """items: (item_id, text). Items that are null or have fewer than Q characters after normalise() are left out. The budget
-    of an item is error_rate of its length, less where the lemma would ask for no shared q-gram at all."""
-    ids, codes, budgets, grams, item, at = [], [], [], [], [], []
+    """items: (item_id, text). Items that are null or have no letter or digit are left out. The budget of an item is
+    error_rate of its length, less where the lemma would ask for no shared q-gram at all; items of fewer than Q characters
+    after normalise() have none and are looked for as they are."""
+    ids, codes, budgets, grams, item, at, short = [], [], [], [], [], [], {}
     for item_id, text in items:
         code = normalise(text)[0] if text is not None else np.empty(0, np.uint32)
         if len(code) >= Q:
@@ -94,13 +99,15 @@ def build_index(items: list[tuple], error_rate: float = ERROR_RATE) -> Index:
             grams.append(g)
             item.append(np.full(len(g), len(ids) - 1))
             at.append(np.arange(len(g)))
+        elif len(code):
+            short.setdefault(len(code), []).append((gram_hashes(code, len(code))[0], item_id, code))
     if not ids:
-        return Index([], [], np.empty(0, int), np.empty(0, np.uint64), np.empty(0, int), np.empty(0, int), np.zeros(1 << _FILTER_BITS, bool))
+        return Index([], [], np.empty(0, int), np.empty(0, np.uint64), np.empty(0, int), np.empty(0, int), np.zeros(1 << _FILTER_BITS, bool), short)
     grams = np.concatenate(grams)
     order = np.argsort(grams, kind="stable")
     bits = np.zeros(1 << _FILTER_BITS, bool)
     bits[_slot(grams)] = True
-    return Index(ids, codes, np.array(budgets), grams[order], np.concatenate(item)[order], np.concatenate(at)[order], bits)
+    return Index(ids, codes, np.array(budgets), grams[order], np.concatenate(item)[order], np.concatenate(at)[order], bits, short)
 
 
 def align(item: np.ndarray, region: np.ndarray, shift: int, low: int, high: int) -> tuple[int, int, int]:
@@ -129,31 +136,55 @@ def align(item: np.ndarray, region: np.ndarray, shift: int, low: int, high: int)
     return int(cost[j]), int(start[j]), int(j + low - shift + len(item))
 
 
-def search(text: str, index: Index) -> list[tuple]:
-    """(item_id, start_char, end_char, n_edits, item_chars) for the best region of every item found in the text."""
-    code, place = normalise(text)
-    h = gram_hashes(code)
+def _bands(h: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (item, band) and how many q-grams of the text each shares. Band b of an item holds diagonals b * step ..
+    (b + 2) * step - 1, where step is its budget + 1: any step consecutive diagonals lie within a band. About MATCHES shared
+    q-grams are expanded at once, so repetitive texts need no more memory than others."""
     near = np.flatnonzero(index.bits[_slot(h)])
-    if not len(near) or not len(index.ids):
-        return []
     lo, hi = np.searchsorted(index.grams, h[near], "left"), np.searchsorted(index.grams, h[near], "right")
     n = hi - lo
     near, lo, n = near[n > 0], lo[n > 0], n[n > 0]
-    if not len(near):
-        return []
-    entry = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-    item, diagonal = index.item[entry], np.repeat(near, n) - index.at[entry]
-    size = np.array([len(c) for c in index.codes])
-    step = index.budgets + 1
-    # band b of an item holds diagonals b * step .. (b + 2) * step - 1: any step consecutive ones lie within a band
-    band = (diagonal + size[item]) // step[item]
-    key = np.concatenate([item, item]) * (1 << 40) + np.concatenate([band, band - 1]) + 1
-    bands, count = np.unique(key, return_counts=True)
-    which, b = bands >> 40, (bands & ((1 << 40) - 1)) - 1
+    size, step = np.array([len(c) for c in index.codes], np.int64), index.budgets + 1
+    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    through = np.cumsum(n)
+    at = 0
+    while at < len(near):
+        end = max(at + 1, int(np.searchsorted(through, (through[at - 1] if at else 0) + MATCHES, "right")))
+        m = n[at:end]
+        entry = np.repeat(lo[at:end] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        item, diagonal = index.item[entry], np.repeat(near[at:end], m) - index.at[entry]
+        band = (diagonal + size[item]) // step[item]
+        found, c = np.unique(np.concatenate([item, item]) * (1 << 40) + np.concatenate([band, band - 1]) + 1, return_counts=True)
+        if at:
+            found, back = np.unique(np.concatenate([keys, found]), return_inverse=True)
+            c = np.bincount(back, np.concatenate([counts, c])).astype(np.int64)
+        keys, counts, at = found, c, end
+    return keys, counts
+
+
+def _short_hits(code: np.ndarray, index: Index):
+    """(item_id, start, end) of the first place of each short item between word ends; scripts without spaces between words
+    (from U+2E80 on) may stand anywhere."""
+    free = lambda x, i: i < 0 or i >= len(code) or code[i] == 32 or x >= 0x2E80
+    for m, items in index.short.items():
+        h = gram_hashes(code, m)
+        for want, item_id, item in items:
+            for s in np.flatnonzero(h == want).tolist():
+                if free(item[0], s - 1) and free(item[-1], s + m) and (code[s : s + m] == item).all():
+                    yield item_id, s, s + m
+                    break
+
+
+def search(text: str, index: Index) -> list[tuple]:
+    """(item_id, start_char, end_char, n_edits, item_chars) for the best region of every item found in the text."""
+    code, place = normalise(text)
     found: dict[int, tuple] = {}
-    for i, b, c in zip(which.tolist(), b.tolist(), count.tolist(), strict=True):
+    keys, counts = _bands(gram_hashes(code), index) if index.ids else (np.empty(0, np.int64),) * 2
+    for key, c in zip(keys.tolist(), counts.tolist(), strict=True):
+        i, b = key >> 40, (key & ((1 << 40) - 1)) - 1
         m, k = len(index.codes[i]), int(index.budgets[i])
-        if c < m + 1 - Q * (k + 1):
+        # bands come in order of place, so nothing better follows a region without edits
+        if c < m + 1 - Q * (k + 1) or i in found and found[i][0] == 0:
             continue
         low = b * (k + 1) - m
         high = low + 2 * (k + 1) - 1
@@ -162,10 +193,9 @@ def search(text: str, index: Index) -> list[tuple]:
         edits, s, e = align(index.codes[i], region, first, low, high)
         if edits <= k and (i not in found or (edits, first + s) < found[i][:2]):
             found[i] = (edits, first + s, first + e)
-    out = []
-    for i, (edits, s, e) in found.items():
-        out.append((index.ids[i], int(place[s]), int(place[max(e, s + 1) - 1]) + 1, edits, len(index.codes[i])))
-    return out
+    hits = [(index.ids[i], s, e, edits, len(index.codes[i])) for i, (edits, s, e) in found.items()]
+    hits += [(item_id, s, e, 0, e - s) for item_id, s, e in _short_hits(code, index)]
+    return [(item_id, int(place[s]), int(place[max(e, s + 1) - 1]) + 1, edits, chars) for item_id, s, e, edits, chars in hits]
 
 
 def _blocks(benchmark: DataFrame, error_rate: float, block_chars: int):
