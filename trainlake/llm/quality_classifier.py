@@ -19,6 +19,7 @@ PUNCTUATION = b".,;:!?\"'()[]{}|#$%&*<>"
 BEGINNINGS = (4, 6, 8)
 FEATURES = ("log_words", "symbols", "upper", "pipes", "dup_lines", "repetition", "word_length", "digits", "marks") + tuple(f"{kind}_{x}" for kind in ("toxic", "bad") for x in ("count", "weight", "top", "density"))
 SCALE = 1_000_000
+SITE = ("host", "path", "n", "s", "host_n", "host_s", "global_rate", "host_weight", "path_weight")
 
 
 @dataclass(frozen=True)
@@ -167,48 +168,69 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
+def _own() -> Column:
+    """A row's own evidence of being good, in whole millionths, so that sums don't depend on the order of rows."""
+    return F.round(_sigmoid(F.col("quality_logit")) * (1 - _sigmoid(F.col("toxic_logit"))) * SCALE).cast("long")
+
+
+def _posterior(s: Column, n: Column, weight: str, prior) -> Column:
+    return (s / SCALE + F.col(weight) * prior) / (n + F.col(weight))
+
+
 def site_posteriors(scored: DataFrame, host: str, path: str) -> DataFrame:
-    """One row a (host, path): n, host_rate, path_rate and global_rate of good documents.
-
-    Host rates are beta posteriors around the global rate, path rates around their host's; the prior's weight at each level
-    comes from the variance between groups (method of moments), so a site with few documents stays near its parent. Sums are
-    of whole millionths and so don't depend on the order of rows; all counting is partial before it is shuffled."""
-    p = F.round(_sigmoid(F.col("quality_logit")) * (1 - _sigmoid(F.col("toxic_logit"))) * SCALE).cast("long")
-    paths = materialize(scored.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("s")), "quality-paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
-
-    def weight(table: DataFrame, n: str, s: str, name: str) -> DataFrame:
-        """Pseudo-count of the prior: mean (1 - mean) / variance between groups, less what sampling adds to that variance."""
-        m, g = F.sum(s) / F.sum(n) / SCALE, F.count(F.lit(1))
-        rate = F.col(s) / F.col(n) / SCALE
-        sums = table.agg(m.alias("m"), g.alias("g"), F.sum(n).alias("n"), F.sum(F.col(n) * rate * rate).alias("q"))
-        between = F.col("q") / F.col("n") - F.col("m") ** 2
-        noise = F.col("m") * (1 - F.col("m")) * F.col("g") / F.col("n")
-        return sums.select(F.col("m").alias(f"{name}_mean"), F.greatest(F.least(F.col("m") * (1 - F.col("m")) / F.greatest(between - noise, F.lit(1e-9)), F.lit(1e6)), F.lit(1.0)).alias(f"{name}_weight"))
-
-    top, sub = F.broadcast(weight(hosts, "host_n", "host_s", "global")), F.broadcast(weight(paths, "n", "s", "path"))
-    hosts = hosts.crossJoin(top).select(F.col("host").alias("h"), (((F.col("host_s") / SCALE) + F.col("global_weight") * F.col("global_mean")) / (F.col("host_n") + F.col("global_weight"))).alias("host_rate"), F.col("global_mean").alias("global_rate"))
-    out = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).crossJoin(sub)
-    rate = ((F.col("s") / SCALE) + F.col("path_weight") * F.col("host_rate")) / (F.col("n") + F.col("path_weight"))
-    return out.select("host", "path", "n", "host_rate", rate.alias("path_rate"), "global_rate")
+    """One row a (host, path): n, s, host_n, host_s (documents and summed evidence), global_rate, the prior weights host_weight
+    and path_weight, and the posteriors host_rate and path_rate of good documents.
+
+    Host rates are beta posteriors around the global rate, path rates around their host's. The prior's weight at each level
+    comes from the variance of rates around their own parent's (method of moments, less what sampling adds), so differences
+    between hosts don't count as differences within them and a site with few documents stays near its parent. All counting
+    is partial before it is shuffled."""
+    paths = materialize(scored.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(F.count(F.lit(1)).alias("n"), F.sum(_own()).alias("s")), "quality-paths")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"), F.count(F.lit(1)).alias("host_paths"))
+    total = hosts.agg((F.sum("host_s") / F.sum("host_n") / SCALE).alias("global_rate"), F.count(F.lit(1)).alias("hosts"))
+    hosts = materialize(hosts.crossJoin(F.broadcast(total)), "quality-hosts")
+
+    def weight(table: DataFrame, n: str, s: str, parent: Column, siblings: str, name: str) -> DataFrame:
+        """Pseudo-count of the prior: mean variance of a document around its parent's rate / variance between siblings."""
+        within = parent * (1 - parent)
+        sums = table.agg(
+            F.sum(F.col(n)).alias("n"),
+            F.sum(F.col(n) * within).alias("within"),
+            F.sum(F.col(n) * (F.col(s) / F.col(n) / SCALE - parent) ** 2).alias("around"),
+            F.sum(within * (1 - 1 / F.col(siblings))).alias("noise"),
+        )
+        between = F.greatest((F.col("around") - F.col("noise")) / F.col("n"), F.lit(1e-9))
+        return sums.select(F.greatest(F.least(F.col("within") / F.col("n") / between, F.lit(1e6)), F.lit(1.0)).alias(name))
+
+    out = paths.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
+    top = weight(hosts, "host_n", "host_s", F.col("global_rate"), "hosts", "host_weight")
+    sub = weight(out, "n", "s", F.col("host_s") / F.col("host_n") / SCALE, "host_paths", "path_weight")
+    out = out.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(sub)).drop("hosts", "host_paths")
+    out = out.withColumn("host_rate", _posterior(F.col("host_s"), F.col("host_n"), "host_weight", F.col("global_rate")))
+    return out.withColumn("path_rate", _posterior(F.col("s"), F.col("n"), "path_weight", F.col("host_rate")))
 
 
 def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "lang", min_quality: float = 0.5, max_toxic: float = 0.5, keep_text: bool = True) -> DataFrame:
     """Every row of docs (without its text if keep_text is false) with p_quality, p_toxic, host_rate, path_rate and accepted.
 
-    p_quality combines a text's evidence with its site: logit(evidence) + logit(path rate) - logit(global rate). A row is
-    accepted if p_quality >= min_quality and p_toxic < max_toxic. Null and empty texts have zero features and are scored
-    like any; null hosts and paths are sites of their own; repeated rows are scored each; an empty table stays empty; input
-    columns named like an output are replaced. The scored table is written once in the shared folder, since the site rates
-    need all evidence before the first verdict."""
+    host and path name the columns of the site: `source` and `lang` where there is no address; functions of an url column can
+    be given as columns made before. host_rate and path_rate are the posteriors without the row's own evidence, which p_quality
+    adds once: logit(evidence) + logit(path rate) - logit(global rate). A row is accepted if p_quality >= min_quality and
+    p_toxic < max_toxic. Null and empty texts have zero features and are scored like any; null hosts and paths are sites of
+    their own; repeated rows are scored each; long texts are read whole; an empty table stays empty; input columns named like
+    an output are replaced. The scored table is written once in the shared folder, since the site rates need all evidence
+    before the first verdict."""
     outputs = ("p_quality", "p_toxic", "host_rate", "path_rate", "accepted")
     docs = docs.select(*[c for c in docs.columns if c.lower() not in outputs])
     scored = evidence(docs, model)
     scored = materialize(scored if keep_text else scored.drop("text"), "quality-evidence")
-    h, p = fresh(scored, "host", "path")
-    sites = materialize(site_posteriors(scored, host, path), "quality-sites").select(F.col("host").alias(h), F.col("path").alias(p), "host_rate", "path_rate", "global_rate")
-    both = scored.join(sites, scored[host].eqNullSafe(sites[h]) & scored[path].eqNullSafe(sites[p]), "left")
-    quality = _sigmoid(F.col("quality_logit") + _logit(F.col("path_rate")) - _logit(F.col("global_rate")))
+    names = dict(zip(SITE, fresh(scored, *SITE), strict=True))
+    sites = materialize(site_posteriors(scored, host, path), "quality-sites").select(*[F.col(c).alias(names[c]) for c in SITE])
+    both = scored.join(sites, scored[host].eqNullSafe(sites[names["host"]]) & scored[path].eqNullSafe(sites[names["path"]]), "left")
+    x = {c: F.col(names[c]) for c in SITE}
+    both = both.withColumn("host_rate", _posterior(x["host_s"] - _own(), x["host_n"] - 1, names["host_weight"], x["global_rate"]))
+    both = both.withColumn("path_rate", _posterior(x["s"] - _own(), x["n"] - 1, names["path_weight"], F.col("host_rate")))
+    quality = _sigmoid(F.col("quality_logit") + _logit(F.col("path_rate")) - _logit(x["global_rate"]))
     out = both.withColumn("p_quality", F.round(quality, 6)).withColumn("p_toxic", F.round(_sigmoid(F.col("toxic_logit")), 6))
     out = out.withColumn("accepted", (F.col("p_quality") >= min_quality) & (F.col("p_toxic") < max_toxic))
-    return out.drop(h, p, "global_rate", "quality_logit", "toxic_logit")
+    return out.drop(*names.values(), "quality_logit", "toxic_logit")
