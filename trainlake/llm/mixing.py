@@ -13,8 +13,8 @@ from .common import WORD, fresh, materialize
 
 #: Documents that a block of a source's permutation holds on average.
 BLOCK_DOCS = 4096
-#: Halvings of the exponent's interval that one pass over the source table answers.
-LEVELS = 5
+#: Exponents that one pass over the source table tries for each condition, and passes; the exponent is found to GRID^-PASSES.
+GRID, PASSES = 256, 3
 
 
 @dataclass(frozen=True)
@@ -38,31 +38,23 @@ def source_tokens(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tokens").alias("n_tokens"))
 
 
-def _bisect(sources: DataFrame, meets, passes: int = 5) -> float:
-    """Largest exponent in 0..1, to 2^-25, for which meets(sums) holds; 0 if none does. meets must hold below that exponent.
+def _largest(sources: DataFrame, conditions: list) -> list[float]:
+    """For each condition the largest exponent in 0..1 for which it holds, 0 if none does; a condition must hold below that
+    exponent. It is asked with a, z = sum p^a and l = sum p^a log p over the shares p of the sources.
 
-    sums: a dict for one exponent a with z = sum p^a and l = sum p^a log p over the sources. A pass asks for the sums at all
-    exponents that LEVELS halvings may visit; only those few numbers reach the driver."""
-    p = F.col("share")
-
-    def sums(points: list[float]) -> list[dict]:
-        cols = [c for i, a in enumerate(points) for c in (F.sum(F.pow(p, F.lit(a))).alias(f"z{i}"), F.sum(F.pow(p, F.lit(a)) * F.log(p)).alias(f"l{i}"))]
-        r = sources.agg(*cols).first()
-        return [{"a": a, "z": r[f"z{i}"], "l": r[f"l{i}"]} for i, a in enumerate(points)]
-
-    low, high = 0.0, 1.0
-    if meets(sums([1.0])[0]):
-        return 1.0
-    for _ in range(passes):
-        n = 1 << LEVELS
-        points = [low + (high - low) * i / n for i in range(1, n)]
-        held = [meets(x) for x in sums(points)]
-        i, j = 0, n
-        while j - i > 1:
-            mid = (i + j) // 2
-            i, j = (mid, j) if held[mid - 1] else (i, mid)
-        low, high = low + (high - low) * i / n, low + (high - low) * j / n
-    return low
+    A pass cuts the interval of every condition in GRID parts; GRID + 1 rows of sums reach the driver."""
+    spans = [(0.0, 1.0)] * len(conditions)
+    for _ in range(PASSES):
+        tried = sources.select("share", F.explode(F.sequence(F.lit(0), F.lit(GRID))).alias("i"))
+        at = [F.lit(low) + F.lit((high - low) / GRID) * F.col("i") for low, high in spans]
+        cols = [c for k, a in enumerate(at) for c in (F.sum(F.pow("share", a)).alias(f"z{k}"), F.sum(F.pow("share", a) * F.log("share")).alias(f"l{k}"))]
+        rows = sorted(tried.groupBy("i").agg(*cols).collect(), key=lambda r: r["i"])
+        for k, (low, high) in enumerate(spans):
+            point = lambda i: low + (high - low) / GRID * i  # noqa: E731, B023
+            held = [conditions[k](point(r["i"]), r[f"z{k}"], r[f"l{k}"]) for r in rows]
+            i = held.index(False) - 1 if False in held else GRID
+            spans[k] = (point(max(i, 0)), point(min(i + 1, GRID))) if i >= 0 else (low, low)
+    return [low for low, _ in spans]
 
 
 def temperature(sources: DataFrame, mix: Mix) -> tuple[float, int]:
@@ -77,11 +69,10 @@ def temperature(sources: DataFrame, mix: Mix) -> tuple[float, int]:
     if k < 2:
         return 1.0, budget
     sources = sources.withColumn("share", F.col("n_tokens") / F.lit(total))
-    entropy = lambda x: log(x["z"]) - x["a"] * x["l"] / x["z"]
-    repeats = lambda x: budget / total * (least / total) ** (x["a"] - 1) / x["z"]
-    by_entropy = _bisect(sources, lambda x: entropy(x) >= mix.target_entropy * log(k))
-    too_often = _bisect(sources, lambda x: repeats(x) > mix.max_repeats)
-    return max(by_entropy, min(1.0, too_often + 2.0**-24) if too_often > 0 else 0.0), budget
+    diverse = lambda a, z, l: log(z) - a * l / z >= mix.target_entropy * log(k)  # noqa: E731, E741
+    too_often = lambda a, z, l: budget / total * (least / total) ** (a - 1) / z > mix.max_repeats  # noqa: E731, E741
+    by_entropy, by_repeats = _largest(sources, [diverse, too_often])
+    return max(by_entropy, min(1.0, by_repeats + float(GRID) ** -PASSES) if by_repeats > 0 else 0.0), budget
 
 
 def _key(row_key: Column, seed: int, epoch: Column) -> Column:
@@ -94,7 +85,7 @@ def _block(key: Column, n_blocks: Column) -> Column:
 
 
 def plan(rows: DataFrame, mix: Mix) -> DataFrame:
-    """One row a source: source, n_docs, n_tokens, weight, quota, epochs (whole passes) and cutoff (rows of the last, partial
+    """One row a source: source, n_docs, n_tokens, n_blocks, weight, quota, epochs (whole passes) and cutoff (rows of the last, partial
     pass whose key is at most this are drawn; null: none).
 
     The partial pass is a permutation by hash, cut into blocks by ranges of the hash. Token sums of blocks find the block in
@@ -124,7 +115,26 @@ def plan(rows: DataFrame, mix: Mix) -> DataFrame:
     before = F.ceil(F.col("b").cast("double") / F.col("n_blocks") * F.lit(float(1 << 62))).cast("long") - 1
     cut = first.select("s", F.coalesce("last", before).alias("cutoff"))
     out = quotas.join(cut, F.col("source").eqNullSafe(F.col("s")), "left")
-    return materialize(out.select("source", "n_docs", "n_tokens", "weight", "quota", "epochs", F.when(F.col("rest") > 0, F.col("cutoff")).alias("cutoff")), "mix-plan")
+    return materialize(out.select("source", "n_docs", "n_tokens", "n_blocks", "weight", "quota", "epochs", F.when(F.col("rest") > 0, F.col("cutoff")).alias("cutoff")), "mix-plan")
+
+
+OUTPUTS = ("n_tokens", "weight", "copies", "mix_key", "epoch", "block", "position")
+
+
+def _decided(docs: DataFrame, settings: Mix, tokens: Column | None) -> tuple[DataFrame, dict]:
+    """docs with n_tokens, weight and copies, and under the names given the row's key and its source's epochs and n_blocks."""
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in OUTPUTS])
+    names = dict(zip(("row", "source", "weight", "epochs", "cutoff", "n_blocks"), fresh(docs, "row", "source", "weight", "epochs", "cutoff", "n_blocks"), strict=True))
+    row_key = F.xxhash64("doc_id", "text")
+    counted = count_tokens(F.col("text")) if tokens is None else tokens
+    rows = materialize(docs.select("source", counted.alias("tokens"), row_key.alias("row_key")), "mix-rows")
+    decided = plan(rows, settings).select(*[F.col(c).alias(names[c]) for c in ("source", "weight", "epochs", "cutoff", "n_blocks")])
+    out = docs.withColumn(names["row"], row_key).withColumn("n_tokens", counted).join(decided, F.col("source").eqNullSafe(F.col(names["source"])), "left")
+    epochs = F.coalesce(F.col(names["epochs"]), F.lit(0).cast("long"))
+    last = _key(F.col(names["row"]), settings.seed, epochs)
+    copies = epochs + F.when(last <= F.col(names["cutoff"]), 1).otherwise(0)
+    out = out.withColumn("weight", F.coalesce(names["weight"], F.lit(0.0))).withColumn("copies", copies.cast("int")).withColumn(names["epochs"], epochs)
+    return out.drop(*[names[c] for c in ("source", "weight", "cutoff")]), names
 
 
 def mix(docs: DataFrame, settings: Mix = Mix(), tokens: Column | None = None) -> DataFrame:
@@ -134,24 +144,30 @@ def mix(docs: DataFrame, settings: Mix = Mix(), tokens: Column | None = None) ->
     A source's budget is quota = budget * weight tokens: whole epochs draw every row once each, and the last pass draws rows
     in the order of a seeded hash while their tokens fit the rest, so a source comes short of its quota by less than the
     next document. Equal rows have equal places and are drawn alike. A null source is a source; sources without any token
-    have weight 0 and no copies; null and empty texts have 0 tokens and follow their source; an empty table stays empty;
-    input columns named like an output are replaced."""
-    outputs = ("n_tokens", "weight", "copies", "mix_key")
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in outputs])
-    s, epochs, cutoff, key, weight, row = fresh(docs, "source", "epochs", "cutoff", "key", "weight", "row")
-    row_key = F.xxhash64("doc_id", "text")
-    counted = count_tokens(F.col("text")) if tokens is None else tokens
-    rows = materialize(docs.select("source", counted.alias("tokens"), row_key.alias("row_key")), "mix-rows")
-    decided = plan(rows, settings).select(F.col("source").alias(s), F.col("weight").alias(weight), F.col("epochs").alias(epochs), F.col("cutoff").alias(cutoff))
-    out = docs.withColumn(row, row_key).withColumn("n_tokens", counted).join(decided, F.col("source").eqNullSafe(F.col(s)), "left")
-    out = out.withColumn(key, _key(F.col(row), settings.seed, F.coalesce(epochs, F.lit(0).cast("long"))))
-    copies = F.coalesce(F.col(epochs), F.lit(0)) + F.when(F.col(key) <= F.col(cutoff), 1).otherwise(0)
-    return out.withColumn("weight", F.coalesce(weight, F.lit(0.0))).withColumn("copies", copies.cast("int")).withColumnRenamed(key, "mix_key").drop(s, epochs, cutoff, weight, row)
+    have weight 0 and no copies; null and empty texts have 0 tokens and follow their source; a single source has weight 1;
+    an empty table stays empty; input columns named like an output are replaced. Long texts are counted whole."""
+    out, names = _decided(docs, settings, tokens)
+    return out.withColumn("mix_key", _key(F.col(names["row"]), settings.seed, F.col(names["epochs"]))).drop(*names.values())
+
+
+def schedule(docs: DataFrame, settings: Mix = Mix(), tokens: Column | None = None, keep_text: bool = True) -> DataFrame:
+    """The rows of docs (without text if keep_text is false) once for each time they are drawn, with n_tokens, weight, copies
+    and their place: epoch (from 0), block and position (both from 0) in the epoch's permutation of the source.
+
+    Epochs of a source differ in order; a block holds BLOCK_DOCS rows on average, so that no task orders a source. Reading a
+    source by (epoch, block, position) draws its quota. Nulls, empties and clashing columns as in mix()."""
+    out, names = _decided(docs, settings, tokens)
+    out = (out if keep_text else out.drop("text")).where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    (key,) = fresh(out, "key")
+    out = out.withColumn(key, _key(F.col(names["row"]), settings.seed, F.col("epoch").cast("long")))
+    out = out.withColumn("block", _block(F.col(key), F.col(names["n_blocks"])))
+    place = F.row_number().over(W.partitionBy("source", "epoch", "block").orderBy(key)) - 1
+    return out.withColumn("position", place).drop(key, *names.values())
 
 
 def draw(docs: DataFrame, settings: Mix = Mix()) -> DataFrame:
     """The rows of docs as often as mix() draws them, columns as they are."""
-    clash = {c: n for c, n in zip(docs.columns, fresh(docs, *docs.columns), strict=True) if c.lower() in ("n_tokens", "weight", "copies", "mix_key")}
+    clash = {c: n for c, n in zip(docs.columns, fresh(docs, *docs.columns), strict=True) if c.lower() in OUTPUTS}
     (c,) = fresh(docs, "copy")
     chosen = mix(docs.withColumnsRenamed(clash), settings).where("copies > 0").withColumn(c, F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return chosen.select(*[F.col(clash.get(x, x)).alias(x) for x in docs.columns])

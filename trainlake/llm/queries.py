@@ -130,8 +130,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", "source", "n_tokens", "weight", "copies", "mix_key")
+    out = mixing.schedule(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep_text=False)
+    return out.select("doc_id", "source", "n_tokens", "weight", "copies", "epoch", "block", "position")
 
 
 def queries() -> dict:
