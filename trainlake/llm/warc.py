@@ -67,19 +67,23 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, digest:
 
 
 def inflate(read, block: int = BLOCK) -> Iterator[bytes]:
-    """Blocks of the inflated stream, of any number of gzip members, never more than `block` bytes at a time."""
-    z, data = zlib.decompressobj(31), b""
+    """Blocks of the inflated stream, of any number of gzip members, never more than `block` bytes at a time. A stream that
+    ends within a member raises EOFError."""
+    z, data, within = zlib.decompressobj(31), b"", False
     while True:
         data = data or read(block)
         if not data:
+            if within:
+                raise EOFError("the gzip stream ends within a member")
             break
+        within = True
         yield z.decompress(data, block)
         data = z.unconsumed_tail
         while not z.eof and z.unconsumed_tail:
             yield z.decompress(data, block)
             data = z.unconsumed_tail
         if z.eof:
-            z, data = zlib.decompressobj(31), z.unused_data
+            z, data, within = zlib.decompressobj(31), z.unused_data, False
 
 
 def split_records(blocks: Iterator[bytes]) -> Iterator[bytes]:
