@@ -71,7 +71,9 @@ def rule_counts(text):
     return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
 
 
-def test_quality_rules(spark):
+@pytest.mark.parametrize("bits", [64, 5])
+def test_quality_rules(spark, monkeypatch, bits):
+    monkeypatch.setattr(quality_rules, "HASH_BITS", bits)  # 5: different windows have equal hashes
     rng = random.Random(4)
     texts = [None, "", " \n", "a", "a b", "a b c a b c", "x " * 300, "über 😀 |#|\n" * 5, "A B C\nA B C\n\n"]
     texts += [" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 120))) for _ in range(40)]

@@ -28,6 +28,10 @@ POLICIES = {
 }
 
 
+#: Bits of a window's hash at most; the length of the text takes the low ones.
+HASH_BITS = 64
+
+
 @dataclass(frozen=True)
 class Limits:
     min_words: int = 50
@@ -47,7 +51,11 @@ def _repeat_words(words: Column) -> Column:
     """Words that lie in a 3-word window found twice or more in the text.
 
     Each window becomes one long: hash above, position in the low bits. After one primitive sort equal windows are
-    neighbours; equal hash bits are confirmed on the words themselves."""
+    neighbours; equal hash bits are confirmed on the words themselves. Where different windows of a text have equal hash
+    bits, all windows of that text are compared by their words."""
+
+    def shift_of(ws: Column) -> Column:
+        return F.greatest(F.length(F.bin(F.size(ws).cast("long"))), F.lit(64 - HASH_BITS))
 
     def windows(ws: Column, shift: Column) -> Column:
         keep = F.expr("-1L")
@@ -59,28 +67,30 @@ def _repeat_words(words: Column) -> Column:
         return F.sort_array(F.transform(F.slice(ws, F.lit(1), F.size(ws) - 2), pack))
 
     def count(ws: Column) -> Column:
-        return let(F.length(F.bin(F.size(ws).cast("long"))), lambda shift: let(windows(ws, shift), lambda s: covered(ws, shift, s)))
+        return let(shift_of(ws), lambda shift: let(windows(ws, shift), lambda s: covered(ws, shift, s)))
 
     def position(x: Column, shift: Column) -> Column:
         return x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1).cast("int")
 
-    def same(ws: Column, shift: Column, x: Column, y: Column) -> Column:
-        p, q = position(x, shift), position(y, shift)
-        exact = (F.get(ws, p) == F.get(ws, q)) & (F.get(ws, p + 1) == F.get(ws, q + 1)) & (F.get(ws, p + 2) == F.get(ws, q + 2))
-        return (F.call_function("shiftrightunsigned", x.bitwiseXOR(y), shift) == 0) & exact
+    def alike(shift: Column, x: Column, y: Column) -> Column:
+        return F.call_function("shiftrightunsigned", x.bitwiseXOR(y), shift) == 0
+
+    def exact(ws: Column, p: Column, q: Column) -> Column:
+        return (F.get(ws, p) == F.get(ws, q)) & (F.get(ws, p + 1) == F.get(ws, q + 1)) & (F.get(ws, p + 2) == F.get(ws, q + 2))
+
+    def spans(places: Column) -> Column:
+        """Words of the windows at the given places, ascending."""
+        return let(places, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1), x + 3) - x)), F.lit(0), lambda a, x: a + x))
 
     def covered(ws: Column, shift: Column, s: Column) -> Column:
-        later = F.filter(s, lambda x, i: (i > 0) & same(ws, shift, x, F.get(s, i - 1)))
-        either = F.filter(s, lambda x, i: ((i > 0) & same(ws, shift, x, F.get(s, i - 1))) | ((i + 1 < F.size(s)) & same(ws, shift, x, F.get(s, i + 1))))
-        spans = let(
-            F.sort_array(F.transform(either, lambda x: position(x, shift))),
-            lambda p: F.aggregate(
-                F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1), x + 3) - x)),
-                F.lit(0),
-                lambda a, x: a + x,
-            ),
-        )
-        return F.when(F.size(later) == 0, F.lit(0)).otherwise(spans)
+        beside = lambda x, i, k: alike(shift, x, F.get(s, i + k))
+        twins = F.filter(s, lambda x, i: (i > 0) & beside(x, i, -1))
+        unlike = F.filter(s, lambda x, i: (i > 0) & beside(x, i, -1) & ~exact(ws, position(x, shift), position(F.get(s, i - 1), shift)))
+        either = F.filter(s, lambda x, i: ((i > 0) & beside(x, i, -1)) | ((i + 1 < F.size(s)) & beside(x, i, 1)))
+        by_hash = spans(F.sort_array(F.transform(either, lambda x: position(x, shift))))
+        every = F.sequence(F.lit(0), F.size(ws) - 3)
+        by_words = spans(F.filter(every, lambda i: F.exists(every, lambda j: (i != j) & exact(ws, i, j))))
+        return F.when(F.size(twins) == 0, F.lit(0)).when(F.size(unlike) == 0, by_hash).otherwise(by_words)
 
     return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(words, count)).cast("long")
 
