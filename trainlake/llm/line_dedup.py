@@ -29,11 +29,11 @@ def _grams(h: Column, size: int) -> Column:
 
 
 def _minima(g: Column, width: int) -> Column:
-    """Places of the least hash of every window (the last of equals), each once."""
+    """Places of the least hash of every window (the first of equals), each once."""
 
     def place(i: Column) -> Column:
         best = lambda k: F.struct(F.get(g, i + k).alias("h"), (i + k).alias("p"))
-        return F.greatest(*[best(k) for k in range(width)])["p"] if width > 1 else i
+        return F.least(*[best(k) for k in range(width)])["p"] if width > 1 else i
 
     n = F.size(g) - (width - 1)
     return F.when(n > 0, F.array_distinct(F.transform(F.slice(g, F.lit(1), F.greatest(n, F.lit(0))), lambda _, i: place(i.cast("int"))))).otherwise(F.array().cast("array<int>"))
