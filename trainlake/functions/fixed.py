@@ -55,23 +55,37 @@ HOSTS = {
 
 # Topic -> words. Order decides ties.
 TOPICS = {
-    "training": """训练, 跑步, 运动, 锻炼, 健身, 跑量, 配速, 间歇, 节奏跑, 长距离, 周期化, 训练计划, 力量训练, 核心, 专项, 超量恢复, 最大摄氧量, 乳酸阈, 跑姿, 步频, 步幅, 训练强度, 耐力, 体能,
-        exercise, exercises, exercising, fitness, workout, workouts, physical activity, training, run, runs, running,
-        runner, jog, jogging, marathon, interval, tempo, periodization, vo2max, vo2 max, lactate threshold, endurance,
-        aerobic, anaerobic, strength, resistance training, plyometric, cardio, conditioning, warm-up, cooldown, mileage,
-        pace""",
-    "recovery": """恢复, 睡眠, 休息, 拉伸, 放松, 按摩, 疲劳, 过度训练, 肌肉酸痛, 冷疗, 冰浴, 心率变异, 静息心率, recovery, sleep, sleeping, rest, overtraining,
-        stretching, mobility, foam roll, doms, soreness, hrv, cold plunge""",
-    "injury": """伤病, 损伤, 膝, 跟腱, 足底筋膜, 胫骨, 髂胫束, 拉伤, 疼痛, 康复, 预防, 跑步膝, 扭伤, injury, injuries, tendon, achilles, plantar, itbs,
-        shin splint, rehab, rehabilitation, prevention, sprain, strain, stress fracture, patellofemoral""",
-    "nutrition": """营养, 饮食, 蛋白, 碳水, 补剂, 电解质, 水分, 补给, 肌酸, 咖啡因, 减脂, 热量, 膳食, nutrition, diet, protein, carb, carbohydrate, hydration,
-        electrolyte, creatine, caffeine, supplement, calorie, calories, fueling, glycogen, macronutrient""",
-    "health": """心率, 血压, 血糖, 体脂, 心脏, 健康, 体检, 代谢, 免疫, 骨密度, 慢性病, 心血管, heart rate, blood pressure, body fat, metabolic, health,
-        cardiovascular, cholesterol, diabetes, hypertension, bone density, immune, wellness, sedentary""",
-    "weight_loss": """减重, 减肥, 体重, 瘦身, 热量缺口, 基础代谢, 肥胖, weight loss, losing weight, body weight, bodyweight, caloric deficit, bmi,
-        obesity, energy balance""",
-}
-TOPICS = {topic: [" ".join(w.split()) for w in words.split(",")] for topic, words in TOPICS.items()}
+    "training": [
+        "训练", "跑步", "运动", "锻炼", "健身", "跑量", "配速", "间歇", "节奏跑", "长距离", "周期化", "训练计划", "力量训练", "核心", "专项", "超量恢复", "最大摄氧量",
+        "乳酸阈", "跑姿", "步频", "步幅", "训练强度", "耐力", "体能", "exercise", "exercises", "exercising", "fitness", "workout", "workouts",
+        "physical activity", "training", "run", "runs", "running", "runner", "jog", "jogging", "marathon", "interval",
+        "tempo", "periodization", "vo2max", "vo2 max", "lactate threshold", "endurance", "aerobic", "anaerobic", "strength",
+        "resistance training", "plyometric", "cardio", "conditioning", "warm-up", "cooldown", "mileage", "pace",
+    ],
+    "recovery": [
+        "恢复", "睡眠", "休息", "拉伸", "放松", "按摩", "疲劳", "过度训练", "肌肉酸痛", "冷疗", "冰浴", "心率变异", "静息心率", "recovery", "sleep",
+        "sleeping", "rest", "overtraining", "stretching", "mobility", "foam roll", "doms", "soreness", "hrv", "cold plunge",
+    ],
+    "injury": [
+        "伤病", "损伤", "膝", "跟腱", "足底筋膜", "胫骨", "髂胫束", "拉伤", "疼痛", "康复", "预防", "跑步膝", "扭伤", "injury", "injuries", "tendon",
+        "achilles", "plantar", "itbs", "shin splint", "rehab", "rehabilitation", "prevention", "sprain", "strain",
+        "stress fracture", "patellofemoral",
+    ],
+    "nutrition": [
+        "营养", "饮食", "蛋白", "碳水", "补剂", "电解质", "水分", "补给", "肌酸", "咖啡因", "减脂", "热量", "膳食", "nutrition", "diet", "protein",
+        "carb", "carbohydrate", "hydration", "electrolyte", "creatine", "caffeine", "supplement", "calorie", "calories",
+        "fueling", "glycogen", "macronutrient",
+    ],
+    "health": [
+        "心率", "血压", "血糖", "体脂", "心脏", "健康", "体检", "代谢", "免疫", "骨密度", "慢性病", "心血管", "heart rate", "blood pressure",
+        "body fat", "metabolic", "health", "cardiovascular", "cholesterol", "diabetes", "hypertension", "bone density",
+        "immune", "wellness", "sedentary",
+    ],
+    "weight_loss": [
+        "减重", "减肥", "体重", "瘦身", "热量缺口", "基础代谢", "肥胖", "weight loss", "losing weight", "body weight", "bodyweight",
+        "caloric deficit", "bmi", "obesity", "energy balance",
+    ],
+}
 
 # Evidence level -> phrases, in order; then hosts that count as reviews.
 EVIDENCE = [
