@@ -176,12 +176,9 @@ def _cosines(a: list, b: list) -> np.ndarray:
     return np.round(out, 12) + 0.0
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, top: int = RECALL, block: int = BLOCK, others: bool = False) -> DataFrame:
-    """query_id, id, cosine, place: the `top` nearest vectors of each query of a stated set, against all vectors; with `others` a
-    vector of the query's own id doesn't count. Ties by id.
-
-    A pass over the vectors takes a block of queries: tasks multiply matrices and keep what is best in each of their batches, so
-    no table of pairs is made and the shuffle carries at most `top` rows a query and batch."""
+def _near(queries: DataFrame, vectors: DataFrame, top: int, block: int, others: bool) -> DataFrame:
+    """query_id, id, cosine: of each batch of vectors the `top` nearest to each query. A pass over the vectors takes a block of
+    queries; tasks multiply matrices, so no table of pairs is made."""
     ship(vectors.sparkSession)
 
     def run(rows: list) -> DataFrame:
@@ -199,9 +196,14 @@ def nearest(queries: DataFrame, vectors: DataFrame, top: int = RECALL, block: in
         return vectors.select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(task, "query_id long, id long, cosine double")
 
     none = vectors.select(F.lit(0).cast("long").alias("query_id"), F.col("id").cast("long").alias("id"), F.lit(0.0).alias("cosine")).limit(0)
-    best = _union(map(run, _blocks(queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding"), block)), none)
+    return _union(map(run, _blocks(queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding"), block)), none)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, top: int = RECALL, block: int = BLOCK, others: bool = False) -> DataFrame:
+    """query_id, id, cosine, place: the `top` nearest vectors of each query of a stated set, against all vectors; with `others` a
+    vector of the query's own id doesn't count. Ties by id. The shuffle carries at most `top` rows a query and batch."""
     w = W.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
-    return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+    return _near(queries, vectors, top, block, others).withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
 
 
 def recall_pool(queries: DataFrame, vectors: DataFrame, hits: DataFrame, size: int = RECALL, least: float = EXTRA_MIN, block: int = BLOCK) -> DataFrame:
@@ -240,7 +242,7 @@ def prototype_scores(vectors: DataFrame, prototypes: DataFrame, block: int = BLO
 
 def evaluate(queries: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """One row: how many queries have another vector of `threshold` or more, how many have none, and the range of the best."""
-    best = nearest(queries, vectors, 1, others=True)
+    best = _near(queries, vectors, 1, BLOCK, True).groupBy("query_id").agg(F.max("cosine").alias("cosine"))
     hit = F.col("cosine") >= threshold
     return best.agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), pyround(F.min("cosine"), 4).alias("lowest"), pyround(F.max("cosine"), 4).alias("highest"))
 
