@@ -12,8 +12,20 @@ AS_OF = "2001-08-01"
 AS_OF_EVENTS = "2024-01-31"
 
 
+#: Tables of texts, whose rows cost far more to work on than to move.
+TEXTS = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df as it is where it has a part for every core; a table in fewer parts (a file of one row group can't be split) is dealt
+    out to all cores. Large tables have many parts and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
