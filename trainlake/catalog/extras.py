@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text, url
+from ..functions import fixed, text
 from ..functions.numbers import pyround
 from ..operators import activities, extract, rounds
 from ..operators import articles as art
@@ -49,11 +49,12 @@ def fn45_images(spark, sf_dir):
     return d.select("doc_id", F.array_join(text.image_urls(md, 3), ",").alias("urls"))
 
 
-@query("select doc_id, case when doc_id % 4 < 3 then '{\"a\": ' || doc_id::varchar || '}' end as body from documents")
+@query("select doc_id, case when doc_id % 4 < 3 then to_json({'a': doc_id, 't': left(replace(coalesce(text, ''), chr(10), ' '), 40)})::varchar end as body from documents")
 def fn47_tolerant_json(spark, sf_dir):
+    """Objects of a document's id and beginning: bare, fenced, with words around, and cut off."""
     k = F.col("doc_id")
-    obj = F.format_string('{"a": %d}', k)
-    raw = F.when(k % 4 == 0, obj).when(k % 4 == 1, F.concat(F.lit("```json\n"), obj, F.lit("\n```"))).when(k % 4 == 2, F.concat(F.lit("Sure: "), obj, F.lit(" done"))).otherwise("none {broken")
+    obj = F.to_json(F.struct(k.alias("a"), F.left(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), F.lit(40)).alias("t")))
+    raw = F.when(k % 4 == 0, obj).when(k % 4 == 1, F.concat(F.lit("```json\n"), obj, F.lit("\n```"))).when(k % 4 == 2, F.concat(F.lit("Sure: "), obj, F.lit(" done"))).otherwise(F.substring(obj, 1, 12))
     return tables.table(spark, sf_dir, "documents").select("doc_id", extract.tolerant_json(raw).alias("body"))
 
 
@@ -138,9 +139,13 @@ def crw06_minimum(spark, sf_dir):
     return m.select("doc_id", (F.length(text.clean_markdown(F.col("content_md"))) >= 300).alias("long_enough"))
 
 
-@query("select doc_id, doc_id % 4 = 1 as news from documents")
+_TITLES = ["关于召开年度会议的通知", "如何科学跑步", "2024年度大会在京召开", "领导调研基层工作", "Sleep and recovery", "签约仪式举行", "膝盖疼怎么办", "研讨会成功举办"]
+
+
+@query(f"select doc_id, regexp_matches(left(coalesce(text, ''), 10) || {_TITLES}[doc_id % 8 + 1], '{fixed.NEWS}') as news from documents")
 def fn44_news(spark, sf_dir):
-    t = F.when(F.col("doc_id") % 4 == 1, "关于召开年度会议的通知").when(F.col("doc_id") % 4 == 2, "如何科学跑步").otherwise("A title")
+    """Titles of a document's beginning and one of eight headlines."""
+    t = F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(10)), F.element_at(F.array(*[F.lit(x) for x in _TITLES]), (F.col("doc_id") % 8 + 1).cast("int")))
     return tables.table(spark, sf_dir, "documents").select("doc_id", art.is_news(t).alias("news"))
 
 
