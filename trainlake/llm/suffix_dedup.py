@@ -5,7 +5,8 @@ hashes say.
 A string of LENGTH bytes is owned by its least GRAM-byte substring (by hash, leftmost of ties), its anchor. Equal strings
 have equal anchors at equal places, so only suffixes that start with strings of one anchor need to be compared. Anchors that
 occur in one document only are dropped before any text moves; of the others a segment moves: the bytes of all
-neighbouring strings that one anchor place owns, fewer than 2 * LENGTH of them."""
+neighbouring strings that one anchor place owns, fewer than 2 * LENGTH of them. Equal segments become one before the sort.
+Anchors of many places are dealt to several buckets by the content of their strings, so that no bucket is large."""
 
 from __future__ import annotations
 
@@ -16,15 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, new_path
-from .textcore import INVERSE, U, mix, powers, prefix
+from .common import map_batches, materialize, new_path, released_shuffles
+from .textcore import INVERSE, U, mix, powers, prefix, spans_hash
 
 LENGTH = 50
-GRAM = 16
-#: Texts with an anchor up to which its bucket is sorted in one task; larger ones are grouped string by string.
+GRAM = 24
+#: Places of an anchor to a bucket; an anchor of more places gets more buckets, and its strings go to them by content.
 BUCKET_ROWS = 10_000
 #: Strings of a text looked at at once.
 PIECE = 4 << 20
+#: Bytes of small texts that are looked at together.
+GROUP = 1 << 16
 _AT_BITS = 24
 _RUN = 64
 
@@ -35,85 +38,144 @@ def _gram_hashes(b: np.ndarray, gram: int) -> np.ndarray:
     return mix((p[gram:] - p[:-gram]) * powers(INVERSE, len(p))[:n])
 
 
-def anchor_runs(b: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Runs of neighbouring strings with one anchor place: (start of the first, number of strings, anchor less start, hash)
-    as four arrays. Texts shorter than length have none."""
-    out = []
-    for top in range(0, len(b) - length + 1, PIECE):
-        piece = b[top : top + PIECE + length - 1]
-        h = _gram_hashes(piece, gram)
-        low = U((1 << _AT_BITS) - 1)
-        least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-        width, have = length - gram + 1, 1
-        while have < width:
-            step = min(have, width - have)
-            least = np.minimum(least[:-step], least[step:])
-            have += step
-        at = (least & low).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        count = np.diff(np.r_[first, len(at)])
-        out.append((first + top, count, at[first] - first, h[at[first]]))
-    if not out:
-        return tuple(np.empty(0, np.int64) for _ in range(3)) + (np.empty(0, np.uint64),)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+def _anchor_places(b: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every gram, and for every string of `length` bytes the place of its anchor."""
+    h = _gram_hashes(b, gram)
+    low = U((1 << _AT_BITS) - 1)
+    least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+    width, have = length - gram + 1, 1
+    while have < width:
+        step = min(have, width - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    return h, (least & low).astype(np.int64)
+
+
+def anchor_runs(texts: list[np.ndarray], length: int = LENGTH, gram: int = GRAM):
+    """For each text its runs of neighbouring strings with one anchor place: (start of the first, number of strings, anchor less
+    start, hash) as four arrays; none for texts shorter than length. Small texts are looked at together, long ones in pieces."""
+    none = tuple(np.empty(0, np.int64) for _ in range(3)) + (np.empty(0, np.uint64),)
+
+    def together(group: list[np.ndarray]):
+        size = np.array([len(b) for b in group])
+        end = np.cumsum(size)
+        h, at = _anchor_places(np.concatenate(group), length, gram)
+        text = np.repeat(np.arange(len(group)), size)[: len(at)]
+        new = np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])]
+        first = np.flatnonzero(new & (np.arange(len(at)) + length <= end[text]))
+        own = text[first]
+        count = np.minimum(np.r_[first[1:], len(at)], end[own] - length + 1) - first
+        cut = np.searchsorted(own, np.arange(len(group) + 1))
+        cols = first - (end - size)[own], count, at[first] - first, h[at[first]]
+        return [tuple(c[cut[i] : cut[i + 1]] for c in cols) for i in range(len(group))]
+
+    def alone(b: np.ndarray):
+        out = []
+        for top in range(0, len(b) - length + 1, PIECE):
+            ((start, *rest),) = together([b[top : top + PIECE + length - 1]])
+            out.append((start + top, *rest))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    group: list[np.ndarray] = []
+    held = 0
+    for b in texts:
+        fits = length <= len(b) <= GROUP
+        if group and (not fits or held + len(b) > GROUP):
+            yield from together(group)
+            group, held = [], 0
+        if fits:
+            group.append(b)
+            held += len(b)
+        else:
+            yield alone(b) if len(b) >= length else none
+    if group:
+        yield from together(group)
 
 
 def _bytes(text) -> np.ndarray:
     return np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else np.empty(0, np.uint8)
 
 
-def _pack(start: np.ndarray, count: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (start * _RUN + count) * _RUN + at
-
-
 def _batch(schema: list[tuple], *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, schema, strict=True)], [n for n, _ in schema])
 
 
-def _anchors(batches, length: int):
-    """h: the anchors of each text, each once."""
+def _each(b: pa.RecordBatch, length: int) -> list[tuple]:
+    """The anchors of each text, each once with the number of its places."""
+    return [np.unique(runs[3], return_counts=True) for runs in anchor_runs([_bytes(text) for text in b.column("text")], length)]
+
+
+def _count_anchors(batches, length: int):
+    """h, texts, places: sums over the texts of a batch, so that frequent anchors are a row a batch."""
     for b in batches:
-        hs = [np.unique(anchor_runs(_bytes(text), length)[3]).view(np.int64) for text in b.column(0)]
-        yield _batch([("h", pa.int64())], np.concatenate([*hs, np.empty(0, np.int64)]))
+        each = _each(b, length)
+        h, back, texts = np.unique(np.concatenate([*(x[0] for x in each), np.empty(0, np.uint64)]), return_inverse=True, return_counts=True)
+        places = np.bincount(back, np.concatenate([*(x[1] for x in each), np.empty(0, np.int64)]), len(h)).astype(np.int64)
+        yield _batch([("h", pa.int64()), ("texts", pa.int32()), ("places", pa.int64())], h.view(np.int64), texts, places)
 
 
-def _anchor_places(batches, length: int):
-    """doc_id, th, h, run: every run of every text."""
+def _anchors(batches, length: int):
+    """h, doc_id, th: the anchors of each text, each once."""
     for b in batches:
-        hs, runs, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
-        for text in b.column("text"):
-            start, count, at, h = anchor_runs(_bytes(text), length)
-            hs.append(h.view(np.int64))
-            runs.append(_pack(start, count, at))
-            n.append(len(h))
-        who = np.repeat(np.arange(len(n)), n)
+        each = _each(b, length)
+        who = np.repeat(np.arange(len(each)), [len(h) for h, _ in each])
         ids = [b.column(x).to_numpy(zero_copy_only=False)[who] for x in ("doc_id", "th")]
-        yield _batch([("doc_id", pa.int64()), ("th", pa.int32()), ("h", pa.int64()), ("run", pa.int64())], *ids, np.concatenate(hs), np.concatenate(runs))
+        hs = np.concatenate([*(h for h, _ in each), np.empty(0, np.uint64)])
+        yield _batch([("h", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32())], hs.view(np.int64), *ids)
+
 
+_SEGMENT = [("h", pa.int64()), ("salt", pa.int32()), ("sh", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32()), ("at", pa.int32()), ("seg", pa.binary()), ("starts", pa.list_(pa.int64()))]
 
-_SEGMENT = [("h", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32()), ("at", pa.int32()), ("seg", pa.binary()), ("starts", pa.list_(pa.int64())), ("hot", pa.bool_())]
 
+def _gather(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """raw[start:start + size] of all pieces, one behind the other."""
+    end = np.cumsum(size)
+    return raw[np.arange(end[-1] if len(end) else 0) + np.repeat(start - end + size, size)]
+
+
+def _segments(batches, length: int, most: int = 8 << 20):
+    """The segments of shared anchors. Those of an anchor with k > 1 buckets are cut into their single strings, which go to a
+    bucket by their hash. Equal segments of a text with one anchor are one row with several starts."""
+
+    def batch(parts):
+        h, salt, sh, doc, th, at, size, seg, n, starts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        offsets = lambda x: pa.py_buffer(np.r_[0, np.cumsum(x)].astype(np.int32))
+        segs = pa.Array.from_buffers(pa.binary(), len(h), [None, offsets(size), pa.py_buffer(np.ascontiguousarray(seg))])
+        lists = pa.ListArray.from_buffers(pa.list_(pa.int64()), len(h), [None, offsets(n)], children=[pa.array(starts, pa.int64())])
+        cols = [pa.array(h), pa.array(salt), pa.array(sh), pa.array(doc), pa.array(th), pa.array(at.astype(np.int32)), segs, lists]
+        return pa.RecordBatch.from_arrays(cols, [c for c, _ in _SEGMENT])
 
-def _segments(batches, length: int):
-    """The bytes of each shared run; equal segments of a text with one anchor are one row with several starts."""
     for b in batches:
-        rows: list[tuple] = []
-        for doc_id, th, text, runs in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), b.column("text"), b.column("runs"), strict=True):
-            raw = text.as_buffer().to_pybytes()
-            run = runs.values.field("run").to_numpy()
-            start, count, at = run // (_RUN * _RUN), run // _RUN % _RUN, run % _RUN
-            seen: dict[tuple, list] = {}
-            for h, hot, s, n, a in zip(runs.values.field("h").to_pylist(), runs.values.field("hot").to_pylist(), start.tolist(), count.tolist(), at.tolist(), strict=True):
-                seg = raw[s : s + n + length - 1]
-                if (h, seg) in seen:
-                    seen[h, seg].append(s)
-                else:
-                    seen[h, seg] = starts = [s]
-                    rows.append((h, doc_id, th, a, seg, starts, hot))
-            if len(rows) >= 20_000:
-                yield _batch(_SEGMENT, *zip(*rows, strict=True))
-                rows = []
-        yield _batch(_SEGMENT, *(zip(*rows, strict=True) if rows else [()] * len(_SEGMENT)))
+        parts, held = [], 0
+        texts = [_bytes(text) for text in b.column("text")]
+        for doc_id, th, raw, wanted, (start, count, at, h) in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), texts, b.column("wanted"), anchor_runs(texts, length), strict=True):
+            hs, ks = wanted.values.field("h").to_numpy(), wanted.values.field("k").to_numpy()
+            order = np.argsort(hs)
+            hs, ks = hs[order], ks[order]
+            h = h.view(np.int64)
+            place = np.minimum(np.searchsorted(hs, h), len(hs) - 1)
+            keep = hs[place] == h
+            start, count, at, h, k = start[keep], count[keep], at[keep], h[keep], ks[place[keep]]
+            if (k > 1).any():
+                each = np.where(k > 1, count, 1)
+                j = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                start, count, at, h, k = (np.repeat(x, each) for x in (start, count, at, h, k))
+                start, at, count = start + j, at - j, np.where(k > 1, 1, count)
+            size = count + length - 1
+            sh = spans_hash(prefix(raw), start, start + size)
+            order = np.lexsort((start, sh, h))
+            start, at, h, sh, size, k = (x[order] for x in (start, at, h, sh, size, k))
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (sh[1:] != sh[:-1])])
+            n = np.diff(np.r_[first, len(h)])
+            h, sh, size, at = h[first], sh[first], size[first], at[first]
+            salt = (sh % k[first].astype(np.uint64)).astype(np.int32)
+            parts.append((h, salt, sh.view(np.int64), np.full(len(h), doc_id), np.full(len(h), th, np.int32), at, size, _gather(raw, start[first], size), n, start))
+            held += int(size.sum())
+            if held > most:
+                yield batch(parts)
+                parts, held = [], 0
+        if parts:
+            yield batch(parts)
 
 
 class _Suffixes:
@@ -192,47 +254,46 @@ class _Suffixes:
         return np.r_[False, same & (group[order[1:]] == group[order[:-1]])]
 
 
-def later_strings(seg: list[bytes], h: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For each segment a bit mask of its strings that also start in a segment of a smaller doc with the same anchor. Equal
-    segments are sorted once, with their smallest doc."""
-    index: dict[tuple, int] = {}
-    same = np.array([index.setdefault(k, len(index)) for k in zip(h.tolist(), seg, strict=True)])
-    one = np.empty(len(index), np.int64)
-    one[same] = np.arange(len(same))
-    first = np.full(len(index), np.iinfo(np.int64).max)
-    np.minimum.at(first, same, doc)
-    raw = np.frombuffer(b"".join(k[1] for k in index), np.uint8)
-    size = np.array([len(k[1]) for k in index], np.int64)
+def later_strings(raw: np.ndarray, size: np.ndarray, bucket: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """raw holds segments of the given sizes one behind the other. For each a bit mask of its strings that also start in a
+    segment of a smaller doc in the same bucket."""
     start, count = np.cumsum(size) - size, size - length + 1
     base = np.cumsum(count) - count
-    who = np.repeat(np.arange(len(index)), count)
+    who = np.repeat(np.arange(len(size)), count)
     j = np.arange(len(who)) - base[who]
-    _, bucket = np.unique(h[one], return_inverse=True)
-    group = bucket[who] * _RUN + at[one][who] - j
     strings = _Suffixes(raw, start[who] + j, length)
+    group = bucket[who] * _RUN + at[who] - j
     order = strings.sort(group)
     head = np.flatnonzero(~strings.equal_next(order, group))
     least = np.empty(len(order), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(first[who[order]], head), np.diff(np.r_[head, len(order)]))
-    mask = np.zeros(len(seg), np.int64)
-    for k in range(int(count.max())):
-        has = count[same] > k
-        mask[has] |= (least[base[same[has]] + k] < doc[has]).astype(np.int64) << k
-    return mask
+    least[order] = np.repeat(np.minimum.reduceat(doc[who[order]], head), np.diff(np.r_[head, len(order)]))
+    return np.bitwise_or.reduceat((least < doc[who]).astype(np.int64) << j, base)
 
 
-_MASK = [("doc_id", pa.int64()), ("th", pa.int32()), ("starts", pa.list_(pa.int64())), ("mask", pa.int64())]
+_FOUND = [("h", pa.int64()), ("sh", pa.int64()), ("first", pa.int64()), ("mask", pa.int64())]
 
 
 def _sort_buckets(batches, length: int, most: int = 20_000):
-    """Segments come sorted by h; whole buckets are sorted, about `most` segments at a time."""
+    """Distinct segments come sorted by (h, salt); whole buckets are sorted, about `most` segments at a time. Gives those of
+    which strings start in a smaller doc than the first that holds them, or that later docs hold too."""
     held: list[pa.RecordBatch] = []
     n = 0
 
     def work(table: pa.Table):
-        h, doc = table["h"].to_numpy(), table["doc_id"].to_numpy()
-        mask = later_strings(table["seg"].to_pylist(), h, table["at"].to_numpy().astype(np.int64), doc, length)
-        out = table.append_column("mask", pa.array(mask)).filter(pa.array(mask != 0)).select([c for c, _ in _MASK])
+        table = table.combine_chunks()
+        h, salt = table["h"].to_numpy(), table["salt"].to_numpy()
+        new = np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])]
+        bucket = np.cumsum(new)
+        several = ~(new & np.r_[new[1:], True])
+        mask = np.zeros(len(h), np.int64)
+        if several.any():
+            seg = table["seg"].chunk(0)
+            offsets = np.frombuffer(seg.buffers()[1], np.int32)[seg.offset : seg.offset + len(seg) + 1].astype(np.int64)
+            size = np.diff(offsets)[several]
+            raw = _gather(np.frombuffer(seg.buffers()[2], np.uint8), offsets[:-1][several], size)
+            mask[several] = later_strings(raw, size, bucket[several], table["at"].to_numpy()[several].astype(np.int64), table["first"].to_numpy()[several], length)
+        keep = (mask != 0) | (table["last"].to_numpy() > table["first"].to_numpy())
+        out = table.append_column("mask", pa.array(mask)).filter(pa.array(keep)).select([c for c, _ in _FOUND])
         return out.combine_chunks().to_batches()
 
     for b in batches:
@@ -240,8 +301,8 @@ def _sort_buckets(batches, length: int, most: int = 20_000):
         n += len(b)
         if n >= most:
             table = pa.Table.from_batches(held)
-            h = table["h"].to_numpy()
-            cut = int(np.searchsorted(h, h[-1], "left"))
+            h, salt = table["h"].to_numpy(), table["salt"].to_numpy()
+            cut = int(np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])])[-1])
             if cut:
                 yield from work(table.slice(0, cut))
             held, n = table.slice(cut).combine_chunks().to_batches(), n - cut
@@ -249,20 +310,6 @@ def _sort_buckets(batches, length: int, most: int = 20_000):
         yield from work(pa.Table.from_batches(held))
 
 
-def _large_buckets(segments: DataFrame, length: int) -> DataFrame:
-    """The same masks for buckets too large for one task: equal segments become one row, each string of these a row; the
-    smallest doc_id of a string is found by partial aggregation, joined back and gathered by segment (at most one entry a
-    string). Both joins have one row a key on one side, so the side of many equal keys may be split."""
-    distinct = materialize(segments.groupBy("h", "seg").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "repeat-large")
-    n = F.octet_length("seg") - length + 1
-    each = distinct.withColumn("j", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("s", F.substring("seg", F.col("j") + 1, F.lit(length)))
-    least = each.groupBy("s").agg(F.min("first").alias("least"), F.max("last").alias("most")).where("least < most").select("s", "least")
-    found = each.join(least, "s").where("last > least").groupBy("h", "seg").agg(F.collect_list(F.struct("j", "least")).alias("found"))
-    bit = lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["j"]))
-    mask = F.aggregate(F.filter("found", lambda x: x["least"] < F.col("doc_id")), F.lit(0).cast("long"), bit)
-    return segments.join(found, ["h", "seg"]).select("doc_id", "th", "starts", mask.alias("mask")).where("mask <> 0")
-
-
 _CUT = "doc_id long, th int, spans array<struct<start:long,end:long>>, n_removed long, kept binary, kept_sha256 string"
 
 
@@ -291,13 +338,34 @@ def _cut(batches, length: int, keep: bool):
         yield _batch(kinds, *(zip(*rows, strict=True) if rows else [()] * len(kinds)))
 
 
-def _bucketed(df: DataFrame, n: int, keys: list[str], tag: str) -> DataFrame:
-    """df, which comes in n parts by keys, as a table in the shared folder with one file a part, so that joins on the keys move
-    the other side only."""
+def _bucketed(df: DataFrame, n: int, keys: list[str], tag: str) -> str:
+    """Name of a table in the shared folder that holds df, which comes in n parts by keys, with one file a part, so that joins on
+    the keys move the other side only."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
     name = f"trainlake_{path.rsplit('-', 1)[1]}"
-    df.write.option("path", path).option("compression", "zstd").bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
-    return spark.table(name)
+    with released_shuffles(spark):
+        df.write.option("path", path).option("compression", "zstd").bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
+    return name
+
+
+def _masks(texts: DataFrame, length: int, bucket_rows: int) -> DataFrame:
+    """doc_id, th, starts and mask: bit j says that the string at start + j also starts in a text of a smaller doc_id."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = map_batches(texts.select("text"), lambda it: _count_anchors(it, length), "h long, texts int, places long").repartition(n, "h")
+    shared = counts.groupBy("h").agg(F.sum("texts").alias("texts"), F.sum("places").alias("places")).where("texts > 1")
+    shared = materialize(shared.select("h", F.ceil(F.col("places") / bucket_rows).cast("int").alias("k")), "repeat-shared")
+    anchors = map_batches(texts.select("doc_id", "th", "text"), lambda it: _anchors(it, length), "h long, doc_id long, th int")
+    wanted = anchors.join(shared, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "k")).alias("wanted"))
+    wanted = materialize(wanted, "repeat-wanted")
+    with_anchors = texts.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "text", "wanted")
+    segments = materialize(map_batches(with_anchors, lambda it: _segments(it, length), "h long, salt int, sh long, doc_id long, th int, at int, seg binary, starts array<long>"), "repeat-segments")
+    distinct = segments.groupBy("h", "salt", "sh", "at", "seg").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    distinct = materialize(distinct, "repeat-distinct").repartition(n, "h", "salt").sortWithinPartitions("h", "salt")
+    found = materialize(map_batches(distinct.select("h", "salt", "sh", "at", "seg", "first", "last"), lambda it: _sort_buckets(it, length), "h long, sh long, first long, mask long"), "repeat-found")
+    whole = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("strings")) - 1
+    rows = segments.select("h", "sh", "doc_id", "th", "starts", (F.octet_length("seg") - length + 1).alias("strings"))
+    rows = rows.join(found, ["h", "sh"]).withColumn("mask", F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("mask")))
+    return rows.where("mask <> 0").select("doc_id", "th", "starts", "mask")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_rows: int = BUCKET_ROWS, keep_bytes: bool = True) -> DataFrame:
@@ -320,21 +388,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_rows: int = BUC
 
     leads = firsts.select(F.col("first").alias("doc_id"), "th")
     whole = docs.where("doc_id is not null").where(F.octet_length("text") >= length).select(*key, "text")
-    texts = _bucketed(whole.repartition(n, "doc_id", "th").join(leads, ["doc_id", "th"], "left_semi"), n, ["doc_id", "th"], "repeat-texts")
-
-    shared = map_batches(texts.select("text"), lambda it: _anchors(it, length), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(shared.select("h", (F.col("n") > bucket_rows).alias("hot")), "repeat-shared")
-    places = map_batches(texts.select("doc_id", "th", "text"), lambda it: _anchor_places(it, length), "doc_id long, th int, h long, run long").join(shared, "h")
-    wanted = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "run", "hot")).alias("runs"))
-    with_runs = texts.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "text", "runs")
-    segments = materialize(map_batches(with_runs, lambda it: _segments(it, length), "h long, doc_id long, th int, at int, seg binary, starts array<long>, hot boolean"), "repeat-segments")
-
-    usual = segments.where("not hot").repartition(n, "h").sortWithinPartitions("h").select("h", "doc_id", "th", "at", "seg", "starts")
-    masks = map_batches(usual, lambda it: _sort_buckets(it, length), "doc_id long, th int, starts array<long>, mask long")
-    masks = masks.unionByName(_large_buckets(segments.where("hot"), length))
+    table = _bucketed(whole.repartition(n, "doc_id", "th").join(leads, ["doc_id", "th"], "left_semi"), n, ["doc_id", "th"], "repeat-texts")
+    texts = spark.table(table)
+
+    masks = _masks(texts, length, bucket_rows)
     cuts = masks.groupBy("doc_id", "th").agg(F.collect_list(F.struct("starts", "mask")).alias("cuts"))
     done = map_batches(texts.join(cuts, ["doc_id", "th"], "left").select("doc_id", "th", "text", "cuts"), lambda it: _cut(it, length, keep_bytes), _CUT)
     done = materialize(done, "repeat-done").dropDuplicates(["doc_id", "th"])
+    spark.sql(f"drop table if exists {table}")
 
     found = rows.join(firsts.select("digest", "first"), "digest", "left").join(done, ["doc_id", "th"], "left")
     copy, empty = F.col("first") < F.col("doc_id"), F.array().cast("array<struct<start:long,end:long>>")
