@@ -22,7 +22,8 @@ from .textcore import INVERSE, U, mix, powers, prefix, spans_hash
 
 LENGTH = 50
 GRAM = 24
-#: Places of an anchor to a bucket; an anchor of more places gets more buckets, and its strings go to them by content.
+#: Places of an anchor up to which its segments are one bucket; the strings of an anchor of more places are dealt by content to
+#: buckets of about as many strings.
 BUCKET_ROWS = 10_000
 #: Strings of a text looked at at once.
 PIECE = 4 << 20
@@ -353,7 +354,9 @@ def _masks(texts: DataFrame, length: int, bucket_rows: int) -> DataFrame:
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = map_batches(texts.select("text"), lambda it: _count_anchors(it, length), "h long, texts int, places long").repartition(n, "h")
     shared = counts.groupBy("h").agg(F.sum("texts").alias("texts"), F.sum("places").alias("places")).where("texts > 1")
-    shared = materialize(shared.select("h", F.ceil(F.col("places") / bucket_rows).cast("int").alias("k")), "repeat-shared")
+    # cut into strings, a place gives at most length - GRAM + 1 rows
+    k = F.when(F.col("places") > bucket_rows, F.ceil(F.col("places") * (length - GRAM + 1) / bucket_rows)).otherwise(1)
+    shared = materialize(shared.select("h", k.cast("int").alias("k")), "repeat-shared")
     anchors = map_batches(texts.select("doc_id", "th", "text"), lambda it: _anchors(it, length), "h long, doc_id long, th int")
     wanted = anchors.join(shared, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "k")).alias("wanted"))
     wanted = materialize(wanted, "repeat-wanted")

@@ -229,5 +229,9 @@ def read_records(manifest: DataFrame, payloads: bool = False) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, payloads: bool = False) -> DataFrame:
-    """pages (page_id, url, html) written, normalised and read back: one row a page. Empty tables give no rows."""
+    """pages (page_id, url, html) written, normalised and read back: one row a page.
+
+    A null html is an empty payload, a null url gives a record without a target, a null page_id a record of its own. Rows that
+    are repeated, page_id too, are records each; equal payloads of at least 100 bytes refer to the smallest page_id. Long
+    payloads are read in blocks; other columns, whatever their names, are not looked at; empty tables give no rows."""
     return read_records(normalise(write_archives(record_types(pages))), payloads)
