@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, sharding, suffix_dedup, warc
+from . import decontamination, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, sharding, suffix_dedup, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,10 +133,46 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.schedule(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep_text=False)
     return out.select("doc_id", "source", "n_tokens", "weight", "copies", "epoch", "block", "position")
 
+URL_RULES = [("com/", True), ("example.com/en/", False), ("www.example.com/en/", True), ("net/es/", False), ("net/fr/", False)]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of an id is the outcome of the page of that id: bad if of low quality or toxic."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.greatest(1 - F.col("quality"), F.col("toxic")).alias("bad"))
+    rules = url_filter.rules_table(spark, [url_filter.Rule.of(text, allow) for text, allow in URL_RULES])
+    out = url_filter.judge(pages, url_filter.outcomes(pages, labels), rules)
+    return out.select("page_id", "host", "path", "rule", "verdict", "judged_by", "n_labelled", F.round("bad_rate", 6).alias("bad_rate"), F.round("bad_bound", 6).alias("bad_bound"))
+
+
+OP11_SQL = r"""
+with l as (select doc_id, max(greatest(1 - quality, toxic)) as bad from labels group by doc_id having max(greatest(1 - quality, toxic)) is not null),
+p as (select page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') as path, l.bad from pages left join l on l.doc_id = page_id),
+h as (select host, string_split(host, '.') as ls, count(bad)::double as n, coalesce(sum(bad), 0)::double as k from p group by host),
+h2 as (select *, list_aggregate(ls[-2:], 'string_agg', '.') as domain, ls[-1] as suffix from h),
+m0 as (select (sum(k) + 0.5) / (sum(n) + 1.0) as mu from h2),
+s0 as (select suffix, sum(n) as n, sum(k) as k, any_value(mu) as mu from h2, m0 group by suffix),
+c0 as (select sum((k - n * mu) ** 2 - n * mu * (1 - mu)) / nullif(sum(n * (n - 1) * mu * (1 - mu)), 0) as rho from s0),
+s1 as (select suffix, (s * mu + k) / (s + n) as mu from s0, (select case when rho > 0 then least(10000, greatest(1, 1 / rho - 1)) else 10000 end as s from c0)),
+d0 as (select domain, any_value(s1.mu) as mu, sum(n) as n, sum(k) as k from h2 join s1 using (suffix) group by domain),
+c1 as (select sum((k - n * mu) ** 2 - n * mu * (1 - mu)) / nullif(sum(n * (n - 1) * mu * (1 - mu)), 0) as rho from d0),
+d1 as (select domain, (s * mu + k) / (s + n) as mu from d0, (select case when rho > 0 then least(10000, greatest(1, 1 / rho - 1)) else 10000 end as s from c1)),
+e0 as (select host, n, k, d1.mu from h2 join d1 using (domain)),
+c2 as (select sum((k - n * mu) ** 2 - n * mu * (1 - mu)) / nullif(sum(n * (n - 1) * mu * (1 - mu)), 0) as rho from e0),
+e1 as (select host, n, s * mu + k as a, s * (1 - mu) + n - k as b from e0, (select case when rho > 0 then least(10000, greatest(1, 1 / rho - 1)) else 10000 end as s from c2)),
+e as (select host, n, a / (a + b) as rate, a / (a + b) - sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) as bound from e1),
+r(rh, rp, rv) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+f as (select p.*, (select arg_max(struct_pack(rule := rh || rp, v := rv), length(rh || rp)) from r where (p.host = rh or ends_with(p.host, '.' || rh)) and starts_with(p.path, rp)) as x from p)
+select page_id, f.host, path, x.rule as rule, coalesce(x.v, case when bound > 0.25 then 'block' else 'allow' end) as verdict,
+  case when x.rule is not null then 'rule' else 'reputation' end as judged_by, n::bigint as n_labelled, round(rate, 6) as bad_rate, round(bound, 6) as bad_bound
+from f join e using (host)
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op1_line_dedup_content, op2_warc, op3_minhash_dedup, op4_quality_classifier, op5_secret_scan, op6_quality_rules, op7_sharding, op8_decontamination, op9_suffix_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_line_dedup, op1_line_dedup_content, op2_warc, op3_minhash_dedup, op4_quality_classifier, op5_secret_scan, op6_quality_rules, op7_sharding, op8_decontamination, op9_suffix_dedup, op10_mixing, op11_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op1_line_dedup_content": OP1_CONTENT_SQL, "op2_warc": OP2_SQL, "op6_quality_rules": OP6_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op1_line_dedup_content": OP1_CONTENT_SQL, "op2_warc": OP2_SQL, "op6_quality_rules": OP6_SQL, "op11_url_filter": OP11_SQL}
