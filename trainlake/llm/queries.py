@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, sharding, suffix_dedup, url_filter, warc
+from . import decontamination, importance, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, sharding, suffix_dedup, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -169,10 +169,40 @@ select page_id, f.host, path, x.rule as rule, coalesce(x.v, case when bound > 0.
 from f join e using (host)
 """
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+OP13_SQL = r"""
+with recursive t0(i, k, c) as (select i::ubigint, 0, i::ubigint from range(256) r(i) union all
+  select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end from t0 where k < 8),
+tab as (select list(c order by i) as tab from t0 where k = 8),
+hx as (select map_from_entries(list((h1 || h2, (16 * a + b)::ubigint))) as hx from
+  (select unnest(string_split('0123456789ABCDEF', '')) as h1, unnest(range(16)) as a), (select unnest(string_split('0123456789ABCDEF', '')) as h2, unnest(range(16)) as b)),
+texts as (select true as corpus, row_number() over () as rid, doc_id, coalesce(text, '') as text from documents
+  union all select false, -row_number() over (), item_id, coalesce(text, '') from benchmark),
+w as (select corpus, rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from texts),
+p as (select corpus, rid, ws, unnest(range(1, len(ws) + 1)) as i from w),
+f as (select corpus, rid, ws[i] as f from p union all select corpus, rid, ws[i] || ' ' || ws[i + 1] from p where i < len(ws)
+  union all select corpus, rid, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] from p where i + 1 < len(ws)),
+g as (select f, (xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(range(0, octet_length(encode(f))), lambda j: hx[hex(encode(f))[2 * j + 1:2 * j + 2]])),
+  lambda c, b: xor(c >> 8, tab[((xor(c, b) & 255) + 1)::bigint])), 4294967295::ubigint) % 10000)::bigint as bucket from (select distinct f from f), tab, hx),
+c as (select corpus, rid, bucket, count(*) as n from f join g using (f) group by all),
+b as (select bucket, sum(case when corpus then n else 0 end)::double as s, sum(case when corpus then 0 else n end)::double as t from c group by bucket),
+v as (select bucket, floor(1000 * ln((b.t + 1) * (a.s + 10000) / ((b.s + 1) * (a.t + 10000))))::bigint as gain from b, (select sum(s) as s, sum(t) as t from b) a(s, t)),
+x as (select rid, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight from c join v using (bucket) where corpus group by rid),
+y as (select doc_id, rid, len(ws) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+  ('0x' || sha256('42:' || coalesce(doc_id::varchar, ''))[1:8])::bigint::double as h from w left join x using (rid) where corpus),
+z as (select *, (weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296))))::bigint as score, n_words >= 20 as fit from y),
+r as (select *, row_number() over (partition by fit order by score desc, doc_id nulls last, n_features, weight) as k, count(*) over (partition by fit) as m from z)
+select doc_id, n_features, weight, score, case when fit and k <= floor(5 * m / 100) then k end as rank from r
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op1_line_dedup_content, op2_warc, op3_minhash_dedup, op4_quality_classifier, op5_secret_scan, op6_quality_rules, op7_sharding, op8_decontamination, op9_suffix_dedup, op10_mixing, op11_url_filter)}
+    return {f.__name__: f for f in (op1_line_dedup, op1_line_dedup_content, op2_warc, op3_minhash_dedup, op4_quality_classifier, op5_secret_scan, op6_quality_rules, op7_sharding, op8_decontamination, op9_suffix_dedup, op10_mixing, op11_url_filter, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op1_line_dedup_content": OP1_CONTENT_SQL, "op2_warc": OP2_SQL, "op6_quality_rules": OP6_SQL, "op11_url_filter": OP11_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op1_line_dedup_content": OP1_CONTENT_SQL, "op2_warc": OP2_SQL, "op6_quality_rules": OP6_SQL, "op11_url_filter": OP11_SQL, "op13_importance_resampling": OP13_SQL}
