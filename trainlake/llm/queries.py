@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, importance, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, sharding, suffix_dedup, url_filter, warc
+from . import decontamination, hard_negatives, importance, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, sharding, suffix_dedup, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -168,6 +168,22 @@ select page_id, f.host, path, x.rule as rule, coalesce(x.v, case when bound > 0.
   case when x.rule is not null then 'rule' else 'reputation' end as judged_by, n::bigint as n_labelled, round(rate, 6) as bad_rate, round(bound, 6) as bad_bound
 from f join e using (host)
 """
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")))
+
+
+OP12_SQL = """
+with v as (select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings where label is not null and embedding is not null and coalesce(list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))), true)),
+s as (select a.rid as arid, a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.q, b.q)::bigint as score from v a, v b where a.vec_id % 100 = 0 and a.rid <> b.rid),
+p as (select * from (select *, row_number() over (partition by arid order by score desc, vec_id nulls last) as k from s where same) where k <= 5),
+n as (select p.anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score,
+    row_number() over (partition by p.arid, p.k order by s.score desc, s.vec_id nulls last) as rank
+  from p join s on s.arid = p.arid and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
 
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = importance.resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
@@ -201,8 +217,8 @@ select doc_id, n_features, weight, score, case when fit and k <= floor(5 * m / 1
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op1_line_dedup_content, op2_warc, op3_minhash_dedup, op4_quality_classifier, op5_secret_scan, op6_quality_rules, op7_sharding, op8_decontamination, op9_suffix_dedup, op10_mixing, op11_url_filter, op13_importance_resampling)}
+    return {f.__name__: f for f in (op1_line_dedup, op1_line_dedup_content, op2_warc, op3_minhash_dedup, op4_quality_classifier, op5_secret_scan, op6_quality_rules, op7_sharding, op8_decontamination, op9_suffix_dedup, op10_mixing, op11_url_filter, op12_hard_negatives, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op1_line_dedup_content": OP1_CONTENT_SQL, "op2_warc": OP2_SQL, "op6_quality_rules": OP6_SQL, "op11_url_filter": OP11_SQL, "op13_importance_resampling": OP13_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op1_line_dedup_content": OP1_CONTENT_SQL, "op2_warc": OP2_SQL, "op6_quality_rules": OP6_SQL, "op11_url_filter": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_importance_resampling": OP13_SQL}
