@@ -154,13 +154,13 @@ h2 as (select *, list_aggregate(ls[-2:], 'string_agg', '.') as domain, ls[-1] as
 m0 as (select (sum(k) + 0.5) / (sum(n) + 1.0) as mu from h2),
 s0 as (select suffix, sum(n) as n, sum(k) as k, any_value(mu) as mu from h2, m0 group by suffix),
 c0 as (select sum((k - n * mu) ** 2 - n * mu * (1 - mu)) / nullif(sum(n * (n - 1) * mu * (1 - mu)), 0) as rho from s0),
-s1 as (select suffix, (s * mu + k) / (s + n) as mu from s0, (select case when rho > 0 then least(10000, greatest(1, 1 / rho - 1)) else 10000 end as s from c0)),
+s1 as (select suffix, (s * mu + k) / (s + n) as mu from s0, (select case when rho is null then 1 when rho > 0 then least(10000, greatest(1, 1 / rho - 1)) else 10000 end as s from c0)),
 d0 as (select domain, any_value(s1.mu) as mu, sum(n) as n, sum(k) as k from h2 join s1 using (suffix) group by domain),
 c1 as (select sum((k - n * mu) ** 2 - n * mu * (1 - mu)) / nullif(sum(n * (n - 1) * mu * (1 - mu)), 0) as rho from d0),
-d1 as (select domain, (s * mu + k) / (s + n) as mu from d0, (select case when rho > 0 then least(10000, greatest(1, 1 / rho - 1)) else 10000 end as s from c1)),
+d1 as (select domain, (s * mu + k) / (s + n) as mu from d0, (select case when rho is null then 1 when rho > 0 then least(10000, greatest(1, 1 / rho - 1)) else 10000 end as s from c1)),
 e0 as (select host, n, k, d1.mu from h2 join d1 using (domain)),
 c2 as (select sum((k - n * mu) ** 2 - n * mu * (1 - mu)) / nullif(sum(n * (n - 1) * mu * (1 - mu)), 0) as rho from e0),
-e1 as (select host, n, s * mu + k as a, s * (1 - mu) + n - k as b from e0, (select case when rho > 0 then least(10000, greatest(1, 1 / rho - 1)) else 10000 end as s from c2)),
+e1 as (select host, n, s * mu + k as a, s * (1 - mu) + n - k as b from e0, (select case when rho is null then 1 when rho > 0 then least(10000, greatest(1, 1 / rho - 1)) else 10000 end as s from c2)),
 e as (select host, n, a / (a + b) as rate, a / (a + b) - sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) as bound from e1),
 r(rh, rp, rv) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 f as (select p.*, (select arg_max(struct_pack(rule := rh || rp, v := rv), length(rh || rp)) from r where (p.host = rh or ends_with(p.host, '.' || rh)) and starts_with(p.path, rp)) as x from p)

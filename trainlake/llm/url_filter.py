@@ -75,12 +75,14 @@ def _sums(table: DataFrame, by: list[str]) -> DataFrame:
 
 def _concentration(groups: DataFrame) -> float:
     """Method of moments for groups (n, k, mu) of which k is beta-binomial of mean mu: the share rho by which k's variance is over
-    the binomial one, as 1 / (1 + concentration)."""
+    the binomial one, as 1 / (1 + concentration). Where no group has two labelled pages nothing is known of it: the least."""
     var = F.col("mu") * (1 - F.col("mu"))
     over = F.sum((F.col("k") - F.col("n") * F.col("mu")) ** 2 - F.col("n") * var)
     base = F.sum(F.col("n") * (F.col("n") - 1) * var)
     row = groups.agg(over.alias("over"), base.alias("base")).first()
-    rho = row.over / row.base if row.base else 0.0
+    if not row.base:
+        return LEAST
+    rho = row.over / row.base
     return min(MOST, max(LEAST, 1 / rho - 1)) if rho > 0 else MOST
 
 
@@ -95,7 +97,7 @@ def reputations(outcome_pages: DataFrame, double_suffixes: Iterable[str] = ()) -
     outcome_pages: url and bad. Counts of hosts come from one aggregation (with partial sums, so a hot host is a few rows), are written
     once and rolled up to registered domains and suffixes. Each level's posterior mean is the next one's prior mean; its
     concentration is estimated over all groups of the level. The driver sees the four numbers that describe the priors. Without
-    labels every host has the even prior's rate; an empty table has no hosts."""
+    labels every host has the even prior's rate and a bound below it; an empty table has no hosts."""
     pages = outcome_pages.select(host(F.col("url")).alias("host"), "bad")
     by_host = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("k"))
     by_host = by_host.withColumn("domain", registered_domain(F.col("host"), double_suffixes)).withColumn("suffix", suffix(F.col("host"), double_suffixes))
