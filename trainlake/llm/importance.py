@@ -172,8 +172,8 @@ def _unpack(raw: bytes) -> np.ndarray:
 class _Blocks:
     """Gathers the postings of whole documents and gives them as rows of POSTINGS."""
 
-    def __init__(self, buckets: int, slices: int, part: int):
-        self.buckets, self.slices, self.part, self.n = buckets, slices, part, 0
+    def __init__(self, buckets: int, slices: int, part: int, most: int):
+        self.buckets, self.slices, self.part, self.most, self.n = buckets, slices, part, most, 0
         self.sums = np.zeros(buckets, np.int64)
         self.clear()
 
@@ -185,7 +185,7 @@ class _Blocks:
     def add(self, keys: np.ndarray) -> None:
         self.loose.append(keys)
         self.held += len(keys)
-        if self.held > 4 * BLOCK_POSTINGS:
+        if self.held > 4 * self.most:
             self.settle()
 
     def settle(self) -> None:
@@ -227,14 +227,14 @@ def ends_key(buckets: int, slices: int, s: int) -> int:
     return int(_bounds(buckets, slices)[s]) * BLOCK_DOCS
 
 
-def postings(docs: DataFrame, id_column: str, text_column: str, buckets: int = BUCKETS, most: int = MOST_WORDS, slices: int = SLICES) -> DataFrame:
+def postings(docs: DataFrame, id_column: str, text_column: str, buckets: int = BUCKETS, most: int = MOST_WORDS, slices: int = SLICES, block_postings: int = BLOCK_POSTINGS) -> DataFrame:
     """Blocks of postings of whole texts, a row a block and slice; a row a block with its documents (ids, features, words); and a row a
     task with the buckets' totals, all written to the shared folder. A block holds about a million postings."""
 
     def task(batches):
         from pyspark import TaskContext
 
-        blocks = _Blocks(buckets, slices, TaskContext.get().partitionId())
+        blocks = _Blocks(buckets, slices, TaskContext.get().partitionId(), block_postings)
         schema = pa.schema([("block", pa.string()), ("slice", pa.int32()), ("n_docs", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), *[(c, pa.list_(pa.int64())) for c in ("ids", "n_features", "n_words", "totals")]])
         as_batch = lambda rows: pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
         for batch in batches:
@@ -250,7 +250,7 @@ def postings(docs: DataFrame, id_column: str, text_column: str, buckets: int = B
                 blocks.ids += ids[lo:hi]
                 blocks.n_features += n_features.tolist()
                 blocks.n_words += n_words.tolist()
-                if len(blocks.ids) + 256 > BLOCK_DOCS or len(blocks.keys) + blocks.held > BLOCK_POSTINGS:
+                if len(blocks.ids) + 256 > BLOCK_DOCS or len(blocks.keys) + blocks.held > block_postings:
                     yield as_batch(blocks.rows())
         if blocks.ids:
             yield as_batch(blocks.rows())
@@ -318,15 +318,15 @@ def contributions(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS,
     return map_batches(dealt, task, "block string, gains array<long>")
 
 
-def weights(docs: DataFrame, target: DataFrame, id_column: str = "doc_id", target_id: str = "item_id", text_column: str = "text", buckets: int = BUCKETS, most: int = MOST_WORDS, slices: int = SLICES) -> DataFrame:
+def weights(docs: DataFrame, target: DataFrame, id_column: str = "doc_id", target_id: str = "item_id", text_column: str = "text", buckets: int = BUCKETS, most: int = MOST_WORDS, slices: int = SLICES, block_postings: int = BLOCK_POSTINGS) -> DataFrame:
     """(id, n_features, n_words, weight), one row a row of docs: the log importance, in thousandths, of its text under the target.
 
     Words are runs of digits, letters and bytes from 128 on, A-Z lower-cased; features are all runs of 1 to `most` words joined by one
     space, in buckets by CRC-32 modulo `buckets`. A null or empty text has no feature and weight 0; repeated rows and ids have a row each;
     an empty target leaves only the corpus's own frequencies. docs must be a table or a plan whose tasks give the same rows when they
     are run again, as scans do. Texts are looked at in pieces of a megabyte; a block's postings fit a task, whatever their documents' size."""
-    corpus = postings(docs, id_column, text_column, buckets, most, slices)
-    goal = postings(target, target_id, text_column, buckets, most, slices)
+    corpus = postings(docs, id_column, text_column, buckets, most, slices, block_postings)
+    goal = postings(target, target_id, text_column, buckets, most, slices, block_postings)
     rows = corpus.where("ids is not null").select("block", "ids", "n_features", "n_words", F.lit(None).cast("array<long>").alias("gains"))
     rows = rows.unionByName(contributions(corpus, goal, buckets, slices), allowMissingColumns=True)
     n = partitions_for(0, 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
