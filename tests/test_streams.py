@@ -4,6 +4,7 @@ import math
 import time
 from datetime import datetime, timedelta
 
+from trainlake.store import Store
 from trainlake.streaming import streams
 
 
@@ -14,26 +15,73 @@ def batches(spark, path, schema, parts):
         time.sleep(1.1)
 
 
-def test_rolling_load_keeps_late_and_repeated_days(spark, tmp_path):
-    parts = [[(1, 10, 50.0), (1, 12, 30.0), (2, 10, 5.0)], [(1, 12, 20.0), (2, 11, 7.0)], [(1, 11, 40.0), (1, 15, 10.0)], [(2, 3, 8.0)]]
+def curve(loads):
+    """(athlete, day) -> (load, ctl, atl) of every day with a load, from all loads at once."""
+    out = {}
+    for a in {x[0] for x in loads}:
+        mine = [(d, x) for b, d, x in loads if b == a]
+        for day in {d for d, _ in mine}:
+            avg = lambda tau: sum(x * (1 - math.exp(-1 / tau)) * math.exp(-(day - d) / tau) for d, x in mine if d <= day)  # noqa: B023, E731
+            out[a, day] = (sum(x for d, x in mine if d == day), avg(42), avg(7))
+    return out
+
+
+def close(got, want):
+    return all(abs(x - y) < 1e-9 for x, y in zip(got, want, strict=True))
+
+
+def rolled(spark, tmp_path, parts, **how):
     path = f"file://{tmp_path}/loads"
     batches(spark, path, "athlete long, day long, load double", parts)
     stream = spark.readStream.schema("athlete long, day long, load double").option("maxFilesPerTrigger", 1).parquet(path)
-    got = streams.run_to_end(streams.rolling_load(stream), "loads").collect()
+    streams.rocks_state(spark)
+    return streams.run_to_end(streams.rolling_load(stream, **how), f"loads-{len(parts)}").collect()
 
-    def want(athlete, day, upto):
-        loads = [(d, x) for p in parts[: upto + 1] for a, d, x in p if a == athlete and d <= day]
-        return [sum(x * (1 - math.exp(-1 / tau)) * math.exp(-(day - d) / tau) for d, x in loads) for tau in (42, 7)]
 
-    def has(athlete, day, upto, load, late):
-        return any(r.athlete == athlete and r.day == day and r.late == late and abs(r.load - load) < 1e-9 and all(abs(x - y) < 1e-9 for x, y in zip((r.ctl, r.atl), want(athlete, day, upto), strict=True)) for r in got)
+def test_late_loads_give_their_day_and_all_after_it_again(spark, tmp_path):
+    parts = [[(1, 10, 50.0), (1, 12, 30.0), (2, 10, 5.0)], [(1, 12, 20.0), (2, 11, 7.0)], [(1, 11, 40.0), (1, 15, 10.0), (2, None, 1.0)], [(2, 3, 8.0), (1, 9, None)]]
+    got = rolled(spark, tmp_path, parts)
+    upto = lambda k: curve([(a, d, x or 0.0) for p in parts[: k + 1] for a, d, x in p if d is not None])
+    for r in got:
+        assert close((r.load, r.ctl, r.atl), upto(r.revision - 1 if r.athlete == 1 else r.revision - 1)[r.athlete, r.day])
+    last = {}
+    for r in sorted(got, key=lambda r: r.revision):
+        last[r.athlete, r.day] = (r.load, r.ctl, r.atl)
+    want = upto(3)
+    assert last.keys() == want.keys() and all(close(last[k], want[k]) for k in want)
+    kinds = {(r.athlete, r.day, r.revision): r.kind for r in got}
+    assert kinds[1, 11, 3] == kinds[1, 12, 3] == "again" and kinds[1, 15, 3] == "new"
+    assert kinds[2, 3, 4] == kinds[2, 10, 4] == kinds[2, 11, 4] == "again" and (1, 10, 3) not in kinds
 
-    assert has(1, 10, 0, 50.0, False) and has(1, 12, 0, 30.0, False)
-    assert has(1, 12, 1, 50.0, False)  # more of the same day in a later batch
-    assert has(1, 12, 2, 50.0, True)  # a late day changes the averages of the last one
-    assert has(1, 15, 2, 10.0, False)
-    assert has(2, 11, 1, 7.0, False) and has(2, 11, 3, 7.0, True)
-    assert len(got) == 8
+
+def test_state_is_bounded_and_days_before_it_are_missed(spark, tmp_path):
+    loads = [(1, d, 10.0 + d) for d in range(0, 100, 2)]
+    parts = [loads[:30], loads[30:], [(1, 20, 7.0), (1, 95, 3.0)]]
+    got = rolled(spark, tmp_path, parts, kept_days=10)
+    want = curve([x for p in parts for x in p])
+    final = [r for r in got if r.revision == 3]
+    assert [(r.day, r.load, r.ctl) for r in final if r.kind == "missed"] == [(20, 7.0, None)]
+    again = {r.day: r for r in final if r.kind != "missed"}
+    assert sorted(again) == [88, 90, 92, 94, 95, 96, 98]  # the kept days only
+    assert all(close((r.load, r.ctl, r.atl), want[1, d]) for d, r in again.items())
+
+
+def test_trace_ring(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    row = lambda s, i, label="x": (s, i, at + timedelta(seconds=i), "node", label, None)
+    parts = [[row("a", i) for i in range(1, 8)] + [row("b", 1)], [row("a", i) for i in (3, 8, 9)] + [row("b", 1, "y"), row("b", 2)], [row("a", 10), row("a", 1), row("c", 5)]]
+    path, schema = f"file://{tmp_path}/log", "source string, id long, ts timestamp, level string, label string, detail string"
+    batches(spark, path, schema, parts)
+    streams.rocks_state(spark)
+    store = Store(spark, f"file://{tmp_path}/ring", ["source", "id"], 2)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    streams.keep_ring(streams.trace_ring(stream, 5), store, f"file://{tmp_path}/ring-checkpoint")
+    ring = {}
+    for r in store.read().collect():
+        ring.setdefault(r.source, []).append((r.id, r.label))
+    assert {s: sorted(x) for s, x in ring.items()} == {"a": [(i, "x") for i in range(6, 11)], "b": [(1, "y"), (2, "x")], "c": [(5, "x")]}
+    assert all(store.read(v).groupBy("source").count().agg({"count": "max"}).first()[0] <= 5 for v in range(3))
+    assert [r.id for r in streams.tail(store.read().where("source = 'a'"), since=8).collect()] == [9, 10]
 
 
 def test_sessions(spark, tmp_path):

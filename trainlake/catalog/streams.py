@@ -33,7 +33,8 @@ select a.athlete, a.day, {pr('sum(b.load * (1 - exp(-1.0::double / 42)) * exp(-(
 def str02_rolling_load(spark, sf_dir):
     s = ops.read_stream(spark, f"{sf_dir}/orders.parquet", 1000)
     daily = s.select(F.col("o_custkey").alias("athlete"), F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).cast("long").alias("day"), (F.col("o_orderkey") % 97).cast("double").alias("load"))
-    out = ops.run_to_end(ops.rolling_load(daily), "str02")
+    ops.rocks_state(spark)
+    out = ops.latest_days(ops.run_to_end(ops.rolling_load(daily), "str02"))
     return out.select("athlete", "day", pyround("ctl").alias("ctl"), pyround("atl").alias("atl"))
 
 

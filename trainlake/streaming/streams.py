@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..deploy import ship
 from ..storage import working_path
+from ..store import Store
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -53,42 +54,136 @@ _REST = {tau: math.exp(-1 / tau) for tau in (42, 7)}
 _K = {tau: 1 - x for tau, x in _REST.items()}
 
 
-_ROLLING = "athlete long, day long, load double, ctl double, atl double, late boolean"
-
-
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Loads of one athlete. The state holds the averages before the last day and that day's load so far, so a load that comes again
-    for the day is added to it and the day is given anew. A load for an earlier day is added to the averages where it would stand
-    by now, and given as late."""
-    last, load, ctl, atl = state.get if state.exists else (None, 0.0, 0.0, 0.0)
-    rows = []
-    after = lambda c, a, x: (c * _REST[42] + x * _K[42], a * _REST[7] + x * _K[7])
-    loads = pd.concat(list(frames)).groupby("day", as_index=False)["load"].sum().sort_values("day")
-    for d, more in zip(loads["day"].astype(int), loads["load"].astype(float), strict=True):
-        late = last is not None and d < last
-        if late:
-            ctl, atl = (x + more * _K[tau] * _REST[tau] ** (last - 1 - d) for x, tau in ((ctl, 42), (atl, 7)))
-        elif d == last:
-            load += more
-        else:
-            if last is not None:
-                ctl, atl = after(ctl, atl, load)
-                ctl, atl = ctl * _REST[42] ** (d - last - 1), atl * _REST[7] ** (d - last - 1)
-            last, load = d, more
-        rows.append((key[0], last, load, *after(ctl, atl, load), late))
-    if last is not None:
-        state.update((int(last), float(load), float(ctl), float(atl)))
-    yield pd.DataFrame(rows, columns=["athlete", "day", "load", "ctl", "atl", "late"])
-
-
-def rolling_load(daily: DataFrame) -> DataFrame:
-    """athlete, day (days since 1970), load, ctl, atl after each day with a load, days between counting as rest. daily: athlete, day,
-    load.
-
-    No load is lost: more of the last day gives that day again with the sum, and a load for an earlier day (late) gives the last
-    day again with the averages it should have had. The last row of a day counts."""
+_ROLLING = "athlete long, day long, load double, ctl double, atl double, kind string, revision long"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Days whose loads are kept one by one.
+KEPT_DAYS = 60
+
+
+class RollingLoad(StatefulProcessor):
+    """Load averages of one athlete. State: the loads of recent days by day, and the averages at the end of the day before them."""
+
+    def __init__(self, kept_days: int, idle_days: int | None):
+        self.kept, self.ttl = kept_days, idle_days and idle_days * 24 * 3600 * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.days = handle.getMapState("days", "day long", "load double", self.ttl)
+        self.base = handle.getValueState("base", "day long, ctl double, atl double, revision long", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        base_day, ctl, atl, revision = self.base.get() if self.base.exists() else (None, 0.0, 0.0, 0)
+        known = {k[0]: v[0] for k, v in self.days.iterator()}
+        new = pd.concat(list(rows)).dropna(subset=["day"]).groupby("day")["load"].sum()
+        last, out, first = max(known, default=None), [], None
+        for d, x in zip(new.index.astype(int).tolist(), new.astype(float).tolist(), strict=True):
+            if base_day is not None and d <= base_day:
+                # before all days that are kept: the averages get what is left of it by now
+                ctl, atl = (v + x * _K[tau] * _REST[tau] ** (base_day - d) for v, tau in ((ctl, 42), (atl, 7)))
+                out.append((d, x, None, None, "missed"))
+                first = base_day + 1
+            else:
+                known[d] = known.get(d, 0.0) + x
+                first = d if first is None else min(first, d)
+        at, c, a = base_day, ctl, atl
+        for d in sorted(known):
+            if at is not None:
+                c, a = c * _REST[42] ** (d - at - 1), a * _REST[7] ** (d - at - 1)
+            c, a, at = c * _REST[42] + known[d] * _K[42], a * _REST[7] + known[d] * _K[7], d
+            if first is not None and d >= first:
+                out.append((d, known[d], c, a, "new" if last is None or d > last else "again"))
+            if d < max(known) - self.kept:
+                base_day, ctl, atl = d, c, a
+        for d in known:
+            if base_day is not None and d <= base_day:
+                if self.days.containsKey((d,)):
+                    self.days.removeKey((d,))
+            elif d in new.index:
+                self.days.updateValue((d,), (known[d],))
+        self.base.update((base_day, ctl, atl, revision + 1))
+        yield pd.DataFrame([(key[0], *r, revision + 1) for r in out], columns=["athlete", "day", "load", "ctl", "atl", "kind", "revision"])
+
+    def close(self) -> None:
+        pass
+
+
+def rolling_load(daily: DataFrame, kept_days: int = KEPT_DAYS, idle_days: int | None = None) -> DataFrame:
+    """athlete, day (days since 1970), load, ctl, atl after each day with a load (days between count as rest), kind and revision.
+    daily: athlete, day, load. Null days are ignored, null loads are 0.
+
+    kind is new for a day after all others. A load for a day that was there, or lies between such days, gives every day from
+    its own on `again`, so the last revision of each day (see latest_days()) is the batch curve whatever the order of arrival.
+    State is bounded: days over `kept_days` before the last one are folded into the averages. A load for such a day still counts in
+    all days from the kept ones on, which come again; the day itself is given as `missed` without averages, and the few days
+    from it to the kept ones have to be taken from stored loads.
+
+    With idle_days an athlete's state is dropped so long after its last change (of 730 days under 1e-7 of a load is left). That is for
+    queries that keep running: Spark goes on making empty batches to look for expired state, so a run to the end doesn't end.
+    The session must keep stream state in RocksDB (rocks_state())."""
     ship(daily.sparkSession)
-    return daily.groupBy("athlete").applyInPandasWithState(_advance, _ROLLING, "day long, load double, ctl double, atl double", "append", GroupStateTimeout.NoTimeout)
+    rows = daily.select("athlete", F.col("day").cast("long").alias("day"), F.coalesce("load", F.lit(0.0)).cast("double").alias("load"))
+    return rows.groupBy("athlete").transformWithStateInPandas(RollingLoad(kept_days, idle_days), _ROLLING, "append", "processingTime" if idle_days else "none")
+
+
+def rocks_state(spark: SparkSession) -> None:
+    """State that is bounded by disk rather than by an executor's heap; stream operators with maps and timers need it."""
+    spark.conf.set(_STORE, _ROCKS)
+
+
+def latest_days(curve: DataFrame) -> DataFrame:
+    """The last revision of each day of rolling_load()'s rows; days that were only missed are left out."""
+    given = curve.where("kind <> 'missed'")
+    return given.groupBy("athlete", "day").agg(F.max_by(F.struct("load", "ctl", "atl"), "revision").alias("x")).select("athlete", "day", "x.*")
+
+
+class Ring(StatefulProcessor):
+    """The last rows of one source by id."""
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getMapState("rows", "id long", "ts timestamp, level string, label string, detail string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        had = sorted(k[0] for k in self.rows.keys())  # noqa: SIM118
+        least = had[0] if len(had) >= self.most else None
+        new = pd.concat([r if least is None else r[r["id"] >= least] for r in rows]).drop_duplicates("id", keep="last").nlargest(self.most, "id")
+        stay = set(sorted({*had, *new["id"].tolist()})[-self.most :])
+        for i in had:
+            if i not in stay:
+                self.rows.removeKey((i,))
+        out = new[new["id"].isin(stay)].sort_values("id")
+        for r in out.itertuples(index=False):
+            self.rows.updateValue((int(r.id),), (r.ts, r.level, r.label, r.detail))
+        gone = pd.DataFrame({"source": key[0], "id": [i for i in had if i not in stay], "gone": True})
+        yield pd.concat([out.assign(source=key[0], gone=False), gone])[["source", "id", "ts", "level", "label", "detail", "gone"]].astype({"gone": bool, "id": "int64"}).replace({float("nan"): None, pd.NaT: None})
+
+    def close(self) -> None:
+        pass
+
+
+def trace_ring(log: DataFrame, most: int = 500) -> DataFrame:
+    """Changes of a ring of the last `most` rows of each source: rows that come in (gone: false) and ids that they push out (gone: true).
+    log: source, id, ts, level, label, detail. A row whose id is there already replaces it; ids under a full ring's are passed over, so a
+    source's state never has more than `most` rows. keep_ring() applies the changes to a stored table for tail() and since()."""
+    ship(log.sparkSession)
+    rows = log.select("source", F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "level", "label", "detail").where("id is not null")
+    return rows.groupBy("source").transformWithStateInPandas(Ring(most), "source string, id long, ts timestamp, level string, label string, detail string, gone boolean", "append", "none")
+
+
+def keep_ring(changes: DataFrame, store: Store, checkpoint: str, writer: str = "ring") -> None:
+    """Runs what is there now into a store with the keys source and id, whose rows are then the ring of every source."""
+
+    def put(old: DataFrame, new: DataFrame) -> DataFrame:
+        last = new.groupBy("source", "id").agg(F.min("gone").alias("gone"))
+        stays = new.where("not gone").join(last.where("not gone").select("source", "id"), ["source", "id"], "left_semi")
+        out = old.join(new.select("source", "id").distinct(), ["source", "id"], "left_anti").unionByName(stays)
+        dropped = new.where("gone").select("source", "id").distinct()
+        return out.join(dropped, ["source", "id"], "left_anti")
+
+    q = changes.writeStream.foreachBatch(lambda rows, batch: store.merge(rows, put, writer, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
 
 
 def tail(log: DataFrame, since: int | None = None, most: int = 100) -> DataFrame:
