@@ -74,7 +74,10 @@ class RollingLoad(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         base_day, ctl, atl, revision = self.base.get() if self.base.exists() else (None, 0.0, 0.0, 0)
         known = {k[0]: v[0] for k, v in self.days.iterator()}
-        new = pd.concat(list(rows)).dropna(subset=["day"]).groupby("day")["load"].sum()
+        new = pd.Series(dtype=float)
+        for r in rows:
+            new = new.add(r.dropna(subset=["day"]).groupby("day")["load"].sum(), fill_value=0.0)
+        new = new.sort_index()
         last, out, first = max(known, default=None), [], None
         for d, x in zip(new.index.astype(int).tolist(), new.astype(float).tolist(), strict=True):
             if base_day is not None and d <= base_day:
@@ -148,7 +151,10 @@ class Ring(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         had = sorted(k[0] for k in self.rows.keys())  # noqa: SIM118
         least = had[0] if len(had) >= self.most else None
-        new = pd.concat([r if least is None else r[r["id"] >= least] for r in rows]).drop_duplicates("id", keep="last").nlargest(self.most, "id")
+        new = None
+        for r in rows:
+            r = r if least is None else r[r["id"] >= least]
+            new = (r if new is None else pd.concat([new, r])).drop_duplicates("id", keep="last").nlargest(self.most, "id")
         stay = set(sorted({*had, *new["id"].tolist()})[-self.most :])
         for i in had:
             if i not in stay:
