@@ -70,6 +70,42 @@ def test_csv(spark):
     assert h["distance"].warnings == ["no_distance"]
 
 
+SHAPES = {
+    # name: (file, error, times of its samples)
+    "gap_falls": ("time,hr\n0,1\n5,1\n,1\n15,1", "not_rising", None),
+    "gap_rises": ("time,hr\n0,1\n1,1\n,1\n15,1", None, [0.0, 1.0, 2.0, 15.0]),
+    "absolute_gap": ("time,hr\n2026-09-05 10:00:00,1\n,1\n2026-09-05 10:00:09,1", None, [0.0, 0.0, 9.0]),
+    "bare_date_first": ("time,hr\n2026-09-05,1\n2026-09-05 10:00:00,1", "daily_table", None),
+    "time_then_bare_date": ("time,hr\n2026-09-05 00:00:00,1\n2026-09-05,1", None, [0.0, 0.0]),
+    "epoch": ("time,hr\n1693900000,1\n1693900007,1", None, [0.0, 7.0]),
+    "dotted": ("time,step.rate\n0,170\n1,171", None, [0.0, 1.0]),
+    "dashed": ("TIME (s),Heart-Rate [bpm]\n0,150\n1,151", None, [0.0, 1.0]),
+    "three_days": ("date,time,hr\n2026-09-01,0,1\n2026-09-02,1,1\n2026-09-03,2,1", "daily_table", None),
+    "words": ("time,hr\nsoon,1\nlater,1", "bad_time", None),
+    "clock_only": ("time,hr\n0:59,1\n1:00,1\n1:00:00,1", None, [59.0, 60.0, 3600.0]),
+    "header_in_row_eleven": ("x,y\n" * 10 + "time,hr\n0,1", "no_header", None),
+    "header_in_row_ten": ("x,y\n" * 9 + "time,hr\n0,1", None, [0.0]),
+    "quoted": ('time,note,hr\r\n0,"a\r\nb, ""c""",1\r\n1,,2', None, [0.0, 1.0]),
+}
+
+
+def test_csv_shapes(spark):
+    samples, headers = workouts.read_csv(files(spark, **{k: v[0] for k, v in SHAPES.items()}))
+    times, rest = {}, {}
+    for r in samples.orderBy("path", "seq").collect():
+        times.setdefault(r.path, []).append(r.t)
+        rest.setdefault(r.path, r)
+    assert {r.path: r.error for r in headers.collect()} == {k: v[1] for k, v in SHAPES.items()}
+    assert times == {k: v[2] for k, v in SHAPES.items() if v[2] is not None}
+    assert rest["dotted"].cad == 170.0 and rest["dashed"].hr == 150
+
+
+def test_csv_is_parsed_once(spark):
+    samples, _ = workouts.read_csv(files(spark, **CSV))
+    plan = samples._jdf.queryExecution().executedPlan().toString()
+    assert sum("MapInPandas" in x or "EvalPython" in x for x in plan.split("\n")) == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_json(spark):
     rec = lambda n, sport: {"startTime": 1693900000000, "sportType": sport, "distance": 5, "dataList": [{"time": i, "heartRate": 140 + i % 5, "latitude": 34.8} for i in range(n)]}
     contents = {"multi": json.dumps({"record_list": [rec(30, "跑步"), rec(25, "骑行"), rec(3, "walk")]}), "bad": "{", "swapped": json.dumps({"list": [{"heartRate": 141, "time": 3}, {"heartRate": 142, "time": 4}]})}

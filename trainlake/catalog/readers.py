@@ -121,13 +121,29 @@ def src07_quoted(spark, sf_dir):
     return workouts.read_csv(_files(spark, sf_dir, line, "\r\n", "Time,Note,心率(bpm)\r\n", "\r\n"))[0].select("path", "seq", "t", "hr")
 
 
-@query("select 'u' || user_id::varchar as path, 'running' as sport_type, count(*) as n_samples, case when user_id % 3 = 0 then 'no_time' when user_id % 3 = 1 then 'daily_table' end as error, case when user_id % 3 = 2 then 'relative_time,no_distance' when user_id % 3 = 0 then 'relative_time,no_distance' else 'relative_time,no_distance' end as warnings from events group by 1, user_id")
+@query(
+    """select 'u' || user_id::varchar as path, case when user_id % 8 = 6 then 'cycling' else 'running' end as sport_type, count(*) + case when user_id % 8 = 7 then 1 else 0 end as n_samples,
+  case user_id % 8 when 0 then 'no_time' when 1 then 'daily_table' when 3 then case when count(*) > 1 then 'not_rising' end when 4 then 'bad_time'
+    when 5 then case when count(distinct event_id % 28) >= 3 then 'daily_table' end when 7 then 'daily_table' end as error,
+  case user_id % 8 when 5 then 'relative_time' when 6 then '' when 7 then 'no_distance' else 'relative_time,no_distance' end as warnings
+from events group by user_id"""
+)
 def src14_headers(spark, sf_dir):
-    """Headers of CSV files without times, with dates alone, and with seconds alone."""
-    k = F.col("user_id") % 3
-    line = F.when(k == 1, F.format_string("2024-01-%02d,%d", F.col("event_id") % 28 + 1, "hr")).otherwise(F.format_string("%d,%d", "event_id", "hr"))
-    e = _files(spark, sf_dir, line, "\n", "", "\n")
-    head = F.when(F.substring("path", 2, 20).cast("long") % 3 == 0, "steps,hr\n").when(F.substring("path", 2, 20).cast("long") % 3 == 1, "date,hr\n").otherwise("time,hr\n")
+    """Headers of CSV files of eight shapes: no time column, dates alone, elapsed seconds, falling seconds, words for times, seconds beside
+    several days, epochs with sport and places, and a bare date over times."""
+    n = F.col("event_id")
+    lines = [
+        ("steps,hr", F.format_string("%d,%d", n, "hr")),
+        ("date,hr", F.format_string("2024-01-%02d,%d", n % 28 + 1, "hr")),
+        ("time,hr", F.format_string("%d,%d", n, "hr")),
+        ("time,hr", F.format_string("%d,%d", 100_000_000 - n, "hr")),
+        ("time,hr", F.format_string("x%d,%d", n, "hr")),
+        ("date,time,hr,speed", F.format_string("2024-01-%02d,%d,%d,%.2f", n % 28 + 1, n, "hr", "speed")),
+        ("time,sport,hr,lat,lon", F.format_string("%d,骑行,%d,%.1f,110.5", 1_704_067_200 + n, "hr", "lat")),
+        ("time,hr\n2024-01-01,60", F.format_string("%d,%d", 1_704_067_200 + n, "hr")),
+    ]
+    pick = lambda of, column: F.element_at(F.array(*[x[of] if of else F.lit(x[0]) for x in lines]), (column % 8 + 1).cast("int"))
+    e = _files(spark, sf_dir, pick(1, F.col("user_id")), "\n", "", "\n")
+    head = F.concat(pick(0, F.substring("path", 2, 20).cast("long")), F.lit("\n"))
     h = workouts.read_csv(e.select("path", F.concat(head, "content").alias("content")))[1]
     return h.select("path", "sport_type", "n_samples", "error", F.array_join("warnings", ",").alias("warnings"))
-

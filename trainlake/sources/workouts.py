@@ -7,6 +7,7 @@ import csv
 import io
 import json
 import re
+from itertools import chain, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,8 +98,7 @@ def _header_score(header: str, alias: str) -> int:
         return 0 if alias not in header else 3 if header == alias else 2
     if len(alias) == 1:
         return 3 if header == alias else 0
-    tight = re.sub(r"[\s_-]+", "", header)
-    key = alias.replace("_", "")
+    tight, key = (re.sub("[^a-z0-9]", "", x) for x in (header, alias))
     if re.search(rf"(?<![a-z0-9]){re.escape(alias)}(?![a-z0-9])", header) or tight == key:
         return 3
     return 2 if len(key) >= 3 and key in tight else 0
@@ -116,79 +116,98 @@ def _assign(cells: list[str]) -> dict[str, int]:
     return out
 
 
-def _find_header(rows: pd.Series) -> pd.DataFrame:
-    """Of a file's first rows the one with most known columns."""
-    best = [max(((len(m := _assign(list(r))), -i, m) for i, r in enumerate(rs)), key=lambda x: x[:2], default=(0, 0, {})) for rs in rows]
-    return pd.DataFrame({"at": [-b[1] for b in best], "fields": [b[2] for b in best]})
+def _find_header(rows: list[list[str]]) -> tuple[int, dict[str, int]]:
+    """(place, field -> column) of the row with most known columns."""
+    at, fields = 0, {}
+    for i, r in enumerate(rows):
+        if len(m := _assign(r)) > len(fields):
+            at, fields = i, m
+    return at, fields
 
 
-def _split_csv(batches):
-    """Rows (path, n, cells) of each file, n from 0 over the rows that aren't blank. Quoted cells may hold commas and line ends."""
+_CSV = "path string, seq int, cells array<string>, fields map<string,int>"
+
+
+def _split_csv(batches, top: int = 10):
+    """Rows (path, seq, cells, fields) of each file: the cells of what stands over the header as seq -1, then data rows from 0; blank rows are
+    left out. The header is the best of the first `top` rows. Quoted cells may hold commas and line ends. A file is read once."""
     csv.field_size_limit(1 << 30)
+    out = []
     for b in batches:
-        out = []
         for path, content in zip(b["path"], b["content"], strict=True):
-            n = 0
-            for cells in csv.reader(io.StringIO((content or "").removeprefix("\ufeff"), newline="")):
-                if any(c.strip() for c in cells):
-                    out.append((path, n, [c.strip() for c in cells]))
-                    n += 1
-                    if len(out) >= 50_000:
-                        yield pd.DataFrame(out, columns=["path", "n", "cells"])
-                        out = []
-        yield pd.DataFrame(out, columns=["path", "n", "cells"])
-
-
-def _csv_rows(files: DataFrame) -> DataFrame:
-    return files.select("path", "content").mapInPandas(_split_csv, "path string, n int, cells array<string>")
-
-
-def read_csv(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(samples, headers). A file with an error has no samples. Errors: no_data, no_header, daily_table, no_time, bad_time, not_rising;
-    warnings: relative_time, no_distance."""
+            rows = ([c.strip() for c in r] for r in csv.reader(io.StringIO((content or "").removeprefix("\ufeff"), newline="")) if any(c.strip() for c in r))
+            first = list(islice(rows, top))
+            at, fields = _find_header(first)
+            out.append((path, -1, [c for r in first[:at] for c in r], fields))
+            for seq, cells in enumerate(chain(first[at + 1 :], rows)):
+                out.append((path, seq, cells, fields))
+                if len(out) >= 50_000:
+                    yield pd.DataFrame(out, columns=["path", "seq", "cells", "fields"])
+                    out = []
+    yield pd.DataFrame(out, columns=["path", "seq", "cells", "fields"])
+
+
+def _judge_csv(files: DataFrame) -> DataFrame:
+    """All rows of all files (seq -1: the file itself) with what holds of their file: one parse and one exchange by file."""
     ship(files.sparkSession)
-    rows = _csv_rows(files)
-    tops = rows.where("n < 10").groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "cells"))), lambda x: x["cells"]).alias("top"))
-    heads = tops.withColumn("h", F.pandas_udf(_find_header, "struct<at:int,fields:map<string,int>>")("top")).select("path", "h.at", "h.fields", F.flatten(F.slice("top", F.lit(1), F.col("h.at"))).alias("preamble"))
-    data = rows.join(heads, "path").where("n > at").withColumn("seq", F.col("n") - F.col("at") - 1)
-    cell = lambda f: F.when(F.col("fields")[f].isNotNull(), F.nullif(F.trim(F.get("cells", F.col("fields")[f])), F.lit("")))
+    rows = files.select("path", "content").mapInPandas(_split_csv, _CSV)
+    data = F.col("seq") >= 0
+    cell = lambda f: F.when(data & F.col("fields")[f].isNotNull(), F.nullif(F.trim(F.get("cells", F.col("fields")[f])), F.lit("")))
     number = lambda f: cell(f).try_cast("double")
-    w = W.partitionBy("path").orderBy("seq")
-    upto, every = w.rowsBetween(W.unboundedPreceding, 0), W.partitionBy("path")
-    data = data.withColumns({"raw": cell("t"), "day": cell("date"), "sport_cell": cell("sport")})
-    data = data.withColumns({"at_time": timeparse.parse_time_or_epoch(F.col("raw")), "rel": timeparse.elapsed(F.col("raw"))})
-    dated = F.col("raw").rlike(r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}$")
-    data = data.withColumns({"absolute": F.count("at_time").over(every) > 0, "date_only": (F.count("raw").over(every) > 0) & (F.count_if(dated).over(every) == F.count("raw").over(every)), "start_time": F.first("at_time", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
+    rows = rows.withColumns({"raw": cell("t"), "day": cell("date"), "sport_cell": cell("sport")})
+    rows = rows.withColumns({"at_time": timeparse.parse_time_or_epoch(F.col("raw")), "rel": timeparse.elapsed(F.col("raw"))})
+    rows = rows.withColumns({"speed": F.coalesce(number("speed"), 1000.0 / timeparse.pace(cell("pace"))), "lat": number("lat"), "lon": number("lon"), "alt": number("alt"), "hr": number("hr").cast("int"), "cad": number("cad")})
+    line = W.partitionBy("path").orderBy("seq")
+    upto, every = line.rowsBetween(W.unboundedPreceding, 0), line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    over = lambda x: x.over(every)
+    first = lambda x: over(F.first(x, ignorenulls=True))
+    rows = rows.withColumns({"start_time": first("at_time"), "first_raw": first("raw")})
+    absolute = F.col("start_time").isNotNull()
+    rows = rows.withColumn("dated", absolute & ~F.coalesce(F.col("first_raw").rlike(r"\d{1,2}:\d{2}|^\d{10,13}$"), F.lit(False)))
     seconds = (F.unix_micros(F.col("at_time").cast("timestamp")) - F.unix_micros(F.col("start_time").cast("timestamp"))) / 1e6
-    data = data.withColumn("_t", F.when(F.col("absolute"), seconds).otherwise(F.col("rel"))).withColumn("t", F.coalesce(F.last("_t", ignorenulls=True).over(upto), F.lit(0.0)))
-    data = data.withColumns({"falls": F.col("t") < F.lag("t").over(w), "speed": F.coalesce(number("speed"), 1000.0 / timeparse.pace(cell("pace"))), "lat": number("lat"), "lon": number("lon"), "alt": number("alt"), "hr": number("hr").cast("int"), "cad": number("cad")})
-    facts = data.groupBy("path").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.bool_or("absolute").alias("absolute"),
-        F.bool_or("date_only").alias("date_only"),
-        F.count("rel").alias("n_rel"),
-        F.count_distinct(timeparse.parse_time(F.col("day")).cast("date")).alias("n_days"),
-        F.bool_or(F.coalesce("falls", F.lit(False))).alias("falls"),
-        F.max("start_time").alias("start_time"),
-        F.bool_or(F.col("speed").isNotNull() | (F.col("lat").isNotNull() & F.col("lon").isNotNull())).alias("moves"),
-        F.first(timeparse.sport_strict(F.col("sport_cell")), ignorenulls=True).alias("sport_cell"),
+    # a time that is missing is the one before it; elapsed seconds that are missing are the row's number
+    carried = F.coalesce(F.last(seconds, ignorenulls=True).over(upto), F.lit(0.0))
+    rows = rows.withColumn("t", F.when(data, F.when(absolute, carried).otherwise(F.coalesce("rel", F.col("seq").cast("double")))))
+    rows = rows.withColumn("falls", F.col("t") < F.lag("t").over(line))
+    rows = rows.withColumns(
+        {
+            "n_rows": over(F.count_if(data)),
+            "n_rel": over(F.count("rel")),
+            "n_days": F.size(over(F.collect_set(timeparse.parse_time(F.col("day")).cast("date")))),
+            "any_fall": over(F.bool_or(F.coalesce("falls", F.lit(False)))),
+            "moves": F.coalesce(over(F.bool_or(F.col("speed").isNotNull() | (F.col("lat").isNotNull() & F.col("lon").isNotNull()))), F.lit(False)),
+            "sport_cell": first(timeparse.sport_strict(F.col("sport_cell"))),
+        }
     )
-    head = files.select("path").join(heads, "path", "left").join(facts, "path", "left")
-    sniffed = F.get(F.filter(F.transform("preamble", timeparse.sport_strict), lambda s: s.isNotNull()), F.lit(0))
     has = lambda f: F.col("fields")[f].isNotNull()
     error = (
-        F.when(F.coalesce("n_rows", F.lit(0)) == 0, "no_data")
+        F.when(F.col("n_rows") == 0, "no_data")
         .when(F.size("fields") == 0, "no_header")
         .when(~has("t"), F.when(has("date"), "daily_table").otherwise("no_time"))
-        .when(F.col("date_only"), "daily_table")
-        .when(~F.col("absolute") & (F.col("n_rel") == 0), "bad_time")
+        .when(F.col("dated"), "daily_table")
+        .when(~absolute & (F.col("n_rel") == 0), "bad_time")
         .when(F.col("n_days") >= 3, "daily_table")
-        .when(F.col("falls"), "not_rising")
+        .when(F.col("any_fall"), "not_rising")
     )
+    return rows.withColumns({"error": error, "absolute": absolute})
+
+
+def read_csv(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(samples, headers). A file with an error has no samples. Errors: no_data, no_header, daily_table, no_time, bad_time, not_rising;
+    warnings: relative_time, no_distance. The kind of a time column is judged by its first cell; a missing absolute time is the one
+    before it, a missing elapsed time the row's number. Both results read a file once; whoever needs both keeps the rows."""
+    rows = _judge_csv(files)
+    return _csv_samples(rows), _csv_headers(rows)
+
+
+def _csv_samples(rows: DataFrame) -> DataFrame:
+    return rows.where("seq >= 0 and error is null").select(*SAMPLE)
+
+
+def _csv_headers(rows: DataFrame) -> DataFrame:
+    sniffed = F.get(F.filter(F.transform("cells", timeparse.sport_strict), lambda s: s.isNotNull()), F.lit(0))
     warnings = F.array_compact(F.array(F.when(~F.col("absolute"), "relative_time"), F.when(~F.col("moves"), "no_distance")))
-    headers = head.select("path", F.coalesce("sport_cell", sniffed, F.lit("running")).alias("sport_type"), F.when(F.col("absolute"), F.col("start_time")).alias("start_time"), F.coalesce("n_rows", F.lit(0)).alias("n_samples"), error.alias("error"), warnings.alias("warnings"))
-    good = headers.where("error is null").select("path")
-    return data.select(*SAMPLE).join(good, "path", "left_semi"), headers
+    return rows.where("seq = -1").select("path", F.coalesce("sport_cell", sniffed, F.lit("running")).alias("sport_type"), F.when(F.col("absolute"), F.col("start_time")).alias("start_time"), F.col("n_rows").alias("n_samples"), "error", warnings.alias("warnings"))
 
 
 #: Names of fields in JSON exports; longer names may match inside a key.
