@@ -14,10 +14,13 @@ from ..deploy import ship
 from ..functions import fixed
 from ..functions.numbers import nz, pyround
 from ..functions.text import once
+from ..storage import keep
 
 RECALL, EXTRA_MIN, KEEP, COVERAGE, PARTS = 30, 0.3, -2.5, 0.5, 8
 #: Queries that one pass over the articles or vectors answers; a larger set takes more passes and not more memory.
 BLOCK = 4096
+#: Cells of a table of scores (queries by articles) that a task holds at once: 8 MB.
+CELLS = 1 << 20
 
 
 def query_terms(x: Column, topics: dict | None = None) -> Column:
@@ -61,6 +64,12 @@ def _blocks(queries: DataFrame, block: int) -> Iterator[list]:
         yield part.orderBy("query_id").collect()
 
 
+def _slices(batch: pa.RecordBatch, n_queries: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose table of scores has at most CELLS cells, however many queries there are."""
+    step = max(1, CELLS // max(n_queries, 1))
+    return (batch.slice(k, step) for k in range(0, len(batch), step))
+
+
 def _union(parts: Iterator[DataFrame], none: DataFrame) -> DataFrame:
     out = None
     for p in parts:
@@ -88,16 +97,17 @@ def matches(queries: DataFrame, articles: DataFrame, least: float, top: int | No
     """query_id, id, match, score of the pairs with a match of `least` (more than 0) or more; with `top` only those that can be
     among a query's best by 0.60 match + 0.40 score.
 
-    queries: query_id, terms; articles: id, title_text, body, score. A pass over the articles takes a block of queries: a task
-    looks all their terms up in a text at once and multiplies the found terms' weights with the block's term matrix, so
-    pairs without a match are never rows."""
+    queries: query_id, terms; articles: id, title_text, body, score. A pass over the articles takes a block of queries, held as an
+    inverted index: the block's terms and, for each, its queries. A task looks all terms up in a text at once and adds the weights of
+    those found along their postings, so memory and work follow the postings and pairs without a match are never rows."""
     ship(articles.sparkSession)
 
     def run(rows: list) -> DataFrame:
         terms = sorted({t for r in rows for t in r["terms"]})
         place = {t: i for i, t in enumerate(terms)}
-        at = [(i, place[t]) for i, r in enumerate(rows) for t in r["terms"]]
         ids = np.array([r["query_id"] for r in rows], np.int64)
+        pairs = np.array(sorted((place[t], i) for i, r in enumerate(rows) for t in r["terms"]), np.int64).reshape(-1, 2)
+        asked, ends = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(terms) + 1))
 
         def task(batches):
             import ahocorasick
@@ -107,17 +117,18 @@ def matches(queries: DataFrame, articles: DataFrame, least: float, top: int | No
                 machine.add_word(t, i)
             machine.make_automaton()
             found = (lambda x: {i for _, i in machine.iter(x)}) if terms else (lambda x: set())
-            wanted = np.zeros((len(terms), len(rows)), np.float32)
-            if at:
-                np.add.at(wanted, tuple(np.array(at).T[::-1]), 1)
+
+            def matched(title: str, body: str) -> np.ndarray:
+                weight = dict.fromkeys(found(body or ""), 1.0) | dict.fromkeys(found(title or ""), 3.0)
+                at = [asked[ends[i] : ends[i + 1]] for i in weight]
+                if not at:
+                    return np.zeros(len(ids))
+                return np.bincount(np.concatenate(at), np.repeat(list(weight.values()), [len(x) for x in at]), len(ids))
+
             for b in batches:
-                for k in range(0, len(b), 256):
-                    part = b.slice(k, 256)
-                    weight = np.zeros((len(part), len(terms)), np.float32)
-                    for n, (title, body) in enumerate(zip(part.column("title_text").to_pylist(), part.column("body").to_pylist(), strict=True)):
-                        weight[n, list(found(body or ""))] = 1
-                        weight[n, list(found(title or ""))] = 3
-                    match = np.minimum(1.0, (weight @ wanted).astype(np.float64).T / 8.0)
+                for part in _slices(b, len(ids)):
+                    match = np.array([matched(*x) for x in zip(part.column("title_text").to_pylist(), part.column("body").to_pylist(), strict=True)]).reshape(len(part), len(ids))
+                    match = np.minimum(1.0, match.T / 8.0)
                     score = part.column("score").to_numpy(zero_copy_only=False).astype(np.float64)
                     rank = np.where(match >= least, 0.60 * match + 0.40 * np.where(np.isnan(score) | (score == 0), 0.5, score)[None, :], -np.inf)
                     article = part.column("id").to_numpy(zero_copy_only=False)
@@ -185,7 +196,7 @@ def _near(queries: DataFrame, vectors: DataFrame, top: int, block: int, others:
         ids, q = np.array([r["query_id"] for r in rows], np.int64), [np.array(r["embedding"], np.float64) if r["embedding"] is not None else None for r in rows]
 
         def task(batches):
-            for b in batches:
+            for b in (part for whole in batches for part in _slices(whole, len(q))):
                 here = b.column("id").to_numpy(zero_copy_only=False)
                 c = _cosines(q, [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in b.column("embedding")])
                 if others:
@@ -229,7 +240,7 @@ def prototype_scores(vectors: DataFrame, prototypes: DataFrame, block: int = BLO
         q = [np.array(r["embedding"], np.float64) if r["embedding"] is not None else None for r in rows]
 
         def task(batches):
-            for b in batches:
+            for b in (part for whole in batches for part in _slices(whole, len(q))):
                 c = _cosines([x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in b.column("embedding")], q)
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(c.max(1, initial=-1.0))], ["id", "topic_score"])
 
@@ -253,11 +264,11 @@ def parts(key_points: Column, fallback: Column, most: int = PARTS) -> Column:
     return F.when(F.size(p) > 0, p).otherwise(F.array(fallback))
 
 
-def rerank(pool: DataFrame, passage_scores: DataFrame, top: int = 6, keep: float = KEEP) -> DataFrame:
-    """The best passage decides an article's rank; articles under `keep` are dropped, the rest ordered by
+def rerank(pool: DataFrame, passage_scores: DataFrame, top: int = 6, floor: float = KEEP) -> DataFrame:
+    """The best passage decides an article's rank; articles under `floor` are dropped, the rest ordered by
     0.70 * sigmoid(rank) + 0.30 * score. passage_scores: query_id, id, rank, one row a passage."""
     best = passage_scores.groupBy("query_id", "id").agg(F.max("rank").alias("rank"))
-    rows = pool.join(best, ["query_id", "id"]).where(F.col("rank") >= keep)
+    rows = pool.join(best, ["query_id", "id"]).where(F.col("rank") >= floor)
     rows = rows.withColumn("total", pyround(0.70 / (1 + F.exp(-F.col("rank"))) + 0.30 * F.coalesce(nz("score"), F.lit(0.5)), 4))
     w = W.partitionBy("query_id").orderBy(F.desc("total"), "id")
     return rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= top)
@@ -273,11 +284,12 @@ def retrieve(queries: DataFrame, articles: DataFrame, vectors: DataFrame, scorer
 
     Where enough articles have a vector, the vector path decides: recall pool, passage scores, floor; a query that keeps nothing
     there has no result and is not searched by keywords. Else all queries are. queries: query_id, embedding, terms; articles: as
-    in matches(); vectors: id, embedding; scorer(pool) gives passage scores (query_id, id, rank). One flag reaches the driver."""
+    in matches(); vectors: id, embedding; scorer(pool) gives passage scores (query_id, id, rank). The pool is made once and written. One
+    flag reaches the driver."""
     every = articles.select("id").join(vectors, "id", "left")
     if usable(every).first()["usable"]:
         hits = matches(queries, articles, EXTRA_MIN, block=block)
         own = every.where("embedding is not null").select("id", "embedding")
-        pool = recall_pool(queries, own, hits, block=block).join(articles.select("id", "score"), "id")
+        pool = keep(recall_pool(queries, own, hits, block=block).join(articles.select("id", "score"), "id"), "pool")
         return rerank(pool, scorer(pool), top).select("query_id", "id", "total", "nth", F.lit("vectors").alias("via"))
     return keyword_search(queries, articles, top, block=block).select("query_id", "id", "total", F.col("place").alias("nth"), F.lit("keywords").alias("via"))
