@@ -162,3 +162,57 @@ def test_evaluation_ranks_nothing(spark, sf_dir):
 def test_bridge_takes_terms_from_whole_texts(spark, sf_dir):
     plain, bridged = ({r.item_id: set(r.terms.split()) for r in queries.queries()[n](spark, sf_dir).collect()} for n in ("fn50_query_terms", "fn50_bridge"))
     assert plain and all(plain[i] <= bridged[i] for i in plain)
+
+
+def test_packing_keeps_to_the_budget():
+    p = hooks.Packing(budget=100, least=2, most=5)
+    lengths = [90, 1, 2, 60, 30, 30, 3, 20, 4, 200]
+    got = p.batches(lengths)
+    assert sorted(i for b in got for i in b) == list(range(len(lengths)))
+    assert [lengths[i] for b in got for i in b] == sorted(lengths)
+    assert all(len(b) <= 5 and (len(b) <= 2 or len(b) * max(lengths[i] for i in b) <= 100) for b in got)
+    assert p.batches([]) == []
+
+
+def test_embedding_in_batches_keeps_order_and_tries_again(spark, tmp_path):
+    log = str(tmp_path)
+    texts = ["x" * (1 + (i * 37) % 200) for i in range(60)] + [None]
+
+    def model(batch):
+        import os
+        import uuid
+
+        if not os.path.exists(f"{log}/failed"):
+            open(f"{log}/failed", "w").close()
+            raise ConnectionError("busy")
+        with open(f"{log}/{uuid.uuid4().hex}.call", "w") as f:
+            f.write(" ".join(str(len(x)) for x in batch))
+        return pd.Series([[float(len(x)), 1.0] for x in batch])
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    packing = hooks.Packing(budget=400, least=2, most=8, count=len, threads=2, tries=2)
+    got = {r.id: r.v for r in df.select("id", hooks.embed(F.col("t"), model, packing).alias("v")).collect()}
+    assert got == {i: [float(len(t or "")), 1.0] for i, t in enumerate(texts)}
+    calls = [[int(x) for x in p.read_text().split()] for p in tmp_path.glob("*.call")]
+    assert sum(map(len, calls)) == len(texts)
+    assert all(len(c) <= 8 and (len(c) <= 2 or len(c) * max(c) <= 400) for c in calls) and max(map(len, calls)) == 8
+
+
+def test_a_failing_text_or_image_is_a_row(spark):
+    def fields(title, body):
+        if title == "bad":
+            raise ValueError("no answer")
+        return ["no dict"] if title == "list" else {"title": title.upper(), "key_points": [body], "other": 1}
+
+    df = spark.createDataFrame([(1, "a", "x"), (2, "bad", "y"), (3, "list", "z"), (4, "b", None)], "id long, t string, b string")
+    got = {r.id: r.x for r in df.select("id", hooks.extract(fields, hooks.Packing(threads=3), title=F.col("t"), body=F.col("b")).alias("x")).collect()}
+    assert got[1].fields.title == "A" and got[1].fields.key_points == ["x"] and got[1].error is None and got[1].fields.summary is None
+    assert got[2].fields is None and got[2].error == "ValueError: no answer" and got[3].error == "TypeError: the answer is of type list"
+    assert got[4].fields.title == "B"
+
+    def ocr(image):
+        return [{"text": image.decode(), "conf": 0.5, "bbox": [[0.0, 1.0]]}]
+
+    images = spark.createDataFrame([(1, bytearray(b"hi")), (2, bytearray(b"\xff"))], "id long, i binary")
+    got = {r.id: r.x for r in images.select("id", hooks.read_image(F.col("i"), ocr).alias("x")).collect()}
+    assert got[1].blocks[0].text == "hi" and got[2].blocks is None and got[2].error.startswith("UnicodeDecodeError")

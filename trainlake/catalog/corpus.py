@@ -382,3 +382,14 @@ def _nearest_rank(p):
 @query(f"select lang, {_nearest_rank(0.25)} as p25, {_nearest_rank(0.5)} as p50, {_nearest_rank(0.9)} as p90 from documents group by 1")
 def agg19_nearest_rank(spark, sf_dir):
     return ops.percentiles(tables.table(spark, sf_dir, "documents"), "lang", "n_chars", {"p25": 0.25, "p50": 0.5, "p90": 0.9}).drop("n")
+
+
+def _price_rank(p):
+    return f"list_sort(list(l_extendedprice))[least(count(*), floor(count(*) * {p})::bigint + 1)]"
+
+
+@query(f"select l_returnflag as flag, count(*) as n, {_price_rank(0.01)} as p01, {_price_rank(0.5)} as p50, {_price_rank(0.999)} as p999, {_price_rank(1.0)} as most from lineitem group by 1")
+def agg19_continuous(spark, sf_dir):
+    """Ranks of prices, nearly all of them distinct, in three groups that hold all rows."""
+    items = tables.table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "flag")
+    return ops.percentiles(items, "flag", "l_extendedprice", {"p01": 0.01, "p50": 0.5, "p999": 0.999, "most": 1.0})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import hooks
 from ..functions import fixed, text
 from ..functions.numbers import pyround
 from ..operators import activities, extract, rounds
@@ -158,3 +159,29 @@ def win09_even_sample(spark, sf_dir):
 @query(f"select p_partkey, {pr('1 / (1 + exp(-(p_size - 25) / 10.0::double))', 6)} as p from part")
 def fn12_sigmoid(spark, sf_dir):
     return tables.table(spark, sf_dir, "part").select("p_partkey", pyround(1 / (1 + F.exp(-(F.col("p_size") - 25) / 10)), 6).alias("p"))
+
+
+def _stand_in(title, body, domain):
+    """A model's stand-in: two points and the body's head for a summary; no answer for what is marked so."""
+    if domain == "silent":
+        raise TimeoutError("no answer")
+    return {"summary": body[:30], "key_points": [body, title], "evidence_level": "rct" if title == "region" else "popular", "substantive": True}
+
+
+@query(
+    """select o_custkey as id, case when o_custkey % 10 <> 0 then min_by(left(c_name, 30), 1) when o_custkey % 20 <> 0 then left('r' || any_value(c_nationkey), 30) else '' end as summary,
+  case when o_custkey % 10 <> 0 then any_value(c_name) || '|name|r' || any_value(c_nationkey) || '|region' when o_custkey % 20 <> 0 then 'r' || any_value(c_nationkey) || '|region' else '' end as points,
+  case when o_custkey % 20 = 0 then 'unknown' else 'rct' end as evidence_level, case when o_custkey % 20 = 0 then 2 when o_custkey % 10 = 0 then 1 else 0 end::bigint as n_failed,
+  case when o_custkey % 10 = 0 then 'TimeoutError: no answer' end as error
+from (select c_custkey as o_custkey, c_name, c_nationkey from customer) group by o_custkey"""
+)
+def led05_extract_batch(spark, sf_dir):
+    """Fields of two parts an article, by a model that gives no answer for a part of every tenth and for both of every twentieth."""
+    c = tables.table(spark, sf_dir, "customer").withColumn("id", F.col("c_custkey"))
+    silent = lambda every: F.when(F.col("id") % every == 0, "silent").otherwise("e.org")
+    part = lambda k, title, body, domain: F.struct(F.lit(k).alias("part"), F.lit(title).alias("title"), body.alias("body"), domain.alias("domain"))
+    two = F.array(part(0, "name", F.col("c_name"), silent(10)), part(1, "region", F.concat(F.lit("r"), F.col("c_nationkey").cast("string")), silent(20)))
+    parts = c.select("id", F.explode(two).alias("p")).select("id", "p.*")
+    docs = c.select("id", F.col("c_name").alias("title"), F.col("c_name").alias("content_md"), F.lit("e.org").alias("domain"), F.lit(None).cast("date").alias("published_at"))
+    out = extract.extract_batch(docs, parts, _stand_in, hooks.Packing(threads=4))
+    return out.select("id", "summary", F.array_join("key_points", "|").alias("points"), "evidence_level", "n_failed", "error")

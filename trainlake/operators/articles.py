@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text, url
 from ..functions.numbers import nz, pyround, ratio
+from ..storage import keep
 from . import ledger
 
 
@@ -202,10 +203,20 @@ def detail(articles: DataFrame, stored_scores: DataFrame) -> DataFrame:
 
 
 def percentiles(values: DataFrame, by: str, value: str, points: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles of a column by group: the value at place floor(n p) of the sorted ones, the last at most. Exact, by
-    counts of distinct values, so that no group is sorted row by row."""
-    counts = values.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy(by)
-    rows = counts.withColumn("_upto", F.sum("_n").over(w.orderBy(value))).withColumn("_all", F.sum("_n").over(w))
+    """Nearest-rank percentiles of a column by group: the value at place floor(n p) of the sorted ones, the last at most. Exact.
+
+    Distinct values with their counts are range-partitioned by (group, value) and written; a group of many values lies in many parts.
+    The parts' sums give each one's first place, so places are counted within a part and no window holds a group. Nulls are left
+    out; a null group is a group."""
+    counts = values.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keep(counts.repartitionByRange(n, "_by", "_v").withColumn("_part", F.spark_partition_id()), "ranked")
+    line = W.partitionBy("_by").orderBy("_part")
+    sums = dealt.groupBy("_by", "_part").agg(F.sum("_n").alias("_n"))
+    sums = sums.select(F.col("_by").alias("_b"), F.col("_part").alias("_p"), (F.sum("_n").over(line) - F.col("_n")).alias("_base"), F.sum("_n").over(W.partitionBy("_by")).alias("_all"))
+    rows = dealt.join(sums, F.col("_by").eqNullSafe(F.col("_b")) & (F.col("_part") == F.col("_p")))
+    rows = rows.withColumn("_upto", F.col("_base") + F.sum("_n").over(W.partitionBy("_by", "_part").orderBy("_v")))
     rank = lambda p: F.least(F.floor(F.col("_all") * p), F.col("_all") - 1)
-    return rows.groupBy(by).agg(F.max("_all").alias("n"), *[F.min(F.when(F.col("_upto") > rank(p), F.col(value))).alias(name) for name, p in points.items()])
+    at = lambda p: (F.col("_upto") > rank(p)) & (F.col("_upto") - F.col("_n") <= rank(p))
+    out = rows.groupBy("_by").agg(F.max("_all").alias("n"), *[F.max(F.when(at(p), F.col("_v"))).alias(name) for name, p in points.items()])
+    return out.withColumnRenamed("_by", by)

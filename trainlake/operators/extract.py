@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import hooks
+from ..deploy import ship
 from ..functions import fixed, text
+from ..storage import keep
 from . import articles, segments
 
 #: Evidence levels from weakest to strongest; most key points and topics; signs of a question for a substitute.
@@ -106,6 +109,31 @@ def finalize(docs: DataFrame, topics: dict | None = None) -> DataFrame:
     return out.select("id", "domain", real.alias("substantive"), published.alias("published_at"), *[v.alias(c) for c, v in made.items()])
 
 
+def extract_parts(parts: DataFrame, model: hooks.Extractor, packing: hooks.Packing = hooks.Packing()) -> DataFrame:
+    """One row an article of parts (id, part, title, body, domain): its merged fields as a struct, how many parts there are and failed, and
+    the first error. A part that fails leaves the others' fields; an article of which all parts failed has null fields."""
+    ship(parts.sparkSession)
+    asked = parts.select("id", "part", hooks.extract(model, packing, title=F.col("title"), body=F.col("body"), domain=F.col("domain")).alias("x"))
+    asked = keep(asked, "extracted")  # a model is called once a part
+    counts = asked.groupBy("id").agg(F.count(F.lit(1)).alias("n_parts"), F.count("x.error").alias("n_failed"), F.min_by("x.error", F.when(F.col("x.error").isNotNull(), F.col("part"))).alias("error"))
+    good = asked.where("x.error is null")
+    merged = merge_parts(good.select("id", "part", *[f"x.fields.{c}" for c in ("summary", "key_points", "evidence_level")]))
+    first = good.groupBy("id").agg(F.min_by("x.fields", "part").alias("f"))
+    fields = F.col("f").withField("summary", F.col("summary")).withField("key_points", F.col("key_points")).withField("evidence_level", F.col("evidence_level"))
+    return counts.join(first.join(merged, "id").select("id", fields.alias("fields")), "id", "left")
+
+
+def extract_batch(docs: DataFrame, parts: DataFrame, model: hooks.Extractor, packing: hooks.Packing = hooks.Packing(), topics: dict | None = None) -> DataFrame:
+    """finalize() of what the model gave for docs' parts, with n_failed and error. Articles of which every part failed keep their row
+    with empty fields, category training and evidence unknown; articles without parts are finalized without fields."""
+    found = extract_parts(parts, model, packing)
+    out = finalize(docs.join(found.select("id", "fields"), "id", "left"), topics)
+    out = out.join(found.select("id", "n_parts", "n_failed", "error"), "id", "left")
+    lost = F.coalesce(F.col("n_failed") == F.col("n_parts"), F.lit(False))
+    empty = {"category": F.lit("training"), "topics": F.array().cast("array<string>"), "summary": F.lit(""), "key_points": F.array().cast("array<string>"), "evidence_level": F.lit("unknown")}
+    return out.withColumns({c: F.when(lost, x).otherwise(F.col(c)) for c, x in empty.items()}).drop("n_parts").withColumn("n_failed", F.coalesce("n_failed", F.lit(0)))
+
+
 def with_fields(fetched: DataFrame, fields: DataFrame) -> DataFrame:
     """Fetched pages with their extracted fields by id; a page whose extraction failed keeps its row, with null fields. Positions
     never decide."""
