@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import hooks
 from ..functions import fixed, text
-from ..functions.numbers import pyround
+from ..functions.numbers import pyround, sigmoid
 from ..operators import activities, extract, rounds
 from ..operators import articles as art
 from ..operators.segments import even_sample
@@ -129,9 +129,38 @@ def flt02_rolling(spark, sf_dir):
     return activities.rolling(_acts(spark, sf_dir), "2001-08-01", 7).select("activity_id")
 
 
-@query("select strftime(d, '%Y-%m-%d') as date, ((row_number() over (order by d) - 1 + isodow(date '2001-07-01') - 1) // 7)::int as week, isodow(d)::int as dow from range(date '2001-07-01', date '2001-08-01', interval 1 day) r(d)")
+@query(
+    """with m as (select distinct date_trunc('month', o_orderdate)::date as f from orders), d as (select f, unnest(range(f, f + interval 1 month, interval 1 day))::date as d from m)
+select year(f)::int as year, month(f)::int as month, strftime(d, '%Y-%m-%d') as date, ((day(d) - 1 + isodow(f) - 1) // 7)::int as week, isodow(d)::int as dow from d"""
+)
 def fn14_month_grid(spark, sf_dir):
-    return activities.month_grid(spark, 2001, 7).withColumn("date", F.col("date").cast("string"))
+    """Grids of all months that have orders."""
+    months = tables.table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).distinct()
+    return activities.month_grid(months).withColumn("date", F.col("date").cast("string"))
+
+
+@query("select o_orderkey as id, case o_orderkey % 5 when 0 then 'p' || o_custkey when 1 then left('1998-01-01T00:00:00.000000000+08:00' || o_orderkey, 32) when 2 then 'b' || o_custkey when 3 then 'o' || o_custkey end as date from orders")
+def fn38_pick_date(spark, sf_dir):
+    o = tables.table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey") % 5, F.col("o_custkey").cast("string")
+    pair = lambda name, value: F.map_from_arrays(F.array(F.lit(name), F.lit("other")), F.array(value, F.lit("x")))
+    long = F.concat(F.lit("1998-01-01T00:00:00.000000000+08:00"), F.col("o_orderkey").cast("string"))
+    both = F.map_from_arrays(F.array(F.lit("date"), F.lit("published_time"), F.lit("article:published_time")), F.array(F.lit("later"), F.concat(F.lit("p"), c), F.lit("")))
+    meta = F.when(k == 0, both).when(k == 1, pair("article:published_time", long)).when(k == 2, pair("pubdate", F.concat(F.lit("b"), c))).when(k == 3, pair("og:published_time", F.concat(F.lit("o"), c))).otherwise(pair("date", F.lit("")))
+    return o.select(F.col("o_orderkey").alias("id"), text.pick_date(meta).alias("date"))
+
+
+_PLAN = "concat_ws(' ', nullif(goal, ''), case when lower(goal) in ('fat_loss', 'weight_loss') then '减脂饮食 营养搭配 食材热量' end, nullif(flags, ''), nullif(request, ''), nullif(left(note, 200), ''))"
+
+
+@query(f"with c as (select c_custkey as id, case c_custkey % 4 when 0 then 'Fat_Loss' when 1 then 'endurance' when 2 then 'weight_loss' end as goal, case when c_custkey % 3 = 0 then 'knee hip' else '' end as flags, case when c_custkey % 8 <> 7 then c_name else '' end as request, case when c_custkey % 8 = 7 then '' else repeat(c_mktsegment, 30) end as note from customer) select id, left(trim(case when {_PLAN} = '' then '跑步训练 计划 心率区间' else {_PLAN} end), 120) as query from c")
+def ret05_plan_query(spark, sf_dir):
+    k = F.col("c_custkey")
+    c = tables.table(spark, sf_dir, "customer")
+    goal = F.when(k % 4 == 0, "Fat_Loss").when(k % 4 == 1, "endurance").when(k % 4 == 2, "weight_loss")
+    flags = F.when(k % 3 == 0, F.array(F.lit("knee"), F.lit("hip")))
+    request, note = F.when(k % 8 != 7, F.col("c_name")), F.when(k % 8 != 7, F.repeat("c_mktsegment", F.lit(30)))
+    return c.select(k.alias("id"), extract.plan_query(goal, flags, F.array().cast("array<string>"), request, note).alias("query"))
 
 
 @query(f"with {MD}, {_CLEAN} select doc_id, length(content) >= 300 as long_enough from cl")
@@ -158,7 +187,7 @@ def win09_even_sample(spark, sf_dir):
 
 @query(f"select p_partkey, {pr('1 / (1 + exp(-(p_size - 25) / 10.0::double))', 6)} as p from part")
 def fn12_sigmoid(spark, sf_dir):
-    return tables.table(spark, sf_dir, "part").select("p_partkey", pyround(1 / (1 + F.exp(-(F.col("p_size") - 25) / 10)), 6).alias("p"))
+    return tables.table(spark, sf_dir, "part").select("p_partkey", pyround(sigmoid((F.col("p_size") - 25) / 10), 6).alias("p"))
 
 
 def _stand_in(title, body, domain):

@@ -164,6 +164,21 @@ def _passage_scores(pool):
     return k.select("query_id", "id", (((F.col("query_id") * 13 + F.col("id") * 7 + F.col("k") * 5) % 100) / 10 - 5).alias("rank"))
 
 
+_SUMMARY = "case when id % 3 <> 0 then left(content_md, id % 90) end"
+_TEXTS = f"""x as (select id, title, coalesce(trim({_SUMMARY}), '') as s, coalesce(array_to_string(key_points[1:6], '；'), '') as p6, coalesce(array_to_string(key_points[1:4], '；'), '') as p4, content_md from (select id, title, key_points, content_md from ar)),
+y as (select *, concat_ws(chr(10), nullif(trim(title), ''), nullif(s, ''), nullif(p6, '')) as t from x)"""
+
+
+@query(f"with {_ART}, {_TEXTS} select id, trim(left(case when length(t) < 60 then t || chr(10) || left(trim(content_md), 1200) else t end, 1600)) as doc_text, case when s <> '' then left(trim(s || chr(10) || p4, ' ' || chr(10) || chr(9) || chr(13)), 1600) else trim(trim(title) || chr(10) || left(trim(content_md), 1200), ' ' || chr(10) || chr(9) || chr(13)) end as rerank_text from y")
+def fn51_texts(spark, sf_dir):
+    """What vectors and rerankers read of all articles; a third has no summary."""
+    a = tables.articles(spark, sf_dir)
+    k, c = F.col("id"), F.col("content_md")
+    summary = F.when(k % 3 != 0, F.substring(c, F.lit(1), (k % 90).cast("int")))
+    made = lambda f: f(F.col("title"), summary, F.col("key_points"), c)
+    return a.select("id", made(ops.doc_text).alias("doc_text"), made(ops.rerank_text).alias("rerank_text"))
+
+
 @query(f"with {_ART}, {_BOTH}, t as (select query_id, id, {pr('0.7::double / (1 + exp(-r)) + 0.3::double * coalesce(nullif(score, 0), 0.5::double)', 4)} as total from b where r >= -2.5) select query_id, id, total, nth::int as nth, 'vectors' as via from (select *, row_number() over (partition by query_id order by total desc, id) as nth from t) where nth <= 6")
 def ret04_retrieve(spark, sf_dir):
     """The whole path over articles that have vectors; the passage scores are a fixed formula."""

@@ -156,10 +156,14 @@ def led01_profile_params(spark, sf_dir):
     return ingest.profile_params(profile, tables.daily_metrics(spark, sf_dir))
 
 
-@query("select 'health' as goal, 'beginner' as experience, null::double as height_cm")
+@query("select c_custkey as user_id, case when c_custkey % 3 <> 0 and c_custkey % 4 <> 0 then c_mktsegment else 'health' end as goal, case when c_custkey % 3 <> 0 and c_custkey % 5 <> 0 then 'e' || c_nationkey else 'beginner' end as experience, case when c_custkey % 3 <> 0 then c_acctbal end as height_cm from customer")
 def led02_profile_defaults(spark, sf_dir):
-    none = spark.createDataFrame([], "id long, goal string, experience string, height_cm double")
-    return ledger.with_defaults(none, {"goal": "health", "experience": "beginner"}).drop("id")
+    """Customers as users: a third has no profile, some profiles lack fields, some users have a second one that doesn't count."""
+    k = F.col("c_custkey")
+    c = tables.table(spark, sf_dir, "customer").withColumn("user_id", k)
+    own = c.where(k % 3 != 0).select("user_id", k.alias("id"), F.when(k % 4 != 0, F.col("c_mktsegment")).alias("goal"), F.when(k % 5 != 0, F.concat(F.lit("e"), F.col("c_nationkey").cast("string"))).alias("experience"), F.col("c_acctbal").alias("height_cm"))
+    more = c.where(k % 7 == 1).where(k % 3 != 0).select("user_id", (k + 1_000_000_000).alias("id"), F.lit("later").alias("goal"), F.lit("later").alias("experience"), F.lit(1.0).alias("height_cm"))
+    return ledger.profiles_with_defaults(c, own.unionByName(more), "user_id", {"goal": "health", "experience": "beginner"})
 
 
 @query(f"with {_ART}, f as (select id // 3 as query_id, id % 3 + 1 as nth, id % 4 <> 0 as there, * from ar) select query_id, coalesce(string_agg(case when there then '[' || nth::varchar || '] ' || title || '  —— ' || domain || coalesce(' ' || year(published_at)::varchar, '') || case when len(key_points) > 0 then chr(10) || '    要点：' || array_to_string(key_points[1:2], '；') else '' end end, chr(10) order by nth), '（知识库暂无相关条目）') as evidence from f group by 1")

@@ -158,3 +158,11 @@ BLOCKED_HOSTS = [
 ]
 #: The categories an article may have.
 CATEGORIES = list(TOPICS)
+
+#: Names of dates in a page's metadata, in order; separator of points; goals whose plans ask for food too, and the words that
+#: are searched for then.
+DATE_META = ["published_time", "article:published_time", "date", "pubdate", "og:published_time"]
+POINT_SEPARATOR = "；"
+DIET_GOALS = ["fat_loss", "weight_loss"]
+DIET_TERMS = "减脂饮食 营养搭配 食材热量"
+PLAN_TERMS = "跑步训练 计划 心率区间"

@@ -10,6 +10,11 @@ def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def sigmoid(x: Column) -> Column:
+    """1 / (1 + e^-x)."""
+    return 1 / (1 + F.exp(-x))
+
+
 def pyround(x: str | Column, digits: int = 2) -> Column:
     """Half-even on the exact binary value, as a decimal formatter rounds; plain round() works on the shortest decimal."""
     pattern = "0." + "0" * digits if digits else "0"

@@ -116,6 +116,12 @@ def html_title(html: Column) -> Column:
     return strip(unescape(F.regexp_replace(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1), r"[ \t\xa0]+", " ")))
 
 
+def pick_date(meta: Column) -> Column:
+    """The first date that a page's metadata (a map of names and values) has, by names in order, 32 characters at most."""
+    found = [F.nullif(F.try_element_at(meta, F.lit(k)), F.lit("")) for k in fixed.DATE_META]
+    return F.substring(F.coalesce(*found), 1, 32)
+
+
 def html_date(html: Column) -> Column:
     d = F.regexp_extract(F.coalesce(html, F.lit("")), r"""(?i)(?:published_time|publishdate|pubdate|date)["']?\s*[:=]\s*["'](\d{4}-\d{1,2}-\d{1,2})""", 1)
     return F.nullif(d, F.lit(""))

@@ -70,11 +70,12 @@ def rolling(acts: DataFrame, as_of: str, days: int) -> DataFrame:
     return acts.where(F.col("start_time") >= F.date_sub(date_lit(as_of), days).cast("timestamp_ntz"))
 
 
-def month_grid(spark, year: int, month: int) -> DataFrame:
-    """date, week (row of the grid, from 0) and dow (1: Monday) of each day of a month."""
-    first = F.make_date(F.lit(year), F.lit(month), F.lit(1))
-    days = spark.range(1).select(F.explode(F.sequence(first, F.last_day(first))).alias("date"))
-    return days.select("date", F.floor((F.dayofmonth("date") - 1 + F.weekday(first)) / 7).cast("int").alias("week"), (F.weekday("date") + 1).alias("dow"))
+def month_grid(months: DataFrame) -> DataFrame:
+    """year, month, date, week (row of the month's grid, from 0) and dow (1: Monday) of each day of the months (year, month; each once)."""
+    first = F.make_date("year", "month", F.lit(1))
+    days = months.select("year", "month", F.explode(F.sequence(first, F.last_day(first))).alias("date"))
+    first = F.make_date("year", "month", F.lit(1))
+    return days.select("year", "month", "date", F.floor((F.dayofmonth("date") - 1 + F.weekday(first)) / 7).cast("int").alias("week"), (F.weekday("date") + 1).alias("dow"))
 
 
 def weekly(acts: DataFrame, as_of: str, weeks: int = 8, by: Sequence[str] = ()) -> DataFrame:

@@ -59,6 +59,16 @@ def search_query(message: Column, most: int = 120) -> Column:
     return F.substring(F.when(m.rlike(SWAP_SIGNS), F.concat(m, F.lit(SWAP_TERMS))).otherwise(m), 1, most)
 
 
+def plan_query(goal: Column, flags: Column, constraints: Column, request: Column, assessment: Column, most: int = 120) -> Column:
+    """What the knowledge base is asked for a plan: goal (with food terms where it is to lose weight), risk flags, constraints, request
+    and the first 200 characters of the assessment, those that are there, cut to `most`; a general question where nothing is."""
+    listed = lambda x: F.array_join(F.coalesce(x, F.array().cast("array<string>")), " ")
+    food = F.when(F.lower(goal).isin(*fixed.DIET_GOALS), fixed.DIET_TERMS)
+    pieces = F.filter(F.array(goal, food, listed(flags), listed(constraints), request, F.substring(assessment, 1, 200)), lambda x: F.coalesce(x, F.lit("")) != "")
+    text_ = F.array_join(pieces, " ")
+    return F.substring(F.trim(F.when(text_ == "", fixed.PLAN_TERMS).otherwise(text_)), 1, most)
+
+
 def tolerant_json(raw: Column) -> Column:
     """The JSON object inside a model's answer, without fences and text around it; null if there is none."""
     body = F.regexp_extract(F.coalesce(raw, F.lit("")), r"(?s)(\{.*\})", 1)

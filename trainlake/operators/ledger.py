@@ -90,13 +90,22 @@ def cities_of(places: DataFrame, visits: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def with_defaults(profile: DataFrame, defaults: dict) -> DataFrame:
-    """The profile's one row with defaults for missing fields; a row of defaults where there is none."""
+    """The profile's one row with defaults for missing fields; a row of defaults where there is none. For many users' profiles see
+    profiles_with_defaults()."""
     base = profile.sparkSession.range(1).select(F.lit(1).alias("_one"))
     own = profile.orderBy("id").limit(1).withColumn("_one", F.lit(1))
     out = base.join(F.broadcast(own), "_one", "left").drop("_one")
     return out.select(*[F.coalesce(c, F.lit(defaults[c]).cast(t)).alias(c) if c in defaults else F.col(c) for c, t in profile.dtypes])
 
 
+def profiles_with_defaults(users: DataFrame, profiles: DataFrame, key: str, defaults: dict) -> DataFrame:
+    """One row a user (users: key): the profile of least id with defaults for its missing fields, or a row of defaults."""
+    values = [(c, t) for c, t in profiles.dtypes if c not in (key, "id")]
+    own = profiles.groupBy(key).agg(F.min_by(F.struct(*[c for c, _ in values]), "id").alias("_p"))
+    out = users.select(key).distinct().join(own, key, "left")
+    return out.select(key, *[F.coalesce(f"_p.{c}", F.lit(defaults[c]).cast(t)).alias(c) if c in defaults else F.col(f"_p.{c}").alias(c) for c, t in values])
+
+
 def age(birth_year: Column, as_of: str, default: int = 30) -> Column:
     """Years since the year of birth; a default without one."""
     return F.coalesce(F.year(F.lit(as_of).cast("date")) - nz(birth_year), F.lit(default)).cast("int")

@@ -50,6 +50,26 @@ def searchable(*parts: Column) -> Column:
     return F.replace(F.lower(F.concat_ws(" ", *parts)), F.lit("-"), F.lit(" "))
 
 
+def _points(key_points: Column, most: int) -> Column:
+    return F.array_join(F.slice(F.coalesce(key_points, F.array().cast("array<string>")), 1, most), fixed.POINT_SEPARATOR, "None")
+
+
+def doc_text(title: Column, summary: Column, key_points: Column, content: Column, limit: int = 1200) -> Column:
+    """What an article's vector is made of: title, summary and six points, a line each; the beginning of the text too where that is under
+    60 characters."""
+    filled = lambda x: F.btrim(F.coalesce(x, F.lit("")))
+    lines = F.filter(F.array(filled(title), filled(summary), _points(key_points, 6)), lambda x: x != "")
+    short = F.coalesce(content, F.lit("")) != ""
+    return once(F.array_join(lines, "\n"), lambda t: F.btrim(F.substring(F.when((F.length(t) < 60) & short, F.concat(t, F.lit("\n"), F.substring(F.btrim(content), 1, limit))).otherwise(t), 1, limit + 400)))
+
+
+def rerank_text(title: Column, summary: Column, key_points: Column, content: Column, limit: int = 1200) -> Column:
+    """What a reranker reads: summary and four points without the title; title and beginning of the text where there is no summary."""
+    filled = lambda x: F.btrim(F.coalesce(x, F.lit("")))
+    whole = F.substring(F.btrim(F.concat(filled(summary), F.lit("\n"), _points(key_points, 4)), F.lit(" \n\t\r")), 1, limit + 400)
+    return F.when(filled(summary) != "", whole).otherwise(F.btrim(F.concat(filled(title), F.lit("\n"), F.substring(filled(content), 1, limit)), F.lit(" \n\t\r")))
+
+
 def match_score(terms: Column, body: Column, title: Column) -> Column:
     """Three for each term in the title, else one for each in the body; an eighth of the sum, at most 1."""
     n = F.aggregate(terms, F.lit(0.0), lambda a, t: a + F.when(title.contains(t), 3.0).when(body.contains(t), 1.0).otherwise(0.0))
