@@ -184,7 +184,7 @@ def secret_candidates(text):
         return bool(assigned or find("^" + s.USER + "$", one))
 
     def bare(x):
-        return re.sub(r"^\\?[\"'`]|\\+$", "", x) if find(r"^\\?[\"'`]", x) else re.sub(r"[.,;:!?*#&\\]+$", "", x)
+        return re.sub(r"^\\?[\"'`]|\\+$", "", x) if find(r"^\\?[\"'`]", x) else re.sub(r"(?<![.,;:!?*#&\\])[.,;:!?*#&\\]+$", "", x)
 
     out = []
     for i, word in enumerate(words):

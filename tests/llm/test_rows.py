@@ -219,6 +219,26 @@ def test_secrets_within_words(spark):
     assert sorted((r.part_no, r.value) for r in secret_scan.candidates(twice).collect()) == [(0, a), (1, a)]
 
 
+def test_secrets_in_words_of_a_megabyte(spark):
+    """Work and rows grow with the length of a word, however many names, keys or brackets it has."""
+    rng = random.Random(4)
+    keys = [hashlib.md5(str(rng.random()).encode()).hexdigest() for _ in range(20_000)]
+    texts = ["token=" * 170_000, "token" * 200_000, ",".join(f'"secret":"{k}"' for k in keys), ",".join(keys), "token=" + "." * 1_000_000 + "x", "<" * 1_000_000, "token=`" + "secret='" * 120_000, "b" * 1_000_000 + " token= " + keys[0]]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").repartition(8)
+    rows = secret_scan.with_features(secret_scan.candidates(df), ["word"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("value") + F.length("before1") + F.length("before2") + F.length("after")).alias("chars"), F.sum("coverage").alias("c"))
+    got = {r.doc_id: r for r in rows.collect()}
+    assert got[2].n == got[3].n == 20_000 and got[7].n == 2
+    assert all(got[i].chars < 8 * len(texts[i]) + 1000 for i in got)
+
+
+def test_repeated_windows_of_a_long_text_whose_hashes_collide(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "HASH_BITS", 20)
+    n = 300_000
+    text = " ".join(str(i) for i in range(n)) + " 5 6 7 8 x 100 101 102"
+    (r,) = quality_rules.measure(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert r.n_words == n + 8 and r.n_repeat_words == 14
+
+
 def test_pipeline(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

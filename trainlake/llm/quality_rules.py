@@ -52,7 +52,7 @@ def _repeat_words(words: Column) -> Column:
 
     Each window becomes one long: hash above, position in the low bits. After one primitive sort equal windows are
     neighbours; equal hash bits are confirmed on the words themselves. Where different windows of a text have equal hash
-    bits, all windows of that text are compared by their words."""
+    bits, its windows are sorted by their words instead, so the work grows as n log n however many hashes collide."""
 
     def shift_of(ws: Column) -> Column:
         return F.greatest(F.length(F.bin(F.size(ws).cast("long"))), F.lit(64 - HASH_BITS))
@@ -78,6 +78,14 @@ def _repeat_words(words: Column) -> Column:
     def exact(ws: Column, p: Column, q: Column) -> Column:
         return (F.get(ws, p) == F.get(ws, q)) & (F.get(ws, p + 1) == F.get(ws, q + 1)) & (F.get(ws, p + 2) == F.get(ws, q + 2))
 
+    def sorted_windows(ws: Column) -> Column:
+        """Windows as text (words hold no spaces) with their places, in order."""
+        window = lambda w, i: F.struct(F.concat_ws(" ", w, F.get(ws, i + 1), F.get(ws, i + 2)).alias("w"), i.cast("int").alias("at"))
+        return F.sort_array(F.transform(F.slice(ws, F.lit(1), F.size(ws) - 2), window))
+
+    def same(t: Column, x: Column, k: Column) -> Column:
+        return F.when((k >= 0) & (k < F.size(t)), F.get(t, k)["w"] == x["w"]).otherwise(False)
+
     def spans(places: Column) -> Column:
         """Words of the windows at the given places, ascending."""
         return let(places, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1), x + 3) - x)), F.lit(0), lambda a, x: a + x))
@@ -88,8 +96,7 @@ def _repeat_words(words: Column) -> Column:
         unlike = F.filter(s, lambda x, i: (i > 0) & beside(x, i, -1) & ~exact(ws, position(x, shift), position(F.get(s, i - 1), shift)))
         either = F.filter(s, lambda x, i: ((i > 0) & beside(x, i, -1)) | ((i + 1 < F.size(s)) & beside(x, i, 1)))
         by_hash = spans(F.sort_array(F.transform(either, lambda x: position(x, shift))))
-        every = F.sequence(F.lit(0), F.size(ws) - 3)
-        by_words = spans(F.filter(every, lambda i: F.exists(every, lambda j: (i != j) & exact(ws, i, j))))
+        by_words = let(sorted_windows(ws), lambda t: spans(F.sort_array(F.transform(F.filter(t, lambda x, i: same(t, x, i - 1) | same(t, x, i + 1)), lambda x: x["at"]))))
         return F.when(F.size(twins) == 0, F.lit(0)).when(F.size(unlike) == 0, by_hash).otherwise(by_words)
 
     return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(words, count)).cast("long")

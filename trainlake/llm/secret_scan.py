@@ -18,15 +18,18 @@ MIN_LENGTH = 16
 MIN_ASSIGNED = 8
 CORE = r"[A-Za-z0-9][A-Za-z0-9+/_.~=-]{6,}[A-Za-z0-9=]"
 KEY_WORDS = r"(?i)(pass(word|wd|phrase)?|secret|token|api_?-?key|access_?-?key|private_?-?key|auth|bearer|credential)s?\W*$"
-#: In a word: a key name with = or :, the value behind it (quoted, or up to a delimiter), the user part of an address, and a
-#: core that is an assignment by itself.
-NAME = r"(?i:(?:pass(?:word|wd|phrase)?|secret|token|api_?-?key|access_?-?key|private_?-?key|auth|bearer|credential)s?|(?:pass|secret|token|api_?key)\w*)[\"'`\\\])]{0,4}(?:=>|:=|={1,3}|:{1,2})"
-VALUE = r"""(?:\\?"[^"]{%d,}|\\?'[^']{%d,}|`[^`]{%d,}|[^\s"'`\\,;&<>(){}\[\]|]{%d,})""" % ((MIN_ASSIGNED,) * 4)
+#: Characters of the words before and after that features look at.
+NEAR = 128
+#: In a word: a key name with = or :, the value behind it (quoted, or up to a delimiter or the next name), the user part of an address,
+#: and a core that is an assignment by itself. Values of one kind don't overlap, so all of a word's values are no more than a few
+#: times its length.
+NAME = r"(?i:(?:pass(?:word|wd|phrase)?|secret|token|api_?-?key|access_?-?key|private_?-?key|auth|bearer|credential)s?|(?:pass|secret|token|api_?key)\w{0,64})[\"'`\\\])]{0,4}(?:=>|:=|={1,3}|:{1,2})"
+VALUE = r"""(?:\\?"[^"]{%d,}|\\?'[^']{%d,}|`[^`]{%d,}|(?:(?!%s)[^\s"'`\\,;&<>(){}\[\]|]){%d,}+)""" % (MIN_ASSIGNED, MIN_ASSIGNED, MIN_ASSIGNED, NAME, MIN_ASSIGNED)
 USER = r"//[^\s/@:]*:"
 SELF = r"(?i)^(pass(word)?|secret|token|api_?key)\w*="
 OTHER_WORDS = r"(?i)(commit|sha\d*|md5|checksum|digest|hash|uuid|guid|revision|version|build|id|isbn|order|invoice)\W*$"
 SAMPLE_PATH = r"(?i)(test|example|sample|fixture|mock|demo|doc)"
-PLACEHOLDER = r"(?i)(example|changeme|placeholder|dummy|your[_-]|xxxx|0000|1234567|<.*>|\.\.\.)"
+PLACEHOLDER = r"(?i)(example|changeme|placeholder|dummy|your[_-]|xxxx|0000|1234567|<[^<>]*>|\.\.\.)"
 DICTIONARY_WORDS = 400
 FEATURES = [
     "length", "digits", "uppers", "lowers", "symbols", "distinct",
@@ -52,13 +55,15 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY_WORDS) -> list[str]:
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """doc_id, path, word_no (from 0), word, part_no, value, before2, before1 and after of every candidate in every whole text.
+    """doc_id, path, word_no (from 0), quoted (whether the word has a quote), part_no, value, before2, before1 and after of every candidate in
+    every whole text.
 
     Candidates of a word are the values behind a key word with = or : (in the word or before it, MIN_ASSIGNED characters) or in
     the user part of an address, then every core of MIN_LENGTH characters, or of MIN_ASSIGNED behind a key word with = or :.
     A core equal to an assigned value of its word is left out. Cores are parted at inner =; a core without a part long enough stays whole. before1 is the
-    name in the word where there is one. Values without quotes end at white space or one of , ; & < > | and brackets, without
-    punctuation at the end. Null and empty texts have none."""
+    name in the word where there is one. Values without quotes end at white space, the next name or one of , ; & < > | and brackets,
+    without punctuation at the end. before2 and before1 are the last NEAR characters of what stands there, after the first. Words may be as
+    long as texts: rows carry no word, and work and rows grow with its length. Null and empty texts have none."""
     words = docs.select("doc_id", F.col(path).alias("path"), F.explode(F.array(word_array(F.col("text")))).alias("ws"))
     w = lambda i, k: F.coalesce(F.get(F.col("ws"), i + k), F.lit(""))
 
@@ -68,13 +73,17 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
         return (n >= MIN_LENGTH) | ((n > MIN_ASSIGNED) & (F.contains(word, F.lit("=")) | F.contains(word, F.lit(":")))) | ((n >= MIN_ASSIGNED) & (i > 0) & _behind(w(i, -1), w(i, -2)))
 
     at = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), wanted)
-    rows = F.transform(at, lambda i: F.struct(i.alias("word_no"), F.get(F.col("ws"), i).alias("word"), w(i, -2).alias("before2"), w(i, -1).alias("before1"), w(i, 1).alias("after")))
+    rows = F.transform(at, lambda i: F.struct(i.alias("word_no"), F.get(F.col("ws"), i).alias("word"), F.right(w(i, -2), F.lit(NEAR)).alias("before2"), F.right(w(i, -1), F.lit(NEAR)).alias("before1"), F.left(w(i, 1), F.lit(NEAR)).alias("after")))
     out = words.where(F.size("ws") > 0).select("doc_id", "path", F.explode(rows).alias("c")).select("doc_id", "path", "c.*")
     out = out.withColumn("wide", _wide()).withColumns({"cores": F.regexp_extract_all("word", F.lit(CORE), F.lit(0)), "gaps": F.split("word", CORE, -1)})
     parts = F.flatten(F.transform("cores", lambda c, k: _parts(c, k)))
     out = out.withColumn("known", F.transform("wide", lambda s: s["value"]))
-    alone = F.concat(F.filter("wide", lambda s: F.length(s["value"]) >= MIN_ASSIGNED), F.filter(parts, lambda s: ~F.array_contains("known", s["value"])))
-    return out.select("doc_id", "path", "word_no", "word", "after", F.posexplode(alone).alias("part_no", "v")).select("doc_id", "path", "word_no", "word", "part_no", "v.value", "v.before2", "v.before1", "after")
+    out = out.withColumn("parts", parts).withColumn("others", F.array_except(F.transform("parts", lambda s: s["value"]), "known"))
+    # a part is new if it is among the others or, where that is the longer list, not among the known
+    new = lambda s: F.when(F.size("others") < F.size("known"), F.array_contains("others", s["value"])).otherwise(~F.array_contains("known", s["value"]))
+    alone = F.concat(F.filter("wide", lambda s: F.length(s["value"]) >= MIN_ASSIGNED), F.filter("parts", new))
+    out = out.withColumn("quoted", F.col("word").rlike("[\"'`]"))
+    return out.select("doc_id", "path", "word_no", "quoted", "after", F.posexplode(alone).alias("part_no", "v")).select("doc_id", "path", "word_no", "quoted", "part_no", "v.value", "v.before2", "v.before1", "after")
 
 
 def _found(value: Column, before2: Column, before1: Column) -> Column:
@@ -84,7 +93,7 @@ def _found(value: Column, before2: Column, before1: Column) -> Column:
 def _wide() -> Column:
     """Values behind an assignment, of any characters: at the head of the word, behind names in it, and in user parts."""
     before1, before2 = F.col("before1"), F.col("before2")
-    bare = lambda x: F.when(x.rlike(r"^\\?[\"'`]"), F.regexp_replace(x, r"^\\?[\"'`]|\\+$", "")).otherwise(F.regexp_replace(x, r"[.,;:!?*#&\\]+$", ""))
+    bare = lambda x: F.when(x.rlike(r"^\\?[\"'`]"), F.regexp_replace(x, r"^\\?[\"'`]|\\+$", "")).otherwise(F.regexp_replace(x, r"(?<![.,;:!?*#&\\])[.,;:!?*#&\\]+$", ""))
     head = F.regexp_extract("word", r"^[(\[{<]*(" + VALUE + ")", 1)
     heads = F.filter(F.array(_found(bare(head), before2, before1)), lambda s: _behind(before1, before2))
     named = F.transform(F.regexp_extract_all("word", F.lit(f"(?=({NAME}{VALUE}))"), F.lit(1)), lambda m: let(F.regexp_extract(m, "^" + NAME, 0), lambda name: _found(bare(F.substr(m, F.length(name) + 1)), before1, F.regexp_replace(name, "[^=:]+$", ""))))
@@ -95,7 +104,7 @@ def _wide() -> Column:
 def _parts(core: Column, k: Column) -> Column:
     """The parts of core k that are long enough, else the core if it is."""
     before1, before2 = F.col("before1"), F.col("before2")
-    near = F.regexp_replace(F.concat(F.when(k > 0, F.get("cores", k - 1)).otherwise(""), F.get("gaps", k)), r"[\"'`\\(\[{>]+$", "")
+    near = F.right(F.regexp_replace(F.concat(F.when(k > 0, F.get("cores", k - 1)).otherwise(""), F.get("gaps", k)), r"(?<![\"'`\\(\[{>])[\"'`\\(\[{>]+$", ""), F.lit(NEAR))
     inside = (k > 0) | F.right(near, F.lit(1)).isin("=", ":")
     first = lambda v: _found(v, F.when(inside, before1).otherwise(before2), F.when(inside, near).otherwise(before1))
     enough = lambda s: F.length(s["value"]) >= F.when(_behind(s["before1"], s["before2"]) | s["value"].rlike(SELF), MIN_ASSIGNED).otherwise(MIN_LENGTH)
@@ -143,7 +152,7 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
         "path_depth": F.least(F.regexp_count(F.coalesce(F.col("path"), F.lit("")), F.lit("/")), F.lit(10)).cast("double"),
         "key_before": flag(F.col("before1").rlike(KEY_WORDS) | F.col("before2").rlike(KEY_WORDS) | F.col("before1").rlike(f"{NAME}$|^{USER}$")),
         "assigned": flag(_assigned()),
-        "quoted": flag(F.col("word").rlike("[\"'`]")),
+        "quoted": flag(F.col("quoted")),
         "other_before": flag(F.col("before1").rlike(OTHER_WORDS) | F.col("before2").rlike(OTHER_WORDS)),
         "plain_before": flag(plain("before1")),
         "plain_after": flag(plain("after")),
@@ -199,18 +208,18 @@ def labelled_findings(spark: SparkSession, words: list[str], n: int = 12_000, se
         F.concat(pick(40, "src", "lib", "test", "docs", "app"), F.pmod(r(41), F.lit(50)).cast("string")).alias("path"),
         word(42).alias("after"),
     )
-    found = out.select("path", "after", "f.*").withColumn("value", F.regexp_extract("word", CORE, 0))
+    found = out.select("path", "after", "f.*").withColumn("value", F.regexp_extract("word", CORE, 0)).withColumn("quoted", F.col("word").rlike("[\"'`]"))
     return found.where(F.length("value") >= MIN_ASSIGNED)
 
 
 def fit(docs: DataFrame, findings: DataFrame | None = None, trees: int = 24, depth: int = 8, dictionary_words: int = DICTIONARY_WORDS, max_findings: int = 12_000, seed: int = 5) -> Scanner:
-    """Learns the dictionary from all texts and the forest from at most about max_findings labelled findings (columns word,
-    value, before2, before1, after, path, is_secret 0/1), picked by hash; made-up ones where none are given."""
+    """Learns the dictionary from all texts and the forest from at most about max_findings labelled findings (columns value,
+    quoted, before2, before1, after, path, is_secret 0/1), picked by hash; made-up ones where none are given."""
     spark = docs.sparkSession
     words = dictionary(docs, dictionary_words)
     rows = labelled_findings(spark, words, max_findings, seed) if findings is None else findings
     share = min(1.0, max_findings / max(rows.count(), 1)) if findings is not None else 1.0
-    rows = rows.where(F.pmod(F.xxhash64("word", "before1", "before2"), F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = rows.where(F.pmod(F.xxhash64("value", "before1", "before2"), F.lit(1_000_000)) < int(share * 1_000_000))
     train = materialize(with_features(rows, words).select(*FEATURES, F.col("is_secret").cast("double").alias("label")), "secret-train")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=3).fit(_assemble(train))
     return Scanner(forest, words)
@@ -223,7 +232,7 @@ def score(found: DataFrame, scanner: Scanner) -> DataFrame:
 
 
 def scan(docs: DataFrame, scanner: Scanner, path: str = "source", threshold: float = 0.5) -> DataFrame:
-    """One row a candidate: doc_id, path, word_no, word, part_no (place among the word's candidates), value, before2, before1,
+    """One row a candidate: doc_id, path, word_no, quoted, part_no (place among the word's candidates), value, before2, before1,
     after, p_secret and is_secret (p_secret >= threshold).
 
     Null and empty texts and texts without candidates give no rows; null paths and ids are returned as they are; repeated rows
