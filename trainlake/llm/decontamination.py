@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, materialize
 from .textcore import BASE, INVERSE, U, mix, powers
 
 Q = 12
@@ -199,13 +199,13 @@ def search(text: str, index: Index) -> list[tuple]:
 
 
 def _blocks(benchmark: DataFrame, error_rate: float, block_chars: int):
-    """An index for each block of items. A hash of the item deals it to a block, so blocks hold about block_chars each."""
+    """(index, number of blocks) for each block of items. A hash of the item deals it to a block, so blocks hold about block_chars each."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-int(total) // block_chars))
     for i in range(n):
         part = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == i) if n > 1 else items
-        yield build_index([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").toLocalIterator()], error_rate)
+        yield build_index([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").toLocalIterator()], error_rate), n
 
 
 def find(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -213,7 +213,8 @@ def find(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE,
     best part (fewest edits, then first) as character places in the text.
 
     Every row of docs is searched whole for every item; the items go to the tasks in blocks of about block_chars, one pass
-    over the documents a block, so a larger benchmark takes more passes and not more memory. Null and empty texts have no
+    over the documents a block. With several blocks each pass is written before the next one's index is made, so a larger benchmark
+    takes more passes and not more memory, of tasks or of the driver, which holds one block. Null and empty texts have no
     hits, repeated rows have each their hits, null ids are returned as they are, an empty table on either side gives none."""
 
     def run(index: Index):
@@ -226,13 +227,15 @@ def find(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE,
         return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), task, HIT)
 
     out = None
-    for index in _blocks(benchmark, error_rate, block_chars):
-        out = run(index) if out is None else out.unionByName(run(index))
+    for index, n in _blocks(benchmark, error_rate, block_chars):
+        hits = materialize(run(index), "hits") if n > 1 else run(index)
+        out = hits if out is None else out.unionByName(hits)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs without a hit, all columns as they are; rows with null or empty texts stay."""
+    """The rows of docs without a hit, all columns as they are; rows with null or empty texts stay. Of several blocks each leaves a
+    written table of what it kept."""
     at = docs.columns.index("text")
 
     def run(df: DataFrame, index: Index) -> DataFrame:
@@ -242,6 +245,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE,
 
         return map_batches(df, task, df.schema)
 
-    for index in _blocks(benchmark, error_rate, block_chars):
-        docs = run(docs, index)
+    for index, n in _blocks(benchmark, error_rate, block_chars):
+        docs = materialize(run(docs, index), "clean") if n > 1 else run(docs, index)
     return docs
