@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import pyround
@@ -73,22 +72,23 @@ def agg27_block_stats(spark, sf_dir):
 
 
 _INGEST = """
-f0 as (select user_id, event_id, ts, min(ts) over (partition by user_id) as t0 from events), f as (select * from f0 where user_id % 2 = 1 or ts < t0 + interval 20 hour),
-g as (select user_id, count(*) as n, epoch(date_trunc('second', arg_min(ts, event_id))) as first, epoch(date_trunc('second', min(ts))) as lo, epoch(date_trunc('second', max(ts))) as hi from f group by 1),
-h as (select 'u' || user_id::varchar || '.gpx' as path, * from g union all select 'v' || user_id::varchar || '.gpx', * from g where user_id % 3 = 0),
+f as (select user_id, event_id, ts, user_id::varchar || case when user_id % 2 = 0 then '-' || cast(ts as date)::varchar else '' end as name from events),
+g as (select name, user_id, count(*) as n, epoch(date_trunc('second', arg_min(ts, event_id))) as first, epoch(date_trunc('second', min(ts))) as lo, epoch(date_trunc('second', max(ts))) as hi from f group by 1, 2),
+h as (select 'u' || name || '.gpx' as path, * from g union all select 'v' || name || '.gpx', * from g where user_id % 3 = 0),
 o as (select path, n, hi - lo as dur, user_id % 5 = 0 as known, first from h), k as (select distinct first from o where known),
 i as (select o.*, k.first is not null as old from o left join k on k.first = o.first), j as (select *, min(case when not old and dur <= 86400 then path end) over (partition by first) as lead from i)
 """
 
 
 def _ingest(spark, sf_dir):
-    """A GPX file a user, of all events or of the first 20 hours, a second copy of every third, a CSV file without a known header and a
-    file of another type; starts of every fifth user are stored."""
-    e = tables.table(spark, sf_dir, "events").withColumn("t0", F.min("ts").over(W.partitionBy("user_id"))).where("user_id % 2 = 1 or ts < t0 + interval 20 hours")
+    """A GPX file of all events of a user, or one of each day of every second user; a second copy of every third user's, a CSV file without
+    a known header and a file of another type; starts of every fifth user are stored."""
+    day = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("-"), F.to_date("ts").cast("string"))).otherwise("")
+    e = tables.table(spark, sf_dir, "events").withColumn("name", F.concat(F.col("user_id").cast("string"), day))
     point = F.format_string('<trkpt lat="%.4f" lon="110.5"><time>%s</time></trkpt>', 30 + F.col("event_id") / 1e6, F.date_format(F.date_trunc("second", "ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    files = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", point.alias("x")))).alias("xs"), F.min_by("ts", "event_id").alias("first"))
+    files = e.groupBy("name", "user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", point.alias("x")))).alias("xs"), F.min_by("ts", "event_id").alias("first"))
     body = F.concat(F.lit('<gpx xmlns="http://www.topografix.com/GPX/1/0"><trk><type>running</type><trkseg>'), F.array_join("xs.x", ""), F.lit("</trkseg></trk></gpx>"))
-    named = lambda c: F.concat(F.lit(c), F.col("user_id").cast("string"), F.lit(".gpx"))
+    named = lambda c: F.concat(F.lit(c), "name", F.lit(".gpx"))
     gpx = files.select(named("u").alias("path"), F.lit("gpx").alias("kind"), body.alias("content")).union(files.where("user_id % 3 = 0").select(named("v"), F.lit("gpx"), body))
     others = spark.createDataFrame([("x.csv", "csv", "a,b\n1,2\n"), ("y.doc", None, "z")], "path string, kind string, content string")
     stored = files.where("user_id % 5 = 0").select((F.date_trunc("second", "first").cast("timestamp_ntz") + F.expr("interval 8 hours")).alias("start_time"), F.lit("running").alias("sport_type"))
