@@ -287,7 +287,8 @@ def kb20_gates(spark, sf_dir):
     return _gated(spark, sf_dir)[0].select("id", "action")
 
 
-_TALLY = ", ".join(f"count(*) filter (action = '{a}') as {a}" for a in ("inserted", "updated", "skipped", "too_short", "index_page", "news_item", "irrelevant", "not_article"))
+_ACTIONS = ("inserted", "updated", "skipped", "too_short", "index_page", "news_item", "irrelevant", "not_article")
+_TALLY = ", ".join(f"count(*) filter (action = '{a}') as {a}" for a in _ACTIONS)
 
 
 @query(f"with {_GATE} select source, count(*) as fetched, {_TALLY} from ga group by 1")

@@ -11,7 +11,7 @@ from ..operators import activities, extract, rounds
 from ..operators import articles as art
 from ..operators.segments import even_sample
 from ..sources import tables
-from .corpus import _ART, _CLEAN, MD, TOPICS, _prose, markdown
+from .corpus import _ART, _CLEAN, MD, TOPICS, _hits, _prose, markdown
 from .registry import pr, query
 from .training import ACT, _acts
 
@@ -66,14 +66,22 @@ def ret05_query(spark, sf_dir):
     return c.select("conv_id", "turn", extract.search_query(m).alias("q"))
 
 
+_RULES = f"""rb0 as (select id, title, domain, {_prose('content_md')} as p from ar),
+rb1 as (select *, replace(lower(title || chr(10) || p[:20000]), '-', ' ') as low, lower((title || chr(10) || p)[:2000]) as lb, trim(regexp_replace(p[:400], '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') as head from rb0),
+rb2 as (select *, list_distinct(regexp_split_to_array(low, '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+')) as ws from rb1),
+rb3 as (select *, {", ".join(f"({_hits('ws', 'low', t)})::int as {t}" for t in TOPICS)} from rb2),
+rb4 as (select *, list_filter(list_sort([{{'n': -english, 'i': 0, 't': 'english'}}, {{'n': -german, 'i': 1, 't': 'german'}}, {{'n': -romance, 'i': 2, 't': 'romance'}}]), lambda x: x.n < 0) as o from rb3)"""
+
+
+@query(
+    f"""with {_ART}, {_RULES} select id, coalesce(o[1].t, 'training') as category, array_to_string(list_transform(o, lambda x: x.t), ',') as topics, md5(case when length(head) > 280 then head[:280] || '…' else head end) as summary_md5,
+case {" ".join(f"when {' or '.join(f'contains(lb, {chr(39)}{w}{chr(39)})' for w in ws)} then '{level}'" for level, ws in fixed.EVIDENCE)} when regexp_matches(domain, '{"|".join(fixed.REVIEW_HOSTS)}') then 'review' else 'popular' end as evidence_level, case when length(p) < 120 then 'short' else 'rules' end as note from rb4"""
+)
 def kb18_rule_based(spark, sf_dir):
     out = extract.rule_based(tables.articles(spark, sf_dir).drop("score"), TOPICS)
     return out.select("id", "category", F.array_join("topics", ",").alias("topics"), F.md5(F.col("summary").cast("binary")).alias("summary_md5"), "evidence_level", "note")
 
 
-query()(kb18_rule_based)
-
-
 @query(
     """with p as (select doc_id // 4 as id, doc_id % 4 as part, case when doc_id % 3 = 0 then '' else 's' || doc_id::varchar end as summary, ['p' || (doc_id % 5)::varchar, 'q' || (doc_id % 7)::varchar, 'p1'][1:(doc_id % 4)] as pts, ['popular', 'rct', 'review'][doc_id % 3 + 1] as ev from documents),
 b as (select *, row_number() over (partition by id order by len(pts) desc, part) as b, case ev when 'popular' then 2 when 'rct' then 3 else 4 end as e from p),
@@ -214,3 +222,20 @@ def led05_extract_batch(spark, sf_dir):
     docs = c.select("id", F.col("c_name").alias("title"), F.col("c_name").alias("content_md"), F.lit("e.org").alias("domain"), F.lit(None).cast("date").alias("published_at"))
     out = extract.extract_batch(docs, parts, _stand_in, hooks.Packing(threads=4))
     return out.select("id", "summary", F.array_join("key_points", "|").alias("points"), "evidence_level", "n_failed", "error")
+
+
+def _by_length(texts):
+    """Stands for an embedding model: a vector of 64 times the text's length."""
+    return texts.map(lambda t: [float(len(t))] * 64)
+
+
+@query(
+    f"""with v as (select vec_id, case when vec_id % 3 <> 0 then case when vec_id % 5 = 0 then embedding[1:3] else embedding end end as e, vec_id % 3 <> 0 and vec_id % 5 <> 0 and coalesce(len(embedding), 0) = 64 as old from embeddings)
+select vec_id as id, case when old then {pr('e[1]', 4)} else length(vec_id::varchar) end::double as first, 64 as n from v"""
+)
+def snk14_backfill(spark, sf_dir):
+    """Vectors where they are missing (every third) or of another length (every fifth); the others stay."""
+    k = F.col("vec_id")
+    v = tables.table(spark, sf_dir, "embeddings").select(k.alias("id"), F.when(k % 3 != 0, F.when(k % 5 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))).alias("embedding"))
+    out = hooks.backfill_vectors(v, F.col("id").cast("string"), _by_length, dim=64)
+    return out.select("id", pyround(F.get("embedding", F.lit(0)), 4).alias("first"), F.size("embedding").alias("n"))

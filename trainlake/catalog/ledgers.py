@@ -103,6 +103,14 @@ def snk04_manual(spark, sf_dir):
     return ops.manual_entries(e, 70.0)[0].select("id", "load", "load_source", "calories")
 
 
+@query(f"""with {_MANUAL} select o_orderdate::date::varchar as start_time, 'running' as sport_type, case when minutes <= 0 then 'no_duration' when minutes > 1440 then 'duration' else 'distance' end as reason
+from m join orders on o_orderkey = id where minutes <= 0 or minutes > 1440 or km > 500""")
+def snk04_rejects(spark, sf_dir):
+    k = F.col("o_orderkey")
+    e = tables.table(spark, sf_dir, "orders").select(F.lit("running").alias("sport_type"), F.col("o_orderdate").alias("start_time"), (k % 1500).cast("double").alias("duration_min"), (k % 600).cast("double").alias("distance_km"), F.lit(None).cast("int").alias("avg_hr"))
+    return ops.manual_entries(e, 70.0)[1].withColumn("start_time", F.col("start_time").cast("date").cast("string"))
+
+
 _ZONED = """z as (select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || ['Z', '', '+08:00', '-05:00', '+0530'][event_id % 5 + 1] as raw from events)"""
 
 

@@ -55,6 +55,14 @@ def src19_json(spark, sf_dir):
     return h.select("path", "n_samples", "sport_type", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("start_time"))
 
 
+@query(f"with {_E} select path, seq, event_id::double as t, hr from x")
+def src19_samples(spark, sf_dir):
+    """Points whose times are seconds from the start in files of even users, epochs in milliseconds in the others'."""
+    k = F.col("event_id")
+    files = _files(spark, sf_dir, F.format_string('{"time": %d, "heartRate": %d}', F.when(F.col("user_id") % 2 == 0, k).otherwise((k + 1_693_900_000) * 1000), "hr"), ",", '{"record_list": [{"startTime": 1693900000, "sportType": "骑行", "dataList": [', "]}]}")
+    return workouts.read_json(files)[0].select("path", "seq", "t", "hr")
+
+
 @query("select c_custkey as image_id, 'cycling' as sport_type, (c_custkey % 300 + 1) / 10.0::double as distance_km, " + pr("(c_custkey % 90 + 1) + (c_custkey % 60) / 60.0::double") + " as duration_min, (60 + c_custkey % 100)::double as avg_hr, (100 + c_custkey % 100)::double as max_hr from customer")
 def rec01_recognise(spark, sf_dir):
     k = F.col("c_custkey")
@@ -64,6 +72,38 @@ def rec01_recognise(spark, sf_dir):
     return recognition.recognise(images, 2026).select("image_id", "sport_type", "distance_km", "duration_min", "avg_hr", "max_hr")
 
 
+@query(
+    f"""select k as image_id, 'cycling' as sport_type, (k % 300 + 1) / 10.0::double as distance_km, case when k % 5 <> 0 then {pr('(k % 3 + 1) * 60 + k % 60 + (k % 50) / 60.0::double')} end as duration_min, case when k % 7 <> 0 then (100 + k % 100)::double end as max_hr, (100 + k % 100)::double as avg_cadence_spm,
+{pr('(60 + k % 60) / 100.0::double', 3)} as avg_stride_m, (k % 900)::double as elev_gain_m, (1 + k % 3000)::double as calories, '2026-' || lpad((k % 9 + 1)::varchar, 2, '0') || '-' || lpad((4 + k % 6)::varchar, 2, '0') || ' ' || (10 + k % 10)::varchar || ':' || lpad((k % 60)::varchar, 2, '0') || ':00' as start_time,
+array_to_string(list_filter([case when k % 5 = 0 then 'duration_min' end, case when k % 7 = 0 then 'heart_rate' end], lambda x: x is not null), ',') as notes from (select c_custkey as k from customer)"""
+)
+def rec02_boxes(spark, sf_dir):
+    """Labels with boxes: the value stands below or beside its label and comes after all labels, or above it and comes next. Digits of a
+    chart are glued before a cadence, and of the hour behind a date; some images lack the duration or the heart rate."""
+    k = F.col("c_custkey")
+    kind = k % 3
+
+    def block(t, x, y):
+        x, y = (F.lit(v).cast("double") if isinstance(v, (int, float)) else v.cast("double") for v in (x, y))
+        corners = F.array(*[F.array(x + dx, y + dy) for dx, dy in ((0.0, 0.0), (80.0, 0.0), (80.0, 30.0), (0.0, 30.0))])
+        return F.struct((F.lit(t) if isinstance(t, str) else t).alias("text"), F.lit(0.9).alias("conf"), corners.alias("bbox"))
+
+    cells = [
+        ("用时", F.format_string("%d:%02d:%02d", k % 3 + 1, k % 60, k % 50), k % 5 != 0),
+        ("最大心率", F.format_string("%d次/分", 100 + k % 100), k % 7 != 0),
+        ("步频", F.format_string("99%d步/分", 100 + k % 100), F.lit(True)),
+        ("步幅", F.format_string("%d厘米", 60 + k % 60), F.lit(True)),
+        ("累计爬升", F.format_string("%d米", k % 900), F.lit(True)),
+        ("千卡", F.format_string("%d", 1 + k % 3000), F.lit(True)),
+    ]
+    labels = [F.when(there, block(label, 10, 400 * i)) for i, (label, _, there) in enumerate(cells)]
+    values = [F.when(there, block(v, F.when(kind == 1, 210).otherwise(10), F.when(kind == 0, 40).when(kind == 1, 0).otherwise(-100) + 400 * i)) for i, (_, v, there) in enumerate(cells)]
+    whole = [block("户外骑行", 2000, 9000), block(F.format_string("2026/%d/%d%d:%02d", k % 9 + 1, 4 + k % 6, 10 + k % 10, k % 60), 2000, 9400), block(F.format_string("%.1f公里", (k % 300 + 1) / 10), 2000, 9800)]
+    order = F.when(kind == 2, F.array(*whole, *[x for pair in zip(labels, values, strict=True) for x in pair])).otherwise(F.array(*whole, *labels, *values))
+    found = recognition.recognise(tables.table(spark, sf_dir, "customer").select(k.alias("image_id"), F.array_compact(order).alias("blocks")), 2026)
+    return found.select("image_id", "sport_type", "distance_km", "duration_min", "max_hr", "avg_cadence_spm", "avg_stride_m", "elev_gain_m", "calories", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("start_time"), F.array_join("notes", ",").alias("notes"))
+
+
 @query("select c_custkey as image_id, 0.8::double as mean_conf, (length(c_name) - 1 + length(c_mktsegment))::bigint as n_chars from customer")
 def agg27_block_stats(spark, sf_dir):
     block = lambda t, c: F.struct(t.alias("text"), F.lit(c).alias("conf"), F.lit(None).cast("array<array<double>>").alias("bbox"))

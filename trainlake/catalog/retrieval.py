@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.numbers import pyround
+from ..operators import extract
 from ..operators import retrieval as ops
 from ..sources import tables
 from .corpus import _ART
@@ -41,15 +42,20 @@ def fn50_query_terms(spark, sf_dir):
     return b.select("item_id", F.array_join(F.array_sort(ops.query_terms(F.col("text"), {})), " ").alias("terms"))
 
 
+_BRIDGED = f"""br0 as (select item_id, replace(lower('减脂期间运动怎么吃 ' || text), '-', ' ') as low from benchmark),
+br1 as (select *, regexp_extract_all(low, '[a-z][a-z\\-]{{2,}}') as ws, regexp_extract_all(low, '[\\x{{4e00}}-\\x{{9fff}}]+') as runs from br0),
+br2 as (select *, flatten(list_transform(runs, lambda r: flatten(list_transform([2, 3, 4], lambda n: list_transform(range(1, greatest(length(r) - n, -1) + 2), lambda i: substr(r, i, n)))))) as grams from br1)"""
+
+
+@query(
+    f"""with {_BRIDGED} select item_id, array_to_string(list_sort(list_distinct(list_concat(list_filter(list_concat(ws, grams), lambda w: not list_contains({_STOP}, w)), case when contains(low, '运动') then ['the', 'erth at'] else [] end, case when contains(low, '睡眠') then ['and'] else [] end))), ' ') as terms from br2 where low is not null"""
+)
 def fn50_bridge(spark, sf_dir):
     b = tables.table(spark, sf_dir, "benchmark")
     raw = F.concat(F.lit("减脂期间运动怎么吃 "), F.col("text"))
     return b.select("item_id", F.array_join(F.array_sort(ops.query_terms(raw, BRIDGE)), " ").alias("terms"))
 
 
-query()(fn50_bridge)
-
-
 @query(f"with {_ART}, {_SEARCH} select query_id, id, {pr('m', 3)} as match from ms where m > 0")
 def fn52_match(spark, sf_dir):
     return ops.matches(_queries(spark, sf_dir), _articles(spark, sf_dir), 1e-9).select("query_id", "id", pyround("match", 3).alias("match"))
@@ -133,8 +139,11 @@ def agg24_evaluation(spark, sf_dir):
     return ops.evaluate(q, v, 0.5)
 
 
+_PROTOTYPES = "qv as (select vec_id as pid, embedding as q from embeddings where vec_id < 6), s as (select vec_id, max(list_sum(list_transform(list_zip(q, embedding), lambda z: z[1]::double * z[2]::double)) / (sqrt(list_sum(list_transform(q, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))))) as m from embeddings, qv group by 1)"
+
+
 @query(
-    "with qv as (select vec_id as pid, embedding as q from embeddings where vec_id < 6), s as (select vec_id, max(list_sum(list_transform(list_zip(q, embedding), lambda z: z[1]::double * z[2]::double)) / (sqrt(list_sum(list_transform(q, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))))) as m from embeddings, qv group by 1) select vec_id as id, "
+    f"with {_PROTOTYPES} select vec_id as id, "
     + pr("m", 5)
     + " as topic_score from s"
 )
@@ -145,6 +154,14 @@ def agg22_prototypes(spark, sf_dir):
     return scores.select("id", pyround("topic_score", 5).alias("topic_score"))
 
 
+@query(f"with {_PROTOTYPES} select vec_id as id from s where {pr('m', 5)} >= 0.3")
+def kb21_veto(spark, sf_dir):
+    """Vectors near enough to a prototype to stay once the veto is on."""
+    _, v = _vectors(spark, sf_dir)
+    scores = ops.prototype_scores(v, v.where("id < 6").select(F.col("id").alias("query_id"), "embedding"))
+    return extract.veto(scores.withColumn("topic_score", pyround("topic_score", 5)), 0.3, enabled=True).select("id")
+
+
 _BOTH = f"""{_SEARCH.rstrip()},
 qe as (select query_id, embedding as q from qs join embeddings on vec_id = query_id), cand as (select ar2.*, embedding from ar2 join embeddings on vec_id = id),
 cs as (select query_id, id, score, list_sum(list_transform(list_zip(q, embedding), lambda z: z[1]::double * z[2]::double)) / (sqrt(list_sum(list_transform(q, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)))) as c from cand, qe),

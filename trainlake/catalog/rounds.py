@@ -10,7 +10,7 @@ from ..operators import articles as art
 from ..operators import extract, frontier, ledger, retrieval, rounds, segments
 from ..plans import metrics
 from ..sources import tables
-from .corpus import _ART, _CLEAN, AS_OF, MD, TOPICS, _hits, _share, markdown
+from .corpus import _ACTIONS, _ART, _CLEAN, _TALLY, AS_OF, MD, TOPICS, _hits, _share, markdown
 from .registry import pr, query
 from .training import ACT, DAILY, L, _acts
 
@@ -77,6 +77,66 @@ def led06_crawl_round(spark, sf_dir):
     return out["runs"].drop("started_at", "finished_at")
 
 
+_STORED = f"""s2 as (select id, case when id % 2 = 0 then content else content || '!' end as content, title from sc where id % 4 in (0, 1)),
+r2 as (select sc.*, case when length(sc.content) < 300 then 'too_short' when link_ratio >= 0.8 then 'index_page' when s2.id is null and relevance_score < 0.25 then 'irrelevant' when s2.content = sc.content then 'skipped' when s2.id is not null then 'updated' else 'inserted' end as action
+  from sc join ar on ar.id = sc.id left join s2 on s2.id = sc.id where length(ar.content_md) >= 300 and sc.id % 9 <> 0),
+t2 as (select f.source, coalesce(fetched, 0)::bigint as fetched, failed, {", ".join(f"coalesce({a}, 0)::bigint as {a}" for a in _ACTIONS)} from (select source, count(*) filter (length(content_md) < 300 or id % 9 = 0) as failed from ar group by 1) f
+  left join (select source, count(*) as fetched, {_TALLY} from r2 group by 1) t on t.source is not distinct from f.source)"""
+
+
+def _second_round(spark, sf_dir):
+    """A round over all documents; half of them are stored, half of those with another text."""
+    pages = tables.articles(spark, sf_dir).drop("score").withColumn("ok", F.col("id") % 9 != 0).withColumn("url_hash", F.col("id").cast("string"))
+    content = art.text.clean_markdown(F.col("content_md"))
+    stored = pages.where("id % 4 in (0, 1)").select("url_hash", F.when(F.col("id") % 2 == 0, content).otherwise(F.concat(content, F.lit("!"))).alias("content"), "title", "id")
+    return rounds.crawl_round(pages.select("source", "id"), pages, stored, spark.createDataFrame([], rounds.RUN), "manual", AS_OF, "2024-06-30 10:00:00", TOPICS)
+
+
+@query(f"with {_ART}, {_STORED}, n2 as (select id, content from r2 where action in ('inserted', 'updated')) select id, md5(content) as content_md5 from n2 union all select id, md5(content) from s2 where id not in (select id from n2)")
+def led06_round_store(spark, sf_dir):
+    """The store after a round that inserts, updates and skips."""
+    return _second_round(spark, sf_dir)["store"].select("id", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query(f"with {_ART}, {_STORED} select * from t2")
+def led06_round_tally(spark, sf_dir):
+    return _second_round(spark, sf_dir)["tally"]
+
+
+@query(
+    f"""with {_ART}, {_STORED}, v as (select sum(fetched)::bigint as fetched, sum(failed)::bigint as failed, sum(inserted + updated)::bigint as stored, sum(irrelevant)::bigint as irrelevant, coalesce(list_sort(list(source) filter (fetched >= 3 and inserted + updated + skipped = 0)), []) as dead from t2),
+p as (select *, list_filter([case when failed / (fetched + failed) > 0.5 then 'fail_rate' end, case when fetched > 0 and stored = 0 then 'nothing_stored' end, case when irrelevant > greatest(3, fetched / 2) then 'irrelevant' end, case when len(dead) > 0 then 'dead_sources' end], lambda x: x is not null) as problems from v)
+select fetched, failed, stored, irrelevant, array_to_string(dead, ',') as dead_sources, array_to_string(problems, ',') as problems, case when list_contains(problems, 'fail_rate') or list_contains(problems, 'nothing_stored') then 'bad' when len(problems) > 0 then 'warn' else 'ok' end as verdict from p"""
+)
+def led06_round_verdict(spark, sf_dir):
+    v = _second_round(spark, sf_dir)["verdict"]
+    return v.select("fetched", "failed", "stored", "irrelevant", F.array_join("dead_sources", ",").alias("dead_sources"), F.array_join("problems", ",").alias("problems"), "verdict")
+
+
+_SHAPED = "s as (select page_id, page_id % 4 as shape, length(url) % 5 + 1 as n from pages)"
+
+
+@query(
+    f"""with {_SHAPED} select page_id, case when shape < 2 then shape = 1 when shape = 3 then false end as is_list, case shape when 0 then 'a,d' when 1 then '' when 3 then 'q' end as top_keys,
+case shape when 0 then '$.a.b.c=' || n::varchar || '(x,y);$.d=1(z)' when 1 then '$[0].r=' || n::varchar || '(x,y);$[1].r=1(z)' when 3 then '' end as found from s"""
+)
+def src23_shapes(spark, sf_dir):
+    """Probes of JSON of four shapes: lists at two depths, a list of objects with lists, a broken file, an object without lists."""
+    from ..sources import workouts
+
+    many = F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit('{"x": 1, "y": 2}'), F.length("url") % 5 + 1), ","), F.lit("]"))
+    shape = F.col("page_id") % 4
+    body = (
+        F.when(shape == 0, F.concat(F.lit('{"a": {"b": {"c": '), many, F.lit('}}, "d": [{"z": 1}]}')))
+        .when(shape == 1, F.concat(F.lit('[{"r": '), many, F.lit('}, {"r": [{"z": 1}]}]')))
+        .when(shape == 2, F.concat(F.lit('{"a": '), many))
+        .otherwise('{"q": [1, 2]}')
+    )
+    found = workouts.probe_json(tables.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), body.alias("content")))
+    shown = F.transform("candidates", lambda c: F.concat(c["path"], F.lit("="), c["count"].cast("string"), F.lit("("), F.array_join(c["keys"], ","), F.lit(")")))
+    return found.select(F.col("path").cast("long").alias("page_id"), "is_list", F.array_join("top_keys", ",").alias("top_keys"), F.array_join(shown, ";").alias("found"))
+
+
 @query(f"with {_ART} select id, title, domain, published_at::varchar as published, score, coalesce(len(key_points), 0)::int as n_points from ar")
 def prj05_brief(spark, sf_dir):
     return art.brief(tables.articles(spark, sf_dir))

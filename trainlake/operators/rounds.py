@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.numbers import pyround, ratio
+from ..storage import keep
 from . import articles as art
 
 RUN = "run_id long, trigger string, status string, started_at timestamp_ntz, finished_at timestamp_ntz, discovered long, fetched long, inserted long, updated long, skipped long, failed long, error string"
 ERROR_CHARS = 4000
 
 
-def open_run(runs: DataFrame, trigger: str, at: str) -> DataFrame:
-    """runs with a new one that is running; its id is one more than the largest."""
+def open_run(runs: DataFrame, trigger: str, at: str, run_id: int | None = None) -> DataFrame:
+    """runs with a new one that is running; its id is run_id, or one more than the largest."""
     n = {"discovered", "fetched", "inserted", "updated", "skipped", "failed"}
-    made = {"run_id": F.coalesce(F.max("run_id"), F.lit(0).cast("long")) + 1, "trigger": F.lit(trigger), "status": F.lit("running"), "started_at": F.lit(at).cast("timestamp_ntz")}
+    made = {"run_id": F.coalesce(F.max("run_id"), F.lit(0).cast("long")) + 1 if run_id is None else F.lit(run_id), "trigger": F.lit(trigger), "status": F.lit("running"), "started_at": F.lit(at).cast("timestamp_ntz")}
     cols = [made.get(f.name, F.lit(0) if f.name in n else F.lit(None)).cast(f.dataType).alias(f.name) for f in runs.schema]
     return runs.unionByName(runs.agg(*cols))
 
@@ -47,16 +48,17 @@ def crawl_round(candidates: DataFrame, fetched: DataFrame, stored: DataFrame, ru
     """All stages of a round that follow fetching: store, tallies, verdict and runs.
 
     candidates: source and url; fetched: a row an address with ok, source and the columns of score_articles(); stored: as in
-    gate(). Pages that failed or are too short for the gates count as failed. Fetching itself is a hook."""
+    gate(). Pages that failed or are too short for the gates count as failed, a null source is one. Fetching itself is a hook.
+    The gated pages are written once, so that articles are scored once and all four results are of one state of the store."""
     good = fetched.where(F.col("ok") & (F.length("content_md") >= fixed.MIN_BODY))
-    gated = art.gate(art.score_articles(good, as_of, topics), stored)
+    gated = keep(art.gate(art.score_articles(good, as_of, topics), stored), "gated")
     tally = art.tallies(gated)
     lost = fetched.groupBy("source").agg(F.count_if(~F.coalesce(F.col("ok") & (F.length("content_md") >= fixed.MIN_BODY), F.lit(False))).alias("failed"))
     counts = [c for c in tally.columns if c != "source"]
-    with_failed = lost.join(tally, "source", "left").fillna(0, counts)
+    with_failed = lost.join(tally.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").fillna(0, counts)
     totals = round_totals(candidates, fetched, tally)
-    begun = open_run(runs, trigger, at)
     run_id = runs.agg(F.coalesce(F.max("run_id"), F.lit(0)).alias("m")).first()["m"] + 1
+    begun = open_run(runs, trigger, at, run_id)
     return {"store": art.upsert(stored, gated), "tally": with_failed, "verdict": art.verify_round(with_failed), "runs": finish_run(begun, run_id, totals, "done", at)}
 
 
