@@ -362,20 +362,49 @@ def win14_recent_turns(spark, sf_dir):
     return turns.recent_turns(tables.table(spark, sf_dir, "conversations"), 3).select("conv_id", "turn")
 
 
+def _packed(pieces, limit, glue):
+    """Neighbouring strings of a list joined as long as they fit, in SQL."""
+    acc = f"""list_reduce(list_transform({pieces}, lambda piece: {{'done': []::varchar[], 'cur': piece}}), lambda a, e: case when a.cur = '' then {{'done': a.done, 'cur': e.cur}} when length(a.cur || {glue} || e.cur) <= {limit} then {{'done': a.done, 'cur': a.cur || {glue} || e.cur}} else {{'done': list_append(a.done, a.cur), 'cur': e.cur}} end, {{'done': []::varchar[], 'cur': ''}})"""
+    return f"list_transform([{acc}], lambda r: case when r.cur = '' then r.done else list_append(r.done, r.cur) end)[1]"
+
+
+def _segments(limit, most):
+    chops = f"""flatten(list_transform(list_filter(list_transform(regexp_extract_all(p, '[^。！？!?；;\\n]+[。！？!?；;]?'), lambda s: trim(s, {_WS})), lambda s: s <> ''), lambda s: list_transform(range(0, (length(s) + {limit - 1}) // {limit}), lambda i: substr(s, i * {limit} + 1, {limit}))))"""
+    gap = "chr(10) || chr(10)"
+    return f"""sg0 as (select doc_id, trim(content_md, {_WS}) as t from md),
+sg1 as (select doc_id, unnest(string_split(t, chr(10))) as x, unnest(range(len(string_split(t, chr(10))))) as i from sg0 where length(t) > {limit}),
+sg2 as (select *, sum((i > 0 and regexp_matches(trim(x, {_WS}), '^#{{1,4}}\\s'))::int) over (partition by doc_id order by i) as b from sg1),
+sg3 as (select doc_id, b, trim(string_agg(x, chr(10) order by i), {_WS}) as blk from sg2 group by 1, 2),
+sg4 as (select * from sg3 where blk <> '' and not regexp_matches(split_part(blk, chr(10), 1), '{fixed.NOISE_HEADING}', 'i')),
+sg5 as (select doc_id, b, unnest(ps) as p, unnest(range(len(ps))) as j from (select *, list_filter(regexp_split_to_array(blk, '\\n\\s*\\n'), lambda p: trim(p, {_WS}) <> '') as ps from sg4 where length(blk) > {limit})),
+sg6 as (select doc_id, b, j, case when length(p) <= {limit} then [p] else {_packed(chops, limit, "''")} end as ps from sg5),
+sg7 as (select doc_id, b, {_packed('ps', limit, gap)} as ch from (select doc_id, b, flatten(list(ps order by j)) as ps from sg6 group by 1, 2) union all select doc_id, b, [blk] from sg4 where length(blk) <= {limit}),
+sg8 as (select doc_id, {_packed('ch', limit, gap)} as ss from (select doc_id, flatten(list(ch order by b)) as ch from sg7 group by 1)),
+sg as (select doc_id, t, case when t = '' then [] when length(t) <= {limit} then [t] when ss is null then [] when len(ss) <= {most} then ss else list_transform(range({most}), lambda k: ss[round_even(k * (len(ss) - 1) / {most - 1}.0::double, 0)::int + 1]) end as ss from sg0 left join sg8 using (doc_id))"""
+
+
+_SEGMENT_ROWS = "select doc_id, unnest(range(len(ss)))::int as place, length(unnest(ss))::int as n_chars, md5(unnest(ss)) as segment_md5 from sg"
+
+
+@query(f"with {MD}, {_segments(segments.CHARS, segments.MOST)} {_SEGMENT_ROWS}")
 def kb17_segments(spark, sf_dir):
     m = markdown(spark, sf_dir).select("doc_id", F.posexplode(segments.segment(F.col("content_md"))).alias("place", "segment"))
     return m.select("doc_id", "place", F.length("segment").alias("n_chars"), F.md5(F.col("segment").cast("binary")).alias("segment_md5"))
 
 
+@query(f"with {MD}, {_segments(200, 4)} {_SEGMENT_ROWS}")
+def kb17_short_segments(spark, sf_dir):
+    """Segments of 200 characters, which most texts exceed: blocks, paragraphs and sentences are all cut."""
+    m = markdown(spark, sf_dir).select("doc_id", F.posexplode(segments.segment(F.col("content_md"), 200, 4)).alias("place", "segment"))
+    return m.select("doc_id", "place", F.length("segment").alias("n_chars"), F.md5(F.col("segment").cast("binary")).alias("segment_md5"))
+
+
+@query(f"with {MD}, {_segments(segments.CHARS, segments.MOST)} select doc_id, {pr('case when length(t) > 0 then least(1, coalesce(list_sum(list_transform(ss, lambda s: length(s))), 0) / length(t)::double) else 1 end', 4)} as coverage from sg")
 def agg20_coverage(spark, sf_dir):
     m = markdown(spark, sf_dir)
     return m.select("doc_id", pyround(segments.coverage(F.col("content_md"), segments.segment(F.col("content_md"))), 4).alias("coverage"))
 
 
-query()(kb17_segments)
-query()(agg20_coverage)
-
-
 def _nearest_rank(p):
     return f"list_sort(list(n_chars))[least(count(*), floor(count(*) * {p})::bigint + 1)]"
 
