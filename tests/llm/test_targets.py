@@ -115,6 +115,25 @@ def test_url_filter_edges(spark):
     assert (r.verdict, r.bad_bound) == ("allow", None)
 
 
+@pytest.mark.parametrize("hot", [1, 2, 4, 1000])
+def test_hot_hosts_meet_their_site_once(spark, hot):
+    """No, one, a few and all hosts, domains and suffixes are hot: every row comes once and is judged alike."""
+    hosts = ["a.x.com"] * 300 + ["b.x.com"] * 60 + [f"h{i}.d{i % 7}.{('com', 'org', 'net')[i % 3]}" for i in range(120)] + [""] * 20
+    pages = spark.createDataFrame([(i, f"s://{h}/p" if h else None) for i, h in enumerate(hosts)] + [(None, "s://a.x.com/p")] * 3, PAGES)
+    marks = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, len(hosts), 2)], "page_id long, bad int")
+    out = url_filter.judge(pages, url_filter.outcomes(pages, marks), url_filter.rules_table(spark, RULES), hot=hot).collect()
+    counts = defaultdict(lambda: [0, 0])
+    for i, h in enumerate(hosts):
+        counts[h][0] += i % 2 == 0
+        counts[h][1] += i % 2 == 0 and i % 5 == 0
+    want = _shrunk(counts)
+    assert sorted(r.page_id for r in out if r.page_id is not None) == list(range(len(hosts))) and len(out) == len(hosts) + 3
+    for r in out:
+        rate, bound = want[r.host]
+        assert (r.bad_rate, r.bad_bound) == pytest.approx((rate, bound))
+        assert r.rule == ("com/" if r.host.endswith("com") else None) and (r.rule or r.verdict == ("block" if bound > url_filter.MAX_BAD else "allow"))
+
+
 def test_double_suffixes(spark):
     d = spark.createDataFrame([("a.b.co.uk",), ("b.org",), ("org",), ("",)], "h string")
     from pyspark.sql import functions as F

@@ -16,6 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST, MOST = 1.0, 10_000.0
 #: A host is blocked where the bad share that z standard deviations below its posterior mean leave is over this.
 MAX_BAD, Z = 0.25, 1.0
+#: Keys that hold over 1 / HOT of a table's rows, of which there are fewer than HOT, don't take part in a shuffle.
+HOT = 1000
 
 
 def host(url: Column) -> Column:
@@ -70,7 +72,19 @@ def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _sums(table: DataFrame, by: list[str]) -> DataFrame:
-    return table.groupBy(*by).agg(F.sum("n").cast("long").alias("n"), F.sum("k").cast("long").alias("k"))
+    """Counts by `by`, and n_rows, the number of rows that they come from."""
+    return table.groupBy(*by).agg(F.sum("n").cast("long").alias("n"), F.sum("k").cast("long").alias("k"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def _meet(rows: DataFrame, sites: DataFrame, key: str, n_rows: str, hot: int) -> DataFrame:
+    """rows with the columns of sites, which has one row a key that rows hold and their number of rows in n_rows (dropped). The sites of
+    over 1 / hot of all rows, fewer than `hot`, are broadcast, so that a site with a third of all rows stays where its rows are;
+    only the rows of the others move to their sites."""
+    total = sites.agg(F.sum(n_rows).alias("n")).first().n or 0
+    many = F.col(n_rows) * hot > F.lit(total)
+    few = F.broadcast(sites.where(many).drop(n_rows))
+    rest = rows.join(F.broadcast(sites.where(many).select(key)), key, "left_anti").join(sites.where(~many).drop(n_rows), key)
+    return rows.join(few, key).unionByName(rest)
 
 
 def _concentration(groups: DataFrame) -> float:
@@ -91,12 +105,13 @@ def _posterior(groups: DataFrame, s: float) -> DataFrame:
     return groups.withColumn("mu", (s * F.col("mu") + F.col("k")) / (s + F.col("n")))
 
 
-def reputations(outcome_pages: DataFrame, double_suffixes: Iterable[str] = ()) -> DataFrame:
+def reputations(outcome_pages: DataFrame, double_suffixes: Iterable[str] = (), hot: int = HOT) -> DataFrame:
     """One row a host: host, n_pages, n_labelled, n_bad, bad_rate (posterior mean) and bad_bound (z standard deviations below it).
 
     outcome_pages: url and bad. Counts of hosts come from one aggregation (with partial sums, so a hot host is a few rows), are written
     once and rolled up to registered domains and suffixes. Each level's posterior mean is the next one's prior mean; its
-    concentration is estimated over all groups of the level. The driver sees the four numbers that describe the priors. Without
+    concentration is estimated over all groups of the level. Domains meet the few suffixes that most of them end in without a
+    shuffle, hosts their domains likewise (`hot` says from which share of all on). The driver sees the four numbers that describe the priors. Without
     labels every host has the even prior's rate and a bound below it; an empty table has no hosts."""
     pages = outcome_pages.select(host(F.col("url")).alias("host"), "bad")
     by_host = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("k"))
@@ -105,9 +120,11 @@ def reputations(outcome_pages: DataFrame, double_suffixes: Iterable[str] = ()) -
     total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
     suffixes = _sums(hosts, ["suffix"]).withColumn("mu", F.lit((total.k + 0.5) / (total.n + 1.0)))
     suffixes = _posterior(suffixes, _concentration(suffixes))
-    domains = _sums(hosts, ["suffix", "domain"]).join(suffixes.select("suffix", "mu"), "suffix")
+    domains = materialize(_sums(hosts, ["suffix", "domain"]), "domains")
+    ends = materialize(suffixes.select("suffix", "mu").join(domains.groupBy("suffix").agg(F.count(F.lit(1)).alias("n_domains")), "suffix"), "suffixes")
+    domains = _meet(domains, ends, "suffix", "n_domains", hot)
     domains = _posterior(domains, _concentration(domains))
-    known = hosts.join(domains.select("domain", "mu"), "domain")
+    known = _meet(hosts, materialize(domains.select("domain", "mu", "n_rows"), "domains"), "domain", "n_rows", hot)
     s = _concentration(known)
     a, b = s * F.col("mu") + F.col("k"), s * (1 - F.col("mu")) + F.col("n") - F.col("k")
     rate = F.col("a") / (F.col("a") + F.col("b"))
@@ -126,21 +143,23 @@ def _with_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return hosts.join(fitting, "host", "left")
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules: DataFrame, max_bad: float = MAX_BAD, double_suffixes: Iterable[str] = ()) -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, rules: DataFrame, max_bad: float = MAX_BAD, double_suffixes: Iterable[str] = (), hot: int = HOT) -> DataFrame:
     """pages with host, path, rule, verdict (allow or block), judged_by (rule or reputation), n_labelled, bad_rate and bad_bound.
 
     labelled: url and bad (1, 0, null) of pages whose outcome is known, often pages themselves by outcomes(). The longest fitting rule
     decides; else a host is blocked if its bad_bound is over max_bad. Rules and reputation meet at the distinct hosts, so a page takes part in
-    one join by host, whose hot keys Spark splits; each host has the rules of its own names only. Null urls and those without `://`
+    one join by host; hosts of over 1 / hot of all pages are broadcast with their rules, and their pages stay where they are. Each host has the
+    rules of its own names only. Null urls and those without `://`
     have an empty host, which no rule fits but is a site like others; hosts that `labelled` lacks are judged by rules, then allowed.
     Repeated rows are judged alike, an empty table stays empty, columns named like an output are replaced."""
-    h, p, r = fresh(pages, "host", "path", "rule")
+    h, p, r, n = fresh(pages, "host", "path", "rule", "rows")
     taken = ["host", "path", "rule", "verdict", "judged_by", "n_labelled", "bad_rate", "bad_bound"]
     rows = pages.withColumn(h, host(F.col("url"))).withColumn(p, path(F.col("url"))).drop(*taken)
-    seen = reputations(labelled, double_suffixes).select("host", "n_labelled", "bad_rate", "bad_bound")
-    every = materialize(seen.unionByName(rows.select(F.col(h).alias("host")).distinct().join(seen, "host", "left_anti"), allowMissingColumns=True), "reputations")
-    sites = _with_rules(every, rules)
-    out = rows.join(sites.withColumnRenamed("host", h), h, "left")
+    seen = reputations(labelled, double_suffixes, hot).select("host", "n_labelled", "bad_rate", "bad_bound")
+    own = rows.groupBy(F.col(h).alias("host")).agg(F.count(F.lit(1)).alias(n))
+    every = materialize(own.join(seen, "host", "left"), "reputations")
+    sites = materialize(_with_rules(every, rules), "sites")
+    out = _meet(rows, sites.withColumnRenamed("host", h), h, n, hot)
     first = let(F.col(p), lambda x: F.get(F.filter(F.coalesce("rules", F.array().cast(sites.schema["rules"].dataType)), lambda c: x.startswith(c["path"])), F.lit(0)))
     out = out.withColumn(r, first)
     verdict = F.coalesce(F.col(r)["verdict"], F.when(F.col("bad_bound") > max_bad, "block").otherwise("allow"))
