@@ -124,6 +124,12 @@ def test_urls(spark):
     assert all(r.got == r.w for r in df.select("w", url.is_article_like(F.col("u")).alias("got")).collect())
 
 
+def test_long_paths_are_resolved_whole(spark):
+    long = "x" * 1_500_000
+    (r,) = spark.createDataFrame([(f"../{long}/end", "http://a.org/b/c/d")], "u string, b string").select(url.resolve(F.col("u"), F.col("b")).alias("got")).collect()
+    assert r.got == f"http://a.org/b/{long}/end"
+
+
 def test_gates_need_no_store(spark):
     doc = lambda i, t, body: (i, t, body, "cdc.gov", None)
     body = "Regular exercise and running improve endurance and health. " * 10

@@ -22,7 +22,7 @@ def _without_dots(path: Column) -> Column:
         up = F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
         return F.when(s == "..", up).when(s == ".", out).otherwise(F.concat(out, F.array(s)))
 
-    segments = F.aggregate(F.split(F.substring(path, 2, 1 << 20), "/"), F.array().cast("array<string>"), step)
+    segments = F.aggregate(F.split(F.substring(path, F.lit(2), F.length(path)), "/"), F.array().cast("array<string>"), step)
     tail = F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")
     return F.concat(F.lit("/"), F.array_join(segments, "/"), tail)
 

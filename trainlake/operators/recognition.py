@@ -34,6 +34,7 @@ FIELDS = {
     "elev_gain_m": Field(("爬升", "累计爬升", "攀升"), 0, 10000),
     "calories": Field(("千卡", "卡路里", "kcal", "热量", "消耗"), 1, 5000),
 }
+#: Words that tell the sport, blocks that are a unit alone, a number.
 SPORT_LABELS = ("跑步", "骑行", "骑车", "单车", "步行", "走路", "游泳", "徒步", "健走", "户外", "训练")
 UNIT_ONLY = r"(?i)^(次|步|米|公里|千米|厘米|千卡|卡路里|kcal|分钟|小时|km|cm|m|bpm|spm|步/分|次/分|步/分钟|次/分钟)[/分]?[\d\s]*$"
 NUMBER = r"(-?\d+(?:\.\d+)?)"

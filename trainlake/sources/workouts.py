@@ -224,6 +224,9 @@ JSON_KEYS = {
 }
 LIST_KEYS = ["datalist", "pointlist", "points", "samples", "details", "trajectory", "track", "records", "list"]
 
+#: A list of objects with one of these keys is one of points, whatever its name.
+POINT_KEYS = {"heartrate", "hr", "heart", "time", "timestamp"}
+
 
 def pick(fields: Column, names: list[str]) -> Column:
     """Value of a map by name: an equal key, else a key that begins with a two-letter name, else one that holds a longer name."""
@@ -280,7 +283,7 @@ def _json_records(batches, depth: int, width: int, most: int):
                 records = [data]
             for i, rec in enumerate(r for r in records[:most] if isinstance(r, dict)):
                 named = [v for k, v in rec.items() if _records_like(v) and any(n in re.sub("[_ ]", "", k.lower()) for n in LIST_KEYS)]
-                other = [v for v in rec.values() if _records_like(v) and {re.sub("[_ ]", "", k.lower()) for k in v[0]} & {"heartrate", "hr", "heart", "time", "timestamp"}]
+                other = [v for v in rec.values() if _records_like(v) and {re.sub("[_ ]", "", k.lower()) for k in v[0]} & POINT_KEYS]
                 points = max(named or other, key=len, default=[])
                 out.append({"path": path, "record": i, "n_records": len(records), "fields": _flat(rec), "points": [_flat(p) for p in points if isinstance(p, dict)]})
         yield pd.DataFrame(out, columns=["path", "record", "n_records", "fields", "points"])
