@@ -170,13 +170,13 @@ def test_line_dedup(spark):
             ls += pool[k : k + rng.randint(1, 5)] if rng.random() < 0.5 else [f"own {rng.random()}", "", "  " + rng.choice(pool) + " "]
         rows.append((d, "\n".join(ls)))
     rows += [(100, None), (101, ""), (102, "\n\n"), (103, "a\n" * 9), (104, "a\n" * 9), (None, rows[3][1])]
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.remove_repeated_lines(docs(spark, rows, True)).collect()}
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.remove_repeated_lines(docs(spark, rows, True), short_bytes=None).collect()}
     assert got == brute_lines(rows)
 
 
 def test_line_dedup_repeated_rows_and_empty(spark):
     rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "x\na\nb\nc")]
-    got = sorted((r.doc_id, r.n_removed) for r in line_dedup.remove_repeated_lines(docs(spark, rows)).collect())
+    got = sorted((r.doc_id, r.n_removed) for r in line_dedup.remove_repeated_lines(docs(spark, rows), short_bytes=None).collect())
     assert got == [(1, 0), (1, 0), (2, 3)]
     assert line_dedup.remove_repeated_lines(docs(spark, [])).count() == 0
 

@@ -12,7 +12,7 @@ from .common import SPACE_CHARS, let, materialize
 #: Lines of the shortest run that is deleted, and of a fingerprint. A window is RUN - GRAM + 1 fingerprints wide.
 RUN = 3
 GRAM = 2
-#: Bytes from which a shorter run is deleted too, where asked for.
+#: Bytes from which a shorter run is deleted too.
 SHORT_BYTES = 40
 
 
@@ -109,10 +109,10 @@ def _context(m: Column, run: int, gram: int) -> Column:
     return F.struct(m["f"].alias("f"), p.alias("p"), (p - first).alias("left"), F.slice(F.col("a"), first + 1, width).alias("ca"), F.slice(F.col("b"), first + 1, width).alias("cb"))
 
 
-def remove_repeated_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM, short_bytes: int | None = None) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM, short_bytes: int | None = SHORT_BYTES) -> DataFrame:
     """Every row of docs with n_lines, n_removed and kept_text: the text without each line that lies in a run of `run` or
-    more lines which also stands earlier, in the same text or one of a smaller doc_id. With short_bytes, also each line of a
-    shorter run that stands earlier and holds short_bytes bytes or more, or is all of its text.
+    more lines which also stands earlier, in the same text or one of a smaller doc_id. Also each line of a shorter run that
+    stands earlier and holds short_bytes bytes or more, or is all of its text; with short_bytes None shorter runs stay.
 
     Lines are compared without white space at their ends; blank lines neither count nor break a run and stay. Null texts give
     null kept_text and no lines; rows with a null doc_id are kept whole and take nothing from others. Rows equal in doc_id and

@@ -13,7 +13,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Runs of three lines or more; op1_line_dedup_content has the operator's default, which deletes shorter ones too."""
+    out = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), short_bytes=None)
     return out.select("doc_id", "n_lines", "n_removed", F.md5(F.col("kept_text").cast("binary")).alias("kept_md5"))
 
 
@@ -33,7 +34,7 @@ left join (select doc_id, count(*) as n from gone group by doc_id) g using (doc_
 
 def op1_line_dedup_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1_line_dedup that also deletes runs of one or two lines, of 40 bytes or more or that are a whole text."""
-    out = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), short_bytes=line_dedup.SHORT_BYTES)
+    out = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.md5(F.col("kept_text").cast("binary")).alias("kept_md5"))
 
 
