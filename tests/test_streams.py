@@ -92,3 +92,42 @@ def test_sessions(spark, tmp_path):
     stream = spark.readStream.schema("user_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
     got = {(r.start.hour, r.n) for r in streams.run_to_end(streams.sessions(stream), "sessions").collect()}
     assert got == {(0, 3), (20, 2)}
+
+
+def test_neighbours_come_together_and_keep_their_own_state():
+    """A call holds many athletes; the state of each is read and written once, however many days it has."""
+    import pandas as pd
+
+    state, calls = {}, {"get": 0, "put": 0}
+
+    class Map:
+        def getValue(self, key):
+            calls["get"] += 1
+            return state.get(key)
+
+        def updateValue(self, key, value):
+            calls["put"] += 1
+            state[key] = value
+
+    class Handle:
+        def getMapState(self, *_):
+            return Map()
+
+    p = streams.RollingLoad(1000, None)
+    p.init(Handle())
+    loads = [(a, d, float(a + d)) for d in (3, 1, 9) for a in range(64)]
+    batch = lambda rows: pd.DataFrame([(*r, True) for r in rows], columns=["athlete", "day", "load", "dated"])
+    first, again = loads[:100], loads[100:]
+    got = {}
+    for rows in (first, again):
+        for out in p.handleInputRows((0,), iter([batch(rows)]), None):
+            got |= {(r.athlete, r.day): (r.load, r.ctl, r.atl) for r in out.itertuples()}
+    want = curve(loads)
+    assert got.keys() == want.keys() and all(close(got[k], want[k]) for k in want)
+    assert calls == {"get": 128, "put": 128}
+
+
+def test_ids_beyond_doubles_and_none(spark, tmp_path):
+    big = 2**53 + 1
+    got = rolled(spark, tmp_path, [[(big, 1, 5.0), (big - 1, 1, 7.0), (None, 1, 9.0), (-1, 1, 3.0)], [(big, 2, 1.0), (None, 2, 2.0)]])
+    assert {(r.athlete, r.day, r.load, r.revision) for r in got} == {(big, 1, 5.0, 1), (big - 1, 1, 7.0, 1), (None, 1, 9.0, 1), (-1, 1, 3.0, 1), (big, 2, 1.0, 2), (None, 2, 2.0, 2)}

@@ -55,6 +55,10 @@ _K = {tau: 1 - x for tau, x in _REST.items()}
 
 
 _ROLLING = "athlete long, day long, load double, ctl double, atl double, kind string, revision long"
+#: Athletes whose ids differ in these last bits only come to Python together (64 at most); each has a state of its own.
+TOGETHER = 6
+#: The group of rows without an athlete; no id gives it.
+NOBODY = -(1 << 62)
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Days whose loads are kept one by one.
@@ -62,24 +66,37 @@ KEPT_DAYS = 60
 
 
 class RollingLoad(StatefulProcessor):
-    """Load averages of one athlete. State: the loads of recent days by day, and the averages at the end of the day before them."""
+    """Load averages of a few athletes. State of each: the loads of recent days, and the averages at the end of the day before them; it
+    is read and written once a batch."""
 
     def __init__(self, kept_days: int, idle_days: int | None):
         self.kept, self.ttl = kept_days, idle_days and idle_days * 24 * 3600 * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.days = handle.getMapState("days", "day long", "load double", self.ttl)
-        self.base = handle.getValueState("base", "day long, ctl double, atl double, revision long", self.ttl)
+        self.state = handle.getMapState("athletes", "athlete long", "day long, ctl double, atl double, revision long, days array<long>, loads array<double>", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        base_day, ctl, atl, revision = self.base.get() if self.base.exists() else (None, 0.0, 0.0, 0)
-        known = {k[0]: v[0] for k, v in self.days.iterator()}
-        new = pd.Series(dtype=float)
+        new: dict[int, dict[int, float]] = {}
         for r in rows:
-            new = new.add(r.dropna(subset=["day"]).groupby("day")["load"].sum(), fill_value=0.0)
-        new = new.sort_index()
+            for a, d, x, dated in zip(r["athlete"].tolist(), r["day"].tolist(), r["load"].tolist(), r["dated"].tolist(), strict=True):
+                mine = new.setdefault(a, {})
+                if dated:
+                    mine[d] = mine.get(d, 0.0) + x
+        out = []
+        for a in sorted(new):
+            base_day, ctl, atl, revision, days, loads = self.state.getValue((a,)) or (None, 0.0, 0.0, 0, [], [])
+            known, base, given = self._roll(new[a], dict(zip(days, loads, strict=True)), (base_day, ctl, atl))
+            self.state.updateValue((a,), (*base, revision + 1, list(known), list(known.values())))
+            name = None if key[0] == NOBODY else a
+            out += [(name, *row, revision + 1) for row in given]
+        yield pd.DataFrame(out, columns=["athlete", "day", "load", "ctl", "atl", "kind", "revision"])
+
+    def _roll(self, new: dict[int, float], known: dict[int, float], base: tuple) -> tuple[dict, tuple, list]:
+        """(days that are kept, averages before them, rows) of an athlete after new loads."""
+        base_day, ctl, atl = base
         last, out, first = max(known, default=None), [], None
-        for d, x in zip(new.index.astype(int).tolist(), new.astype(float).tolist(), strict=True):
+        for d in sorted(new):
+            x = new[d]
             if base_day is not None and d <= base_day:
                 # before all days that are kept: the averages get what is left of it by now
                 ctl, atl = (v + x * _K[tau] * _REST[tau] ** (base_day - d) for v, tau in ((ctl, 42), (atl, 7)))
@@ -89,22 +106,16 @@ class RollingLoad(StatefulProcessor):
                 known[d] = known.get(d, 0.0) + x
                 first = d if first is None else min(first, d)
         at, c, a = base_day, ctl, atl
+        latest = max(known, default=None)
         for d in sorted(known):
             if at is not None:
                 c, a = c * _REST[42] ** (d - at - 1), a * _REST[7] ** (d - at - 1)
             c, a, at = c * _REST[42] + known[d] * _K[42], a * _REST[7] + known[d] * _K[7], d
             if first is not None and d >= first:
                 out.append((d, known[d], c, a, "new" if last is None or d > last else "again"))
-            if d < max(known) - self.kept:
+            if d < latest - self.kept:
                 base_day, ctl, atl = d, c, a
-        for d in known:
-            if base_day is not None and d <= base_day:
-                if self.days.containsKey((d,)):
-                    self.days.removeKey((d,))
-            elif d in new.index:
-                self.days.updateValue((d,), (known[d],))
-        self.base.update((base_day, ctl, atl, revision + 1))
-        yield pd.DataFrame([(key[0], *r, revision + 1) for r in out], columns=["athlete", "day", "load", "ctl", "atl", "kind", "revision"])
+        return {d: x for d, x in known.items() if base_day is None or d > base_day}, (base_day, ctl, atl), out
 
     def close(self) -> None:
         pass
@@ -116,7 +127,7 @@ def rolling_load(daily: DataFrame, kept_days: int = KEPT_DAYS, idle_days: int |
 
     kind is new for a day after all others. A load for a day that was there, or lies between such days, gives every day from
     its own on `again`, so the last revision of each day (see latest_days()) is the batch curve whatever the order of arrival.
-    State is bounded: days over `kept_days` before the last one are folded into the averages. A load for such a day still counts in
+    Athletes come to Python in groups of neighbouring ids, since a call for each would cost more than its work. State is bounded: days over `kept_days` before the last one are folded into the averages. A load for such a day still counts in
     all days from the kept ones on, which come again; the day itself is given as `missed` without averages, and the few days
     from it to the kept ones have to be taken from stored loads.
 
@@ -124,8 +135,10 @@ def rolling_load(daily: DataFrame, kept_days: int = KEPT_DAYS, idle_days: int |
     queries that keep running: Spark goes on making empty batches to look for expired state, so a run to the end doesn't end.
     The session must keep stream state in RocksDB (rocks_state())."""
     ship(daily.sparkSession)
-    rows = daily.select("athlete", F.col("day").cast("long").alias("day"), F.coalesce("load", F.lit(0.0)).cast("double").alias("load"))
-    return rows.groupBy("athlete").transformWithStateInPandas(RollingLoad(kept_days, idle_days), _ROLLING, "append", "processingTime" if idle_days else "none")
+    # nulls are marked, since ids and days with nulls would come to Python as floats
+    athlete, day = F.col("athlete").cast("long"), F.col("day").cast("long")
+    rows = daily.select(F.coalesce(F.shiftright(athlete, TOGETHER), F.lit(NOBODY)).alias("few"), F.coalesce(athlete, F.lit(0)).alias("athlete"), F.coalesce(day, F.lit(0)).alias("day"), day.isNotNull().alias("dated"), F.coalesce("load", F.lit(0.0)).cast("double").alias("load"))
+    return rows.groupBy("few").transformWithStateInPandas(RollingLoad(kept_days, idle_days), _ROLLING, "append", "processingTime" if idle_days else "none")
 
 
 def rocks_state(spark: SparkSession) -> None:
