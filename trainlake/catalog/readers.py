@@ -24,6 +24,12 @@ def _files(spark, sf_dir, line, glue, head, tail):
     return rows.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.concat(F.lit(head), F.array_join("xs.x", glue), F.lit(tail)).alias("content"))
 
 
+def _second(n):
+    """The n-th second from 2024 on as local date and time; days follow one another however large n is."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.floor(n / 86_400).cast("int")).cast("string")
+    return F.format_string("%s %02d:%02d:%02d", day, F.floor(n / 3600) % 24, F.floor(n / 60) % 60, n % 60)
+
+
 def _stamp(zone):
     return F.date_format("ts", f"yyyy-MM-dd'T'HH:mm:ss'{zone}'")
 
@@ -44,7 +50,7 @@ def src05_tcx(spark, sf_dir):
 
 @query(f"with {_E} select path, seq, (event_id - min(event_id) over (partition by path))::double as t, hr, {pr('speed', 2)} as speed from x")
 def src07_csv(spark, sf_dir):
-    files = _files(spark, sf_dir, F.format_string('2024-01-01 %02d:%02d:%02d,"%d",%.2f', F.floor(F.col("event_id") / 3600), F.floor(F.col("event_id") / 60) % 60, F.col("event_id") % 60, "hr", "speed"), "\n", "exported,,\nTime,心率(bpm),速度(m/s)\n", "\n")
+    files = _files(spark, sf_dir, F.format_string('%s,"%d",%.2f', _second(F.col("event_id")), "hr", "speed"), "\n", "exported,,\nTime,心率(bpm),速度(m/s)\n", "\n")
     return workouts.read_csv(files)[0].select("path", "seq", "t", "hr", pyround("speed", 2).alias("speed"))
 
 
@@ -157,7 +163,7 @@ _CSV_CELLS = "select event_id, user_id, row_number() over (partition by user_id
 @query(f"select 'u' || user_id::varchar as path, seq::int as seq, (event_id - min(event_id) over (partition by user_id))::double as t, (60 + event_id % 90)::int as hr from ({_CSV_CELLS})")
 def src07_quoted(spark, sf_dir):
     """CSV files whose notes are quoted cells with commas, quotes and line ends."""
-    line = F.format_string('2024-01-01 %02d:%02d:%02d,"a ""b"", %d\nc",%d', F.floor(F.col("event_id") / 3600), F.floor(F.col("event_id") / 60) % 60, F.col("event_id") % 60, "event_id", 60 + F.col("event_id") % 90)
+    line = F.format_string('%s,"a ""b"", %d\nc",%d', _second(F.col("event_id")), "event_id", 60 + F.col("event_id") % 90)
     return workouts.read_csv(_files(spark, sf_dir, line, "\r\n", "Time,Note,心率(bpm)\r\n", "\r\n"))[0].select("path", "seq", "t", "hr")
 
 
