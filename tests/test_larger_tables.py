@@ -25,7 +25,7 @@ def larger(spark, sf_dir, tmp_path_factory):
     return f"file://{top}", c
 
 
-@pytest.mark.parametrize("name", ["src07_csv", "src07_quoted"])
+@pytest.mark.parametrize("name", ["src07_csv", "src07_quoted", "src27_fallback"])
 def test_query(spark, larger, name):
     folder, duck = larger
     assert_same(core.queries()[name](spark, folder), duck.execute(core.oracle_sql()[name]))

@@ -104,9 +104,9 @@ def snk15_reextract(spark, sf_dir):
 @query("select url, case when page_id % 3 = 0 then md5(html) when page_id % 3 = 1 then 'second' end as body, case when page_id % 3 = 0 then 'primary' when page_id % 3 = 1 then 'secondary' end as fetch_via from pages")
 def src27_fallback(spark, sf_dir):
     p = tables.table(spark, sf_dir, "pages")
-    first = p.where("page_id % 2 = 0 or page_id % 3 = 0").select("url", (F.col("page_id") % 3 == 0).alias("ok"), F.md5(F.col("html").cast("binary")).alias("text"))
-    second = p.select("url", (F.col("page_id") % 3 == 1).alias("ok"), F.lit("second").alias("text"))
-    return extract.fallback_pages(first, second).select("url", F.col("text").alias("body"), "fetch_via")
+    first = p.where("page_id % 2 = 0 or page_id % 3 = 0").select("page_id", "url", (F.col("page_id") % 3 == 0).alias("ok"), F.md5(F.col("html").cast("binary")).alias("text"))
+    second = p.select("page_id", "url", (F.col("page_id") % 3 == 1).alias("ok"), F.lit("second").alias("text"))
+    return extract.fallback_pages(first, second, ["page_id", "url"]).select("url", F.col("text").alias("body"), "fetch_via")
 
 
 @query("select s_suppkey as id from supplier where s_suppkey % 5 <> 0 and 'd' || (s_suppkey % 7)::varchar in ('d1', 'd2', 'd99')")

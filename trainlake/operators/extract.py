@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,13 +77,14 @@ def tolerant_json(raw: Column) -> Column:
     return F.when(F.try_parse_json(body).isNotNull() & (body != ""), body)
 
 
-def fallback_pages(primary: DataFrame, secondary: DataFrame) -> DataFrame:
-    """One row a url: the primary backend's page where it is ok, else the secondary's; fetch_via tells which."""
-    p = primary.select("url", F.col("ok").alias("_ok"), F.col("text").alias("_text"))
-    rows = p.join(secondary, "url", "full")
+def fallback_pages(primary: DataFrame, secondary: DataFrame, keys: Sequence[str] = ("url",)) -> DataFrame:
+    """One row a key: the primary backend's page where it is ok, else the secondary's; fetch_via tells which. Either side has one row
+    a key; where an address was fetched more than once, keys name the fetch too."""
+    p = primary.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("ok").alias("_ok"), F.col("text").alias("_text"))
+    rows = p.join(secondary.select(*keys, "ok", "text"), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "full")
     good = F.coalesce("_ok", F.lit(False))
     via = F.when(good, "primary").when(F.coalesce("ok", F.lit(False)), "secondary")
-    return rows.select("url", F.when(good, F.col("_text")).when(F.coalesce("ok", F.lit(False)), F.col("text")).alias("text"), via.alias("fetch_via"))
+    return rows.select(*[F.coalesce(k, f"_{k}").alias(k) for k in keys], F.when(good, F.col("_text")).when(F.coalesce("ok", F.lit(False)), F.col("text")).alias("text"), via.alias("fetch_via"))
 
 
 def veto(scored: DataFrame, floor: float, enabled: bool = False) -> DataFrame:
