@@ -145,3 +145,19 @@ def test_file_kinds(spark, tmp_path):
     kinds = {r.path.rsplit("/", 1)[1]: r.kind for r in workouts.read_files(spark, str(tmp_path)).collect()}
     assert kinds == {"A.GPX": "gpx", "b.txt": None}
     assert workouts.rejects(workouts.read_files(spark, str(tmp_path))).count() == 1
+
+
+def test_json_rows_are_handed_over_in_pieces():
+    """A batch of many files gives frames that don't grow with it, and every point once."""
+    import json
+
+    import pandas as pd
+
+    from trainlake.sources import workouts as w
+
+    n, each = 150, 400
+    files = pd.DataFrame({"path": [f"f{i}" for i in range(n)], "content": [json.dumps({"points": [{"time": t, "hr": i} for t in range(each)]}) for i in range(n)]})
+    frames = list(w._json_records(iter([files]), 6, 50, 200))
+    sizes = [sum(map(len, f["points"])) for f in frames]
+    assert len(sizes) > 2 and max(sizes) < w.JSON_POINTS + each and sum(sizes) == n * each
+    assert [p for f in frames for p in f["path"]] == files["path"].tolist()

@@ -268,25 +268,39 @@ def _flat(d: dict) -> dict[str, str]:
     return {str(k): str(v) for k, v in d.items() if isinstance(v, (str, int, float)) and not isinstance(v, bool)}
 
 
+#: Points (and records) of JSON that a task hands over at once; one file's are never split.
+JSON_POINTS = 20_000
+_RECORDS = ["path", "record", "n_records", "fields", "points"]
+
+
 def _json_records(batches, depth: int, width: int, most: int):
     """Rows (path, record, fields, points) of the longest list of objects of each file: a record's own fields, and its longest list of
-    points as maps."""
+    points as maps. Rows are handed over as soon as they hold JSON_POINTS, so memory doesn't grow with the files of a batch."""
+    out, held = [], 0
     for b in batches:
-        out = []
         for path, content in zip(b["path"], b["content"], strict=True):
-            data = _loads(content)
-            if data is None:
-                continue
-            lists = [v for _, v in _dict_lists(data, depth, width)]
-            records = max(lists, key=len) if lists else [data] if isinstance(data, dict) else []
-            if isinstance(data, dict) and not any(_records_like(v) for r in records if isinstance(r, dict) for v in r.values()):
-                records = [data]
-            for i, rec in enumerate(r for r in records[:most] if isinstance(r, dict)):
-                named = [v for k, v in rec.items() if _records_like(v) and any(n in re.sub("[_ ]", "", k.lower()) for n in LIST_KEYS)]
-                other = [v for v in rec.values() if _records_like(v) and {re.sub("[_ ]", "", k.lower()) for k in v[0]} & POINT_KEYS]
-                points = max(named or other, key=len, default=[])
-                out.append({"path": path, "record": i, "n_records": len(records), "fields": _flat(rec), "points": [_flat(p) for p in points if isinstance(p, dict)]})
-        yield pd.DataFrame(out, columns=["path", "record", "n_records", "fields", "points"])
+            for row in _records_of(path, content, depth, width, most):
+                out.append(row)
+                held += 1 + len(row[4])
+                if held >= JSON_POINTS:
+                    yield pd.DataFrame(out, columns=_RECORDS)
+                    out, held = [], 0
+    yield pd.DataFrame(out, columns=_RECORDS)
+
+
+def _records_of(path: str, content: str | None, depth: int, width: int, most: int):
+    data = _loads(content)
+    if data is None:
+        return
+    lists = [v for _, v in _dict_lists(data, depth, width)]
+    records = max(lists, key=len) if lists else [data] if isinstance(data, dict) else []
+    if isinstance(data, dict) and not any(_records_like(v) for r in records if isinstance(r, dict) for v in r.values()):
+        records = [data]
+    for i, rec in enumerate(r for r in records[:most] if isinstance(r, dict)):
+        named = [v for k, v in rec.items() if _records_like(v) and any(n in re.sub("[_ ]", "", k.lower()) for n in LIST_KEYS)]
+        other = [v for v in rec.values() if _records_like(v) and {re.sub("[_ ]", "", k.lower()) for k in v[0]} & POINT_KEYS]
+        points = max(named or other, key=len, default=[])
+        yield path, i, len(records), _flat(rec), [_flat(p) for p in points if isinstance(p, dict)]
 
 
 def probe_json(files: DataFrame, depth: int = 6, width: int = 50, candidates: int = 12, keys: int = 20, top: int = 30) -> DataFrame:
