@@ -222,3 +222,18 @@ def test_a_failing_text_or_image_is_a_row(spark):
     images = spark.createDataFrame([(1, bytearray(b"hi")), (2, bytearray(b"\xff"))], "id long, i binary")
     got = {r.id: r.x for r in images.select("id", hooks.read_image(F.col("i"), ocr).alias("x")).collect()}
     assert got[1].blocks[0].text == "hi" and got[2].blocks is None and got[2].error.startswith("UnicodeDecodeError")
+
+
+def test_lines_of_texts_with_other_ends(spark):
+    texts = ["", "a", "a\n", "\n\na", "a\r\nb\rc\n\rd", "a\x0bb\x0cc\x1cd\x1de\x1ef\x85g h ", "\r\n\r\n", "a\x1fb\tc"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.x for r in df.select("t", text.lines(F.col("t")).alias("x")).collect()}
+    assert got == {t: re.split(text.LINES, t) for t in texts}
+
+
+def test_texts_are_split_and_lowered_once(spark):
+    """A row's words are found once, whatever is made of the hits; its beginning is lowered once for all phrases."""
+    df = spark.createDataFrame([("x", "d")], "t string, domain string")
+    plan = lambda c: df.select(c.alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan(articles.classify(articles.keyword_hits(F.col("t")))).count("split(") == 1
+    assert plan(articles.evidence_level(F.col("domain"), F.col("t"))).count("lower(") == 1

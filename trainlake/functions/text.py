@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import fixed
 
 LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+OTHER_ENDS = r"[\r\x0b\x0c\x1c-\x1e\x85  ]"
 WS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0　"
 
 
@@ -15,23 +16,29 @@ def strip(x: Column) -> Column:
     return F.btrim(x, F.lit(WS))
 
 
-def lines(text: Column) -> Column:
-    return F.split(text, LINES)
-
-
 def once(value: Column, body) -> Column:
     """body(value) with value evaluated once a row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def lines(text: Column) -> Column:
+    """Texts whose only line ends are \\n, nearly all, are split without a pattern."""
+    return once(text, lambda x: F.split(F.when(x.rlike(OTHER_ENDS), F.regexp_replace(x, LINES, "\n")).otherwise(x), "\n"))
+
+
 def matched_chars(x: Column, pattern: str) -> Column:
     """Characters of x inside matches of pattern."""
     return F.length(x) - F.length(F.regexp_replace(x, pattern, ""))
 
 
+def has_link(x: Column) -> Column:
+    """Whether x holds what no Markdown link lacks; patterns are only tried where it does."""
+    return x.contains("](")
+
+
 def link_share(line: Column) -> Column:
     """Share of characters inside Markdown links; 1.0 for an empty line."""
-    return F.when(F.length(line) > 0, matched_chars(line, fixed.LINK) / F.length(line)).otherwise(1.0)
+    return F.when(F.length(line) > 0, F.when(has_link(line), matched_chars(line, fixed.LINK) / F.length(line)).otherwise(0.0)).otherwise(1.0)
 
 
 def is_prose(line: Column) -> Column:
@@ -41,7 +48,7 @@ def is_prose(line: Column) -> Column:
 
 def anchors_only(x: Column) -> Column:
     """Markdown links replaced by their text."""
-    return F.regexp_replace(x, r"\[\[*([^\]]{0,120})\]\([^)\s]{0,300}\)", "$1")
+    return F.when(has_link(x), F.regexp_replace(x, r"\[\[*([^\]]{0,120})\]\([^)\s]{0,300}\)", "$1")).otherwise(x)
 
 
 def prose_only(text: Column) -> Column:
@@ -52,16 +59,18 @@ def prose_only(text: Column) -> Column:
 
 def clean_markdown(text: Column) -> Column:
     """Blank runs squeezed; of a run of link lines only the first three stay: a line goes if it and the three before are links."""
-    linkish = lambda x: once(strip(x), lambda s: s.rlike(r"^[-*\[\]()!>\s]*(https?://|\[.*\]\()") | ((F.length(s) < 40) & s.contains("](")))
+    linkish = lambda x: once(strip(x), lambda s: (has_link(s) | s.contains("://")) & (s.rlike(r"^[-*\[\]()!>\s]*(https?://|\[.*\]\()") | ((F.length(s) < 40) & has_link(s))))
 
     def thin(ls: Column) -> Column:
         def keep(flags: Column) -> Column:
-            run = lambda i: F.forall(F.sequence(F.lit(0), F.lit(3)), lambda k: F.coalesce(F.get(flags, i - k), F.lit(False)))
+            flag = lambda i: F.coalesce(F.get(flags, i), F.lit(False))
+            run = lambda i: flag(i) & flag(i - 1) & flag(i - 2) & flag(i - 3)
             return F.filter(ls, lambda _, i: ~run(i))
 
         return once(F.transform(ls, linkish), keep)
 
-    return strip(F.array_join(once(lines(F.regexp_replace(F.coalesce(text, F.lit("")), r"\n{3,}", "\n\n")), thin), "\n"))
+    squeezed = once(F.coalesce(text, F.lit("")), lambda x: F.when(x.contains("\n\n\n"), F.regexp_replace(x, r"\n{3,}", "\n\n")).otherwise(x))
+    return strip(F.array_join(once(lines(squeezed), thin), "\n"))
 
 
 def strip_navigation(text: Column, window: int = 30, least: int = 2, back: int = 15, tail: int = 12) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,14 +27,17 @@ def keyword_hits(x: Column, topics: dict[str, list[str]] | None = None) -> Colum
     topics = topics or fixed.TOPICS
     latin = lambda w: any("a" <= c <= "z" for c in w)
 
+    listed = {t: [k.lower().replace("-", " ") for k in dict.fromkeys(ks)] for t, ks in topics.items()}
+    strings = lambda ks: F.array(*[F.lit(k) for k in ks]).cast("array<string>")
+    alone = strings(dict.fromkeys(k for ks in listed.values() for k in ks if latin(k) and " " not in k))
+
     def count(low: Column) -> Column:
         def of(words: Column) -> Column:
             out = []
-            for topic, keys in topics.items():
-                keys = [k.lower().replace("-", " ") for k in dict.fromkeys(keys)]
+            for topic, keys in listed.items():
                 single = [k for k in keys if latin(k) and " " not in k]
                 several = [k for k in keys if latin(k) and " " in k]
-                n = F.size(F.array_intersect(words, F.array(*[F.lit(k) for k in single]).cast("array<string>")))
+                n = F.size(F.array_intersect(words, strings(single)))
                 for k in several:
                     n = n + F.when(low.contains(k) & low.rlike(rf"(?U)\b{k}\b"), 1).otherwise(0)
                 for k in keys:
@@ -41,31 +46,38 @@ def keyword_hits(x: Column, topics: dict[str, list[str]] | None = None) -> Colum
                 out.append(F.struct(F.lit(topic).alias("topic"), n.alias("hits")))
             return F.array(*out)
 
-        return text.once(F.array_distinct(F.split(low, r"(?U)\W+")), of)
+        # small letters first: they are most of a text, and the Unicode class is slow
+        return text.once(F.array_intersect(F.split(low, r"(?U)[^a-z0-9_\w]+"), alone), of)
 
     return text.once(F.replace(F.lower(F.coalesce(x, F.lit(""))), F.lit("-"), F.lit(" ")), count)
 
 
 def classify(hits: Column, fallback: str = "training") -> Column:
     """struct(category, topics, relevance) of keyword_hits(): topics by hits, ties in their order."""
-    some = F.filter(hits, lambda h: h["hits"] > 0)
-    order = F.array_sort(F.transform(some, lambda h, i: F.struct((-h["hits"]).alias("n"), i.alias("i"), h["topic"].alias("topic"))))
-    total = F.aggregate(some, F.lit(0), lambda a, h: a + h["hits"])
-    return F.struct(
-        F.coalesce(F.get(order, F.lit(0))["topic"], F.lit(fallback)).alias("category"),
-        F.transform(order, lambda o: o["topic"]).alias("topics"),
-        pyround(F.least(F.lit(1.0), total / fixed.SATURATION), 3).alias("relevance"),
-    )
+
+    def of(some: Column) -> Column:
+        order = F.array_sort(F.transform(some, lambda h, i: F.struct((-h["hits"]).alias("n"), i.alias("i"), h["topic"].alias("topic"))))
+        total = F.aggregate(some, F.lit(0), lambda a, h: a + h["hits"])
+        return F.struct(
+            F.coalesce(F.get(order, F.lit(0))["topic"], F.lit(fallback)).alias("category"),
+            F.transform(order, lambda o: o["topic"]).alias("topics"),
+            pyround(F.least(F.lit(1.0), total / fixed.SATURATION), 3).alias("relevance"),
+        )
+
+    return text.once(F.filter(hits, lambda h: h["hits"] > 0), of)
 
 
 def evidence_level(domain: Column, x: Column) -> Column:
     """The first level whose phrase stands in the first 2,000 characters; popular if none and the host is no review's."""
-    low = F.lower(F.substring(x, 1, 2000))
-    any_of = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w))
-    out = F.when(any_of(fixed.EVIDENCE[0][1]), fixed.EVIDENCE[0][0])
-    for level, words in fixed.EVIDENCE[1:]:
-        out = out.when(any_of(words), level)
-    return out.when(F.coalesce(domain, F.lit("")).rlike("|".join(fixed.REVIEW_HOSTS)), "review").otherwise("popular")
+    any_of = lambda low, words: reduce(or_, (low.contains(w) for w in words))
+
+    def stated(low: Column) -> Column:
+        out = F.when(any_of(low, fixed.EVIDENCE[0][1]), fixed.EVIDENCE[0][0])
+        for level, words in fixed.EVIDENCE[1:]:
+            out = out.when(any_of(low, words), level)
+        return out
+
+    return F.coalesce(text.once(F.lower(F.substring(x, 1, 2000)), stated), F.when(F.coalesce(domain, F.lit("")).rlike("|".join(fixed.REVIEW_HOSTS)), "review").otherwise("popular"))
 
 
 def recency(published: Column, level: Column, as_of: str) -> Column:
