@@ -41,7 +41,7 @@ def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     for kind, read in (("gpx", workouts.read_gpx), ("tcx", workouts.read_tcx)):
         own = files.where(F.col("kind") == kind)
-        rows = read(own)
+        rows = keep(read(own), f"parsed-{kind}")  # headers and samples are made of one parse
         facts = rows.groupBy("path").agg(F.first("sport_type").alias("sport_type"), F.first("start_time").alias("start_time"), F.count(F.lit(1)).alias("n_samples"))
         add(own.select("path").join(facts, "path", "left"), rows)
     for kind, read in (("csv", workouts.read_csv), ("json", workouts.read_json)):
@@ -66,7 +66,7 @@ def ingest(files: DataFrame, stored: DataFrame, max_hr: int = physio.MAX_HR, res
     duplicate (start and sport are stored, or imported from a file of a smaller path; a file without a start never is);
     too_few (no sample with a time); duration (over most_s, as when milliseconds are taken for seconds). Notes are the reader's
     warnings, longest_record_only and records_truncated. samples holds raw values and, beside them, what enrichment derives."""
-    heads, points = parse(files)
+    heads, points = parse(keep(files, "files"))
     heads = keep(heads.withColumn("sport_type", F.coalesce("sport_type", F.lit("running"))), "ingest-heads")
     points = keep(points.join(heads.select("path", "sport_type"), "path").withColumnRenamed("path", series.ID), "ingest-samples")
     sums = series.summarise(points, max_hr, resting_hr, gender, weight_kg).drop("sport_type", "n_samples").withColumnRenamed(series.ID, "path")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest
-from ..storage import keep
 from ..store import Store
 
 ACTIVITY_KEYS = ["start_time", "sport_type"]
@@ -39,7 +38,7 @@ class Importer:
         if all((v := s.version()) and v.applied.get(self.writer, -1) >= batch for s in stores):
             return
         before = self.activities.read_before(self.writer, batch, _STARTS)
-        acts, samples, results = ingest.ingest(keep(files, "files"), before, **self.profile)
+        acts, samples, results = ingest.ingest(files, before, **self.profile)
         self.samples.append(samples, self.writer, batch)
         # of a file that came before under this path the newest result counts
         self.results.merge(results.withColumn("batch", F.lit(batch).cast("long")), _newest, self.writer, batch)
