@@ -166,3 +166,24 @@ def test_import_twice_and_after_a_crash(spark, folder, tmp_path_factory, monkeyp
     crash.run(imports.read_files(spark, inbox, 5), f"{folder}/crash-checkpoint")
     assert len(state(crash)[0]) == 5
     shutil.rmtree(inbox.removeprefix("file://"))
+
+
+def test_all_cores_write_a_table_of_few_parts(spark, tmp_path):
+    from pathlib import Path
+
+    from trainlake.store import Store
+
+    store = Store(spark, f"file://{tmp_path}/few", ["k"], 1)
+    store.merge(spark.range(1000).withColumnRenamed("id", "k"))
+    assert len(list(Path(tmp_path, "few").glob("data-*/*/*.parquet"))) > 1
+    assert sorted(r.k for r in store.read().collect()) == list(range(1000))
+
+
+def test_imported_files_are_parsed_once(spark):
+    from trainlake.operators import ingest
+
+    point = '<gpx><trk><trkseg><trkpt lat="1" lon="2"><time>2024-01-01T00:00:00Z</time></trkpt></trkseg></trk></gpx>'
+    heads, points = ingest.parse(spark.createDataFrame([("a.gpx", "gpx", point)], "path string, kind string, content string"))
+    for df in (heads, points):
+        assert "from_xml" not in df._jdf.queryExecution().analyzed().toString()
+    assert [r.n_samples for r in heads.collect()] == [1] and points.count() == 1

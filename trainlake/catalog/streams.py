@@ -77,13 +77,14 @@ def _import_files(spark, sf_dir):
     head, tail = '<gpx xmlns="http://www.topografix.com/GPX/1/0"><trk><type>running</type><trkseg>', "</trkseg></trk></gpx>"
     files = every.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("event_id", "x"))).alias("xs"))
     at = working_path(spark, "import")
-    # a file of a bucket holds many workouts, a line each; the stream reads them as (file, text)
-    files.select("file", F.concat(F.lit(head), F.array_join("xs.x", ""), F.lit(tail)).alias("content")).repartition(2, "file").write.parquet(f"{at}/inbox")
+    # a file of a bucket holds many workouts, a line each; the stream reads them as (file, text), half of the files a batch
+    half = max(1, spark.sparkContext.defaultParallelism)
+    files.select("file", F.concat(F.lit(head), F.array_join("xs.x", ""), F.lit(tail)).alias("content")).repartition(2 * half, "file").write.parquet(f"{at}/inbox")
     stream = lambda n: ops.read_stream(spark, f"{at}/inbox/", n).select(F.col("file").alias("path"), F.lit("gpx").alias("kind"), "content")
     first = imports.Importer(spark, f"{at}/store", n_parts=4)
-    first.run(stream(1), f"{at}/first")
+    first.run(stream(half), f"{at}/first")
     again = imports.Importer(spark, f"{at}/store", writer="again", n_parts=4)
-    again.run(stream(10), f"{at}/again")
+    again.run(stream(2 * half), f"{at}/again")
     return again
 
 

@@ -168,7 +168,11 @@ class Store:
             return False
         rows, touched, schema = make(v)
         folder = f"data-{uuid.uuid4().hex}"
-        rows.withColumn(PART, self._part()).repartition(PART).write.partitionBy(PART).parquet(f"{self.path}/{folder}")
+        # as many tasks as cores write, so a part is a few files and no single task's work
+        tasks = max(1, -(-self.spark.sparkContext.defaultParallelism // self.n_parts))
+        dealt = rows.withColumn(PART, self._part())
+        dealt = dealt.repartition(self.n_parts * tasks, PART, F.pmod(F.hash(*self.keys), F.lit(tasks)))
+        dealt.write.partitionBy(PART).parquet(f"{self.path}/{folder}")
         fs, p = self._at(folder)
         written = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
         parts = {} if touched is None or v is None else {k: x for k, x in v.parts.items() if k not in touched}
