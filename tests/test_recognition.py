@@ -1,5 +1,6 @@
 from datetime import datetime
 
+from trainlake import queries as core
 from trainlake.operators import recognition
 
 SCHEMA = "image_id long, blocks array<struct<text:string,conf:double,bbox:array<array<double>>>>"
@@ -33,3 +34,20 @@ def test_glued_dates(spark):
     rows = [(1, plain("2026/9/519:45")), (2, plain("9月5日", "07:30")), (3, plain("2026/13/5")), (4, plain("2026/09/05"))]
     got = {r.image_id: (r.date, r.start_time) for r in recognition.start_times(spark.createDataFrame(rows, SCHEMA), 2026).collect()}
     assert got == {1: ("2026-09-05", datetime(2026, 9, 5, 19, 45)), 2: ("2026-09-05", datetime(2026, 9, 5, 7, 30)), 4: ("2026-09-05", None)}
+
+
+def test_images_stay_in_their_rows(spark):
+    """No join, window or shuffle moves blocks, and what stands under a null or a repeated id keeps its own fields."""
+    rows = [(None, plain("15米", "累计爬升")), (7, plain("16米", "累计爬升", "2026/9/5")), (7, plain("454", "千卡"))]
+    found = recognition.recognise(spark.createDataFrame(rows, SCHEMA), 2026)
+    assert not any(x in found._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "Join", "Window"))
+    got = {(r.image_id, r.elev_gain_m, r.calories, r.date) for r in found.collect()}
+    assert got == {(None, 15.0, None, None), (7, 16.0, None, "2026-09-05"), (7, None, 454.0, None)}
+
+
+def test_boxed_images_are_dealt_as_keys(spark, sf_dir):
+    """The file of one row group keeps all cores at work, and its keys are all that is moved."""
+    found = core.queries()["rec02_boxes"](spark, sf_dir)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

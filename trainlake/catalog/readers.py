@@ -69,12 +69,18 @@ def src19_samples(spark, sf_dir):
     return workouts.read_json(files)[0].select("path", "seq", "t", "hr")
 
 
+def _images(spark, sf_dir):
+    """Keys of customer, dealt out to all cores: each becomes a screenshot of many blocks, while a million lie in one row group."""
+    keys = tables.table(spark, sf_dir, "customer").select("c_custkey")
+    return keys.repartition(4 * spark.sparkContext.defaultParallelism)
+
+
 @query("select c_custkey as image_id, 'cycling' as sport_type, (c_custkey % 300 + 1) / 10.0::double as distance_km, " + pr("(c_custkey % 90 + 1) + (c_custkey % 60) / 60.0::double") + " as duration_min, (60 + c_custkey % 100)::double as avg_hr, (100 + c_custkey % 100)::double as max_hr from customer")
 def rec01_recognise(spark, sf_dir):
     k = F.col("c_custkey")
     texts = [F.lit("户外骑行"), F.format_string("%.1f", (k % 300 + 1) / 10), F.lit("公里"), F.format_string("%d:%02d", k % 90 + 1, k % 60), F.lit("用时"), F.format_string("%d次/分", 60 + k % 100), F.lit("平均心率"), F.format_string("%d次/分", 100 + k % 100), F.lit("最大心率")]
     block = lambda t: F.struct(t.alias("text"), F.lit(0.9).alias("conf"), F.lit(None).cast("array<array<double>>").alias("bbox"))
-    images = tables.table(spark, sf_dir, "customer").select(k.alias("image_id"), F.array(*[block(t) for t in texts]).alias("blocks"))
+    images = _images(spark, sf_dir).select(k.alias("image_id"), F.array(*[block(t) for t in texts]).alias("blocks"))
     return recognition.recognise(images, 2026).select("image_id", "sport_type", "distance_km", "duration_min", "avg_hr", "max_hr")
 
 
@@ -106,7 +112,7 @@ def rec02_boxes(spark, sf_dir):
     values = [F.when(there, block(v, F.when(kind == 1, 210).otherwise(10), F.when(kind == 0, 40).when(kind == 1, 0).otherwise(-100) + 400 * i)) for i, (_, v, there) in enumerate(cells)]
     whole = [block("户外骑行", 2000, 9000), block(F.format_string("2026/%d/%d%d:%02d", k % 9 + 1, 4 + k % 6, 10 + k % 10, k % 60), 2000, 9400), block(F.format_string("%.1f公里", (k % 300 + 1) / 10), 2000, 9800)]
     order = F.when(kind == 2, F.array(*whole, *[x for pair in zip(labels, values, strict=True) for x in pair])).otherwise(F.array(*whole, *labels, *values))
-    found = recognition.recognise(tables.table(spark, sf_dir, "customer").select(k.alias("image_id"), F.array_compact(order).alias("blocks")), 2026)
+    found = recognition.recognise(_images(spark, sf_dir).select(k.alias("image_id"), F.array_compact(order).alias("blocks")), 2026)
     return found.select("image_id", "sport_type", "distance_km", "duration_min", "max_hr", "avg_cadence_spm", "avg_stride_m", "elev_gain_m", "calories", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("start_time"), F.array_join("notes", ",").alias("notes"))
 
 
