@@ -245,3 +245,59 @@ def test_near_null_ids(spark):
     got = sorted(((r.doc_id, r.class_size) for r in minhash_dedup.near_duplicates(docs(spark, rows)).collect()), key=str)
     assert got == sorted([(None, 4), (5, 4), (None, 1), (7, 4), (7, 4)], key=str)
     assert minhash_dedup.keep_one(docs(spark, rows)).count() == 2
+
+
+def moved_records(spark):
+    """Rows written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_suffix_dedup_moves_packed_rows(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    parts = [text(400) for _ in range(40)]
+    rows = [(i, text(200) + rng.choice(parts) + text(2000) + rng.choice(parts) + text(200)) for i in range(120)]
+    before = moved_records(spark)
+    found = suffix_dedup.remove_repeats(docs(spark, rows)).collect()
+    moved = moved_records(spark) - before
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in found) == brute_repeats(rows)
+    assert moved < 20 * len(rows)  # there are 24,000 anchors
+
+
+def test_suffix_dedup_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1500)
+    rows = repeat_rows()
+    found = suffix_dedup.remove_repeats(docs(spark, rows), bucket_rows=3).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in found) == brute_repeats(rows)
+
+
+def test_suffix_dedup_without_repeats(spark):
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("abcdefghij") for _ in range(300))) for i in range(9)]
+    found = suffix_dedup.remove_repeats(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_removed, r.kept.decode()) for r in found) == [(i, 0, t) for i, t in rows]
+
+
+@pytest.mark.parametrize("length", [25, 50, 84])
+def test_later_strings(length):
+    rng = random.Random(length)
+    anchor, segments = b"x" * suffix_dedup.GRAM, []
+    reach = length - suffix_dedup.GRAM
+    for i in range(300):
+        at, behind = rng.randint(0, reach), rng.randint(0, reach)
+        behind = max(behind, reach - at)
+        side = lambda n: bytes(rng.choice(b"ab") if rng.random() < 0.1 else 97 for _ in range(n))
+        segments.append((i % 3, at, side(at) + anchor + side(behind), rng.randint(0, 40)))
+    first, want = {}, []
+    for bucket, at, seg, doc in segments:
+        for j in range(len(seg) - length + 1):
+            key = bucket, at - j, seg[j : j + length]
+            first[key] = min(doc, first.get(key, doc))
+    for bucket, at, seg, doc in segments:
+        want.append(sum(1 << j for j in range(len(seg) - length + 1) if at >= j and first[bucket, at - j, seg[j : j + length]] < doc))
+    col = lambda k, kind=np.int64: np.array([s[k] for s in segments], kind)
+    raw, size = np.frombuffer(b"".join(s[2] for s in segments), np.uint8), np.array([len(s[2]) for s in segments])
+    assert suffix_dedup.later_strings(raw, size, col(0), col(1), col(3), length).tolist() == want

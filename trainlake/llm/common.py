@@ -71,6 +71,18 @@ def map_batches(df: DataFrame, task, schema) -> DataFrame:
     return df.mapInArrow(task, schema)
 
 
+def map_groups(df: DataFrame, key: str, task, schema) -> DataFrame:
+    """applyInArrow of task to the rows of each key, with this package sent to the workers first."""
+    ship(df.sparkSession)
+    return df.groupBy(key).applyInArrow(lambda table: task(table), schema)
+
+
+def map_cogroups(left: DataFrame, right: DataFrame, key: str, task, schema) -> DataFrame:
+    """The same for the rows that two tables have of each key."""
+    ship(left.sparkSession)
+    return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(lambda x, y: task(x, y), schema)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Internal column names that df doesn't have."""
     taken = {c.lower() for c in df.columns}
