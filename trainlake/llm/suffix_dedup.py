@@ -383,11 +383,6 @@ class _Suffixes:
             return np.lexsort((keys, group))
         return order
 
-    def equal_next(self, order: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Whether each string in order equals the one before it, by its bytes."""
-        same = (self.view[self.place[order[1:]]] == self.view[self.place[order[:-1]]]).all(1)
-        return np.r_[False, same & (group[order[1:]] == group[order[:-1]])]
-
 
 def _common(raw: np.ndarray, start: np.ndarray, step: int, size: np.ndarray, most: int, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order within buckets of the strings raw[start], raw[start + step] and so on, of the given sizes up to `most`; and how many bytes
